@@ -10,11 +10,13 @@ between that subtree and the rest, and a shard that is added takes rows into its
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: region -> rack -> shard number -> weight
 Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
 
@@ -34,40 +36,43 @@ def _draw(key: Column, shard: int, weight: float) -> Column:
     return -F.log((bits + F.lit(0.5)) / F.lit(float(2**52))) / F.lit(float(weight))
 
 
-def _least(nodes: Sequence[Column]) -> Column:
-    return nodes[0] if len(nodes) == 1 else F.least(*nodes)
-
-
 def place(docs: DataFrame, key: Column, tree: Tree, prefix: str) -> DataFrame:
     """Adds {prefix}region, {prefix}rack and {prefix}shard. A null key is a key like others."""
     live = {g: {r: {s: w for s, w in shards.items() if w > 0} for r, shards in racks.items()} for g, racks in tree.items()}
     live = {g: kept for g, racks in live.items() if (kept := {r: x for r, x in racks.items() if x})}
     if not live:
         raise ValueError("no shard has a weight above 0")
-    draws = {s: w for racks in live.values() for shards in racks.values() for s, w in shards.items()}
-    named = {s: f"_draw{s}" for s in draws}
-    out = docs.withColumns({named[s]: _draw(key, s, w) for s, w in draws.items()})
-    rack_of = {(g, r): _least([F.col(named[s]) for s in shards]) for g, racks in live.items() for r, shards in racks.items()}
-    region_of = {g: _least([rack_of[g, r] for r in racks]) for g, racks in live.items()}
-    out = out.withColumn("_best", _least(list(region_of.values())))
-
-    def descend(options: dict) -> Column:
-        chosen = None
-        for value, draw in options.items():
-            chosen = F.when(draw == F.col("_best"), F.lit(value)) if chosen is None else chosen.when(draw == F.col("_best"), F.lit(value))
-        return chosen
-
-    out = out.withColumn(f"{prefix}region", descend(region_of))
-    rack = F.coalesce(*[F.when(F.col(f"{prefix}region") == g, descend({r: rack_of[g, r] for r in racks})) for g, racks in live.items()])
-    out = out.withColumn(f"{prefix}rack", rack)
-    shard = F.coalesce(
-        *[
-            F.when((F.col(f"{prefix}region") == g) & (F.col(f"{prefix}rack") == r), descend({s: F.col(named[s]) for s in shards}))
-            for g, racks in live.items()
-            for r, shards in racks.items()
-        ]
-    )
-    return out.withColumn(f"{prefix}shard", shard.cast("int")).drop("_best", *named.values())
+    shards = [(g, r, s, w) for g, racks in live.items() for r, inner in racks.items() for s, w in inner.items()]
+
+    def descend(draws: Column) -> Column:
+        drawn = [draws[i] for i in range(len(shards))]
+
+        def least(kept: list[int]) -> Column:
+            return drawn[kept[0]] if len(kept) == 1 else F.least(*[drawn[i] for i in kept])
+
+        def chosen(best: Column) -> Column:
+            by_rack: dict[tuple[str, str], list[int]] = {}
+            for i, (g, r, _, _) in enumerate(shards):
+                by_rack.setdefault((g, r), []).append(i)
+            region, rack, shard = None, None, None
+            for g in live:
+                inside = [i for i, x in enumerate(shards) if x[0] == g]
+                region = _case(region, least(inside) == best, F.lit(g))
+            for (g, r), inside in by_rack.items():
+                rack = _case(rack, least(inside) == best, F.lit(r))
+                for i in inside:
+                    shard = _case(shard, drawn[i] == best, F.lit(shards[i][2]))
+            return F.struct(region.alias("region"), rack.alias("rack"), shard.cast("int").alias("shard"))
+
+        return let(least(list(range(len(shards)))), chosen)
+
+    placed = let(F.array(*[_draw(key, s, w) for _, _, s, w in shards]), descend)
+    out = docs.withColumn("_placed", placed)
+    return out.withColumns({f"{prefix}{x}": F.col(f"_placed.{x}") for x in ("region", "rack", "shard")}).drop("_placed")
+
+
+def _case(so_far: Column | None, test: Column, value: Column) -> Column:
+    return F.when(test, value) if so_far is None else so_far.when(test, value)
 
 
 def tree_shards(docs: DataFrame, tree: Tree, grown: Tree, buckets: int = 64) -> DataFrame:
