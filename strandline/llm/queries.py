@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encoded
 from .common import documents
+from .fingerprints import edit_fingerprints
 from .packing import harmonic_pack
+from .pii import pseudonymise
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import even_tree, tree_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The key of this corpus's pseudonyms. Whoever publishes the corpus sets one of their own and keeps it.
+PII_KEY = "corpus-key-1"
+
+
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return new.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(F.col("pii.kind"), ",").alias("kinds"))
+
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
@@ -30,6 +41,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in counts])
 
 
+def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), whole=False)
+
+
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(documents(spark, sf_dir))
+
+
 def _rule_sql() -> str:
     tests = [f"{r.metric} < {r.least}" for r in RULES if r.least is not None] + [f"{r.metric} > {r.most}" for r in RULES if r.most is not None]
     return " OR ".join(tests)
@@ -59,7 +78,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules)}
+    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op7_transducer_bpe, op10_merkle_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
