@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(table: DataFrame) -> None:
+    """Deletes a table that `written` made and that is no longer needed."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """`then(value)` with `value` computed once, however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)

@@ -15,6 +15,7 @@ from .packing import harmonic_pack
 from .pii import pseudonymise
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import even_tree, tree_shards
+from .suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in counts])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), whole=False)
 
@@ -78,7 +83,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op7_transducer_bpe, op10_merkle_fingerprints)}
+    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op7_transducer_bpe, op10_merkle_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
