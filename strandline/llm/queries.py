@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import encoded
 from .common import documents
 from .fingerprints import edit_fingerprints
+from .near_dedup import near_duplicates
 from .packing import harmonic_pack
 from .pii import pseudonymise
 from .quality_rules import RULES, STOP_WORDS, quality_rules
@@ -50,6 +51,10 @@ def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), whole=False)
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(documents(spark, sf_dir))
 
@@ -83,7 +88,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op7_transducer_bpe, op10_merkle_fingerprints)}
+    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op7_transducer_bpe, op9_dart_minhash, op10_merkle_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
