@@ -170,18 +170,16 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(_likenesses, "a long, b long, likeness double")
 
 
-def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """doc_id, class_id and n_links of every row.
+def _source(docs: DataFrame, *others: str) -> DataFrame:
+    """id (a null one below all others), bytes and digest of every row."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), utf8(F.col("text")).alias("bytes"), *others)
+    return own.withColumn("digest", F.unhex(F.substring(F.sha2("bytes", 256), 1, 32)))
 
-    Documents are near duplicates if the sets of their runs of five words have a Jaccard likeness of `least` or
-    more; a class is what such links connect, and its id the least doc_id in it. Equal texts are one: n_links
-    counts links found between different texts. Texts without words are near duplicates of equal texts only; null
-    counts as empty. Rows with a null doc_id take part under ids below all others and get that class only if they
-    are alone in it. Repeated rows get a row each; an empty table gives no rows; other columns are not read.
-    """
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("bytes"))
-    digest = F.unhex(F.substring(F.sha2("bytes", 256), 1, 32))
-    signed = written(source.select("id", "bytes", digest.alias("digest")).mapInArrow(_signed, "id long, digest binary, bands array<long>"), "signed")
+
+def _labelled(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of every row, and for each digest its first id, its class, the class's id and first digest, and n_links."""
+    source = _source(docs)
+    signed = written(source.select("id", "bytes", "digest").mapInArrow(_signed, "id long, digest binary, bands array<long>"), "signed")
     # Equal texts: one stands for all. The least of its ids names it, or a hash where texts share an id.
     kinds = signed.groupBy("digest").agg(F.min("id").alias("first"), F.any_value("bands").alias("bands"))
     kinds = written(kinds.withColumn("kind", F.xxhash64("digest")), "kinds")
@@ -190,7 +188,7 @@ def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     members = written(buckets.join(crowded, "key").select("key", "kind", "leader"), "members")
     in_play = members.select("kind").distinct()
     first_of = kinds.join(in_play, "kind", "left_semi").select("kind", "digest", F.col("first").alias("id"))
-    texts = source.select("id", "bytes", digest.alias("digest")).join(first_of, ["id", "digest"]).select(F.col("kind").alias("id"), "bytes")
+    texts = source.join(first_of, ["id", "digest"]).select(F.col("kind").alias("id"), "bytes")
     sets = written(texts.mapInArrow(_shingled, "id long, set binary").dropDuplicates(["id"]), "sets")
 
     pairs = members.filter("kind <> leader").select(F.col("leader").alias("a"), F.col("kind").alias("b")).distinct()
@@ -208,10 +206,31 @@ def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     degree = links.select(F.col("a").alias("kind")).union(links.select(F.col("b").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n_links"))
     named = kinds.select("kind", "digest", "first").join(classes.withColumnRenamed("id", "kind"), "kind", "left").withColumn("class", F.coalesce("class", "kind"))
     named = named.join(merged.select(F.col("id").alias("class"), F.col("class").alias("top")), "class", "left").withColumn("class", F.coalesce("top", "class"))
-    names = named.groupBy("class").agg(F.min("first").alias("class_id"))
-    labelled = named.join(names, "class").join(degree, "kind", "left").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    ids = signed.select("id", "digest").join(labelled, "digest")
-    return ids.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), F.when(F.col("class_id") != -(2**63), F.col("class_id")).alias("class_id"), "n_links")
+    names = named.groupBy("class").agg(F.min("first").alias("class_id"), F.min_by("digest", F.struct("first", "kind")).alias("class_digest"))
+    labelled = named.join(names, "class").join(degree, "kind", "left")
+    return signed.select("id", "digest"), labelled.select("digest", "class_id", "class_digest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """doc_id, class_id and n_links of every row.
+
+    Documents are near duplicates if the sets of their runs of five words have a Jaccard likeness of `least` or
+    more; a class is what such links connect, and its id the least doc_id in it. Equal texts are one: n_links
+    counts links found between different texts. Texts without words are near duplicates of equal texts only; null
+    counts as empty. Rows with a null doc_id take part under ids below all others and get that class only if they
+    are alone in it. Repeated rows get a row each; an empty table gives no rows; other columns are not read.
+    """
+    rows, labelled = _labelled(docs, least)
+    known = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
+    return rows.join(labelled, "digest").select(known("id").alias("doc_id"), known("class_id").alias("class_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """`docs` with one row of each class of near duplicates: that of the least doc_id, one of equal rows. All columns stay."""
+    _, labelled = _labelled(docs, least)
+    chosen = labelled.filter("digest = class_digest").select(F.col("class_id").alias("_id"), F.col("digest").alias("_digest"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_digest": F.unhex(F.substring(F.sha2(utf8(F.col("text")), 256), 1, 32))})
+    return keyed.join(chosen, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
 
 
 #: Documents outside a bucket's largest class that are compared with all of its documents.

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licenses, pairwise_quality
 from .bpe import encoded
 from .common import documents
 from .fingerprints import edit_fingerprints
@@ -47,10 +48,27 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
 
 
+def op6_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pairwise_quality.scored(docs, pairwise_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), whole=False)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = licenses.license_scan(docs, licenses.train(spark, docs))
+    known = F.filter("licenses", lambda x: x["family"] != "unknown")
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_candidates"),
+        F.size(known).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda x: x["family"]))), ",").alias("families"),
+    )
+
+
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -88,7 +106,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op7_transducer_bpe, op9_dart_minhash, op10_merkle_fingerprints)}
+    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op6_bradley_terry_quality, op7_transducer_bpe, op8_license_scan, op9_dart_minhash, op10_merkle_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

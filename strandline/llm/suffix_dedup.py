@@ -250,7 +250,7 @@ def _applied(length: int, with_text: bool, fields: list[tuple[str, pa.DataType]]
                     kept.append(text[at:lo])
                     at, n = hi, n + 1
                 left = b"".join([*kept, text[at:]])
-                rows.append((len(text), len(text) - len(left), n, sha256(left).hexdigest(), left))
+                rows.append((len(text), len(text) - len(left), n, sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             own = [pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=False)]
             yield pa.RecordBatch.from_arrays([*[batch.column(2 + i) for i in range(carried)], *own], names=[*batch.schema.names[2:], *[f for f, _ in fields]])
@@ -269,10 +269,10 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, kinds: int = KINDS) -> DataFrame:
-    """`keep` columns of every row, n_bytes, n_removed, n_spans and kept_sha256; with `with_text`, also kept_bytes.
+    """`keep` columns of every row, n_bytes, n_removed, n_spans and kept_sha256; with `with_text`, also kept_text.
 
     Every byte goes that a string of `length` bytes covers which begins anywhere else too, in the same text or
-    another. Null and empty texts have no bytes. Rows that are equal in doc_id and text are repeats of each other
+    another. kept_text lacks characters of which a part goes. Null and empty texts have no bytes. Rows that are equal in doc_id and text are repeats of each other
     like any others. A null doc_id is kept as null; an empty table gives no rows.
     """
     runs = repeated_runs(docs, length, kinds)
@@ -281,8 +281,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("d
     source = docs.select(id_.alias("_id"), check.alias("_check"), utf8(F.col("text")).alias("_bytes"), *keep)
     by_row = by_row.select(F.col("id").alias("_id"), F.col("check").alias("_check"), F.col("runs").alias("_runs"))
     joined = source.join(by_row, ["_id", "_check"], "left").select("_bytes", "_runs", *keep)
-    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_bytes", pa.binary())]
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
     fields = fields if with_text else fields[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
+    schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(_applied(length, with_text, fields, len(keep)), schema)
