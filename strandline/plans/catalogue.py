@@ -1,17 +1,14 @@
-"""Registered queries and the SQL that checks them."""
+"""All registered queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import audits, graphs, memories, queues, relational, searches, streams, texts  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
