@@ -138,7 +138,7 @@ def admitted(candidates: DataFrame, budget: int, share: float = 0.2, most: int =
 
 def context_state(used: Column, window: int = 8000) -> tuple[Column, Column]:
     """(ratio, state) of a context's tokens."""
-    ratio = F.round(F.least(used / F.lit(float(window)), F.lit(1.0)), 4)
+    ratio = F.round(F.least(used / F.lit(float(window)), F.lit(1.0)), 6)
     return ratio, F.when(ratio >= 0.95, "force_continuation").when(ratio >= 0.85, "prepare_continuation").when(ratio >= 0.7, "warning").otherwise("normal")
 
 

@@ -1 +1,202 @@
-"""Queries."""
+"""Queries of audits and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import audits as U
+from ..sources import adapters as A
+from .registry import JOBS, MESSAGES, SESSIONS, query
+
+NOW = "2024-01-31 00:00:00"
+
+
+def _now():
+    return F.expr(f"timestamp_ntz'{NOW}'")
+
+
+@query("WITH " + JOBS + f""", e AS (SELECT count(*) AS events, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOURS) AS events_24h, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 168 HOURS) AS events_168h FROM events),
+    j AS (SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'dead_letter') AS dead, coalesce(epoch(TIMESTAMP '2002-01-01') - epoch(min(available_at) FILTER (WHERE status = 'pending')), 0)::BIGINT AS oldest FROM jobs)
+    SELECT *, array_to_string(list_filter([CASE WHEN pending > 80 THEN 'backlog' END, CASE WHEN dead > 0 THEN 'dead_letters' END, CASE WHEN oldest > 3600 THEN 'old_jobs' END, CASE WHEN events_24h > 5000 THEN 'ingress' END], lambda x: x IS NOT NULL), ',') AS issues FROM e, j""")
+def capacity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = lambda h: F.count_if(F.col("ts") >= _now() - F.expr(f"INTERVAL {h} HOURS")).alias(f"events_{h}h")
+    e = A.events(spark, sf_dir).agg(F.count(F.lit(1)).alias("events"), since(24), since(168))
+    waiting = F.min(F.when(F.col("status") == "pending", F.col("available_at")))
+    j = A.jobs(spark, sf_dir).agg(
+        F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "dead_letter").alias("dead"), U.age_seconds(waiting, F.expr("timestamp_ntz'2002-01-01 00:00:00'")).alias("oldest")
+    )
+    found = U.issues((F.col("pending") > 80, "backlog"), (F.col("dead") > 0, "dead_letters"), (F.col("oldest") > 3600, "old_jobs"), (F.col("events_24h") > 5000, "ingress"))
+    return e.crossJoin(j).withColumn("issues", F.array_join(found, ","))  # a row each
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS events FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 24")
+def hourly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm").alias("hour")
+    return A.events(spark, sf_dir).groupBy(h).agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("hour")).limit(24)
+
+
+@query("SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value FROM events GROUP BY event_type")
+def event_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT >= 90 AND props->>'$.missing' IS NULL")
+def events_json_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return A.events(spark, sf_dir).filter((k >= 90) & F.get_json_object("props", "$.missing").isNull()).select("event_id", k.alias("k"))
+
+
+@query("""SELECT event_id, '{"k":"' || (props->>'$.k') || '","source":"' || event_type || '"}' AS props FROM events WHERE user_id < 20""")
+def json_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("source"), F.col("event_type")))
+    return A.events(spark, sf_dir).filter("user_id < 20").select("event_id", F.to_json(m).alias("props"))
+
+
+@query("WITH k AS (SELECT doc_id, source, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents) SELECT doc_id, source, copies FROM k WHERE copies > 1")
+def duplicate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h"))
+    return U.duplicates(d, "h").select("doc_id", "source", "copies")
+
+
+@query("WITH " + SESSIONS + ", s AS (SELECT project, count(*) AS sessions, sum(total_tokens)::BIGINT AS tokens FROM sessions GROUP BY 1), m AS (SELECT session_id % 7 AS project, count(*) AS messages FROM messages GROUP BY 1), l AS (SELECT l_suppkey % 7 AS project, count(*) AS relations FROM lineitem GROUP BY 1) SELECT project, sessions, tokens, messages, relations FROM s JOIN m USING (project) JOIN l USING (project) ORDER BY messages DESC, project LIMIT 5")
+def shared_project_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.sessions(spark, sf_dir).groupBy("project").agg(F.count(F.lit(1)).alias("sessions"), F.sum("total_tokens").alias("tokens"), F.sum("message_count").alias("messages"))
+    r = A.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("project")).agg(F.count(F.lit(1)).alias("relations"))
+    return s.join(r, "project").orderBy(F.desc("messages"), "project").limit(5)
+
+
+@query("WITH n AS (SELECT max(ts) AS as_of FROM events), t AS (SELECT user_id, max(ts) AS last_seen, min(ts) AS first_seen, count(*) AS events FROM events GROUP BY 1) SELECT user_id, events, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen, last_seen >= as_of - INTERVAL 600 MINUTES AS online, coalesce(orders, 0) AS sessions FROM t CROSS JOIN n LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON o_custkey = user_id")
+def terminal_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = A.events(spark, sf_dir)
+    now = e.agg(F.max("ts").alias("as_of"))  # one row
+    t = e.groupBy("user_id").agg(F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("events")).crossJoin(F.broadcast(now))
+    s = A.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("sessions"))
+    online = F.col("last_seen") >= F.col("as_of") - F.expr("INTERVAL 600 MINUTES")
+    return t.join(s, "user_id", "left").select("user_id", "events", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), online.alias("online"), F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
+@query("WITH o AS (SELECT source AS id, list(doc_id) AS atoms FROM documents GROUP BY source) SELECT id, len(atoms)::BIGINT AS proofs FROM o WHERE EXISTS (SELECT 1 FROM documents d WHERE list_contains(o.atoms, d.doc_id) AND d.lang = 'fr')")
+def observations_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents")
+    o = d.groupBy(F.col("source").alias("id")).agg(F.collect_list("doc_id").alias("atoms"))
+    hit = o.select("id", F.explode("atoms").alias("doc_id")).join(d.filter("lang = 'fr'"), "doc_id", "left_semi").select("id").distinct()
+    return o.join(hit, "id", "left_semi").select("id", F.size("atoms").cast("long").alias("proofs"))
+
+
+@query("SELECT o_orderkey AS id, c_custkey IS NOT NULL AS can_share FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
+def session_share_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("can_share"))
+    return A.table(spark, sf_dir, "orders").join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("can_share", F.lit(False)).alias("can_share"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 90 DAYS THEN '[PRUNED]' ELSE o_orderpriority END AS content, o_orderdate < TIMESTAMP '1996-01-01' - INTERVAL 90 DAYS AS archived FROM orders")
+def retention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.col("o_orderdate") < F.expr("timestamp_ntz'1996-01-01 00:00:00' - INTERVAL 90 DAYS")
+    return A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(old, "[PRUNED]").otherwise(F.col("o_orderpriority")).alias("content"), old.alias("archived"))
+
+
+@query("SELECT c_custkey AS id, count(o_orderkey) AS messages FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '2000-06-01' - INTERVAL 30 DAYS")
+def auto_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = A.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("messages"), F.max("o_orderdate").alias("last"))
+    all_ = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(o, "id", "left")
+    idle = F.col("last").isNull() | (F.col("last") < F.expr("timestamp_ntz'2000-06-01 00:00:00' - INTERVAL 30 DAYS"))
+    return all_.filter(idle).select("id", F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+@query("WITH " + SESSIONS + " SELECT m.id, visibility FROM messages m JOIN sessions s ON s.id = m.session_id WHERE visibility IN ('team', 'public')")
+def visibility_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = A.sessions(spark, sf_dir).filter(F.col("visibility").isin("team", "public")).select(F.col("id").alias("session_id"), "visibility")
+    return A.messages(spark, sf_dir).join(s, "session_id").select("id", "visibility")
+
+
+@query("WITH c AS (SELECT length(text) AS n FROM documents), b AS (SELECT *, CASE WHEN n >= 10000 THEN '10000+' WHEN n >= 5000 THEN '5000-9999' WHEN n >= 1000 THEN '1000-4999' WHEN n >= 200 THEN '200-999' ELSE '0-199' END AS bin FROM c) SELECT bin, count(*) AS texts, round(avg(n), 4) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, max(n)::BIGINT AS longest FROM b GROUP BY bin")
+def length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    bin_ = F.when(n >= 10000, "10000+").when(n >= 5000, "5000-9999").when(n >= 1000, "1000-4999").when(n >= 200, "200-999").otherwise("0-199")
+    b = A.table(spark, sf_dir, "documents").select(bin_.alias("bin"), n.cast("long").alias("n"))
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg("n"), 4).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("longest"))
+
+
+@query("SELECT lang, count(*) FILTER (WHERE length(text) <= 500) AS le_500, count(*) FILTER (WHERE length(text) <= 2000) AS le_2000, count(*) FILTER (WHERE length(text) <= 8000) AS le_8000, count(*) AS n, sum(length(text))::BIGINT AS total FROM documents GROUP BY lang")
+def histogram_le(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.histogram(A.table(spark, sf_dir, "documents").withColumn("len", F.length("text")), "len", [500, 2000, 8000], "lang")
+
+
+@query("WITH c AS (SELECT CASE WHEN coalesce(quality::DOUBLE, 0.8) >= 0.9 THEN 'high' WHEN coalesce(quality::DOUBLE, 0.8) >= 0.7 THEN 'medium' ELSE 'low' END AS band FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT band, count(*) AS n FROM c GROUP BY band")
+def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    band = F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").otherwise("low")
+    return A.atoms(spark, sf_dir).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, count(*) AS texts, count(quality) AS labelled, round(count(quality)::DOUBLE / greatest(count(*), 1) * 100, 2) AS coverage, count(quality)::DOUBLE / greatest(count(*), 1) < 0.8 AS low FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+def coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "labels"), "doc_id", "left")
+    g = d.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.count("quality").alias("labelled"))
+    return g.withColumn("coverage", U.coverage(F.col("labelled"), F.col("texts"))).withColumn("low", F.col("labelled") / F.greatest("texts", F.lit(1)) < 0.8)
+
+
+SEVERITY_SQL = "WITH g AS (SELECT event_type AS name, count(*) FILTER (WHERE value > 50) AS big FROM events GROUP BY 1), s AS (SELECT name, CASE WHEN big > 500 THEN 2 WHEN big > 50 THEN 1 ELSE 0 END AS r FROM g WHERE name <> 'view') SELECT ['ok', 'warning', 'critical'][max(r) + 1] AS severity FROM s"
+
+
+@query(SEVERITY_SQL)
+def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count_if(F.col("value") > 50).alias("big"))
+    return U.severity(g.withColumn("severity", F.when(F.col("big") > 500, "critical").when(F.col("big") > 50, "warning").otherwise("ok")), ["view"])
+
+
+@query("WITH b AS (SELECT event_type, date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, min((n > 60)::INTEGER) OVER f AS held, count(*) OVER f AS c FROM b WINDOW f AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT event_type, strftime(bucket, '%Y-%m-%d') AS bucket, n FROM w WHERE held = 1 AND c = 3")
+def alert_for_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = A.events(spark, sf_dir).groupBy("event_type", F.date_trunc("day", "ts").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return U.lasting(b, F.col("n") > 60, 3, "event_type").select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "n")
+
+
+@query("WITH b AS (SELECT event_type, date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, strftime(bucket, '%Y-%m-%d') AS bucket, n - lag(n) OVER w AS increase, round(avg(n) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rate FROM b WINDOW w AS (PARTITION BY event_type ORDER BY bucket)")
+def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = A.events(spark, sf_dir).groupBy("event_type", F.date_trunc("day", "ts").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("event_type").orderBy("bucket")
+    return b.select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), (F.col("n") - F.lag("n").over(w)).alias("increase"), F.round(F.avg("n").over(w.rowsBetween(-6, 0)), 4).alias("rate"))
+
+
+@query("WITH s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events) SELECT user_id, event_id, after, event_id - after - 1 AS missing FROM s WHERE event_id - after - 1 > 300")
+def seq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.gaps(A.events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id").filter("missing > 300")
+
+
+@query("WITH s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC)::INTEGER AS place FROM events) SELECT * FROM s WHERE place <= 8")
+def trend_last_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.last_of_each(A.events(spark, sf_dir).select("event_type", "event_id"), "event_type", "event_id", 8)
+
+
+STATS = ("orders", "events", "documents", "part", "supplier")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS label, count(*) AS n FROM {t}" for t in STATS))
+def stats_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for t in STATS:
+        one = A.table(spark, sf_dir, t).agg(F.lit(t).alias("label"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS message, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10")
+def op_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = A.table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(10)
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("message"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("WITH " + JOBS + ", " + MESSAGES + """, j AS (SELECT count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'dead_letter') AS dead FROM jobs), m AS (SELECT count(*) AS messages, max_by(role, created_at) AS state FROM messages)
+    SELECT pending, dead, messages, state, array_to_string(list_filter([CASE WHEN pending > 500 THEN 'add_workers' END, CASE WHEN dead > 100 THEN 'requeue' END, CASE WHEN messages > 100000 THEN 'archive' END], lambda x: x IS NOT NULL), ',') AS advice FROM j, m""")
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = A.jobs(spark, sf_dir).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "dead_letter").alias("dead"))
+    m = A.messages(spark, sf_dir).agg(F.count(F.lit(1)).alias("messages"), F.max_by("role", "created_at").alias("state"))
+    advice = U.issues((F.col("pending") > 500, "add_workers"), (F.col("dead") > 100, "requeue"), (F.col("messages") > 100_000, "archive"))
+    return j.crossJoin(m).withColumn("advice", F.array_join(advice, ","))  # a row each
+
+
+@query("SELECT user_id, max_by(event_type, ts) AS state, count(*) FILTER (WHERE event_type = 'purchase') > 0 AS consumed, (epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)))::BIGINT // 3600 AS age_hours FROM events GROUP BY user_id")
+def continuation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.max("ts")
+    exact = F.floor((F.unix_micros(F.expr("timestamp_ntz'2024-02-01 00:00:00'").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 3_600_000_000).cast("long")
+    return A.events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"), (F.count_if(F.col("event_type") == "purchase") > 0).alias("consumed"), exact.alias("age_hours"))

@@ -1 +1,64 @@
-"""Queries."""
+"""Queries of sources, sinks and plain relational steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import adapters as A
+from ..sources import files
+from .registry import ATOMS, MESSAGES, SESSIONS, query
+
+
+@query("SELECT o_orderkey % 8 AS shard, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders GROUP BY 1")
+def sharded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 8).alias("shard"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 100")
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.page_after(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 5000, 100)
+
+
+@query("WITH " + SESSIONS + """ SELECT session_id, '{"session_id":' || session_id || ',"messages":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '","tokens":' || tokens || '}', ',' ORDER BY turn) || ']}' AS bundle FROM messages GROUP BY session_id""")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = A.messages(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "tokens"))).alias("messages"))
+    return m.select("session_id", F.to_json(F.struct("session_id", "messages")).alias("bundle"))
+
+
+@query("WITH " + ATOMS + " SELECT user_id, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS atoms, md5(string_agg(id::VARCHAR, ',' ORDER BY created_at, id)) AS ids_md5 FROM atoms GROUP BY 1, 2")
+def daily_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.atoms(spark, sf_dir).groupBy("user_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id"))), lambda x: x["id"].cast("string"))
+    return g.agg(F.count(F.lit(1)).alias("atoms"), F.md5(F.array_join(ids, ",")).alias("ids_md5"))
+
+
+@query("WITH " + MESSAGES + " SELECT session_id, array_to_string(list_reverse(list_sort(list(id)))[1:2], ',') AS newest FROM messages GROUP BY 1")
+def recent_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = A.messages(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list("id"), False).alias("ids"))
+    return g.select("session_id", F.array_join(F.slice("ids", 1, 2), ",").alias("newest"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS value FROM orders WHERE starts_with(o_orderkey::VARCHAR, '12')")
+def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.table(spark, sf_dir, "orders").filter(F.col("o_orderkey").cast("string").startswith("12")).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("value"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events")
+def guarded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.table_or_none(spark, f"{sf_dir}/events.parquet")
+    return (found if found is not None else A.events(spark, sf_dir).limit(0)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct()
+    return c.join(A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), "nation", "left_anti")
+
+
+@query("SELECT o_orderkey AS id, coalesce(n, 0) AS lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey < 2000")
+def scalar_subquery_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = A.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    o = A.table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
+    return o.join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("n", F.lit(0)).alias("lines"))

@@ -1 +1,65 @@
-"""Queries."""
+"""Streaming queries, run over what a folder holds and then read as tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..streaming import flows
+from .registry import query
+
+
+def _shared(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams").rstrip("/")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.event_stream(spark, f"{sf_dir}/events*.parquet")
+
+
+def _run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
+    """Written as Parquet in the shared folder in append mode; complete results are small and stay in memory."""
+    name = f"stream_{uuid.uuid4().hex}"
+    if mode == "complete":
+        return flows.caught_up(result, spark, name, mode, f"{_shared(spark)}/{name}")
+    path = f"{_shared(spark)}/{name}-out"
+    result.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{_shared(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(path)
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(spark, flows.hourly(_events(spark, sf_dir)), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "events", F.round("value", 4).alias("value"))
+
+
+@query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS beats FROM s GROUP BY user_id, n""")
+def stream_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(spark, flows.online_spans(_events(spark, sf_dir)), "complete")
+    return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "beats")
+
+
+@query("SELECT count(DISTINCT event_id) AS events, count(DISTINCT user_id) AS users FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    out = _run(spark, flows.once(e.unionByName(e), "event_id").select("event_id", "user_id"), "append")
+    return out.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, flows.numbered(_events(spark, sf_dir)), "append")
+
+
+@query("SELECT user_id, unnest(range(20, count(*) + 1, 20)) AS count FROM events GROUP BY user_id")
+def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, flows.every_n(_events(spark, sf_dir), 20), "append")
+
+
+@query()
+def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, flows.circuit(_events(spark, sf_dir)), "append").groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
