@@ -84,9 +84,9 @@ def noise_name(name: Column) -> Column:
     return name.isNull() | (name == "") | listed | ~name.rlike("[a-zA-Z一-鿿]") | (F.length(name) <= 2)
 
 
-def bad_name(name: Column) -> Column:
-    """Names that an extraction must not give: meta words, parts of them, mostly digits, too short."""
-    parts = any_of([F.lower(name).contains(p) for p in W.BAD_NAME_PARTS])
+def bad_name(name: Column, own: tuple[str, ...] = ()) -> Column:
+    """Names that an extraction must not give: meta words, parts of them, the product's `own` names, mostly digits, too short."""
+    parts = any_of([F.lower(name).contains(p) for p in (*W.BAD_NAME_PARTS, *own)])
     digits = F.length(F.regexp_replace(name, "[^0-9]", "")) > F.lit(0.3) * F.length(name)
     return name.rlike(W.BAD_NAME) | parts | digits | (F.length(name) < 2)
 

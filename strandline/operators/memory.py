@@ -40,11 +40,11 @@ def kg_flag(role: Column, text: Column, asked: Column | None = None) -> Column:
     return F.when(skip, "skipped_requested").when((F.length(text) >= 50) & role.isin("user", "assistant"), "pending").otherwise("skipped_short")
 
 
-def identity(role: Column, source: Column, original: Column, opencode: Column, digest: Column, event: Column) -> Column:
-    """The key that makes an automatic message insert idempotent; null where it has none."""
+def identity(role: Column, source: Column, original: Column, client_id: Column, digest: Column, event: Column, automatic: str = "auto-ingest") -> Column:
+    """The key that makes an automatic message insert idempotent; null where it has none. `automatic`: the source that needs no original id."""
     own = F.when(source.isNotNull() & original.isNotNull(), F.concat_ws("|", F.lit("o"), source, original))
-    auto = (source == "session-memory-auto") & (event == "message.updated") & opencode.isNotNull() & digest.isNotNull()
-    return F.when(role.isin("user", "assistant"), F.coalesce(own, F.when(auto, F.concat_ws("|", F.lit("a"), opencode, digest))))
+    auto = (source == automatic) & (event == "message.updated") & client_id.isNotNull() & digest.isNotNull()
+    return F.when(role.isin("user", "assistant"), F.coalesce(own, F.when(auto, F.concat_ws("|", F.lit("a"), client_id, digest))))
 
 
 def trigger(message_count: Column, atom_count: Column, every: int = 5) -> Column:

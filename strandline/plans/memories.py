@@ -147,7 +147,7 @@ def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, none = A.messages(spark, sf_dir), F.lit(None).cast("string")
     k = F.col("id") % 3
-    source = F.when(k == 0, "web").when(k == 1, "session-memory-auto").otherwise(none)
+    source = F.when(k == 0, "web").when(k == 1, "auto-ingest").otherwise(none)
     original = F.when(k == 0, F.col("session_id").cast("string"))
     auto = F.when(k == 1, F.floor(F.col("id") / 2).cast("string"))
     key = M.identity(F.col("role"), source, original, auto, F.md5("content"), F.lit("message.updated"))
