@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -22,10 +24,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go, written
+from .sampling import most_frequent
+
 #: Longest word in the automaton, in bytes; longer ones are merged.
 LONGEST = 40
-#: Fixed value: a word of this tokenizer family, in lower-case text.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: Fixed value: a word of this tokenizer family, in lower-case text. Letters come first, as nothing else begins with one.
+WORD = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: The same for texts of Latin letters, up to U+024F, which most are; Python's own engine is faster on it.
+LATIN_WORD = r"[a-zªµºß-öø-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ɏ0-9²³¹¼-¾\t-\r \x85\xa0]+"
 
 
 class Merger:
@@ -42,7 +49,8 @@ class Merger:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
-        self.is_word = regex.compile(WORD).findall
+        self.any_words, self.latin_words = regex.compile(WORD).findall, re.compile(LATIN_WORD).findall
+        self.beyond_latin = re.compile("[ɐ-\U0010ffff\u00c0-\u00d6\u00d8-\u00deA-Z]").search
         self.parts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda t: [t]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -57,7 +65,8 @@ class Merger:
             elif part:
                 part = unicodedata.normalize("NFC", part)
                 # Lower case letter by letter: a sigma at the end of a word is like others.
-                found += self.is_word("".join(map(str.lower, part)) if "Σ" in part else part.lower())
+                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
+                found += self.any_words(part) if self.beyond_latin(part) else self.latin_words(part)
         return found
 
     def merged(self, word: str) -> list[int]:
@@ -66,23 +75,19 @@ class Merger:
             return [self.special[word]]
         symbols = [self.char_of[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += self.end
-        if (whole := self.vocab.get("".join(symbols))) is not None and len(symbols) == 1:
-            return [whole]
-        ranks, far = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            scores = [ranks.get(pair, far) for pair in zip(symbols, symbols[1:], strict=False)]
+        known, far = self.ranks.get, len(self.ranks)
+        scores = [known(pair, far) for pair in zip(symbols, symbols[1:], strict=False)]
+        while scores:
             least = min(scores)
             if least == far:
                 break
-            joined, i, n = [], 0, len(symbols)
-            while i < n:
-                if i < n - 1 and scores[i] == least:
-                    joined.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    joined.append(symbols[i])
-                    i += 1
-            symbols = joined
+            i = scores.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = known((symbols[i - 1], symbols[i]), far)
+            if i < len(scores):
+                scores[i] = known((symbols[i], symbols[i + 1]), far)
         return [self.vocab[s] for s in symbols if s in self.vocab]
 
     def decoded(self, ids: list[int]) -> str:
@@ -228,7 +233,7 @@ def lexicon(name: str) -> Lexicon:
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[str]:
-    """The `most` most frequent words of all documents, ties by the word. Every word of every text is counted."""
+    """The most frequent words of all documents, `most` or, because of ties, fewer. Every word of every text is counted."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = merger(tokenizer).words
@@ -247,22 +252,28 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[str]:
                     yield out()
         yield out()
 
-    totals = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    short = totals.filter(F.octet_length("word") <= LONGEST)
-    return [r["word"] for r in short.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]  # `most` rows
+    counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    totals = written(counts.filter(F.octet_length("word") <= LONGEST), "words")
+    found = [r["word"] for r in most_frequent(totals, most).select("word").collect()]  # `most` rows or fewer
+    let_go(totals)
+    return found
 
 
 def compiled_lexicon(docs: DataFrame, tokenizer: str, most: int) -> str:
     """Compiles the frequent words of `docs` and hands the file to all executors; returns its name there."""
     m = merger(tokenizer)
     words = sorted(frequent_words(docs, tokenizer, most))
-    name = f"lexicon-{sha256(chr(10).join([tokenizer, *words]).encode()).hexdigest()[:16]}.fst"
+    name = f"lexicon-{uuid.uuid4().hex}.fst"
     path = os.path.join(tempfile.mkdtemp(), name)
     Lexicon.save(path, words, [m.merged(w) for w in words])
     docs.sparkSession.sparkContext.addFile(path)
     return name
 
 
+#: Words that this Python worker has merged, by tokenizer; its next tasks need many of them again.
+_UNSEEN: dict[str, dict[str, tuple[str, str, int]]] = {}
+
+
 def encoded(docs: DataFrame, tokenizer: str, most: int = 60_000, whole: bool = True) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text; with `whole`, also ids and decoded.
 
@@ -277,7 +288,7 @@ def encoded(docs: DataFrame, tokenizer: str, most: int = 60_000, whole: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lex = merger(tokenizer), lexicon(name)
         numbered: dict[int, tuple[str, str, int]] = {}  # at most one entry for each word of the lexicon
-        unseen: dict[str, tuple[str, str, int]] = {}
+        unseen = _UNSEEN.setdefault(tokenizer, {})
 
         def shown(ids: list[int]) -> tuple[str, str, int]:
             return " ".join(map(str, ids)), m.decoded(ids), len(ids)
@@ -294,15 +305,16 @@ def encoded(docs: DataFrame, tokenizer: str, most: int = 60_000, whole: bool = T
                         if (form := numbered.get(n)) is None:
                             form = numbered[n] = shown(lex.ids_of(n))
                     elif (form := unseen.get(word)) is None:
-                        if len(unseen) >= 200_000:
+                        if len(unseen) >= 300_000:
                             unseen.clear()
                         form = unseen[word] = shown(m.merged(word))
                     forms.append(form)
                 rows = []
                 for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
                     mine = [forms[i] for i in text]
-                    ids, decoded = " ".join([f[0] for f in mine if f[2]]), " ".join([f[1] for f in mine if f[2]])
-                    row = (doc_id, sum([f[2] for f in mine]), sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
+                    shown_ids, shown_tokens, counts = zip(*mine, strict=True) if mine else ((), (), ())
+                    ids, decoded = " ".join(shown_ids), " ".join(shown_tokens)
+                    row = (doc_id, sum(counts), sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
                     rows.append((*row, [int(x) for x in ids.split()], decoded) if whole else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

@@ -103,3 +103,40 @@ def test_pipeline_equals_brute_force(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == {i: len(x) for i, x in ids.items()}
     assert test_suffix_dedup.brute(["a"], 200)[0][1] == 0
+
+
+def test_bounded_samples(spark):
+    from strandline.llm.sampling import least_hashed, most_frequent
+
+    rows = spark.range(5000).withColumn("word", F.col("id").cast("string")).withColumn("n", F.floor(5000 / (F.col("id") + 1)).cast("long"))
+    some = [r.id for r in least_hashed(rows, 100, "id").collect()]
+    assert len(some) == 100 and some == [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert least_hashed(rows, 9000, "id").count() == 5000
+    for most in (0, 1, 10, 71, 3000, 5000, 9000):
+        got = [r.n for r in most_frequent(rows, most).collect()]
+        every = sorted((r.n for r in rows.collect()), reverse=True)
+        bound = every[most] if most < len(every) else -1
+        assert sorted(got, reverse=True) == [n for n in every if n > bound]
+    big = rows.withColumn("n", F.col("n") * 10_000)
+    assert 0 < most_frequent(big, 100).count() <= 100
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline
+
+    long = "the quick brown fox of the hill and a dog " + " ".join(f"word{i} of the" for i in range(20_000))
+    good = "It is the case that one of us went to the shore and saw " + " ".join(f"thing{i} in the" for i in range(40))
+    rows = [(None, good + " x", None, None, None), (1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, None, None, "a", 2), (3, "", "en", None, 0), (4, long, "en", "a", 9), (None, None, None, None, None)]
+    names = "_pii string, _id long, _digest string, quality string, _bytes string, bands string"
+    docs = spark.createDataFrame([(*r, "p", 1, "d", "q", "b", "c") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    for table in (docs, docs.limit(0)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, "")
+            n = out.count()
+            assert n if table is docs else not n
+            assert i == len(corpus_pipeline.STAGES) - 1 or out.columns == corpus_pipeline.COLUMNS
+    left = corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id is None, r.text or "") for r in left) == sorted([(True, good + " x"), (False, long), (True, "")])
+    assert corpus_pipeline.feistel_pii(spark, docs, "").count() == 7
+    kept = pii.pseudonymise(docs, "k").columns
+    assert kept[:11] == docs.columns and kept[-1] == "pii"

@@ -73,12 +73,27 @@ def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     a, b, c = (rng.integers(0, 2**63, 300, dtype="uint64") for _ in range(3))
     for share, want in ((300, 300 / 900), (50, 50 / 650)):
-        x, y = np.concatenate((a[:share], b)), np.concatenate((a[:share], c))
-        same = np.mean(nd.dart_signature(x, coordinates=2000) == nd.dart_signature(y, coordinates=2000))
-        assert abs(same - want) < 0.04
+        x, y = nd.dart_signatures([np.concatenate((a[:share], b)), np.concatenate((a[:share], c))], coordinates=2000)
+        assert abs(np.mean(x == y) - want) < 0.04
     wx, wy = rng.uniform(0.1, 3, 300), rng.uniform(0.1, 3, 300)
     want = np.minimum(wx, wy).sum() / np.maximum(wx, wy).sum()
-    same = np.mean(nd.dart_signature(a, wx, 3000) == nd.dart_signature(a, wy, 3000))
-    assert abs(same - want) < 0.04
-    assert (nd.dart_signature(a) == nd.dart_signature(a, np.ones(300))).all()
-    assert len(nd.dart_signature(a[:0])) == 0 and len(set(nd.dart_signature(a[:1]).tolist())) == nd.COORDINATES
+    x, y = nd.dart_signatures([a, a], [wx, wy], 3000)
+    assert abs(np.mean(x == y) - want) < 0.04
+    one, two, none, single = nd.dart_signatures([a, b[:40], a[:0], a[:1]])
+    assert (nd.dart_signatures([a], [np.ones(300)])[0] == one).all() and (nd.dart_signatures([b[:40]])[0] == two).all()
+    assert len(none) == 0 and len(set(single.tolist())) == nd.COORDINATES
+
+
+def test_bounds_never_exclude_a_link():
+    rng = np.random.default_rng(3)
+    leader = np.unique(rng.integers(0, 2**32, 400, dtype="u4"))
+    copies = []
+    for _ in range(40):
+        kept = leader[rng.random(len(leader)) > rng.uniform(0, 0.3)]
+        copies.append(np.unique(np.concatenate((kept, rng.integers(0, 2**32, rng.integers(0, 60), dtype="u4")))))
+    told = [nd.compared_sets(leader.tobytes(), c.tobytes()) for c in copies]
+    for c, (like, lacks) in zip(copies, told, strict=True):
+        assert abs(like - len(np.intersect1d(leader, c)) / len(np.union1d(leader, c))) < 1e-12
+        for d, (_, other) in zip(copies, told, strict=True):
+            groups = sum((x | y).bit_count() if x | y >= 0 else ((x | y) & (2**64 - 1)).bit_count() for x, y in zip(lacks, other, strict=True))
+            assert len(leader) - groups >= len(np.intersect1d(np.intersect1d(c, d), leader))

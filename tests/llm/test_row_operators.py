@@ -171,6 +171,12 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edit_fingerprints(docs.filter("doc_id = 7")).first().near_next == 1.0
 
 
+def test_parts_by_cuts(spark):
+    for cuts in ([5], [9, 5, -3], list(range(100, 0, -7))):
+        rows = spark.range(-5, 120).select("id", fingerprints._above(cuts, F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(c > r.id for c in cuts) for r in rows)
+
+
 def test_fingerprint_locates_edits():
     a = "One. Two. Three.\nFour. Five.\n\nSix."
     b = a.replace("Five", "V")
