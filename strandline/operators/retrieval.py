@@ -101,7 +101,9 @@ def entity_score(text: Column, name: Column) -> Column:
 
 def entity_expansion(docs: DataFrame, names: list[str], each: int, total: int) -> DataFrame:
     """For each name in turn the newest texts that hold it, none twice, `total` in all. docs: id, content, created_at."""
-    hits = docs.select("id", "content", "created_at", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("name_index", "name")).filter(F.contains(F.lower("content"), F.lower("name")))
+    every = F.array(*[F.struct(F.lit(i).alias("name_index"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+    held = F.filter(every, lambda x: F.contains(F.lower("content"), F.lower(x["name"])))
+    hits = docs.select("id", "content", "created_at", F.inline(held))
     order = Window.partitionBy("name_index").orderBy(F.desc("created_at"), F.asc("id"))
     newest = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
     once = newest.groupBy("id").agg(F.min_by(F.struct("name_index", "place", "name", "content"), F.struct("name_index", "place")).alias("x"))
