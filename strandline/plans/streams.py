@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import flows
-from .registry import query
+from .registry import RELATIONS, query
 
 
 def _shared(spark: SparkSession) -> str:
@@ -63,3 +63,24 @@ def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, flows.circuit(_events(spark, sf_dir)), "append").groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + RELATIONS + """, n AS (SELECT *, lead(relation_type) OVER w AS nt, lead(valid_at) OVER w AS nv FROM relations WINDOW w AS (PARTITION BY source, target ORDER BY valid_at, id)), m AS (SELECT *, CASE WHEN nt <> relation_type THEN nv END AS ends FROM n),
+    e AS (SELECT id, min(ends) OVER (PARTITION BY source, target ORDER BY valid_at, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS invalid_at FROM m)
+    SELECT id, strftime(invalid_at, '%Y-%m-%d') AS invalid_at FROM e WHERE invalid_at IS NOT NULL""")
+def stream_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz"
+    raw = spark.readStream.schema(lines).parquet(f"{sf_dir}/lineitem*.parquet")
+    kind = F.when(F.col("l_returnflag") == "A", "leads_to").when(F.col("l_returnflag") == "N", "part_of").otherwise("mentions")
+    relations = raw.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("source"), (F.col("l_suppkey") + 1_000_000).alias("target"),
+        kind.alias("relation_type"), F.col("l_shipdate").cast("timestamp").alias("valid_at"),
+    )
+    out = _run(spark, flows.closings(relations), "append")
+    return out.select("id", F.date_format("invalid_at", "yyyy-MM-dd").alias("invalid_at"))
+
+
+@query("SELECT user_id, array_to_string(list_reverse(list_sort(list(event_id)))[1:5], ',') AS newest FROM events GROUP BY user_id")
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _run(spark, flows.recent(_events(spark, sf_dir), 5), "append")
+    return out.select("user_id", F.array_join("event_ids", ",").alias("newest"))

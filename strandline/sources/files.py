@@ -53,6 +53,13 @@ def write_by_day(rows: DataFrame, path: str, at: str, *more: str) -> None:
     rows.withColumn("day", F.date_format(at, "yyyy-MM-dd")).write.mode("overwrite").partitionBy(*more, "day").json(path)
 
 
+def write_markdown(rows: DataFrame, path: str, title: str, body: str, at: str, *more: str) -> None:
+    """A Markdown section a row, as text in a folder for each day, and for each value of `more` above it."""
+    section = F.concat(F.lit("## "), F.coalesce(F.col(title).cast("string"), F.lit("untitled")), F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")), F.lit("\n"))
+    dated = rows.select(section.alias("value"), F.date_format(at, "yyyy-MM-dd").alias("day"), *more)
+    dated.write.mode("overwrite").partitionBy(*more, "day").text(path)
+
+
 def orphan_files(spark: SparkSession, folder: str, known: DataFrame, suffix: str = ".md") -> DataFrame:
     """Files whose name, without suffix, is no id in `known`."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")

@@ -59,6 +59,42 @@ def every_n(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
     return events.select(key, "event_id").groupBy(key).applyInPandasWithState(run, f"{key} long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def recent(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
+    """A key's last n event ids, newest first, whenever it has new ones; its state is those ids."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        now = [*reversed(rows["event_id"].tolist()), *old][:n]
+        state.update((now,))
+        yield pd.DataFrame({key: [k[0]], "event_ids": [now]})
+
+    grouped = events.select(key, "event_id", "ts").groupBy(key)
+    return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def closings(relations: DataFrame) -> DataFrame:
+    """Closes open relations between two entities when one of another type begins: id and invalid_at of those that close.
+
+    relations: id, source, target, relation_type, valid_at (timestamp). The state is a pair's open relations.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kind, ids = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        closed = []
+        for r in pd.concat(list(batches)).sort_values(["valid_at", "id"]).itertuples():
+            if kind is not None and r.relation_type != kind:
+                closed += [(i, r.valid_at) for i in ids]
+                ids = []
+            kind = r.relation_type
+            ids.append(r.id)
+        state.update((kind, ids))
+        yield pd.DataFrame(closed, columns=["id", "invalid_at"])
+
+    grouped = relations.select("id", "source", "target", "relation_type", "valid_at").groupBy("source", "target")
+    return grouped.applyInPandasWithState(run, "id long, invalid_at timestamp", "kind string, ids array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def circuit(events: DataFrame, failures: int = 3, pause_seconds: int = 300) -> DataFrame:
     """Opens a route's circuit after so many failures in a row: event_id, user_id and whether it was let through."""
 
