@@ -73,26 +73,32 @@ def recent(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
     return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def closings(relations: DataFrame) -> DataFrame:
+def closings(relations: DataFrame, buckets: int = 64) -> DataFrame:
     """Closes open relations between two entities when one of another type begins: id and invalid_at of those that close.
 
-    relations: id, source, target, relation_type, valid_at (timestamp). The state is a pair's open relations.
+    relations: id, source, target, relation_type, valid_at (timestamp). Pairs are dealt into buckets, whose state is
+    their open relations, so a batch is sorted once a bucket and not once a pair.
     """
+    names = ["source", "target", "relation_type", "id"]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kind, ids = (state.get[0], list(state.get[1])) if state.exists else (None, [])
-        closed = []
-        for r in pd.concat(list(batches)).sort_values(["valid_at", "id"]).itertuples():
-            if kind is not None and r.relation_type != kind:
-                closed += [(i, r.valid_at) for i in ids]
-                ids = []
-            kind = r.relation_type
-            ids.append(r.id)
-        state.update((kind, ids))
-        yield pd.DataFrame(closed, columns=["id", "invalid_at"])
-
-    grouped = relations.select("id", "source", "target", "relation_type", "valid_at").groupBy("source", "target")
-    return grouped.applyInPandasWithState(run, "id long, invalid_at timestamp", "kind string, ids array<long>", "append", GroupStateTimeout.NoTimeout)
+        new = pd.concat(list(batches)).sort_values(["valid_at", "id"])
+        old = pd.DataFrame(dict(zip(names, map(list, state.get), strict=True))) if state.exists else new[names].iloc[:0]
+        rows = pd.concat([old.assign(valid_at=pd.NaT), new], ignore_index=True).sort_values(["source", "target"], kind="stable", ignore_index=True)
+        pair = (rows[["source", "target"]] != rows[["source", "target"]].shift()).any(axis=1)
+        begins = pair | (rows["relation_type"] != rows["relation_type"].shift())
+        first = begins.to_numpy().nonzero()[0]
+        spell = begins.cumsum() - 1
+        # A spell of one type ends where the pair's next one begins.
+        ends = rows["valid_at"].iloc[first].shift(-1).where(~pair.iloc[first].shift(-1, fill_value=True)).reset_index(drop=True)
+        at = ends.reindex(spell).reset_index(drop=True)
+        left = rows[at.isna()]
+        state.update(tuple(left[n].tolist() for n in names))
+        yield pd.DataFrame({"id": rows["id"][at.notna()].astype("int64"), "invalid_at": at[at.notna()]})
+
+    dealt = relations.select(F.pmod(F.xxhash64("source", "target"), F.lit(buckets)).alias("bucket"), "id", "source", "target", "relation_type", "valid_at")
+    kinds = "sources array<long>, targets array<long>, kinds array<string>, ids array<long>"
+    return dealt.groupBy("bucket").applyInPandasWithState(run, "id long, invalid_at timestamp", kinds, "append", GroupStateTimeout.NoTimeout)
 
 
 def circuit(events: DataFrame, failures: int = 3, pause_seconds: int = 300) -> DataFrame:
