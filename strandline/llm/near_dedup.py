@@ -17,7 +17,6 @@ with the least likeness that counts all but one in ten thousand do.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import let_go, utf8, written
+from .common import let_go, unused, utf8, written
 
 WORDS = 5
 LIKENESS = 0.8
@@ -41,9 +40,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=300_000)
-def _word(word: bytes) -> int:
-    return xxh3_64_intdigest(word)
+class _Words(dict):
+    """Hashes of words, at most 100,000 at a time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        h = self[word] = xxh3_64_intdigest(word)
+        return h
+
+
+_WORDS = _Words()
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -51,7 +58,7 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     found = text.split()
     if not found:
         return np.zeros(0, dtype="uint64")
-    h = np.array([_word(w) for w in found], dtype="uint64")
+    h = np.array([*map(_WORDS.__getitem__, found)], dtype="uint64")
     n = max(len(h) - words + 1, 1)
     out = np.zeros(n, dtype="uint64")
     with np.errstate(over="ignore"):
@@ -60,45 +67,53 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray | None = None, coordinates: int = COORDINATES) -> np.ndarray:
-    """For each coordinate the earliest dart's hash. `elements`: distinct uint64 hashes; `weights`: above 0, 1 each by default."""
-    if not len(elements):
-        return np.zeros(0, dtype="uint64")
-    if weights is None:
-        cells, top = elements, None
-    else:
-        layers = np.ceil(weights).astype("int64")
-        layer = np.arange(int(layers.sum())) - np.repeat(np.cumsum(layers) - layers, layers)
-        with np.errstate(over="ignore"):
-            cells = np.where(layer > 0, _mixed(np.repeat(elements, layers) + layer.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)), np.repeat(elements, layers))
-        top = np.repeat(weights, layers) - layer  # how much of the unit of height belongs to the element
-    total = float(len(elements) if weights is None else weights.sum())
-    end = coordinates * (np.log(coordinates) + 2) / total
-    best = np.full(coordinates, np.inf)
-    sign = np.zeros(coordinates, dtype="uint64")
-    unit = 1.0 / 2**53
-    while True:
-        state, time, room = cells, np.zeros(len(cells)), top
-        times, places, darts = [], [], []
+def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, coordinates: int = COORDINATES) -> list[np.ndarray]:
+    """For each set and coordinate the earliest dart's hash; none for an empty set.
+
+    A set is distinct uint64 hashes of elements, with weights above 0, 1 each by default. The sets' darts are
+    thrown together, one a cell in each round, for all cells whose time isn't over.
+    """
+    out = [np.zeros(0, dtype="uint64")] * len(sets)
+    todo = [i for i, x in enumerate(sets) if len(x)]
+    reach = np.log(coordinates) + 3
+    while todo:
+        size = np.array([len(sets[i]) for i in todo])
+        cells = np.concatenate([sets[i] for i in todo])
+        owner = np.repeat(np.arange(len(todo)), size)
+        room, total = None, size.astype("float64")
+        if weights is not None:
+            high = np.concatenate([weights[i] for i in todo])
+            total = np.bincount(owner, high, len(todo))
+            layers = np.ceil(high).astype("int64")
+            layer = np.arange(int(layers.sum())) - np.repeat(np.cumsum(layers) - layers, layers)
+            cells, owner, room = np.repeat(cells, layers), np.repeat(owner, layers), np.repeat(high, layers) - layer
+            with np.errstate(over="ignore"):
+                cells = np.where(layer > 0, _mixed(cells + layer.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)), cells)
+        end = (coordinates * reach / total)[owner]
+        best = np.full(len(todo) * coordinates, np.inf)
+        sign = np.zeros(len(best), dtype="uint64")
+        base, state, time = owner * coordinates, cells, np.zeros(len(cells))
         while len(state):
-            state = _mixed(state + np.uint64(0x9E3779B97F4A7C15))
-            time = time - np.log(((state >> np.uint64(11)).astype("float64") + 0.5) * unit)
-            keep = time < end
-            state, time = state[keep], time[keep]
+            with np.errstate(over="ignore"):
+                state = _mixed(state + np.uint64(0x9E3779B97F4A7C15))
+            time = time - np.log(((state >> np.uint64(11)).astype("float64") + 0.5) / 2**53)
+            keep = np.flatnonzero(time < end)
+            state, time, end, base = state[keep], time[keep], end[keep], base[keep]
             room = None if room is None else room[keep]
             dart = _mixed(state ^ np.uint64(0xA0761D6478BD642F))
-            seen = slice(None) if room is None else ((dart >> np.uint64(40)).astype("float64") / 2**24 < room)
-            times.append(time[seen])
-            darts.append(dart[seen])
-            places.append(((dart[seen] & np.uint64(0xFFFFFFFF)) * np.uint64(coordinates)) >> np.uint64(32))
-        time, place, dart = np.concatenate(times), np.concatenate(places).astype("int64"), np.concatenate(darts)
-        order = np.lexsort((dart, time, place))
-        place = place[order]
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, "int64")
-        best[place[first]], sign[place[first]] = time[order][first], dart[order][first]
-        if np.isfinite(best).all():
-            return sign
-        end *= 2
+            seen = slice(None) if room is None else np.flatnonzero((dart >> np.uint64(40)).astype("float64") / 2**24 < room)
+            place = base[seen] + (((dart[seen] & np.uint64(0xFFFFFFFF)) * np.uint64(coordinates)) >> np.uint64(32)).astype("int64")
+            when = time[seen]
+            np.minimum.at(best, place, when)
+            first = when == best[place]
+            sign[place[first]] = dart[seen][first]
+        whole = np.isfinite(best.reshape(-1, coordinates)).all(axis=1)
+        for i, ok, row in zip(todo, whole.tolist(), sign.reshape(-1, coordinates), strict=True):
+            if ok:
+                out[i] = row
+        todo = [i for i, ok in zip(todo, whole.tolist(), strict=True) if not ok]
+        reach *= 2
+    return out
 
 
 def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -113,10 +128,13 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [band_keys(dart_signature(shingles(t))).view("int64") for t in batch.column(1).to_pylist()]
-        lengths = np.cumsum([0, *map(len, keys)])
-        lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, "int64")]).astype("int64")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["id", "digest", "bands"])
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            keys = [band_keys(s).view("int64") for s in dart_signatures(sets)]
+            lengths = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, "int64")]).astype("int64")))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["id", "digest", "bands"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,18 +144,28 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+#: Groups, by hash, of a set's shingles; bits in as many longs as GROUPS / 64.
+GROUPS = 512
+
+
+def compared_sets(a: bytes, b: bytes) -> tuple[float, list[int]]:
+    """The Jaccard likeness of two sets, and as bits the groups in which `b` lacks any of a's shingles."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.concatenate((x, y))
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(both) - common) if len(both) else 0.0
+    lacking = np.setdiff1d(x, y, assume_unique=True)
+    bits = np.zeros(GROUPS, dtype="u1")
+    bits[(lacking * np.uint32(2654435761)) >> np.uint32(23)] = 1
+    common = len(x) - len(lacking)
+    total = len(x) + len(y) - common
+    return common / total if total else 0.0, np.packbits(bits).view("<i8").tolist()
 
 
 def _likenesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        likes = [jaccard(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likes, pa.float64())], names=["a", "b", "likeness"])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            both = [compared_sets(a, b) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            columns = [part.column(0), part.column(1), pa.array([x[0] for x in both], pa.float64()), pa.array([x[1] for x in both], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "likeness", "lacks"])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -164,10 +192,10 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The likeness of each pair (a, b)."""
+    """The likeness of each pair (a, b), and the groups of shingles of a that b lacks."""
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(_likenesses, "a long, b long, likeness double")
+    return two.select("a", "b", "set_a", "set_b").mapInArrow(_likenesses, "a long, b long, likeness double, lacks array<long>")
 
 
 def _source(docs: DataFrame, *others: str) -> DataFrame:
@@ -184,8 +212,12 @@ def _labelled(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     kinds = signed.groupBy("digest").agg(F.min("id").alias("first"), F.any_value("bands").alias("bands"))
     kinds = written(kinds.withColumn("kind", F.xxhash64("digest")), "kinds")
     buckets = kinds.select("kind", F.explode("bands").alias("key"))
-    crowded = buckets.groupBy("key").agg(F.min("kind").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(buckets.join(crowded, "key").select("key", "kind", "leader"), "members")
+    crowded = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
+    crowd = written(buckets.join(crowded, "key").select("key", "kind", "n"), "crowd")
+    # A bucket's leader is the document that shares most buckets with most others: of edited copies, the original.
+    central = written(crowd.groupBy("kind").agg(F.sum("n").alias("shared")), "central")
+    leaders = written(crowd.join(central, "kind").groupBy("key").agg(F.max_by("kind", F.struct("shared", "kind")).alias("leader")), "leaders")
+    members = written(crowd.join(leaders, "key").select("key", "kind", "leader"), "members")
     in_play = members.select("kind").distinct()
     first_of = kinds.join(in_play, "kind", "left_semi").select("kind", "digest", F.col("first").alias("id"))
     texts = source.join(first_of, ["id", "digest"]).select(F.col("kind").alias("id"), "bytes")
@@ -195,8 +227,10 @@ def _labelled(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     known = written(_compared(pairs, sets), "compared")
     links = known.filter(F.col("likeness") >= least).select("a", "b")
     classes = connected(links)
-    placed = members.join(classes.withColumnRenamed("id", "kind"), "kind", "left").select("key", "kind", F.coalesce("class", "kind").alias("class"))
-    new = written(_compared(_untried(placed, known.select("a", "b")), sets), "compared")
+    to_leader = known.select(F.col("a").alias("leader"), F.col("b").alias("kind"), "likeness", "lacks")
+    placed = members.join(classes.withColumnRenamed("id", "kind"), "kind", "left").join(to_leader, ["leader", "kind"], "left")
+    placed = placed.select("key", "kind", "leader", F.coalesce("class", "kind").alias("class"), F.coalesce("likeness", F.lit(1.0)).alias("near"), F.coalesce("lacks", F.array_repeat(F.lit(0).cast("long"), GROUPS // 64)).alias("lacks"))
+    new = written(_compared(_untried(placed, known.select("a", "b"), sets, least), sets), "compared")
     more = new.filter(F.col("likeness") >= least).select("a", "b")
     links = links.unionByName(more)
     # New links join whole classes.
@@ -228,33 +262,70 @@ def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
 def one_of_each(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """`docs` with one row of each class of near duplicates: that of the least doc_id, one of equal rows. All columns stay."""
     _, labelled = _labelled(docs, least)
-    chosen = labelled.filter("digest = class_digest").select(F.col("class_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "_digest": F.unhex(F.substring(F.sha2(utf8(F.col("text")), 256), 1, 32))})
-    return keyed.join(chosen, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    own, mark = unused("_id", docs), unused("_digest", docs)
+    chosen = labelled.filter("digest = class_digest").select(F.col("class_id").alias(own), F.col("digest").alias(mark))
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), mark: F.unhex(F.substring(F.sha2(utf8(F.col("text")), 256), 1, 32))})
+    return keyed.join(chosen, [own, mark], "left_semi").dropDuplicates([own, mark]).drop(own, mark)
 
 
 #: Documents outside a bucket's largest class that are compared with all of its documents.
 FEW = 8
 
 
-def _untried(placed: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but two classes that were not compared. `placed`: key, kind, class."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(x, "<i4") for x in part.column(1).to_pylist()]
+            kinds = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [*map(len, sets)])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(np.concatenate(sets), pa.int32())], names=["kind", "shingle"])
+
+
+def _untried(placed: DataFrame, known: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of one bucket but two classes that were not compared and may be alike.
 
-    def with_main(members: DataFrame, least: int) -> DataFrame:
+    `placed`: key, kind, class, leader, near, its likeness to the bucket's leader, and lacks, the groups of the
+    leader's shingles of which it lacks any. Of two sets that share o with one leader of n shingles, and have r
+    besides that other documents here have too, at most min(o, o') + min(r, r') can be common, nor more than n
+    less the groups that either lacks, + min(r, r'). What that leaves too unlike isn't compared, which is so for
+    most copies with too many edits.
+    """
+
+    def with_main(members: DataFrame) -> DataFrame:
         by_class = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-        main = by_class.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("total"))
-        return members.join(main.filter(f"others > 0 AND total >= {least}"), "key")
+        main = by_class.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+        return members.join(main.filter("others > 0"), "key")
 
-    def across(members: DataFrame) -> DataFrame:
-        left = members.filter("class <> main").select("key", F.col("kind").alias("x"), F.col("class").alias("class_x"))
-        right = members.select("key", F.col("kind").alias("y"), F.col("class").alias("class_y"))
-        both = left.join(right, "key").filter("class_x <> class_y")
-        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    fields = ("kind", "class", "lead", "size", "size_l", "over", "rest", "lacks")
 
-    split = written(with_main(placed, 3), "split")
-    crowded = split.filter(F.col("others") > FEW).groupBy("kind", "class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    def across(members: DataFrame) -> DataFrame:
+        left = members.filter("class <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in fields])
+        right = members.select("key", *[F.col(c).alias(f"{c}_y") for c in fields])
+        same = F.least("over_x", "over_y") + F.least("rest_x", "rest_y")
+        any_ = F.least(F.col("over_x") + F.col("rest_x"), F.col("over_y") + F.col("rest_y"))
+        alike = lambda most: most >= F.lit(least - 1e-9) * (F.col("size_x") + F.col("size_y") - most)
+        led = F.col("lead_x") == F.col("lead_y")
+        lacking = F.aggregate(F.zip_with("lacks_x", "lacks_y", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda n, x: n + x)
+        close = ~led | alike(F.col("size_l_x") - lacking + F.least("rest_x", "rest_y"))
+        test = (left["key"] == right["key"]) & (F.col("class_x") != F.col("class_y")) & alike(F.when(led, same).otherwise(any_)) & close
+        return left.join(right, test).select(F.least("kind_x", "kind_y").alias("a"), F.greatest("kind_x", "kind_y").alias("b"))
+
+    split = written(with_main(placed), "split")
+    own = sets.withColumnRenamed("id", "kind").join(split.select("kind").distinct(), "kind", "left_semi")
+    alone = own.mapInArrow(_exploded, "kind long, shingle int").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind")).filter("n = 1")
+    alone = alone.groupBy("kind").agg(F.count(F.lit(1)).alias("alone"))
+    bounds = own.select("kind", (F.octet_length("set") / 4).cast("long").alias("size")).join(alone, "kind", "left")
+    bounds = written(bounds.select("kind", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "bounds")
+    able = split.drop("main", "others").join(bounds.filter(F.col("common") >= F.lit(least - 1e-9) * F.col("size")), "kind")
+    able = able.join(bounds.select(F.col("kind").alias("leader"), F.col("size").alias("size_l")), "leader")
+    over = F.round(F.col("near") * (F.col("size") + F.col("size_l")) / (1 + F.col("near"))).cast("long")
+    able = able.withColumn("over", over).withColumn("rest", F.greatest(F.col("common") - F.col("over"), F.lit(0))).withColumnRenamed("leader", "lead")
+    split = written(with_main(able), "split")
+    by_lead = split.filter(F.col("others") > FEW).groupBy("kind", "class", "size", "lead").agg(F.collect_set("key").alias("keys"), F.any_value(F.struct("lead", "size_l", "over", "rest", "lacks")).alias("led"))
+    # Of its buckets' leaders the one that leads most: in a family of copies most likely the same for all.
+    crowded = by_lead.groupBy("kind", "class", "size").agg(F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"), F.max_by("led", F.struct(F.size("keys"), "lead")).alias("best"))
     twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda j: F.xxhash64(k, j))))
-    by_two = crowded.select(F.explode(twos).alias("key"), "kind", "class")
-    found = across(split.filter(F.col("others") <= FEW)).unionByName(across(with_main(by_two, 2))).distinct()
+    by_two = crowded.select(F.explode(twos).alias("key"), "kind", "size", "class", "best.*")
+    found = across(split.filter(F.col("others") <= FEW)).unionByName(across(with_main(by_two))).distinct()
     tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.join(tried, ["a", "b"], "left_anti")
