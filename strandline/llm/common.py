@@ -43,6 +43,14 @@ def let_go(table: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """`name`, longer by underscores if any of the tables has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """`then(value)` with `value` computed once, however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, unused
 
 ROUNDS = 5
 
@@ -247,6 +247,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     already named pii is replaced. Numbers that fail their check digits and dates that no calendar has stay.
     Repeated rows and equal values get equal pseudonyms; an empty table stays empty.
     """
-    new = docs.withColumn("_pii", pseudonyms(F.col("text"), key))
+    helper = unused("_pii", docs)
+    new = docs.withColumn(helper, pseudonyms(F.col("text"), key))
     empty = F.array().cast("array<struct<kind:string,pseudonym:string>>")
-    return new.withColumns({"text": F.col("_pii.text"), "pii": F.coalesce(F.col("_pii.found"), empty)}).drop("_pii")
+    return new.withColumns({"text": F.col(f"{helper}.text"), "pii": F.coalesce(F.col(f"{helper}.found"), empty)}).drop(helper)
