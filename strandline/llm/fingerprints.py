@@ -18,9 +18,11 @@ from hashlib import blake2b, sha256
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 BLOCK = 160
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
 _BLANK = re.compile(r"(\n[^\S\n]*\n)")
@@ -158,6 +160,14 @@ def merkle_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _above(cuts: list[int], key: Column) -> Column:
+    """How many of the cuts, which descend, are above the key: first by blocks of about their square root, then in one block."""
+    step = max(1, round(len(cuts) ** 0.5))
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    blocks = F.size(F.filter(literal(cuts[step - 1 :: step]), lambda c: c > key))
+    return let(blocks, lambda b: b * step + F.size(F.filter(F.slice(literal(cuts), b * step + 1, F.lit(step)), lambda c: c > key)))
+
+
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside its edited text's and the next document's, in descending order of doc_id.
 
@@ -171,8 +181,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = slim.select(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] or []
     cuts = sorted(set(bounds), reverse=True)  # fewer than the partitions
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("_key"))) if cuts else F.lit(0)
-    dealt = slim.withColumn("_part", part)
+    dealt = slim.withColumn("_part", _above(cuts, F.col("_key")) if cuts else F.lit(0))
     heads = sorted((r["_part"], r["_key"]) for r in dealt.groupBy("_part").agg(F.max("_key").alias("_key")).collect())  # one row a part
     before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
     guest_of = F.lit(None).cast("int")
