@@ -134,10 +134,12 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     Null and empty texts have no words and fail the base rule. A column that is already named quality is
     replaced. Repeated rows are judged alike; an empty table stays empty.
     """
-    m = F.col("_quality_metrics")
-    base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    broken = compiled(rules, m)
-    judged = docs.withColumn("_quality_metrics", text_metrics(F.col("text")))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "mean_line_words")
-    verdict = F.struct(*[m[f].alias(f) for f in fields], base.alias("base_failed"), broken.alias("broken"), (~base & (F.size(broken) == 0)).alias("kept"))
-    return judged.withColumn("quality", verdict).drop("_quality_metrics")
+
+    def verdict(m: Column) -> Column:
+        base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return let(compiled(rules, m), lambda broken: F.struct(*[m[f].alias(f) for f in fields], base.alias("base_failed"), broken.alias("broken"), (~base & (F.size(broken) == 0)).alias("kept")))
+
+    # As a generator's row, so that a filter on the verdict doesn't compute it again.
+    judged = F.explode(F.array(let(text_metrics(F.col("text")), verdict)))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"], judged.alias("quality"))
