@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, utf8, written
+from .common import let_go, unused, utf8, written
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 40
@@ -220,13 +220,15 @@ def repeated_runs(docs: DataFrame, length: int = 200, kinds: int = KINDS) -> Dat
     """(id, check, lo, hi): strings of `length` bytes that begin at lo to hi there cover only bytes that are repeated."""
     source = docs.select(*_keys(docs), utf8(F.col("text")).alias("bytes"))
     all_spans = written(source.mapInArrow(_anchored(length), SPAN), "spans")
-    shared = all_spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
+    # Written, so that the join reads both sides as they were dealt, and can split an anchor that many texts have.
+    shared = written(all_spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "shared")
     candidates = written(all_spans.join(shared, "anchor"), "candidates")
     let_go(all_spans)
+    let_go(shared)
     kind = candidates.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "check", "lo", "hi")).alias("one"))
     kind = written(kind, "kinds")
     equal = candidates.join(kind.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("id", "check", "lo", "hi")
-    mixed = kind.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", (F.col("m") > kinds).alias("many"))
+    mixed = written(kind.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", (F.col("m") > kinds).alias("many")), "mixed")
     wanted = kind.join(mixed, "anchor").groupBy("one.id", "one.check").agg(F.collect_list(F.struct("anchor", "many", "n", "one.lo", "one.hi")).alias("wanted"))
     # Rows that are equal in id and text each give such a span; it has n > 1, and so is only compared with.
     texts = source.join(wanted, ["id", "check"])
@@ -278,9 +280,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("d
     runs = repeated_runs(docs, length, kinds)
     by_row = runs.groupBy("id", "check").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     id_, check = _keys(docs)
-    source = docs.select(id_.alias("_id"), check.alias("_check"), utf8(F.col("text")).alias("_bytes"), *keep)
-    by_row = by_row.select(F.col("id").alias("_id"), F.col("check").alias("_check"), F.col("runs").alias("_runs"))
-    joined = source.join(by_row, ["_id", "_check"], "left").select("_bytes", "_runs", *keep)
+    own, mark, raw, cut = (unused(x, docs) for x in ("_id", "_check", "_bytes", "_runs"))
+    source = docs.select(id_.alias(own), check.alias(mark), utf8(F.col("text")).alias(raw), *keep)
+    by_row = by_row.select(F.col("id").alias(own), F.col("check").alias(mark), F.col("runs").alias(cut))
+    joined = source.join(by_row, [own, mark], "left").select(raw, cut, *keep)
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
     fields = fields if with_text else fields[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
