@@ -29,7 +29,6 @@ STOP_WORDS = tuple(
 )
 
 RULES = (
-    Rule("too_long", "n_words", None, 200_000),
     Rule("word_length", "mean_word_chars", 2, 14),
     Rule("symbols", "symbols_per_word", None, 0.1),
     Rule("stop_words", "stop_word_ratio", 0.06, None),

@@ -121,6 +121,12 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_keep_clean_long_documents(spark):
+    long = "\n".join(f"the w{i} of v{i} and x{i} is in y{i} with z{i}" for i in range(20_000))
+    q = quality_rules.quality_rules(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().quality
+    assert q.n_words == 220_000 and q.broken == [] and q.kept
+
+
 def test_bpe_equals_the_library(docs, empty):
     tok = Tokenizer.from_file(WORDS)
     for most in (0, 20, 5000):
