@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..streaming import flows
@@ -46,13 +46,15 @@ def stream_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(DISTINCT event_id) AS events, count(DISTINCT user_id) AS users FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
-    out = _run(spark, flows.once(e.unionByName(e), "event_id").select("event_id", "user_id"), "append")
+    out = _run(spark, flows.once(e.unionByName(e), "event_id", late=None).select("event_id", "user_id"), "append")
     return out.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, flows.numbered(_events(spark, sf_dir)), "append")
+    # Numbered when all has arrived: a number given on arrival would depend on the batches.
+    arrived = _run(spark, _events(spark, sf_dir).select("user_id", "event_id", "ts"), "append")
+    return arrived.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"))
 
 
 @query("SELECT user_id, unnest(range(20, count(*) + 1, 20)) AS count FROM events GROUP BY user_id")
@@ -82,5 +84,6 @@ def stream_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, array_to_string(list_reverse(list_sort(list(event_id)))[1:5], ',') AS newest FROM events GROUP BY user_id")
 def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, flows.recent(_events(spark, sf_dir), 5), "append")
+    # A row for each user and batch; a list's ids only rise from batch to batch, so the greatest list is the last.
+    out = _run(spark, flows.recent(_events(spark, sf_dir), 5), "append").groupBy("user_id").agg(F.max("event_ids").alias("event_ids"))
     return out.select("user_id", F.array_join("event_ids", ",").alias("newest"))

@@ -28,13 +28,15 @@ def online_spans(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", idle).groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("beats"))
 
 
-def once(events: DataFrame, *key: str, late: str = "2 hours") -> DataFrame:
-    """Each key once, within the watermark."""
+def once(events: DataFrame, *key: str, late: str | None = "2 hours") -> DataFrame:
+    """Each key once: within the watermark, or, where late is None, however late it comes; then all keys stay in the state."""
+    if late is None:
+        return events.dropDuplicates(list(key))
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))
 
 
 def numbered(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Gives every event of a key the next number; the count is the only state."""
+    """Gives every event of a key the next number as it arrives, by time within a batch; the count is the only state."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
@@ -60,16 +62,18 @@ def every_n(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
 
 
 def recent(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
-    """A key's last n event ids, newest first, whenever it has new ones; its state is those ids."""
+    """A key's n greatest event ids, greatest first, whenever it has new events; its state is those ids.
+
+    Ids are given in order, so the greatest are the newest, in whichever order events arrive.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        now = [*reversed(rows["event_id"].tolist()), *old][:n]
+        now = sorted([*old, *(i for b in batches for i in b["event_id"].tolist())], reverse=True)[:n]
         state.update((now,))
         yield pd.DataFrame({key: [k[0]], "event_ids": [now]})
 
-    grouped = events.select(key, "event_id", "ts").groupBy(key)
+    grouped = events.select(key, "event_id").groupBy(key)
     return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>", "append", GroupStateTimeout.NoTimeout)
 
 

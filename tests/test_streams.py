@@ -3,8 +3,10 @@
 import datetime as dt
 import uuid
 
+import duckdb
 import pytest
 
+from strandline.plans import catalogue
 from strandline.plans.streams import _run
 from strandline.sources import files
 from strandline.streaming import flows
@@ -38,6 +40,24 @@ def test_recent_ids_and_circuit(spark, folder):
     assert passed[6] and not passed[8] and not passed[10] and passed[12]
 
 
+@pytest.fixture
+def mixed(spark, tmp_path):
+    """Fifty files, which four batches read, with times mixed across files."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(minutes=37 * i), i % 3, "view", 1.0, "{}") for i in range(200)]
+    spark.createDataFrame(rows, flows.EVENTS).repartition(50).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_recent", "stream_sequence"])
+def test_rows_equal_sql_over_several_batches(spark, mixed, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{mixed}/events*.parquet/*.parquet'")
+    df = catalogue.queries()[name](spark, mixed)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_closings(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     kinds = "id long, source long, target long, relation_type string, valid_at timestamp"
