@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,21 +123,37 @@ def recent_within(messages: DataFrame, budget: int) -> DataFrame:
     return messages.withColumn("used", F.sum("tokens").over(newest)).filter(F.col("used") <= budget)
 
 
-def admitted(candidates: DataFrame, budget: int, share: float = 0.2, most: int = 30) -> DataFrame:
-    """Candidates of each session in order, skipping those of over `share` of what is left, and stopping when none is.
+def admitted(candidates: DataFrame, budget: int, share: float = 0.2) -> DataFrame:
+    """Candidates of each session in order, skipping those of over `share` of what is left.
 
-    session_id, taken (ids, in order) and left. At most `most` candidates of a session count, so the fold is short.
+    session_id, taken (ids, in order) and left. A session's candidates stream through the fold in sorted batches, all
+    of them; what is held of it is what it has taken.
     """
-    order = Window.partitionBy("session_id").orderBy("place", "id")
-    few = candidates.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
-    listed = few.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("_n", "id", "tokens"))).alias("_c"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = x["tokens"] <= F.floor(acc["left"] * F.lit(share))
-        return F.struct(F.when(fits, acc["left"] - x["tokens"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["taken"], F.array(x["id"]))).otherwise(acc["taken"]).alias("taken"))
 
-    return listed.select("session_id", F.aggregate("_c", start, step).alias("_r")).select("session_id", "_r.taken", "_r.left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, left, taken, begun = None, budget, [], False
+        for batch in batches:
+            done = []
+            for s, i, tokens in zip(*(batch.column(c).to_pylist() for c in ("session_id", "id", "tokens")), strict=True):
+                if not begun or s != session:
+                    if begun:
+                        done.append((session, taken, left))
+                    session, left, taken, begun = s, budget, [], True
+                if tokens is not None and tokens <= math.floor(left * share):
+                    left -= tokens
+                    taken.append(i)
+            kind = batch.schema.field("session_id").type
+            yield rows(done, kind)
+        if begun:
+            yield rows([(session, taken, left)], kind)
+
+    def rows(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (kind, pa.list_(pa.int64()), pa.int64()), strict=True)], ["session_id", "taken", "left"])
+
+    dealt = candidates.select("session_id", "place", F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens")).repartition("session_id")
+    kind = candidates.schema["session_id"].dataType.simpleString()
+    return dealt.sortWithinPartitions("session_id", "place", "id").mapInArrow(run, f"session_id {kind}, taken array<long>, left long")
 
 
 def context_state(used: Column, window: int = 8000) -> tuple[Column, Column]:

@@ -142,6 +142,20 @@ def test_trigger(spark, messages, atoms, want):
     assert tuple(got) == want
 
 
+def test_admission_reads_all_candidates(spark):
+    sizes = [500] * 40 + [50] * 5
+    want, left = {}, {}
+    rows = [(s, n, s * 100 + n, t + s) for s in (1, 2, 3) for n, t in enumerate(sizes)]
+    for s, _, i, t in rows:
+        left.setdefault(s, 1000)
+        if t <= left[s] // 5:
+            left[s] -= t
+            want.setdefault(s, []).append(i)
+    got = memory.admitted(spark.createDataFrame(rows[::-1], "session_id long, place int, id long, tokens long"), 1000).collect()
+    assert {r.session_id: (r.taken, r.left) for r in got} == {s: (want[s], left[s]) for s in left} and len(got) == 3
+    assert want[1] == [140, 141, 142, 143, 144]
+
+
 def test_context_admission_skips_large_ones(spark):
     rows = [("s", 1, 1, 300), ("s", 2, 2, 100), ("s", 3, 3, 181), ("s", 4, 4, 180)]
     c = spark.createDataFrame(rows, "session_id string, id long, place int, tokens long")
