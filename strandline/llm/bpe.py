@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, written
+from .common import Scratch
 from .sampling import most_frequent
 
 #: Longest word in the automaton, in bytes; longer ones are merged.
@@ -253,10 +253,9 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> list[str]:
         yield out()
 
     counts = docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    totals = written(counts.filter(F.octet_length("word") <= LONGEST), "words")
-    found = [r["word"] for r in most_frequent(totals, most).select("word").collect()]  # `most` rows or fewer
-    let_go(totals)
-    return found
+    with Scratch(docs.sparkSession, "lexicon") as work:
+        totals = work.written(counts.filter(F.octet_length("word") <= LONGEST), "words")
+        return [r["word"] for r in most_frequent(totals, most).select("word").collect()]  # `most` rows or fewer
 
 
 def compiled_lexicon(docs: DataFrame, tokenizer: str, most: int) -> str:

@@ -35,12 +35,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_go(table: DataFrame) -> None:
-    """Deletes a table that `written` made and that is no longer needed."""
-    spark = table.sparkSession
-    for file in table.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+class Scratch:
+    """The tables of one job, in a folder of their own within the shared one, deleted when the job is done with them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """As `written`, within this folder."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def unused(name: str, *tables: DataFrame) -> str:

@@ -7,11 +7,14 @@ keeps the earliest of each coordinate. Two documents agree in a coordinate with
 weighted Jaccard likeness. As times run on until all coordinates are hit, a document of n elements throws
 about COORDINATES * (ln COORDINATES + 2) darts in all, not n for each coordinate.
 
-Signatures are cut into bands. Documents that share a band's bucket are compared with its least document,
-exactly, on their sets of shingles. Where a bucket's documents are not of one class after that, those outside
-its largest class are compared with all of its documents, if they are few; in buckets with many of them
-(documents that share a long passage, say) only with those that share a second band too, which of the pairs
-with the least likeness that counts all but one in ten thousand do.
+A document's elements are its runs of five words, weighted by how often it has them. Signatures are cut into
+bands. Documents that share a band's bucket are compared, exactly, with its most central document; links make
+classes. Where a bucket has more than one class after that, the documents outside its largest class are
+compared with one more document of that class and with the most central one outside it, in rounds that go on
+while they pay. What links can be left between two classes of a bucket is found by a prefix filter, which loses
+none: elements are put in order of how few documents have them, and two documents that are alike enough share
+one of their first elements, far enough ahead. So documents that share a long passage but are unlike never meet,
+as what sets each apart comes first. No step makes rows of pairs within a bucket.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import let_go, unused, utf8, written
+from .common import Scratch, unused, utf8, written
 
 WORDS = 5
 LIKENESS = 0.8
@@ -53,18 +56,29 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's runs of `words` words; of all its words, where it has fewer; none without words."""
+def shingles(text: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the text's runs of `words` words, or of all its words, where it has fewer, and how often each occurs."""
     found = text.split()
     if not found:
-        return np.zeros(0, dtype="uint64")
+        return np.zeros(0, dtype="uint64"), np.zeros(0, dtype="int64")
     h = np.array([*map(_WORDS.__getitem__, found)], dtype="uint64")
     n = max(len(h) - words + 1, 1)
     out = np.zeros(n, dtype="uint64")
     with np.errstate(over="ignore"):
         for i in range(min(words, len(h))):
             out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n] + np.uint64(i + 1))
-    return np.unique(out)
+    return np.unique(out, return_counts=True)
+
+
+def layered(elements: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """The hash of an element's part of weight between `layer` and `layer` + 1; of the first, the element's own."""
+    with np.errstate(over="ignore"):
+        return np.where(layer > 0, _mixed(elements + layer.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)), elements)
+
+
+def layers_of(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. count - 1 for each count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, coordinates: int = COORDINATES) -> list[np.ndarray]:
@@ -82,13 +96,13 @@ def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = N
         owner = np.repeat(np.arange(len(todo)), size)
         room, total = None, size.astype("float64")
         if weights is not None:
-            high = np.concatenate([weights[i] for i in todo])
+            high = np.concatenate([weights[i] for i in todo]).astype("float64")
             total = np.bincount(owner, high, len(todo))
             layers = np.ceil(high).astype("int64")
-            layer = np.arange(int(layers.sum())) - np.repeat(np.cumsum(layers) - layers, layers)
-            cells, owner, room = np.repeat(cells, layers), np.repeat(owner, layers), np.repeat(high, layers) - layer
-            with np.errstate(over="ignore"):
-                cells = np.where(layer > 0, _mixed(cells + layer.astype("uint64") * np.uint64(0xD6E8FEB86659FD93)), cells)
+            layer = layers_of(layers)
+            room = np.repeat(high, layers) - layer
+            room = None if (room >= 1).all() else room
+            cells, owner = layered(np.repeat(cells, layers), layer), np.repeat(owner, layers)
         end = (coordinates * reach / total)[owner]
         best = np.full(len(todo) * coordinates, np.inf)
         sign = np.zeros(len(best), dtype="uint64")
@@ -130,72 +144,134 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            keys = [band_keys(s).view("int64") for s in dart_signatures(sets)]
+            bags = [shingles(t) for t in part.column(1).to_pylist()]
+            keys = [band_keys(s).view("int64") for s in dart_signatures([x for x, _ in bags], [n for _, n in bags])]
             lengths = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([*keys, np.zeros(0, "int64")]).astype("int64")))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["id", "digest", "bands"])
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in 32 bits each: a chance collision within a pair of sets is one in millions, and moves its likeness by less than 1 / n."""
-    for batch in batches:
-        sets = [np.unique((shingles(t) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+def packed(text: bytes) -> bytes:
+    """The layers of a text's weighted shingles as sorted distinct hashes of 32 bits: the likeness of two such sets is the weighted one.
 
-
-#: Groups, by hash, of a set's shingles; bits in as many longs as GROUPS / 64.
-GROUPS = 512
+    A chance collision within a pair of sets is one in millions, and moves its likeness by less than 1 / n.
+    """
+    elements, counts = shingles(text)
+    return np.unique((layered(np.repeat(elements, counts), layers_of(counts)) >> np.uint64(32)).astype("<u4")).tobytes()
 
 
-def compared_sets(a: bytes, b: bytes) -> tuple[float, list[int]]:
-    """The Jaccard likeness of two sets, and as bits the groups in which `b` lacks any of a's shingles."""
+def likeness(a: bytes, b: bytes) -> float:
+    """The Jaccard likeness of two packed sets."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    lacking = np.setdiff1d(x, y, assume_unique=True)
-    bits = np.zeros(GROUPS, dtype="u1")
-    bits[(lacking * np.uint32(2654435761)) >> np.uint32(23)] = 1
-    common = len(x) - len(lacking)
-    total = len(x) + len(y) - common
-    return common / total if total else 0.0, np.packbits(bits).view("<i8").tolist()
+    common = len(x) + len(y) - len(np.union1d(x, y))
+    return common / (len(x) + len(y) - common) if len(x) + len(y) else 0.0
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["kind", "set"])
 
 
 def _likenesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            both = [compared_sets(a, b) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            columns = [part.column(0), part.column(1), pa.array([x[0] for x in both], pa.float64()), pa.array([x[1] for x in both], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "likeness", "lacks"])
+            both = [likeness(a, b) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.float64())], names=["a", "b", "likeness"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(x, "<i4") for x in part.column(1).to_pylist()]
+            kinds = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [*map(len, sets)])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(np.concatenate(sets), pa.int32())], names=["kind", "element"])
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, work: Scratch) -> DataFrame:
     """(id, class) of every id in links (a, b): the least id that they lead to.
 
     Rounds of least neighbours and shortcuts, each written, until none changes; their number grows with the
     logarithm of a class's width, and nothing but a count comes to the driver.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(both.distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "labels")
+    edges = work.written(both.distinct(), "edges")
+    labels = work.written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("class")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("class").alias("near")).withColumnRenamed("a", "id")
         least = labels.join(near, "id").select("id", F.least("class", "near").alias("least"), F.col("class").alias("old"))
         shortcut = labels.select(F.col("id").alias("least"), F.col("class").alias("root"))
-        new = written(least.join(shortcut, "least").select("id", F.least("least", "root").alias("class"), (F.least("least", "root") < F.col("old")).alias("moved")), "labels")
+        new = work.written(least.join(shortcut, "least").select("id", F.least("least", "root").alias("class"), (F.least("least", "root") < F.col("old")).alias("moved")), "labels")
         moved = new.filter("moved").limit(1).count()
-        let_go(labels)
         labels = new.select("id", "class")
         if not moved:
-            let_go(edges)
-            break
-    return labels
+            return labels
+
+
+def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose likeness is `least` or more."""
+    one = pairs.join(sets.select(F.col("kind").alias("b"), F.col("set").alias("set_b")), "b")
+    two = one.join(sets.select(F.col("kind").alias("a"), F.col("set").alias("set_a")), "a")
+    told = two.select("a", "b", "set_a", "set_b").mapInArrow(_likenesses, "a long, b long, likeness double")
+    return told.filter(F.col("likeness") >= least).select("a", "b")
+
+
+def _merged(classes: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
+    """`classes` (kind, class) with the classes of each link made one."""
+    for end in ("a", "b"):
+        links = links.join(classes.select(F.col("kind").alias(end), F.col("class").alias(f"class_{end}")), end)
+    tops = connected(links.filter("class_a <> class_b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), work)
+    return work.written(classes.join(tops.withColumnRenamed("class", "top").withColumnRenamed("id", "class"), "class", "left").select("kind", F.coalesce("top", "class").alias("class")), "classes")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The likeness of each pair (a, b), and the groups of shingles of a that b lacks."""
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(_likenesses, "a long, b long, likeness double, lacks array<long>")
+def _split(members: DataFrame, classes: DataFrame, work: Scratch) -> DataFrame:
+    """key, kind, shared, class and main, the largest class there, of the buckets that have more than one class."""
+    placed = members.join(classes, "kind")
+    by_class = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    main = by_class.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("n_classes"))
+    return work.written(placed.join(main.filter("n_classes > 1").drop("n_classes"), "key"), "split")
+
+
+def _samples(split: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each document outside its bucket's largest class with one of that class, and with the most central one outside it."""
+    out = F.col("class") != F.col("main")
+    inside = F.when(~out, F.struct(F.xxhash64("kind", F.lit(turn)).alias("order"), "kind", "class"))
+    outside = F.when(out, F.struct("shared", "kind", "class"))
+    chosen = split.groupBy("key").agg(F.max(inside).alias("x"), F.max(outside).alias("y")).select("key", F.explode(F.array(F.struct("x.kind", "x.class"), F.struct("y.kind", "y.class"))).alias("one"))
+    pairs = split.filter(out).join(chosen, "key").filter("class <> one.class")
+    return pairs.select(F.col("one.kind").alias("a"), F.col("kind").alias("b")).distinct()
+
+
+def candidates(members: DataFrame, sets: DataFrame, least: float, work: Scratch) -> DataFrame:
+    """Pairs (a, b) of different classes that hold every one with a likeness of `least`, unless neither is `out`.
+
+    `members`: kind, class and out, whether the document is outside the main class of any of its buckets. Elements
+    are in order of the number of documents that have them, then of their hash. Of a pair with enough in common, the first common
+    element is at most so far down in either that what follows, itself included, can still be enough. A document
+    without enough elements that others have too is out.
+    """
+    own = sets.join(members, "kind").select("kind", "set", "class", "out", (F.octet_length("set") / 4).cast("long").alias("size"))
+    elements = own.select("kind", "set").mapInArrow(_exploded, "kind long, element int")
+    seen = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    common = elements.join(seen.filter("n > 1"), "element")
+    listed = common.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("listed"))
+    lone = F.col("size") - F.size("listed")
+    # Positions up to these can hold the first element in common with one at most, or at least, as large.
+    reach = F.col("size") - F.ceil(F.col("size") * F.lit(least - 1e-9)) + 1
+    near = F.col("size") - F.ceil(F.col("size") * F.lit(2 * least / (1 + least) - 1e-9)) + 1
+    ranked = own.drop("set").join(listed, "kind").withColumns({"lone": lone, "near": near}).withColumn("head", F.slice("listed", 1, F.greatest(reach - lone, F.lit(0)).cast("int")))
+    heads = ranked.select("kind", "class", "out", "size", "near", "lone", F.posexplode("head.element").alias("at", "element")).withColumn("at", F.col("at") + F.col("lone"))
+    heads = work.written(heads.drop("lone"), "heads")
+    mixed = heads.groupBy("element").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("out").alias("any")).filter("x <> y AND any")
+    heads = heads.join(mixed.select("element"), "element")
+    left = heads.select("element", *[F.col(c).alias(f"{c}_x") for c in ("kind", "class", "out", "size", "at")])
+    right = heads.filter("at < near").select("element", *[F.col(c).alias(f"{c}_y") for c in ("kind", "class", "out", "size", "at")])
+    whole = F.col("size_x") + F.col("size_y")
+    rest = F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y"))
+    larger = F.struct("size_x", "kind_x") > F.struct("size_y", "kind_y")
+    test = (left["element"] == right["element"]) & (F.col("class_x") != F.col("class_y")) & (F.col("out_x") | F.col("out_y")) & larger & (rest * (1 + least) >= whole * F.lit(least - 1e-9))
+    return left.join(right, test).select(F.col("kind_x").alias("a"), F.col("kind_y").alias("b")).distinct()
 
 
 def _source(docs: DataFrame, *others: str) -> DataFrame:
@@ -204,128 +280,68 @@ def _source(docs: DataFrame, *others: str) -> DataFrame:
     return own.withColumn("digest", F.unhex(F.substring(F.sha2("bytes", 256), 1, 32)))
 
 
-def _labelled(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, digest) of every row, and for each digest its first id, its class, the class's id and first digest, and n_links."""
+#: Rounds of sampled comparisons go on while each leaves at most this share of the documents outside.
+PAYS = 0.8
+
+
+def _labelled(docs: DataFrame, least: float, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of every row, and for each digest its class's id and first digest."""
     source = _source(docs)
-    signed = written(source.select("id", "bytes", "digest").mapInArrow(_signed, "id long, digest binary, bands array<long>"), "signed")
-    # Equal texts: one stands for all. The least of its ids names it, or a hash where texts share an id.
+    signed = work.written(source.select("id", "bytes", "digest").mapInArrow(_signed, "id long, digest binary, bands array<long>"), "signed")
+    # Equal texts, told by 128 bits of SHA-256: one stands for all, under a number that the written table fixes.
     kinds = signed.groupBy("digest").agg(F.min("id").alias("first"), F.any_value("bands").alias("bands"))
-    kinds = written(kinds.withColumn("kind", F.xxhash64("digest")), "kinds")
+    kinds = work.written(kinds.withColumn("kind", F.monotonically_increasing_id()), "kinds")
     buckets = kinds.select("kind", F.explode("bands").alias("key"))
-    crowded = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "crowded")
-    crowd = written(buckets.join(crowded, "key").select("key", "kind", "n"), "crowd")
+    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowd = work.written(buckets.join(crowded, "key").select("key", "kind", "n"), "crowd")
     # A bucket's leader is the document that shares most buckets with most others: of edited copies, the original.
-    central = written(crowd.groupBy("kind").agg(F.sum("n").alias("shared")), "central")
-    leaders = written(crowd.join(central, "kind").groupBy("key").agg(F.max_by("kind", F.struct("shared", "kind")).alias("leader")), "leaders")
-    members = written(crowd.join(leaders, "key").select("key", "kind", "leader"), "members")
-    in_play = members.select("kind").distinct()
-    first_of = kinds.join(in_play, "kind", "left_semi").select("kind", "digest", F.col("first").alias("id"))
-    texts = source.join(first_of, ["id", "digest"]).select(F.col("kind").alias("id"), "bytes")
-    sets = written(texts.mapInArrow(_shingled, "id long, set binary").dropDuplicates(["id"]), "sets")
-
-    pairs = members.filter("kind <> leader").select(F.col("leader").alias("a"), F.col("kind").alias("b")).distinct()
-    known = written(_compared(pairs, sets), "compared")
-    links = known.filter(F.col("likeness") >= least).select("a", "b")
-    classes = connected(links)
-    to_leader = known.select(F.col("a").alias("leader"), F.col("b").alias("kind"), "likeness", "lacks")
-    placed = members.join(classes.withColumnRenamed("id", "kind"), "kind", "left").join(to_leader, ["leader", "kind"], "left")
-    placed = placed.select("key", "kind", "leader", F.coalesce("class", "kind").alias("class"), F.coalesce("likeness", F.lit(1.0)).alias("near"), F.coalesce("lacks", F.array_repeat(F.lit(0).cast("long"), GROUPS // 64)).alias("lacks"))
-    new = written(_compared(_untried(placed, known.select("a", "b"), sets, least), sets), "compared")
-    more = new.filter(F.col("likeness") >= least).select("a", "b")
-    links = links.unionByName(more)
-    # New links join whole classes.
-    for end in ("a", "b"):
-        more = more.join(classes.select(F.col("id").alias(end), F.col("class").alias(f"class_{end}")), end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
-    merged = connected(more.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
-    degree = links.select(F.col("a").alias("kind")).union(links.select(F.col("b").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n_links"))
-    named = kinds.select("kind", "digest", "first").join(classes.withColumnRenamed("id", "kind"), "kind", "left").withColumn("class", F.coalesce("class", "kind"))
-    named = named.join(merged.select(F.col("id").alias("class"), F.col("class").alias("top")), "class", "left").withColumn("class", F.coalesce("top", "class"))
+    central = crowd.groupBy("kind").agg(F.sum("n").alias("shared"))
+    members = work.written(crowd.join(central, "kind").select("key", "kind", "shared"), "members")
+    classes = work.written(members.select("kind").distinct().withColumn("class", F.col("kind")), "classes")
+    first_of = kinds.join(classes, "kind", "left_semi").select("kind", "digest", F.col("first").alias("id"))
+    texts = source.join(first_of, ["id", "digest"]).select("kind", "bytes")
+    sets = work.written(texts.mapInArrow(_packed, "kind long, set binary").dropDuplicates(["kind"]), "sets")
+
+    leaders = members.groupBy("key").agg(F.max_by("kind", F.struct("shared", "kind")).alias("leader"))
+    pairs = members.join(leaders, "key").filter("kind <> leader").select(F.col("leader").alias("a"), F.col("kind").alias("b")).distinct()
+    turn, left = 0, float("inf")
+    while True:
+        links = work.written(linked(pairs, sets, least), "links")
+        classes = _merged(classes, links, work)
+        split = _split(members, classes, work)
+        before, left = left, split.filter("class <> main").select("kind").distinct().count()
+        if left > PAYS * before or not left:
+            break
+        turn += 1
+        pairs = _samples(split, turn)
+    able = split.groupBy("kind").agg(F.any_value("class").alias("class"), F.max(F.col("class") != F.col("main")).alias("out"))
+    links = work.written(linked(work.written(candidates(able, sets, least, work), "candidates"), sets, least), "links")
+    classes = _merged(classes, links, work)
+    named = kinds.select("kind", "digest", "first").join(classes, "kind", "left").withColumn("class", F.coalesce("class", "kind"))
     names = named.groupBy("class").agg(F.min("first").alias("class_id"), F.min_by("digest", F.struct("first", "kind")).alias("class_digest"))
-    labelled = named.join(names, "class").join(degree, "kind", "left")
-    return signed.select("id", "digest"), labelled.select("digest", "class_id", "class_digest", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("id", "digest"), named.join(names, "class").select("digest", "class_id", "class_digest")
 
 
 def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """doc_id, class_id and n_links of every row.
+    """doc_id and class_id of every row.
 
-    Documents are near duplicates if the sets of their runs of five words have a Jaccard likeness of `least` or
-    more; a class is what such links connect, and its id the least doc_id in it. Equal texts are one: n_links
-    counts links found between different texts. Texts without words are near duplicates of equal texts only; null
-    counts as empty. Rows with a null doc_id take part under ids below all others and get that class only if they
-    are alone in it. Repeated rows get a row each; an empty table gives no rows; other columns are not read.
+    Documents are near duplicates if their runs of five words, weighted by how often they occur, have a Jaccard
+    likeness of `least` or more; a class is what such links connect, and its id the least doc_id in it. Texts
+    without words are near duplicates of equal texts only; null counts as empty; a text of any length is read whole.
+    Rows with a null doc_id take part under ids below all others and get that class only if they are alone in it.
+    Repeated rows get a row each; an empty table gives no rows; other columns are not read.
     """
-    rows, labelled = _labelled(docs, least)
-    known = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return rows.join(labelled, "digest").select(known("id").alias("doc_id"), known("class_id").alias("class_id"), "n_links")
+    with Scratch(docs.sparkSession, "near") as work:
+        rows, labelled = _labelled(docs, least, work)
+        known = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
+        return written(rows.join(labelled, "digest").select(known("id").alias("doc_id"), known("class_id").alias("class_id")), "classes")
 
 
 def one_of_each(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """`docs` with one row of each class of near duplicates: that of the least doc_id, one of equal rows. All columns stay."""
-    _, labelled = _labelled(docs, least)
     own, mark = unused("_id", docs), unused("_digest", docs)
-    chosen = labelled.filter("digest = class_digest").select(F.col("class_id").alias(own), F.col("digest").alias(mark))
+    with Scratch(docs.sparkSession, "near") as work:
+        _, labelled = _labelled(docs, least, work)
+        chosen = written(labelled.filter("digest = class_digest").select(F.col("class_id").alias(own), F.col("digest").alias(mark)), "chosen")
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), mark: F.unhex(F.substring(F.sha2(utf8(F.col("text")), 256), 1, 32))})
     return keyed.join(chosen, [own, mark], "left_semi").dropDuplicates([own, mark]).drop(own, mark)
-
-
-#: Documents outside a bucket's largest class that are compared with all of its documents.
-FEW = 8
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            sets = [np.frombuffer(x, "<i4") for x in part.column(1).to_pylist()]
-            kinds = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [*map(len, sets)])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(np.concatenate(sets), pa.int32())], names=["kind", "shingle"])
-
-
-def _untried(placed: DataFrame, known: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but two classes that were not compared and may be alike.
-
-    `placed`: key, kind, class, leader, near, its likeness to the bucket's leader, and lacks, the groups of the
-    leader's shingles of which it lacks any. Of two sets that share o with one leader of n shingles, and have r
-    besides that other documents here have too, at most min(o, o') + min(r, r') can be common, nor more than n
-    less the groups that either lacks, + min(r, r'). What that leaves too unlike isn't compared, which is so for
-    most copies with too many edits.
-    """
-
-    def with_main(members: DataFrame) -> DataFrame:
-        by_class = members.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-        main = by_class.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-        return members.join(main.filter("others > 0"), "key")
-
-    fields = ("kind", "class", "lead", "size", "size_l", "over", "rest", "lacks")
-
-    def across(members: DataFrame) -> DataFrame:
-        left = members.filter("class <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in fields])
-        right = members.select("key", *[F.col(c).alias(f"{c}_y") for c in fields])
-        same = F.least("over_x", "over_y") + F.least("rest_x", "rest_y")
-        any_ = F.least(F.col("over_x") + F.col("rest_x"), F.col("over_y") + F.col("rest_y"))
-        alike = lambda most: most >= F.lit(least - 1e-9) * (F.col("size_x") + F.col("size_y") - most)
-        led = F.col("lead_x") == F.col("lead_y")
-        lacking = F.aggregate(F.zip_with("lacks_x", "lacks_y", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda n, x: n + x)
-        close = ~led | alike(F.col("size_l_x") - lacking + F.least("rest_x", "rest_y"))
-        test = (left["key"] == right["key"]) & (F.col("class_x") != F.col("class_y")) & alike(F.when(led, same).otherwise(any_)) & close
-        return left.join(right, test).select(F.least("kind_x", "kind_y").alias("a"), F.greatest("kind_x", "kind_y").alias("b"))
-
-    split = written(with_main(placed), "split")
-    own = sets.withColumnRenamed("id", "kind").join(split.select("kind").distinct(), "kind", "left_semi")
-    alone = own.mapInArrow(_exploded, "kind long, shingle int").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind")).filter("n = 1")
-    alone = alone.groupBy("kind").agg(F.count(F.lit(1)).alias("alone"))
-    bounds = own.select("kind", (F.octet_length("set") / 4).cast("long").alias("size")).join(alone, "kind", "left")
-    bounds = written(bounds.select("kind", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "bounds")
-    able = split.drop("main", "others").join(bounds.filter(F.col("common") >= F.lit(least - 1e-9) * F.col("size")), "kind")
-    able = able.join(bounds.select(F.col("kind").alias("leader"), F.col("size").alias("size_l")), "leader")
-    over = F.round(F.col("near") * (F.col("size") + F.col("size_l")) / (1 + F.col("near"))).cast("long")
-    able = able.withColumn("over", over).withColumn("rest", F.greatest(F.col("common") - F.col("over"), F.lit(0))).withColumnRenamed("leader", "lead")
-    split = written(with_main(able), "split")
-    by_lead = split.filter(F.col("others") > FEW).groupBy("kind", "class", "size", "lead").agg(F.collect_set("key").alias("keys"), F.any_value(F.struct("lead", "size_l", "over", "rest", "lacks")).alias("led"))
-    # Of its buckets' leaders the one that leads most: in a family of copies most likely the same for all.
-    crowded = by_lead.groupBy("kind", "class", "size").agg(F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"), F.max_by("led", F.struct(F.size("keys"), "lead")).alias("best"))
-    twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda j: F.xxhash64(k, j))))
-    by_two = crowded.select(F.explode(twos).alias("key"), "kind", "size", "class", "best.*")
-    found = across(split.filter(F.col("others") <= FEW)).unionByName(across(with_main(by_two))).distinct()
-    tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.join(tried, ["a", "b"], "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, unused, utf8, written
+from .common import Scratch, unused, utf8, written
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 40
@@ -216,23 +216,22 @@ def _keys(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("check")
 
 
-def repeated_runs(docs: DataFrame, length: int = 200, kinds: int = KINDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, work: Scratch, length: int = 200, kinds: int = KINDS) -> DataFrame:
     """(id, check, lo, hi): strings of `length` bytes that begin at lo to hi there cover only bytes that are repeated."""
     source = docs.select(*_keys(docs), utf8(F.col("text")).alias("bytes"))
-    all_spans = written(source.mapInArrow(_anchored(length), SPAN), "spans")
-    # Written, so that the join reads both sides as they were dealt, and can split an anchor that many texts have.
-    shared = written(all_spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "shared")
-    candidates = written(all_spans.join(shared, "anchor"), "candidates")
-    let_go(all_spans)
-    let_go(shared)
+    with Scratch(docs.sparkSession, "spans") as spans_only:
+        all_spans = spans_only.written(source.mapInArrow(_anchored(length), SPAN), "spans")
+        # Written, so that the join reads both sides as they were dealt, and can split an anchor that many texts have.
+        shared = spans_only.written(all_spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "shared")
+        candidates = work.written(all_spans.join(shared, "anchor"), "candidates")
     kind = candidates.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "check", "lo", "hi")).alias("one"))
-    kind = written(kind, "kinds")
+    kind = work.written(kind, "kinds")
     equal = candidates.join(kind.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("id", "check", "lo", "hi")
-    mixed = written(kind.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", (F.col("m") > kinds).alias("many")), "mixed")
+    mixed = work.written(kind.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor", (F.col("m") > kinds).alias("many")), "mixed")
     wanted = kind.join(mixed, "anchor").groupBy("one.id", "one.check").agg(F.collect_list(F.struct("anchor", "many", "n", "one.lo", "one.hi")).alias("wanted"))
     # Rows that are equal in id and text each give such a span; it has n > 1, and so is only compared with.
     texts = source.join(wanted, ["id", "check"])
-    cut = written(texts.select("id", "check", "bytes", "wanted").mapInArrow(_cut(length), "anchor long, many boolean, n long, id long, check long, lo int, bytes binary"), "cut")
+    cut = work.written(texts.select("id", "check", "bytes", "wanted").mapInArrow(_cut(length), "anchor long, many boolean, n long, id long, check long, lo int, bytes binary"), "cut")
     cut = cut.withColumnRenamed("bytes", "text")
     few = cut.filter(~F.col("many")).select("anchor", "n", "id", "check", "lo", "text").repartition("anchor").sortWithinPartitions("anchor")
     sorted_ = few.mapInArrow(_by_suffixes(length), RUNS)
@@ -277,8 +276,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("d
     another. kept_text lacks characters of which a part goes. Null and empty texts have no bytes. Rows that are equal in doc_id and text are repeats of each other
     like any others. A null doc_id is kept as null; an empty table gives no rows.
     """
-    runs = repeated_runs(docs, length, kinds)
-    by_row = runs.groupBy("id", "check").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    with Scratch(docs.sparkSession, "suffixes") as work:
+        runs = repeated_runs(docs, work, length, kinds)
+        by_row = written(runs.groupBy("id", "check").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
     id_, check = _keys(docs)
     own, mark, raw, cut = (unused(x, docs) for x in ("_id", "_check", "_bytes", "_runs"))
     source = docs.select(id_.alias(own), check.alias(mark), utf8(F.col("text")).alias(raw), *keep)

@@ -5,13 +5,17 @@ import numpy as np
 import pytest
 
 from strandline.llm import near_dedup as nd
+from strandline.llm.common import Scratch
+
+
+def bag(text):
+    w = (text or "").encode().split()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
 
 
 def exact(texts, least=0.8):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    """The least position in each text's class, by comparing all pairs; and the pairs of different texts that are alike."""
+    bags = [bag(t) for t in texts]
     parent = list(range(len(texts)))
 
     def find(i):
@@ -19,14 +23,15 @@ def exact(texts, least=0.8):
             i = parent[i]
         return i
 
-    links = Counter()
+    links = []
     for i in range(len(texts)):
         for j in range(i):
             same = (texts[i] or "") == (texts[j] or "")
-            like = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 0
-            if same or like >= least:
+            few, many = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            if same or (many and few / many >= least):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
+                links += [] if same else [(j, i)]
     return [find(i) for i in range(len(texts))], links
 
 
@@ -49,6 +54,9 @@ def corpus(seed):
             texts.append(" ".join(words))
     passage = text(60)
     texts += [text(rng.randint(5, 60)) + " " + passage + " " + text(rng.randint(5, 60)) for _ in range(60)]
+    line = text(12)
+    for n in (20, 21, 24, 30):  # alike by how often they have a line, though their sets of runs are the same
+        texts.append("\n".join([line] * n))
     rng.shuffle(texts)
     return texts
 
@@ -84,16 +92,51 @@ def test_signatures_estimate_weighted_jaccard():
     assert len(none) == 0 and len(set(single.tolist())) == nd.COORDINATES
 
 
-def test_bounds_never_exclude_a_link():
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_candidates_hold_every_link_between_classes(spark, least):
     rng = np.random.default_rng(3)
-    leader = np.unique(rng.integers(0, 2**32, 400, dtype="u4"))
-    copies = []
-    for _ in range(40):
-        kept = leader[rng.random(len(leader)) > rng.uniform(0, 0.3)]
-        copies.append(np.unique(np.concatenate((kept, rng.integers(0, 2**32, rng.integers(0, 60), dtype="u4")))))
-    told = [nd.compared_sets(leader.tobytes(), c.tobytes()) for c in copies]
-    for c, (like, lacks) in zip(copies, told, strict=True):
-        assert abs(like - len(np.intersect1d(leader, c)) / len(np.union1d(leader, c))) < 1e-12
-        for d, (_, other) in zip(copies, told, strict=True):
-            groups = sum((x | y).bit_count() if x | y >= 0 else ((x | y) & (2**64 - 1)).bit_count() for x, y in zip(lacks, other, strict=True))
-            assert len(leader) - groups >= len(np.intersect1d(np.intersect1d(c, d), leader))
+    cores = [rng.integers(0, 2**32, n, dtype="u4") for n in (60, 200, 200)]
+    sets = []
+    for i in range(90):
+        core = cores[i % 3]
+        kept = core[rng.random(len(core)) > rng.uniform(0, 0.2)]
+        sets.append(np.unique(np.concatenate((kept, rng.integers(0, 2**32, rng.integers(0, 30), dtype="u4"), cores[0][: 10 * (i % 4)]))))
+    sets += [np.zeros(0, "u4"), sets[0][:1], sets[0][:2], sets[0][:2]]
+    rows = [(i, x.tobytes()) for i, x in enumerate(sets)]
+    members = [(i, i // 4, i % 5 == 0) for i in range(len(sets))]
+    table = spark.createDataFrame(rows, "kind long, set binary")
+    with Scratch(spark, "test") as work:
+        found = nd.candidates(spark.createDataFrame(members, "kind long, class long, out boolean"), table, least, work)
+        pairs = {tuple(sorted((r.a, r.b))) for r in found.collect()}
+        linked = {tuple(sorted((r.a, r.b))) for r in nd.linked(found, table, least).collect()}
+    want = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            common, whole = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+            if whole and common / whole >= least and i // 4 != j // 4 and (i % 5 == 0 or j % 5 == 0):
+                want.add((j, i))
+    assert want and linked == want and pairs >= want
+
+
+def test_classes_of_documents_are_those_of_all_links(spark):
+    """Each link of likeness 0.8 between any two documents lies within a class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    classes = {r.doc_id: r.class_id for r in nd.near_duplicates(rows).collect()}
+    bags = {r.doc_id: (r.text or "", bag(r.text)) for r in rows.collect()}
+    having, links = {}, 0
+    for i, (t, x) in bags.items():
+        for j in {j for run in x for j in having.get(run, ())}:
+            u, y = bags[j]
+            if t != u and sum((x & y).values()) >= 0.8 * sum((x | y).values()):
+                links += 1
+                assert classes[i] == classes[j]
+        for run in x:
+            having.setdefault(run, []).append(i)
+    assert links
+    # No class without links: in each, every text is alike another of it or equal to it.
+    members = {}
+    for i, c in classes.items():
+        members.setdefault(c, []).append(i)
+    for of in (m for m in members.values() if len(m) > 1):
+        for i in of:
+            assert any(bags[i][0] == bags[j][0] or sum((bags[i][1] & bags[j][1]).values()) >= 0.8 * sum((bags[i][1] | bags[j][1]).values()) for j in of if i != j)
