@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def least_hashed(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """At most `most` rows, those whose key's hash is least; all of them where there are no more.
+def least_hashed(rows: DataFrame, most: int, *key: str, distinct: bool = False) -> DataFrame:
+    """At most `most` rows, or distinct ones, those whose key's hash is least; all of them where there are no more.
 
     A share of the hashes that holds about twice as many is cut out first, so tasks send on about 2 * most rows
     in all and not `most` each.
     """
-    n = rows.count()
     h = F.xxhash64(*key)
+    n = rows.select(F.approx_count_distinct(h)).first()[0] if distinct else rows.count()
     if n > 4 * most:
         edge = int(-(2**63) + 2**64 * (2 * most / n))
         rows = rows.filter(h < F.lit(edge))
-    return rows.orderBy(h, *key).limit(most)
+    return (rows.distinct() if distinct else rows).orderBy(h, *key).limit(most)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import licenses, pairwise_quality, pii
+from strandline.llm import pairwise_quality, pii
 from strandline.llm import quality_rules as rules
 from strandline.llm.common import documents
 
@@ -51,29 +51,6 @@ def test_pairwise_weights_order_features():
     assert model.weights[0] > 0 > model.weights[1] and np.mean((scores >= 0.7) == y) > 0.9
 
 
-def test_license_scan(spark):
-    scanner = licenses.train(spark, documents(spark, "/root/testdata/sf0.001"))
-    known = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
-    assert all(any(c in t.lower() for c in licenses.CUES) for f, t in known if t.startswith(("Licensed", "Released", "This work", "Copyright", "All rights")))
-    rows = [(i, f"Some words.\n{t}\nMore words.") for i, (_, t) in enumerate(known)]
-    other = ["The licensed driver had a permission slip.", "no cue", "", None, "License\nlicence and copyright", "x" * 20_000 + " license", "Licensed under the " * 3000]
-    docs = spark.createDataFrame([*rows, *[(1000 + i, t) for i, t in enumerate(other)], (None, "Released under the MIT License.")], "doc_id long, text string").withColumn("licenses", F.lit(1))
-    found = {r.doc_id: r.licenses for r in licenses.license_scan(docs, scanner).collect()}
-    for i, (family, text) in enumerate(known):
-        if any(c in text.lower() for c in licenses.CUES):
-            assert [(x.line, x.family) for x in found[i]] == [(1, family)], text
-    assert all(x.family == "unknown" for i in range(len(other)) for x in found[1000 + i])
-    assert found[1001] == found[1002] == found[1003] == [] and found[None][0].family == "mit"
-    assert licenses.license_scan(docs.limit(0), scanner).count() == 0
-    # The projection equals the same sums in numpy.
-    line = "this Project is released under the MIT License, see file."
-    slots = spark.createDataFrame([(line,)], "t string").select(licenses.slots(licenses.words(F.col("t"))).alias("s")).first().s
-    z = scanner.weights[slots].sum(axis=0) / np.sqrt(len(slots)) + scanner.bias
-    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-    got = spark.createDataFrame([(line,)], "t string").select(licenses.judged(F.col("t"), scanner).alias("j")).first().j
-    assert abs(got.probability - p.max()) < 1e-6 and got.family == (("unknown", *scanner.families)[int(p.argmax())])
-
-
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
