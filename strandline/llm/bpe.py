@@ -8,15 +8,17 @@ memory; the words of a batch walk it together, an arc a step. Words that it lack
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
+import shutil
 import tempfile
-import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +31,19 @@ from .sampling import most_frequent
 
 #: Longest word in the automaton, in bytes; longer ones are merged.
 LONGEST = 40
-#: Fixed value: a word of this tokenizer family, in lower-case text. Letters come first, as nothing else begins with one.
-WORD = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: The same for texts of Latin letters, up to U+024F, which most are; Python's own engine is faster on it.
-LATIN_WORD = r"[a-zªµºß-öø-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ɏ0-9²³¹¼-¾\t-\r \x85\xa0]+"
+#: Fixed value: a word of this tokenizer family, in lower-case text of code points up to U+017F. Letters come first, as nothing else begins with one.
+LATIN_WORD = r"[a-zªµºß-öø-ſ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ſ0-9²³¹¼-¾\t-\r \x85\xa0]+"
+#: Other code points, and the one whose lower case is two. Where a stretch between blanks has one, the library parts it.
+BEYOND = r"[\u0130\u0180-\U0010ffff]"
+#: Symbols from which on a word is merged by a queue.
+LONG_WORD = 60
 
 
 class Merger:
     """The vocabulary of a tokenizer file whose tokens end words with a mark, and the exact way of merging."""
 
     def __init__(self, path: str):
-        import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -49,9 +53,10 @@ class Merger:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
-        self.any_words, self.latin_words = regex.compile(WORD).findall, re.compile(LATIN_WORD).findall
-        self.beyond_latin = re.compile("[ɐ-\U0010ffff\u00c0-\u00d6\u00d8-\u00deA-Z]").search
-        self.parts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda t: [t]
+        library = Tokenizer.from_file(path)
+        self.normal, self.parted = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.latin_words, self.beyond, self.blank = re.compile(LATIN_WORD).findall, re.compile(BEYOND).search, re.compile("[ \n]").search
+        self.parts = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else lambda t: [t]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.char_of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -62,11 +67,16 @@ class Merger:
         for part in self.parts(text):
             if part in self.special:
                 found.append(part)
-            elif part:
-                part = unicodedata.normalize("NFC", part)
-                # Lower case letter by letter: a sigma at the end of a word is like others.
-                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                found += self.any_words(part) if self.beyond_latin(part) else self.latin_words(part)
+                continue
+            at = 0
+            while odd := self.beyond(part, at):
+                first = max(part.rfind(" ", at, odd.start()), part.rfind("\n", at, odd.start()), at - 1) + 1
+                last = blank.start() if (blank := self.blank(part, odd.end())) else len(part)
+                found += self.latin_words(part[at:first].lower())
+                normal = self.normal(part[first:last])
+                found += [normal[a:b] for _, (a, b) in self.parted(normal)]
+                at = last
+            found += self.latin_words(part[at:].lower())
         return found
 
     def merged(self, word: str) -> list[int]:
@@ -75,6 +85,8 @@ class Merger:
             return [self.special[word]]
         symbols = [self.char_of[b] for b in word.encode("utf-8", "surrogatepass")]
         symbols[-1] += self.end
+        if len(symbols) >= LONG_WORD:
+            return self._merged_by_queue(symbols)
         known, far = self.ranks.get, len(self.ranks)
         scores = [known(pair, far) for pair in zip(symbols, symbols[1:], strict=False)]
         while scores:
@@ -90,6 +102,27 @@ class Merger:
                 scores[i] = known((symbols[i], symbols[i + 1]), far)
         return [self.vocab[s] for s in symbols if s in self.vocab]
 
+    def _merged_by_queue(self, symbols: list[str]) -> list[int]:
+        """The same for many symbols: pairs wait in a heap by rank and place, and joined symbols leave links to their neighbours."""
+        n, known = len(symbols), self.ranks.get
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (rank := known((a, b))) is not None]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue  # one of the two has been joined since
+            symbols[i], symbols[j] = a + b, ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (rank := known((a + b, symbols[k]))) is not None:
+                    heappush(heap, (rank, i, a + b, symbols[k]))
+            if (h := before[i]) >= 0 and (rank := known((symbols[h], a + b))) is not None:
+                heappush(heap, (rank, h, symbols[h], a + b))
+        return [self.vocab[s] for s in symbols if s in self.vocab]
+
     def decoded(self, ids: list[int]) -> str:
         """The tokens of ids; this family has no decoder, so a blank stands between any two."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
@@ -263,7 +296,9 @@ def compiled_lexicon(docs: DataFrame, tokenizer: str, most: int) -> str:
     m = merger(tokenizer)
     words = sorted(frequent_words(docs, tokenizer, most))
     name = f"lexicon-{uuid.uuid4().hex}.fst"
-    path = os.path.join(tempfile.mkdtemp(), name)
+    folder = tempfile.mkdtemp()  # the driver serves the file from here to executors, lost and new ones too, until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, name)
     Lexicon.save(path, words, [m.merged(w) for w in words])
     docs.sparkSession.sparkContext.addFile(path)
     return name
@@ -277,7 +312,8 @@ def encoded(docs: DataFrame, tokenizer: str, most: int = 60_000, whole: bool = T
     """doc_id, n_tokens and the digests of the ids and of the decoded text; with `whole`, also ids and decoded.
 
     Null and empty texts have no tokens. Rows are encoded each for itself: repeated rows, ties and null doc_ids
-    come out as they went in, an empty table gives no rows, and other columns are not read.
+    come out as they went in, an empty table gives no rows, and other columns are not read. A text of any length is
+    encoded whole, in time almost in proportion to it, one without white space too.
     """
     name = compiled_lexicon(docs, tokenizer, most)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * whole

@@ -12,6 +12,7 @@ whatever the input, and go largest first into bins of their own.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -46,8 +47,28 @@ def byte_encoder(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def reference_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+#: Longer white space than the fast encoder's pattern can step back over.
+_LONG_SPACE = re.compile(r"\s{100000}")
+
+
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
-    return np.array([*byte_encoder(path).encode(text or "", allowed_special="all"), end_id], dtype="<u4")
+    """The ids of a whole text, of any length, and the end id."""
+    text = text or ""
+    if len(text) >= 100_000 and _LONG_SPACE.search(text):
+        ids = reference_encoder(path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = byte_encoder(path).encode(text, allowed_special="all")
+    return np.array([*ids, end_id], dtype="<u4")
 
 
 def harmonic_cuts(n: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -110,7 +131,7 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A sequence's
     ids are its pieces' ids in the order of `offset`; `sequence_ids` makes them.
 
-    A null or empty text is the end token alone. A null doc_id is kept as null; repeated rows, ties and equal
+    A null or empty text is the end token alone; a text of any length is encoded whole. A null doc_id is kept as null; repeated rows, ties and equal
     doc_ids are packed as often as they occur. An empty table gives no rows. Other columns, whatever their
     names, are not read.
     """

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -142,6 +143,33 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe.encoded(empty, WORDS, 10).count() == 0
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    tok, own = Tokenizer.from_file(WORDS), bpe.merger(WORDS)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(3)
+    common = [*range(0x20, 0x180)] * 4 + points[:0x3000] + [10, 9, 32, 32, 39, 0x2019]
+    texts = [" ".join(f"a{chr(c)}t" for c in points[i : i + 2000]) for i in range(0, len(points), 2000)]
+    texts += ["".join(chr(rng.choice(common if rng.random() < 0.8 else points)) for _ in range(rng.randint(1, 30))) for _ in range(10_000)]
+    texts += ["a" * 100_000, "".join(rng.choices("abcdefghijklmnop", k=100_000)), "語" * 50_000, "#" * 100_000, "x\n" * 50_000 + "語", "aé語" * 20_000]
+    for text, encoding in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for w in own.words(text) for i in own.merged(w)] == encoding.ids
+
+
+def test_long_words_take_time_in_proportion():
+    own, took = bpe.merger(WORDS), []
+    for n in (25_000, 100_000):
+        begin = time.perf_counter()
+        own.merged("".join(random.Random(2).choices("abcdefghijklmnop", k=n)))
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_token_ids_of_very_long_texts():
+    tok = Tokenizer.from_file(BYTES)
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a \t" * 500_000, "é" * 500_000, "#" * 1_000_000, "\u00a0" * 1_100_000 + "x", "word " * 300_000):
+        assert packing.token_ids(text, BYTES, 0).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_transducer_is_minimal_and_numbers_words(tmp_path):
     rng = random.Random(1)
     words = sorted({"".join(rng.choices("abé", k=rng.randint(1, 7))) for _ in range(400)})
