@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked_within, written
+from .common import Scratch, ranked_within, written
 
 #: Fixed value: the pattern by which byte-level vocabularies of this family split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,18 +125,8 @@ def _fill_tail(capacity: int):
     return run
 
 
-def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
-    """The pieces of all documents and their places.
-
-    One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A sequence's
-    ids are its pieces' ids in the order of `offset`; `sequence_ids` makes them.
-
-    A null or empty text is the end token alone; a text of any length is encoded whole. A null doc_id is kept as null; repeated rows, ties and equal
-    doc_ids are packed as often as they occur. An empty table gives no rows. Other columns, whatever their
-    names, are not read.
-    """
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    pieces = written(slim.mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES), "pieces")
+def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
+    """The pieces with the sequence and the offset that their rank in their class gives them."""
     ranked = ranked_within(pieces, "_task", "_class", "_index", "_rank")
     totals = pieces.groupBy("_class").agg(F.count(F.lit(1)).alias("_total"))
     # One row for each class, at most 2 * sqrt(capacity) of them.
@@ -161,6 +151,21 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     return whole.unionByName(tail.select(*own, (F.col("_tail_first") + F.col("_bin")).alias("sequence_id"), "offset"))
 
 
+def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
+    """The pieces of all documents and their places.
+
+    One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A sequence's
+    ids are its pieces' ids in the order of `offset`; `sequence_ids` makes them.
+
+    A null or empty text is the end token alone; a text of any length is encoded whole. A null doc_id is kept as null; repeated rows, ties and equal
+    doc_ids are packed as often as they occur. An empty table gives no rows. Other columns, whatever their
+    names, are not read.
+    """
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    with Scratch(docs.sparkSession, "packing") as work:
+        return written(_placed(work.written(slim.mapInArrow(_pieces(tokenizer, capacity, end_id), PIECES), "pieces"), capacity), "packed")
+
+
 def sequence_ids(docs: DataFrame, pieces: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """sequence_id and its ids, from pieces that `harmonic_pack` placed. doc_id must be unique here."""
 

@@ -101,7 +101,7 @@ def fitted(values: np.ndarray, labels: np.ndarray, pairs: int = MOST_PAIRS, ridg
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> Model:
     """Fits on at most `most_rows` labelled rows that aren't held out, those with the least hash of doc_id."""
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     sample = least_hashed(usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("_label")), most_rows, "doc_id", "_label")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("_label", features(F.col("text")).alias("values"))
     table = rows.orderBy(F.xxhash64("values"), "_label").limit(2 * most_rows).collect()  # most_rows, unless doc_ids repeat

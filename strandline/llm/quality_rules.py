@@ -28,6 +28,9 @@ STOP_WORDS = tuple(
     "el los las del y que en un una por con para se es al lo".split()
 )
 
+#: Fixed value: marks that are no part of a stop word when they stand before or after it.
+AROUND_WORDS = ".,;:!?()[]"
+
 RULES = (
     Rule("word_length", "mean_word_chars", 2, 14),
     Rule("symbols", "symbols_per_word", None, 0.1),
@@ -56,21 +59,25 @@ def _repeated_words(words: Column) -> Column:
         def neighbours(s: Column) -> Column:
             m = F.size(s)
 
+            def alike(x: Column, y: Column) -> Column:
+                apart = x.bitwiseXOR(y)
+                return (apart >= 0) & (apart < _shift(low, bits))
+
             def same(x: Column, y: Column) -> Column:
                 p, q = place_of(x, bits).cast("int"), place_of(y, bits).cast("int")
-                apart = x.bitwiseXOR(y)
                 return (
-                    (apart >= 0)
-                    & (apart < _shift(low, bits))
-                    & (F.element_at(words, p) == F.element_at(words, q))
+                    (F.element_at(words, p) == F.element_at(words, q))
                     & (F.element_at(words, p + 1) == F.element_at(words, q + 1))
                     & (F.element_at(words, p + 2) == F.element_at(words, q + 2))
                 )
 
-            return F.filter(
-                s,
-                lambda x, i: ((i + 1 < m) & same(x, F.get(s, i + 1))) | ((i > 0) & same(x, F.get(s, i - 1))),
-            )
+            def repeats(x: Column, i: Column) -> Column:
+                """A neighbour of the same hash is nearly always the same run; where one isn't, all others are tried."""
+                after, before = (i + 1 < m) & alike(x, F.get(s, i + 1)), (i > 0) & alike(x, F.get(s, i - 1))
+                near = (after & same(x, F.get(s, i + 1))) | (before & same(x, F.get(s, i - 1)))
+                return near | ((after | before) & F.exists(s, lambda y: (x != y) & alike(x, y) & same(x, y)))
+
+            return F.filter(s, repeats)
 
         def covered(p: Column) -> Column:
             steps = F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), F.least(F.lit(3).cast("long"), F.get(p, i + 1) - x)).otherwise(F.lit(3).cast("long")))
@@ -97,7 +104,7 @@ def text_metrics(text: Column) -> Column:
             chars = F.char_length(F.concat_ws("", words)).cast("long")
             symbols = F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long")
             dup = (m - F.size(F.array_distinct(lines))).cast("long")
-            stops = F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long")
+            stops = F.size(F.filter(words, lambda w: F.btrim(F.lower(w), F.lit(AROUND_WORDS)).isin(*STOP_WORDS))).cast("long")
             at_least_1 = lambda x: F.greatest(x, F.lit(1).cast("long"))
             return F.struct(
                 n.alias("n_words"),
@@ -130,8 +137,8 @@ def compiled(rules: Sequence[Rule], metrics: Column) -> Column:
 def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Adds quality: the metrics, base_failed, broken (names of rules) and kept; all other columns stay.
 
-    Null and empty texts have no words and fail the base rule. A column that is already named quality is
-    replaced. Repeated rows are judged alike; an empty table stays empty.
+    Null and empty texts have no words and fail the base rule; a text of any length is read whole. A column that is
+    already named quality, in letters of any case, is replaced. Repeated rows are judged alike; an empty table stays empty.
     """
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "mean_line_words")
 
@@ -141,4 +148,4 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
     # As a generator's row, so that a filter on the verdict doesn't compute it again.
     judged = F.explode(F.array(let(text_metrics(F.col("text")), verdict)))
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"], judged.alias("quality"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality"], judged.alias("quality"))

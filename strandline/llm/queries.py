@@ -15,7 +15,7 @@ from .fingerprints import edit_fingerprints
 from .near_dedup import near_duplicates
 from .packing import harmonic_pack
 from .pii import pseudonymise
-from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .quality_rules import AROUND_WORDS, RULES, STOP_WORDS, quality_rules
 from .sharding import even_tree, tree_shards
 from .suffix_dedup import suffix_dedup
 
@@ -94,7 +94,7 @@ m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-         len(lines) AS n_lines, len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}))) AS n_stop
+         len(lines) AS n_lines, len(list_filter(w, lambda x: trim(lower(x), '{AROUND_WORDS}') IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}))) AS n_stop
   FROM d LEFT JOIN repeated USING (doc_id)),
 r AS (
   SELECT *, word_chars::DOUBLE / greatest(n_words, 1) AS mean_word_chars, n_symbols::DOUBLE / greatest(n_words, 1) AS symbols_per_word,

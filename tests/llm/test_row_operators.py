@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -7,6 +8,7 @@ from hashlib import sha256
 
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -75,7 +77,7 @@ def test_packing_cuts():
 
 
 def test_sharding(spark, docs, empty):
-    rows = sharding.tree_shards(docs, sharding.even_tree(5), sharding.even_tree(6), buckets=3).collect()
+    rows = sharding.tree_shards(docs, sharding.even_tree(5), sharding.even_tree(6), rows=2).collect()
     assert len(rows) == len(corpus())
     texts = defaultdict(list)
     for r in corpus():
@@ -93,13 +95,37 @@ def test_sharding_moves_only_to_where_weight_grew(spark):
     keys = spark.range(20_000).withColumn("key", F.col("id").cast("string"))
     old = {"a": {"r": {0: 1.0, 1: 2.0}, "s": {2: 1.0}}, "b": {"r": {3: 4.0}}}
     new = {"a": {"r": {0: 1.0, 1: 3.0}, "s": {2: 1.0}}, "b": {"r": {3: 4.0}}}
-    both = sharding.place(sharding.place(keys, F.col("key"), old, "old_"), F.col("key"), new, "new_").collect()
+    both = sharding.place(keys.withColumns({"_placed": F.lit(1), "old_shard": F.lit("x")}), F.col("key"), {"old_": old, "new_": new})
+    assert "_placed" in both.columns
+    both = both.collect()
     assert all(r.new_shard in (r.old_shard, 1) for r in both)
     share = Counter(r.old_shard for r in both)
     assert all(abs(share[s] / 20_000 - w / 8) < 0.02 for s, w in {0: 1, 1: 2, 2: 1, 3: 4}.items())
     assert {(r.old_region, r.old_rack, r.old_shard) for r in both} == {("a", "r", 0), ("a", "r", 1), ("a", "s", 2), ("b", "r", 3)}
 
 
+def test_sharding_equals_brute_force(spark, docs):
+    """The descent anew: hashes by the xxhash library, draws of racks and regions as minima, level by level."""
+    tree, grown = sharding.even_tree(7), sharding.even_tree(8)
+
+    def hashed(shard, key):  # Spark's xxhash64 of several columns: each one's hash seeds the next one's
+        seed = 42
+        for x in (f"shard-{shard}", key):
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        return seed
+
+    def descent(tree, key):
+        draw = lambda s, w: -math.log(((hashed(s, key) >> 12) + 0.5) / 2**52) / w
+        rack_draw = lambda inner: min(draw(s, w) for s, w in inner.items())
+        region = min(tree, key=lambda g: min(map(rack_draw, tree[g].values())))
+        rack = min(tree[region], key=lambda r: rack_draw(tree[region][r]))
+        return region, rack, min(tree[region][rack], key=lambda s: draw(s, tree[region][rack][s]))
+
+    for r in sharding.tree_shards(docs, tree, grown).collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.region, r.rack, r.shard) == descent(tree, key) and r.grown_shard == descent(grown, key)[2]
+
+
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
