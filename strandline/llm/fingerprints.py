@@ -25,6 +25,7 @@ from .common import let
 
 BLOCK = 160
 _SENTENCE = re.compile(r"(?<=[.!?]) ")
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _BLANK = re.compile(r"(\n[^\S\n]*\n)")
 _NODE = re.compile(r"([0-9a-f]{8}):(\d+)")
 
@@ -56,9 +57,7 @@ def fingerprint(text: str | None) -> str:
         if not body:
             continue
         paragraphs = []
-        for line in body.splitlines(keepends=True) if "\n" not in body else [x + "\n" for x in body.split("\n")[:-1]] + [body.rsplit("\n", 1)[1]]:
-            if not line:
-                continue
+        for line in _LINE.findall(body):
             leaves = []
             for s in _SENTENCE.split(line):
                 for i in range(0, max(len(s), 1), BLOCK):
@@ -160,38 +159,50 @@ def merkle_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _above(cuts: list[int], key: Column) -> Column:
-    """How many of the cuts, which descend, are above the key: first by blocks of about their square root, then in one block."""
+#: Bytes of text of a part, about, while there are no more parts than MOST_PARTS; the driver holds a row for each part.
+PART = 8 << 20
+MOST_PARTS = 100_000
+
+
+def part_cuts(bounds: list[int]) -> list[tuple[int, int]]:
+    """(key, tie) where one part ends and the next begins, descending. A key that is many bounds at once is cut by its ties, evenly."""
+    return sorted(((key, -(2**63) + 2**64 * j // n) for key, n in Counter(bounds).items() for j in range(n)), reverse=True)
+
+
+def _above(cuts: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the cuts, which descend, are above the row: first by blocks of about their square root, then in one block."""
     step = max(1, round(len(cuts) ** 0.5))
-    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    blocks = F.size(F.filter(literal(cuts[step - 1 :: step]), lambda c: c > key))
-    return let(blocks, lambda b: b * step + F.size(F.filter(F.slice(literal(cuts), b * step + 1, F.lit(step)), lambda c: c > key)))
+
+    def literal(xs: list[tuple[int, int]]) -> Column:
+        return F.arrays_zip(*[F.split(F.lit(",".join(str(x[i]) for x in xs)), ",").cast("array<bigint>") for i in (0, 1)])
+
+    above = lambda c: (c["0"] > key) | ((c["0"] == key) & (c["1"] > tie))
+    blocks = F.size(F.filter(literal(cuts[step - 1 :: step]), above))
+    return let(blocks, lambda b: b * step + F.size(F.filter(F.slice(literal(cuts), b * step + 1, F.lit(step)), above)))
 
 
-def edit_fingerprints(docs: DataFrame) -> DataFrame:
+def edit_fingerprints(docs: DataFrame, part: int = PART) -> DataFrame:
     """Every document's fingerprint beside its edited text's and the next document's, in descending order of doc_id.
 
-    Documents are dealt into parts by ranges of doc_id, as many as there are shuffle partitions; the first
-    document of a part also goes, as a guest, to the part before it, so every document meets its next one and
-    texts are shuffled once. A null doc_id comes last; rows with equal doc_ids come in the order of their texts;
-    the next document of an only row is itself; an empty table gives no rows; other columns are not read.
+    Documents are dealt into parts of about `part` bytes by ranges of doc_id; the first document of a part also
+    goes, as a guest, to the part before it, so every document meets its next one and texts are shuffled once. A
+    null doc_id comes last; rows with equal doc_ids, which can be many, come in the order of a hash of their texts,
+    and are parted by it; the next document of an only row is itself; an empty table gives no rows; a text of any
+    length is read whole; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slim = slim.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    total = slim.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).first()[0] or 0
+    n = min(MOST_PARTS, max(2 * spark.sparkContext.defaultParallelism, -(-total // part)))
     bounds = slim.select(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] or []
-    cuts = sorted(set(bounds), reverse=True)  # fewer than the partitions
-    dealt = slim.withColumn("_part", _above(cuts, F.col("_key")) if cuts else F.lit(0))
-    heads = sorted((r["_part"], r["_key"]) for r in dealt.groupBy("_part").agg(F.max("_key").alias("_key")).collect())  # one row a part
-    before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
-    guest_of = F.lit(None).cast("int")
-    if before:
-        guest_of = F.element_at(F.create_map(*[F.lit(x) for k, p in before.items() for x in (k, p)]), F.col("_key")) if len(before) <= 64 else None
-        if guest_of is None:
-            table = spark.createDataFrame(list(before.items()), "_key long, _host int")
-            dealt = dealt.join(F.broadcast(table), "_key", "left")
-            guest_of = F.col("_host")
-    copies = F.filter(F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest")), F.struct(guest_of.alias("part"), F.lit(1).alias("guest"))), lambda x: x["part"].isNotNull())
-    sent = dealt.withColumn("_to", F.explode(copies)).select(F.col("_to.part").alias("part"), F.col("_to.guest").alias("guest"), "doc_id", "text")
-    ordered = sent.repartition(n, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
-    return ordered.mapInArrow(_compared, RESULT)
+    cuts = part_cuts(bounds)
+    dealt = slim.withColumn("_part", _above(cuts, F.col("_key"), F.col("_tie")) if cuts else F.lit(0))
+    heads = dealt.groupBy("_part").agg(F.max(F.struct("_key", "_tie")).alias("head"))
+    heads = sorted((r["_part"], r["head"]["_key"], r["head"]["_tie"]) for r in heads.collect())  # one row a part
+    hosts = spark.createDataFrame([(key, tie, heads[i - 1][0]) for i, (_, key, tie) in enumerate(heads)], "_key long, _tie long, _host int")
+    dealt = dealt.join(F.broadcast(hosts), ["_key", "_tie"], "left")
+    copies = F.filter(F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest")), F.struct(F.col("_host").alias("part"), F.lit(1).alias("guest"))), lambda x: x["part"].isNotNull())
+    sent = dealt.withColumn("_to", F.explode(copies)).select(F.col("_to.part").alias("part"), F.col("_to.guest").alias("guest"), "doc_id", "text", "_key", "_tie")
+    ordered = sent.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", F.desc("_key"), F.desc("_tie"), "text")
+    return ordered.select("part", "guest", "doc_id", "text").mapInArrow(_compared, RESULT)

@@ -273,9 +273,14 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep: tuple[str, ...] = ("d
     """`keep` columns of every row, n_bytes, n_removed, n_spans and kept_sha256; with `with_text`, also kept_text.
 
     Every byte goes that a string of `length` bytes covers which begins anywhere else too, in the same text or
-    another. kept_text lacks characters of which a part goes. Null and empty texts have no bytes. Rows that are equal in doc_id and text are repeats of each other
-    like any others. A null doc_id is kept as null; an empty table gives no rows.
+    another. kept_text lacks characters of which a part goes. Null and empty texts have no bytes; a text of any
+    length is read whole. Rows that are equal in doc_id and text are repeats of each other like any others. A null
+    doc_id is kept as null; an empty table gives no rows. A `keep` column with the name of a result, in letters of
+    any case, gives way to it. Spans that are equal as a whole are told by two 64-bit hashes, of the anchor and of
+    the span, whose bytes are not compared.
     """
+    results = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    keep = tuple(c for c in keep if c.lower() not in results[: 4 + with_text])
     with Scratch(docs.sparkSession, "suffixes") as work:
         runs = repeated_runs(docs, work, length, kinds)
         by_row = written(runs.groupBy("id", "check").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")

@@ -4,7 +4,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import public_tokenizers
 import pytest
@@ -215,26 +215,93 @@ def test_transducer_is_minimal_and_numbers_words(tmp_path):
     assert len(lex.final) == len({frozenset(e) for e in endings.values()})
 
 
-def test_fingerprints(docs, empty):
+def brute_tree(text):
+    """(digest, size, shown, parts) of a text and, nested, of its sections, paragraphs and leaves."""
+    hashed = lambda *raw: blake2b(b"".join(raw), digest_size=16).digest()
+
+    def node(parts, around):
+        raw, size = hashed(b"\x01", *[p[0] for p in parts]), sum(p[1] for p in parts)
+        return raw, size, f"{raw.hex()[:8]}:{size}" + around[0] + around[2].join(p[2] for p in parts) + around[1], parts
+
+    def leaf(t):
+        raw = hashed(b"\x00", t.encode())
+        return raw, len(t) + 1, f"{raw.hex()[:8]}:{len(t) + 1}", []
+
+    sections, at = [], 0
+    ends = [m.end() for m in re.finditer(r"\n[^\S\n]*\n", text)] + [len(text)]
+    for end in ends:
+        paragraphs = []
+        for line in [x for x in re.split(r"(?<=\n)", text[at:end]) if x]:
+            sentences = re.split(r"(?<=[.!?]) ", line)
+            paragraphs.append(node([leaf(s[i : i + 160]) for s in sentences for i in range(0, max(len(s), 1), 160)], "() "))
+        if paragraphs:
+            sections.append(node(paragraphs, ("[", "]", "")))
+        at = end
+    return hashed(b"\x02", *[p[0] for p in sections]).hex() + "|" + "".join(p[2] for p in sections), sections
+
+
+def brute_likeness(a, b):
+    if a[0][:32] == b[0][:32]:
+        return 1.0
+    left, right = a[1], b[1]
+    total, same = sum(p[1] for p in left + right), 0
+    for _ in range(3):
+        name = lambda p: (p[0][:4], p[1])
+        common = Counter(map(name, left)) & Counter(map(name, right))
+        same += sum(k[1] * n for k, n in common.items())
+        sides = []
+        for side in (left, right):
+            gone, rest = Counter(common), []
+            for p in side:
+                if gone[name(p)]:
+                    gone[name(p)] -= 1
+                else:
+                    rest += p[3]
+            sides.append(rest)
+        left, right = sides
+    return 2 * same / total if total else 1.0
+
+
+@pytest.mark.parametrize("part", [fingerprints.PART, 1000])
+def test_fingerprints(docs, empty, part):
     order = sorted(((-(2**63) if r[0] is None else r[0], r[0], r[1] or "") for r in corpus()), key=lambda x: -x[0])
-    rows = {r.doc_id: r for r in fingerprints.edit_fingerprints(docs).collect()}
+    rows = {r.doc_id: r for r in fingerprints.edit_fingerprints(docs, part).collect()}
     assert len(rows) == len(order)
     for i, (_, doc_id, text) in enumerate(order):
         following = order[(i + 1) % len(order)][2]
         half = len(text) // 2
         changed = text[: len(text) - half] + following[:half]
-        r = rows[doc_id]
+        r, own, other, after = rows[doc_id], brute_tree(text), brute_tree(changed), brute_tree(following)
         assert r.n_chars == len(text) and r.edited_sha256 == sha256(changed.encode()).hexdigest()
-        assert r.fingerprint == fingerprints.fingerprint(text) and r.edited_fingerprint == fingerprints.fingerprint(changed)
-        assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint) and 0 <= r.near_next <= 1
+        assert r.fingerprint == own[0] and r.edited_fingerprint == other[0]
+        assert abs(r.near_edited - brute_likeness(own, other)) < 1e-12 and abs(r.near_next - brute_likeness(own, after)) < 1e-12
     assert fingerprints.edit_fingerprints(empty).count() == 0
     assert fingerprints.edit_fingerprints(docs.filter("doc_id = 7")).first().near_next == 1.0
 
 
+def test_fingerprints_of_a_doc_id_that_most_rows_have(spark):
+    texts = [f"text {i} of many. And more of {i}.\nEnd" for i in range(300)]
+    docs = spark.createDataFrame([(None if i % 3 else i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, _tie int, part int").repartition(5)
+    rows = fingerprints.edit_fingerprints(docs, 500).collect()
+    prints = {brute_tree(t)[0]: t for t in texts}
+    assert {r.fingerprint for r in rows} == set(prints) and len(rows) == 300
+    # Each document's edited text ends in the start of another one: the next in one round through all.
+    after = {}
+    for r in rows:
+        own = prints[r.fingerprint]
+        after[own] = next(t for t in texts if sha256((own[: len(own) - len(own) // 2] + t[: len(own) // 2]).encode()).hexdigest() == r.edited_sha256)
+    at, seen = texts[0], set()
+    while at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) == 300 and len({r.doc_id for r in rows}) == 101
+
+
 def test_parts_by_cuts(spark):
-    for cuts in ([5], [9, 5, -3], list(range(100, 0, -7))):
-        rows = spark.range(-5, 120).select("id", fingerprints._above(cuts, F.col("id")).alias("n")).collect()
-        assert all(r.n == sum(c > r.id for c in cuts) for r in rows)
+    for bounds in ([5], [9, 5, -3], list(range(100, 0, -7)), [50] * 20 + [3, 90, 90]):
+        cuts = fingerprints.part_cuts(bounds)
+        rows = spark.range(-5, 120).withColumn("tie", F.xxhash64("id")).withColumn("n", fingerprints._above(cuts, F.col("id"), F.col("tie"))).collect()
+        assert all(r.n == sum(c > (r.id, r.tie) for c in cuts) for r in rows)
 
 
 def test_fingerprint_locates_edits():
