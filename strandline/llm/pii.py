@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, with built-in functions only.
 
 A value that a detector finds and its check confirms becomes a vector of positions, each with a radix: a
-digit has 10, a letter 26, an IPv4 byte 256, a date two positions with 189 x 773 = 146,097 days, one whole
+digit has 10, a letter as many as its alphabet, an IPv4 byte 256, a date two positions with 189 x 773 = 146,097 days, one whole
 Gregorian cycle. A keyed Feistel network over that vector adds to one half, position by position and modulo
 the radix, a SHA-256 digest of the other half, and so permutes exactly the values of that format. Check
 digits are computed anew, so a valid card number or IBAN maps to a valid one, one to one. Equal values get
@@ -23,17 +23,27 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 #: kind -> pattern of the whole value. Earlier kinds win where two begin at one place.
 DETECTORS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}0-9-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|secret|api[_-]?key|password|passwd)[ ]?[=:][ ]?\"?(?=[0-9a-f]{16})[0-9a-f]{16,64}(?![0-9a-z]))",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "date": r"(?<![\p{L}\p{N}.-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9]/[01][0-9]/[12][0-9]{3}|[0-3][0-9]\.[01][0-9]\.[12][0-9]{3})(?![\p{L}\p{N}-])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
+    # Three groups as in America; with a country's number groups of two to five, 8 to 15 digits in all; pairs after 0 and a digit; an area with 0 and one long number.
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"|\+(?=(?:[ .()/-]{0,2}[0-9]){8,15}(?![ .-]?[0-9]))[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})(?:[ ./-]?[0-9]{2,5}){1,6}"
+    r"|0[0-9](?:[ .-][0-9]{2}){4}"
+    r"|\(?0[0-9]{2,4}\)?[ /-][0-9]{5,8})(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.[0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(DETECTORS.values())
 
+#: First and last code point of alphabets without gaps. A letter becomes one of its own alphabet.
+ALPHABETS = (
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x400, 0x40F),
+    (0x410, 0x42F), (0x430, 0x44F), (0x450, 0x45F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+)
+
 
 def _long(x: int) -> Column:
     return F.lit(x).cast("long")
@@ -82,30 +92,37 @@ def _chars(s: Column) -> Column:
 
 
 def _alnum(s: Column, key: str, tag: str, hexadecimal: bool = False) -> Column:
-    """Permutes ASCII digits and letters of each case within their class, or hexadecimal digits within theirs; the rest stays.
+    """Permutes digits and letters within their alphabets, or hexadecimal digits within theirs; the rest stays.
 
-    What parts groups doesn't matter: a number with and without spaces gets the same new digits.
+    A letter or digit of no alphabet listed becomes one of a to z, which is keyed too but not one to one. What parts groups
+    doesn't matter: a number with and without spaces gets the same new digits.
     """
-    movable = "[0-9a-fA-F]" if hexadecimal else "[0-9a-zA-Z]"
+    movable = "[0-9a-fA-F]" if hexadecimal else r"[\p{L}\p{N}]"
+
+    def by_alphabet(code: Column, of: Callable[[int, int], Column], other: Column) -> Column:
+        found = None
+        for first, last in ALPHABETS:
+            test = code.between(first, last)
+            found = F.when(test, of(first, last)) if found is None else found.when(test, of(first, last))
+        return found.otherwise(other)
 
     def kind(c: Column) -> tuple[Column, Column]:
-        code = F.ascii(c).cast("long")
         if hexadecimal:
             return F.conv(c, 16, 10).cast("long"), _long(16)
-        value = F.when(code < 58, code - 48).when(code < 91, code - 65).otherwise(code - 97)
-        return value, F.when(code < 58, _long(10)).otherwise(_long(26))
+        code = F.ascii(c).cast("long")
+        return by_alphabet(code, lambda first, _: code - first, F.pmod(code, _long(26))), by_alphabet(code, lambda first, last: _long(last - first + 1), _long(26))
 
     def shown(c: Column, v: Column) -> Column:
         if hexadecimal:
             return F.when(c.rlike("[A-F]"), F.upper(F.conv(v.cast("string"), 10, 16))).otherwise(F.lower(F.conv(v.cast("string"), 10, 16)))
-        code = F.ascii(c)
-        return F.chr((v + F.when(code < 58, 48).when(code < 91, 65).otherwise(97)).cast("long"))
+        code = by_alphabet(F.ascii(c).cast("long"), lambda first, _: v + first, v + 0x61)
+        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
 
     def permuted(moved: Column) -> Column:
         new = feistel(F.transform(moved, lambda c: kind(c)[0]), F.transform(moved, lambda c: kind(c)[1]), key, tag)
 
         def merged(n: Column) -> Column:
-            place = lambda i: F.char_length(F.regexp_replace(F.substr(s, F.lit(1), i), movable.replace("[", "[^"), ""))
+            place = lambda i: F.char_length(F.regexp_replace(F.substr(s, F.lit(1), i), movable.replace("[", "[^", 1), ""))
             put = F.transform(_chars(s), lambda c, i: F.when(c.rlike(movable), shown(c, F.get(n, place(i + 1) - 1))).otherwise(c))
             return F.array_join(put, "")
 
@@ -140,7 +157,7 @@ def _card(s: Column, key: str) -> Column:
         return let(number, grouped)
 
     inner = F.substr(digits, F.lit(2), F.char_length(digits) - 2)
-    return F.when(_luhn(digits) % 10 == 0, let(F.concat(first, _alnum(inner, key, "card")), checked)).otherwise(s)
+    return F.when(_luhn(digits) % 10 == 0, let(F.concat(first, _alnum(inner, key, "card")), checked))
 
 
 def _mod97(s: Column) -> Column:
@@ -154,7 +171,7 @@ def _iban(s: Column, key: str) -> Column:
     plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     valid = _mod97(plain(F.concat(rest, F.substr(s, F.lit(1), F.lit(4))))) == 1
     new = lambda body: F.concat(country, F.lpad((98 - _mod97(F.concat(plain(body), country, F.lit("00")))).cast("string"), 2, "0"), body)
-    return F.when(valid, let(_alnum(rest, key, "iban"), new)).otherwise(s)
+    return F.when(valid, let(_alnum(rest, key, "iban"), new))
 
 
 def _phone(s: Column, key: str) -> Column:
@@ -186,7 +203,7 @@ def _ssn(s: Column, key: str) -> Column:
         shown = lambda n: F.concat_ws(
             "-", F.lpad((n[0] + F.when(n[0] >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((n[1] + 1).cast("string"), 2, "0"), F.lpad((n[2] + 1).cast("string"), 4, "0")
         )
-        return F.when(valid, let(feistel(v, F.array(_long(898), _long(99), _long(9999)), key, "ssn"), shown)).otherwise(s)
+        return F.when(valid, let(feistel(v, F.array(_long(898), _long(99), _long(9999)), key, "ssn"), shown))
 
     return let(parts, new)
 
@@ -205,11 +222,12 @@ def _date(s: Column, key: str) -> Column:
             return F.date_format(moved, pattern) if isinstance(pattern, str) else F.call_function("date_format", moved, pattern)
 
         inside = day.isNotNull() & (day >= 0) & (day < 146_097)
-        return F.when(inside, let(feistel(v, F.array(_long(189), _long(773)), key, "date"), shown)).otherwise(s)
+        return F.when(inside, let(feistel(v, F.array(_long(189), _long(773)), key, "date"), shown))
 
     return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), start).cast("long"), new)
 
 
+#: Each kind's pseudonym; null for what its check refuses.
 _NEW: dict[str, Callable[[Column, str], Column]] = {
     "email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card,
 }
@@ -227,7 +245,7 @@ def pseudonyms(text: Column, key: str) -> Column:
             new = None
             for name, f in _NEW.items():
                 new = F.when(k == name, f(m, key)) if new is None else new.when(k == name, f(m, key))
-            return let(new, lambda n: F.struct(F.when(n != m, k).alias("kind"), n.alias("pseudonym")))
+            return let(new, lambda n: F.struct(F.when(n.isNotNull(), k).alias("kind"), F.coalesce(n, m).alias("pseudonym")))
 
         return let(kind, replaced)
 
@@ -243,8 +261,8 @@ def pseudonyms(text: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with pseudonyms in text and the column pii, an array of (kind, pseudonym) in the order of the text.
 
-    A null text stays null with an empty pii; an empty one stays empty. All other columns stay, but one that is
-    already named pii is replaced. Numbers that fail their check digits and dates that no calendar has stay.
+    A null text stays null with an empty pii; an empty one stays empty; a text of any length is read whole. All other
+    columns stay, but one that is already named pii is replaced. A value that its permutation maps to itself counts. Numbers that fail their check digits and dates that no calendar has stay.
     Repeated rows and equal values get equal pseudonyms; an empty table stays empty.
     """
     helper = unused("_pii", docs)

@@ -21,12 +21,14 @@ from .suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The key of this corpus's pseudonyms. Whoever publishes the corpus sets one of their own and keeps it.
-PII_KEY = "corpus-key-1"
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of the pseudonyms, from the configuration; without one, as in tests, a key that everyone knows."""
+    return spark.conf.get("spark.strandline.pii.key", "no secret")
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    new = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
     return new.select("doc_id", "text", F.size("pii").cast("long").alias("n_replaced"), F.array_join(F.col("pii.kind"), ",").alias("kinds"))
 
 

@@ -70,7 +70,7 @@ def test_pipeline_equals_brute_force(spark):
             if counts[r[i : i + 200]] > 1:
                 gone[i : i + 200] = True
         texts.append((doc_id, bytes(b for b, g in zip(r, gone, strict=True) if not g).decode("utf-8", "ignore")))
-    clean = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(texts, "doc_id long, text string"), corpus_pipeline.PII_KEY).collect()}
+    clean = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(texts, "doc_id long, text string"), corpus_pipeline.pii_key(spark)).collect()}
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in clean.items()}
     got = {}
