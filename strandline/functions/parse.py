@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -135,14 +134,3 @@ def compressed(rows: DataFrame, content: str) -> DataFrame:
     out = rows.withColumn("_c", F.when(long, shortened(F.when(long, F.col(content)).otherwise(""))).otherwise(short))
     return out.withColumns({content: F.col("_c.content"), "strategy": F.col("_c.strategy")}).drop("_c")
 
-
-def batches(values: Iterator, size: int) -> Iterator[list]:
-    """Lists of at most `size` values."""
-    lot: list = []
-    for v in values:
-        lot.append(v)
-        if len(lot) == size:
-            yield lot
-            lot = []
-    if lot:
-        yield lot

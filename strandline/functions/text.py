@@ -19,6 +19,26 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
+def within_tokens(text: Column, most: int) -> Column:
+    """The start of a text that `estimated_tokens` puts at `most` tokens; the whole text where it has no more."""
+    return F.when(estimated_tokens(text) <= most, text).otherwise(F.substring(text, 1, 4 * most))
+
+
+#: Tokens that a message's form takes, and that the answer's beginning takes.
+MESSAGE_TOKENS, ANSWER_TOKENS = 4, 2
+
+
+def messages_tokens(messages: Column) -> Column:
+    """Estimated tokens of an array of (role, content) with their forms; of no message those of the answer's beginning."""
+    one = lambda m: F.lit(MESSAGE_TOKENS) + F.coalesce(estimated_tokens(m["role"]), F.lit(0)) + F.coalesce(estimated_tokens(m["content"]), F.lit(0))
+    return F.aggregate(F.coalesce(messages, F.array().cast("array<struct<role:string,content:string>>")), F.lit(ANSWER_TOKENS).cast("long"), lambda n, m: n + one(m))
+
+
+def state_hash(value: Column) -> Column:
+    """A digest of a map that doesn't depend on the order of its keys."""
+    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value)))), 256)
+
+
 def search_terms(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -117,8 +137,8 @@ def hidden_message(role: Column, event: Column, text: Column) -> Column:
 def relation_of_verb(verb: Column) -> Column:
     v = F.lower(F.trim(verb))
     out = F.when(v.isin(*W.CORE_RELATIONS), v)
-    for relation, verbs in W.VERBS.items():
-        out = out.when(v.isin(*verbs.split()), relation)
+    for verb_, relation in W.VERBS.items():
+        out = out.when(v == verb_, relation)
     return out.otherwise("depends_on")
 
 
@@ -137,7 +157,7 @@ def http_status(error: Column) -> Column:
 def failure_class(error: Column) -> Column:
     """pause for bad credentials or addresses, retry for what may pass, else fail."""
     code, low = http_status(error), F.lower(error)
-    soft = any_of([low.contains(x) for x in ("timed out", "timeout", "rate limit", "rate gate", "circuit open", "empty_model_choices", "llm_returned_", "api connection", "api status")])
+    soft = any_of([low.contains(x) for x in W.PASSING_FAILURES])
     return F.when(code.isin(401, 403, 404), "pause").when(code.isin(429, 500, 502, 503, 529) | soft, "retry").otherwise("fail")
 
 

@@ -58,3 +58,31 @@ def histogram(rows: DataFrame, value: str, edges: list[int], *group: str) -> Dat
     """Cumulative counts: how many values are at most each edge, a column each, and the number and sum of all."""
     counts = [F.count_if(F.col(value) <= e).alias(f"le_{e}") for e in edges]
     return rows.groupBy(*group).agg(*counts, F.count(value).alias("n"), F.sum(value).alias("total"))
+
+
+def histogram_quantile(edges: list[int], q: float) -> Column:
+    """The q quantile of a row that `histogram` made, by straight lines between edges from 0 on; the last edge for what is beyond it."""
+    cumulative = F.array(F.lit(0).cast("long"), *[F.col(f"le_{e}") for e in edges])
+    edge, wanted = F.array(F.lit(0.0), *[F.lit(float(e)) for e in edges]), F.col("n") * q
+    at = F.array_position(F.transform(F.slice(cumulative, 2, len(edges)), lambda c: c >= wanted), True).cast("int")
+    low, high, below, upto = F.get(edge, at - 1), F.get(edge, at), F.get(cumulative, at - 1), F.get(cumulative, at)
+    return F.when(at == 0, F.lit(float(edges[-1]))).when(upto == below, high).otherwise(low + (high - low) * (wanted - below) / (upto - below))
+
+
+def metric_counters(pages: DataFrame, page: str, metric: str) -> DataFrame:
+    """route and value of a metric's lines in pages of the metrics text format: `metric{operation="..",route=".."} value`.
+
+    Labels that a line lacks are unknown; lines without a number are left out; of a page's lines with one route the last counts.
+    """
+    lines = pages.withColumn("_page", F.monotonically_increasing_id()).select("_page", F.posexplode(F.split(page, "\n")).alias("_n", "_line")).filter(F.col("_line").startswith(metric + "{"))
+    label = lambda name: F.coalesce(F.nullif(F.regexp_extract("_line", r'[{,]\s*' + name + r'\s*=\s*"?([^",}]*)"?', 1), F.lit("")), F.lit("unknown"))
+    number = F.expr("try_cast(substring_index(_line, ' ', -1) as double)").cast("long")
+    read = lines.select("_page", "_n", F.concat(label("operation"), F.lit(":"), label("route")).alias("route"), number.alias("value")).filter(F.col("value").isNotNull())
+    return read.groupBy("_page", "route").agg(F.max_by("value", "_n").alias("value")).select("route", "value")
+
+
+def latest_offers(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key, and whether it consumes what was offered before it. rows: `consumes` and others."""
+    others = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_last")).select(key, "_last.*")
+    return last.withColumnRenamed("consumes", "consumed")

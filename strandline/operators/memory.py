@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,15 +69,41 @@ def new_by_signature(drafts: DataFrame, existing: DataFrame) -> DataFrame:
     return first.join(known, "signature", "left_anti").select("id", "signature")
 
 
-def vector_near_duplicates(drafts: DataFrame, group: str, above: float = 0.92) -> DataFrame:
-    """Drafts that are nearer than `above` to any earlier draft of their group, kept or not: id, earlier (least such).
+#: Hyperplane hashes: bands of bits. A pair at .92 agrees in no band with a chance of one in 30 million; one at right angles in any with 2 %.
+BITS, BANDS = 12, 80
 
-    A group is a session's batch of drafts, which is small; drafts of different groups never meet.
+
+def hyperplane_bands(vector: Column) -> Column:
+    """A vector's side of BITS random hyperplanes, in each band, as a number that has the band in it; none for null."""
+
+    @F.pandas_udf("array<long>")
+    def banded(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            if v is None or not len(v):
+                out.append([])
+                continue
+            planes = np.random.default_rng(len(v)).standard_normal((BANDS * BITS, len(v)))
+            sides = (planes @ np.asarray(v, dtype="float64") > 0).reshape(BANDS, BITS)
+            out.append(((np.arange(BANDS) << BITS) + sides @ (1 << np.arange(BITS))).tolist())
+        return pd.Series(out)
+
+    return banded(vector)
+
+
+def vector_near_duplicates(drafts: DataFrame, existing: DataFrame, group: str, above: float = 0.92) -> DataFrame:
+    """Drafts nearer than `above` to an earlier draft of their group, kept or not, or to an existing fact of it.
+
+    id, earlier and fact: the least such draft and fact. Both tables: group, id, embedding. Only vectors of one band
+    are compared, so a group may be large.
     """
-    a = drafts.select(group, F.col("id"), F.col("embedding").alias("_v"))
-    b = drafts.select(group, F.col("id").alias("earlier"), F.col("embedding").alias("_w"))
-    pairs = a.join(b, group).filter(F.col("earlier") < F.col("id")).filter(F.round(cosine(F.col("_v"), F.col("_w")), 6) > above)
-    return pairs.groupBy("id").agg(F.min("earlier").alias("earlier"))
+    new = drafts.select(group, "id", "embedding", F.lit(False).alias("known"))
+    both = new.unionByName(existing.select(group, "id", "embedding", F.lit(True).alias("known"))).withColumn("_band", F.explode(hyperplane_bands(F.col("embedding"))))
+    a = both.filter("NOT known").select(group, "_band", F.col("id"), F.col("embedding").alias("_v"))
+    b = both.select(group, "_band", F.col("id").alias("other"), "known", F.col("embedding").alias("_w"))
+    pairs = a.join(b, [group, "_band"]).filter(F.col("known") | (F.col("other") < F.col("id"))).filter(F.round(cosine(F.col("_v"), F.col("_w")), 6) > above)
+    least = lambda known: F.min(F.when(F.col("known") == known, F.col("other")))
+    return pairs.groupBy("id").agg(least(False).alias("earlier"), least(True).alias("fact"))
 
 
 def scenario_buckets(atoms: DataFrame, least: int = 3) -> DataFrame:
@@ -111,6 +139,21 @@ def canvas(atoms: DataFrame, most: int = 15) -> DataFrame:
     return lines.filter(F.size("lines") > 1).select("session_id", F.concat(F.lit("graph LR\n"), F.array_join(F.col("lines.line"), "\n")).alias("canvas"))
 
 
+def newest_of_others(rows: DataFrame, made: DataFrame, group: str, at: str) -> DataFrame:
+    """For each row (id, group) the newest of what other rows of its group made: id, other and made's columns.
+
+    made: id, group, `at` and others. Two a group are enough, so rows never meet each other.
+    """
+    fields = [c for c in made.columns if c != group]
+    kept = F.slice(F.sort_array(F.collect_list(F.struct(at, "id", *[c for c in fields if c not in (at, "id")])), False), 1, 2)
+    first = made.groupBy(group).agg(F.max(F.struct(at, "id")).alias("_first"))
+    second = made.join(first, group).filter(F.struct(at, "id") != F.col("_first")).groupBy(group).agg(F.max(F.struct(at, "id")).alias("_second"))
+    ends = first.join(second, group, "left").select(group, F.explode(F.array_compact(F.array("_first", "_second"))).alias("_end"))
+    two = made.join(ends, group).filter(F.struct(at, "id") == F.col("_end")).groupBy(group).agg(kept.alias("_two"))  # two of each
+    best = rows.join(two, group).withColumn("_best", F.get(F.filter("_two", lambda x: x["id"] != F.col("id")), F.lit(0))).filter(F.col("_best").isNotNull())
+    return best.select("id", F.col("_best.id").alias("other"), *[F.col(f"_best.{c}").alias(c) for c in fields if c != "id"])
+
+
 def chunks(messages: DataFrame, size: int = 20) -> DataFrame:
     """Messages of a session in lots of `size`, in their order."""
     order = Window.partitionBy("session_id").orderBy("created_at", "id")

@@ -47,10 +47,10 @@ def events_json_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.events(spark, sf_dir).filter((k >= 90) & F.get_json_object("props", "$.missing").isNull()).select("event_id", k.alias("k"))
 
 
-@query("""SELECT event_id, '{"k":"' || (props->>'$.k') || '","source":"' || event_type || '"}' AS props FROM events WHERE user_id < 20""")
+@query("""SELECT event_id, '{"k":"' || (props->>'$.k') || '","source":"' || event_type || '"}' AS props FROM events""")
 def json_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("source"), F.col("event_type")))
-    return A.events(spark, sf_dir).filter("user_id < 20").select("event_id", F.to_json(m).alias("props"))
+    return A.events(spark, sf_dir).select("event_id", F.to_json(m).alias("props"))
 
 
 @query("WITH k AS (SELECT doc_id, source, count(*) OVER (PARTITION BY md5(text)) AS copies FROM documents) SELECT doc_id, source, copies FROM k WHERE copies > 1")
@@ -78,10 +78,9 @@ def terminal_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH o AS (SELECT source AS id, list(doc_id) AS atoms FROM documents GROUP BY source) SELECT id, len(atoms)::BIGINT AS proofs FROM o WHERE EXISTS (SELECT 1 FROM documents d WHERE list_contains(o.atoms, d.doc_id) AND d.lang = 'fr')")
 def observations_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = A.table(spark, sf_dir, "documents")
-    o = d.groupBy(F.col("source").alias("id")).agg(F.collect_list("doc_id").alias("atoms"))
-    hit = o.select("id", F.explode("atoms").alias("doc_id")).join(d.filter("lang = 'fr'"), "doc_id", "left_semi").select("id").distinct()
-    return o.join(hit, "id", "left_semi").select("id", F.size("atoms").cast("long").alias("proofs"))
+    # Each of a source's documents is one of its proofs, so no list of them is needed.
+    o = A.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.count("doc_id").alias("proofs"), F.max(F.col("lang") == "fr").alias("hit"))
+    return o.filter("hit").select("id", "proofs")
 
 
 @query("SELECT o_orderkey AS id, c_custkey IS NOT NULL AS can_share FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
@@ -158,9 +157,9 @@ def rolling_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), (F.col("n") - F.lag("n").over(w)).alias("increase"), F.round(F.avg("n").over(w.rowsBetween(-6, 0)), 4).alias("rate"))
 
 
-@query("WITH s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events) SELECT user_id, event_id, after, event_id - after - 1 AS missing FROM s WHERE event_id - after - 1 > 300")
+@query("WITH s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events) SELECT user_id, event_id, after, event_id - after - 1 AS missing FROM s WHERE event_id - after - 1 > 0")
 def seq_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.gaps(A.events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id").filter("missing > 300")
+    return U.gaps(A.events(spark, sf_dir).select("user_id", "event_id"), "user_id", "event_id")
 
 
 @query("WITH s AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC)::INTEGER AS place FROM events) SELECT * FROM s WHERE place <= 8")
@@ -200,3 +199,31 @@ def continuation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max("ts")
     exact = F.floor((F.unix_micros(F.expr("timestamp_ntz'2024-02-01 00:00:00'").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 3_600_000_000).cast("long")
     return A.events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", "ts").alias("state"), (F.count_if(F.col("event_type") == "purchase") > 0).alias("consumed"), exact.alias("age_hours"))
+
+
+EDGES = (10, 25, 50, 75, 90)
+
+
+@query("WITH c AS (SELECT event_type, " + ", ".join(f"count(*) FILTER (WHERE value <= {e}) AS c{i}" for i, e in enumerate(EDGES)) + f""", count(value) AS n FROM events GROUP BY 1),
+    l AS (SELECT event_type, n, [0, {", ".join(f"c{i}" for i in range(len(EDGES)))}] AS cum, [0.0::DOUBLE, {", ".join(map(str, EDGES))}] AS edge FROM c),
+    k AS (SELECT *, list_position(list_transform(cum[2:], lambda x: x >= 0.6 * n), true) AS p FROM l)
+    SELECT event_type, n, round(CASE WHEN p IS NULL THEN edge[len(edge)] WHEN cum[p + 1] = cum[p] THEN edge[p + 1] ELSE edge[p] + (edge[p + 1] - edge[p]) * (0.6 * n - cum[p]) / (cum[p + 1] - cum[p]) END, 4) AS p60 FROM k WHERE n > 0""")
+def histogram_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = U.histogram(A.events(spark, sf_dir).select("event_type", "value"), "value", list(EDGES), "event_type")
+    return h.filter("n > 0").select("event_type", "n", F.round(U.histogram_quantile(list(EDGES), 0.6), 4).alias("p60"))
+
+
+@query("SELECT event_type || ':r' || (user_id % 3) AS route, count(*) AS value FROM events GROUP BY 1")
+def metric_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The counters as a metrics page says them, a page for each type, and read back from the pages.
+    n = A.events(spark, sf_dir).groupBy("event_type", (F.col("user_id") % 3).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    line = F.format_string('requests_total{operation="%s",route="r%d"} %d.0', "event_type", "r", "n")
+    pages = n.groupBy("event_type").agg(F.concat_ws("\n", F.lit("# TYPE requests_total counter"), F.array_join(F.collect_list(line), "\n"), F.lit("requests_total_other{a} 1\nbroken")).alias("page"))
+    return U.metric_counters(pages, "page", "requests_total")
+
+
+@query("WITH r AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('view', 'purchase')) SELECT user_id, event_id AS latest, event_type = 'purchase' AS consumed FROM r WHERE n = 1")
+def continuation_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A view offers a continuation; a purchase after it consumes it.
+    e = A.events(spark, sf_dir).filter(F.col("event_type").isin("view", "purchase"))
+    return U.latest_offers(e.select(F.col("user_id"), "event_id", "ts", (F.col("event_type") == "purchase").alias("consumes")), "user_id", "ts", "event_id").select("user_id", F.col("event_id").alias("latest"), "consumed")

@@ -24,11 +24,21 @@ def atom_signature_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.new_by_signature(a.filter("id >= 100"), a.filter("id < 100"))
 
 
-@query("""WITH v AS (SELECT vec_id // 25 AS batch, vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)
-    SELECT a.id, min(b.id) AS earlier FROM v a JOIN v b ON a.batch = b.batch AND b.id < a.id WHERE round(list_cosine_similarity(a.e, b.e), 6) > 0.3 GROUP BY a.id""")
+NEAR = """v AS (SELECT vec_id // 10 AS session, vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+    drafts AS (SELECT * FROM v UNION ALL SELECT session, id + 1000000, list_concat([0.0::DOUBLE], e[2:]) FROM v WHERE id % 7 = 0),
+    facts AS (SELECT session, id, list_concat(e[1:len(e) - 1], [0.0::DOUBLE]) AS e FROM v WHERE id % 3 = 0)"""
+
+
+@query("WITH " + NEAR + """, n AS (SELECT a.id, b.id AS earlier, 0 AS known FROM drafts a JOIN drafts b ON a.session = b.session AND b.id < a.id WHERE round(list_cosine_similarity(a.e, b.e), 6) > 0.92
+      UNION ALL SELECT a.id, b.id, 1 FROM drafts a JOIN facts b ON a.session = b.session WHERE round(list_cosine_similarity(a.e, b.e), 6) > 0.92)
+    SELECT id, min(earlier) FILTER (WHERE known = 0) AS earlier, min(earlier) FILTER (WHERE known = 1) AS fact FROM n GROUP BY id""")
 def vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = A.embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 25).alias("batch"), F.col("vec_id").alias("id"), "embedding")
-    return M.vector_near_duplicates(v, "batch", 0.3)
+    # Some vectors come again, as drafts or as facts, without one of their coordinates.
+    v = A.embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 10).alias("session"), F.col("vec_id").alias("id"), "embedding")
+    zero = F.array(F.lit(0.0).cast("float"))
+    again = v.filter("id % 7 = 0").select("session", (F.col("id") + 1_000_000).alias("id"), F.concat(zero, F.slice("embedding", F.lit(2), F.size("embedding") - 1)).alias("embedding"))
+    facts = v.filter("id % 3 = 0").withColumn("embedding", F.concat(F.slice("embedding", F.lit(1), F.size("embedding") - 1), zero))
+    return M.vector_near_duplicates(v.unionByName(again), facts, "session")
 
 
 @query("WITH " + ATOMS + """ SELECT user_id, coalesce(project::VARCHAR, '_default') AS project, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS atoms, strftime(min(created_at), '%Y-%m-%d') AS period_start,
@@ -184,12 +194,14 @@ def pyramid_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.filter(~F.col("content").startswith("toolstart ") & ~F.col("content").startswith("toolend ")).select("id")
 
 
-@query("WITH " + SESSIONS + ", s AS (SELECT session_id, max(turn) AS t, max_by(content, turn) AS content FROM messages WHERE role = 'assistant' GROUP BY 1) SELECT a.id, b.id AS other, substr(s.content, 1, 40) AS summary FROM sessions a JOIN sessions b ON a.project = b.project AND a.id <> b.id JOIN s ON s.session_id = b.id WHERE a.id < 5")
+@query("WITH " + SESSIONS + """, s AS (SELECT session_id AS other, session_id % 7 AS project, max(turn) AS t, max(created_at) AS at, max_by(content, turn) AS content FROM messages WHERE role = 'assistant' GROUP BY 1, 2),
+    p AS (SELECT a.id, s.other, substr(s.content, 1, 40) AS summary, row_number() OVER (PARTITION BY a.id ORDER BY s.at DESC, s.other DESC) AS n FROM sessions a JOIN s ON s.project = a.project AND s.other <> a.id)
+    SELECT id, other, summary FROM p WHERE n = 1""")
 def shared_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The newest summary of another session of the project is one of the project's two newest.
+    last = A.messages(spark, sf_dir).filter("role = 'assistant'").groupBy("session_id").agg(F.max("created_at").alias("at"), F.max_by("content", "turn").alias("content"))
     s = A.sessions(spark, sf_dir).select("id", "project")
-    last = A.messages(spark, sf_dir).filter("role = 'assistant'").groupBy(F.col("session_id").alias("other")).agg(F.max_by("content", "turn").alias("content"))
-    others = s.select(F.col("id").alias("other"), "project")
-    return s.filter("id < 5").join(others, "project").filter("id <> other").join(last, "other").select("id", "other", F.substring("content", 1, 40).alias("summary"))
+    return M.newest_of_others(s, last.withColumnRenamed("session_id", "id").join(s, "id"), "project", "at").select("id", "other", F.substring("content", 1, 40).alias("summary"))
 
 
 @query("WITH " + MESSAGES + ", g AS (SELECT session_id AS id FROM messages WHERE session_id % 4 = 0) SELECT id, session_id FROM messages WHERE session_id NOT IN (SELECT id FROM g)")
@@ -217,3 +229,19 @@ def append_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hook_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.array(F.struct(F.lit("user").alias("role"), F.substring("event_type", 1, 2000).alias("content")), F.struct(F.lit("assistant").alias("role"), F.substring("props", 1, 2000).alias("content")))
     return A.events(spark, sf_dir).select("event_id", F.inline(two))
+
+
+@query("WITH " + MESSAGES + """, m AS (SELECT *, 4 + (length(role) + 3) // 4 + (length(content) + 3) // 4 AS n FROM messages)
+    SELECT session_id, (2 + sum(n))::BIGINT AS tokens, sum(CASE WHEN (length(content) + 3) // 4 <= 20 THEN length(content) ELSE 80 END)::BIGINT AS kept_chars FROM m GROUP BY session_id""")
+def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Forms of messages add up, so a session's sum needs no list of them.
+    m = A.messages(spark, sf_dir)
+    one = T.messages_tokens(F.array(F.struct("role", "content"))) - T.ANSWER_TOKENS
+    kept = F.length(T.within_tokens(F.col("content"), 20))
+    return m.groupBy("session_id").agg((F.sum(one) + T.ANSWER_TOKENS).alias("tokens"), F.sum(kept).cast("long").alias("kept_chars"))
+
+
+@query("""SELECT event_id, sha256('{"k":"' || (props->>'$.k') || '","type":"' || event_type || '"}') AS state FROM events""")
+def state_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.map_concat(F.create_map(F.lit("type"), F.col("event_type")), F.from_json("props", "map<string,string>"))
+    return A.events(spark, sf_dir).select("event_id", T.state_hash(state).alias("state"))

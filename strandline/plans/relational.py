@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audits as U
 from ..sources import adapters as A
 from ..sources import files
 from .registry import ATOMS, MESSAGES, SESSIONS, query
@@ -36,8 +37,9 @@ def daily_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + MESSAGES + " SELECT session_id, array_to_string(list_reverse(list_sort(list(id)))[1:2], ',') AS newest FROM messages GROUP BY 1")
 def recent_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = A.messages(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list("id"), False).alias("ids"))
-    return g.select("session_id", F.array_join(F.slice("ids", 1, 2), ",").alias("newest"))
+    newest = U.last_of_each(A.messages(spark, sf_dir).select("session_id", "id"), "session_id", "id", 2)
+    g = newest.groupBy("session_id").agg(F.sort_array(F.collect_list("id"), False).alias("ids"))  # two of each
+    return g.select("session_id", F.array_join("ids", ",").alias("newest"))
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS value FROM orders WHERE starts_with(o_orderkey::VARCHAR, '12')")
@@ -57,8 +59,7 @@ def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), "nation", "left_anti")
 
 
-@query("SELECT o_orderkey AS id, coalesce(n, 0) AS lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey AS id, coalesce(n, 0) AS lines FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
 def scalar_subquery_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
-    o = A.table(spark, sf_dir, "orders").filter("o_orderkey < 2000")
-    return o.join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("n", F.lit(0)).alias("lines"))
+    return A.table(spark, sf_dir, "orders").join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("n", F.lit(0)).alias("lines"))

@@ -177,7 +177,9 @@ def query_vector_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.round(dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('Would Caroline pursue writing as a career?', 0, 'Caroline'), ('Would Caroline pursue writing as a career?', 1, 'Caroline caroline'), ('Would Caroline pursue writing as a career?', 2, 'Caroline pursue'),
+      ('Would Caroline pursue writing as a career?', 3, 'Caroline writing'), ('Would Caroline pursue writing as a career?', 4, 'Caroline interests goals plans'), ('what is new', 0, 'what is new'), ('How does Melanie repair the old engine block', 0, 'Melanie'),
+      ('How does Melanie repair the old engine block', 1, 'Melanie melanie'), ('How does Melanie repair the old engine block', 2, 'Melanie repair'), ('How does Melanie repair the old engine block', 3, 'Melanie engine'), ('ok', 0, 'ok')) AS t(query, place, sub_query)""")
 def decompose_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = ["Would Caroline pursue writing as a career?", "what is new", "How does Melanie repair the old engine block", "ok"]
     return spark.createDataFrame([(q, i, s) for q in asked for i, s in enumerate(T.sub_queries(q))], "query string, place int, sub_query string")

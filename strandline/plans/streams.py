@@ -21,18 +21,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    """Written as Parquet in the shared folder in append mode; complete results are small and stay in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    if mode == "complete":
-        return flows.caught_up(result, spark, name, mode, f"{_shared(spark)}/{name}")
-    path = f"{_shared(spark)}/{name}-out"
-    result.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{_shared(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(result.schema).parquet(path)
+    name = f"{_shared(spark)}/stream_{uuid.uuid4().hex}"
+    return flows.caught_up(result, spark, f"{name}-out", mode, name)
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, flows.hourly(_events(spark, sf_dir)), "complete")
+    out = _run(spark, flows.hourly(_events(spark, sf_dir), late=None), "complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
@@ -62,7 +57,11 @@ def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, flows.every_n(_events(spark, sf_dir), 20), "append")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS at, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, 0::BIGINT AS n, 0 AS failures, 0.0::DOUBLE AS until, true AS passed FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+      SELECT e.user_id, e.n, CASE WHEN e.at < s.until THEN s.failures WHEN NOT e.failed OR s.failures = 2 THEN 0 ELSE s.failures + 1 END, CASE WHEN e.at >= s.until AND e.failed AND s.failures = 2 THEN e.at + 300 ELSE s.until END, e.at >= s.until
+      FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT passed, count(*) AS n FROM s WHERE n > 0 GROUP BY passed""")
 def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, flows.circuit(_events(spark, sf_dir)), "append").groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
 
@@ -87,3 +86,19 @@ def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A row for each user and batch; a list's ids only rise from batch to batch, so the greatest list is the last.
     out = _run(spark, flows.recent(_events(spark, sf_dir), 5), "append").groupBy("user_id").agg(F.max("event_ids").alias("event_ids"))
     return out.select("user_id", F.array_join("event_ids", ",").alias("newest"))
+
+
+SPELLS = """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 28800 THEN 1 ELSE 0 END AS new, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY n) AS spell FROM g)"""
+
+
+@query(SPELLS + ", l AS (SELECT user_id, event_id, spell, max(spell) OVER (PARTITION BY user_id) AS last FROM s) SELECT user_id, array_to_string(list_reverse(list_sort(list(event_id)))[1:5], ',') AS newest FROM l WHERE spell = last GROUP BY user_id")
+def stream_recent_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Numbers of batches don't matter to a list's last state, but the order of times does: events come in one batch.
+    out = _run(spark, flows.recent(flows.event_stream(spark, f"{sf_dir}/events*.parquet", 1_000_000), 5, ttl=28_800), "append")
+    return out.select("user_id", F.array_join("event_ids", ",").alias("newest"))
+
+
+@query(SPELLS + " SELECT user_id, n - 1 AS count FROM s WHERE new = 1")
+def stream_idle_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, flows.every_n(flows.event_stream(spark, f"{sf_dir}/events*.parquet", 1_000_000), 1_000_000, idle=28_800), "append")

@@ -110,9 +110,9 @@ def marker_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", (F.size(found) > 0).alias("marked"), F.array_join(found, ",").alias("markers"))
 
 
-@query(r"""WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'LLM API 401 denied' WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'request timed out' WHEN 3 THEN 'API 418' WHEN 4 THEN 'Rate limit hit' ELSE 'parse' END AS error FROM events),
-    c AS (SELECT *, TRY_CAST(regexp_extract(error, '\b(?:LLM|API|HTTP)\s*(?:API\s*)?(\d{3})\b', 1) AS INTEGER) AS code FROM e)
-    SELECT code, CASE WHEN code IN (401, 403, 404) THEN 'pause' WHEN code IN (429, 500, 502, 503, 529) OR regexp_matches(lower(error), 'timed out|timeout|rate limit|rate gate|circuit open|empty_model_choices|llm_returned_|api connection|api status') THEN 'retry' ELSE 'fail' END AS class, count(*) AS n FROM c GROUP BY 1, 2""")
+@query(rf"""WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'LLM API 401 denied' WHEN 1 THEN 'HTTP 503' WHEN 2 THEN 'request timed out' WHEN 3 THEN 'API 418' WHEN 4 THEN 'Rate limit hit' ELSE 'parse' END AS error FROM events),
+    c AS (SELECT *, TRY_CAST(regexp_extract(error, '\b(?:LLM|API|HTTP)\s*(?:API\s*)?(\d{{3}})\b', 1) AS INTEGER) AS code FROM e)
+    SELECT code, CASE WHEN code IN (401, 403, 404) THEN 'pause' WHEN code IN (429, 500, 502, 503, 529) OR regexp_matches(lower(error), '{"|".join(W.PASSING_FAILURES)}') THEN 'retry' ELSE 'fail' END AS class, count(*) AS n FROM c GROUP BY 1, 2""")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 6
     error = F.when(k == 0, "LLM API 401 denied").when(k == 1, "HTTP 503").when(k == 2, "request timed out").when(k == 3, "API 418").when(k == 4, "Rate limit hit").otherwise("parse")
@@ -130,13 +130,13 @@ REPLIES = [
 ]
 
 
-@query()
+@query("SELECT * FROM (VALUES (1::BIGINT, 'json', 'A', 0), (2, 'json', 'B', 1), (3, 'json', 'C', 1), (4, 'failed', '', 0), (5, 'json', 'E', 1), (6, 'text', 'Alpha,Beta', 1)) AS t(id, outcome, names, n_relations)")
 def llm_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = spark.createDataFrame(REPLIES, "id long, reply string")
-    return parse.extractions(replies, "reply").select("id", "outcome", F.col("entities.name").alias("names"), F.size("relations").alias("n_relations"))
+    return parse.extractions(replies, "reply").select("id", "outcome", F.array_join("entities.name", ",").alias("names"), F.size("relations").alias("n_relations"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1::BIGINT, 'none', 5), (2, 'tool_output', 2 + 18 + 2048 + length(E'\n\n... [compressed: 11928 bytes omitted] ...\n\n') + 1024 + 19 + 2), (3, 'code_block', 6 + 10 * 47 + 39 + 5 * 49 + 17 + 4), (4, 'truncation', 10140 + length(E'\n\n... [truncated: 9860 bytes omitted] ...\n\n'))) AS t(id, strategy, length)")
 def compress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "short"), (2, "a <function_results>" + "x" * 15_000 + "</function_results> b"), (3, "```py\n" + "\n".join(f"line {i} " + "y" * 40 for i in range(300)) + "\n```"), (4, "z" * 20_000)]
     return parse.compressed(spark.createDataFrame(rows, "id long, content string"), "content").select("id", "strategy", F.length("content").alias("length"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -73,3 +73,36 @@ def offloaded(rows: DataFrame, text: str, large: Column) -> tuple[DataFrame, Dat
     kept = rows.withColumn("ref", F.when(large, ref))
     stub = F.when(large, F.concat(F.substring(text, 1, 200), F.lit(" [ref:"), ref, F.lit("]"))).otherwise(F.col(text))
     return kept.withColumn(text, stub), rows.filter(large).select(ref.alias("ref"), F.col(text).alias("text")).dropDuplicates(["ref"])
+
+
+#: Folders of a spool, by the state of what is in them.
+SPOOL = ("pending", "retry", "acked", "deadletter")
+
+
+def spool_counts(spark: SparkSession, folder: str) -> dict[str, int]:
+    """How many JSON files wait in each state's folder of a spool; 0 for a folder that isn't there."""
+    counts = dict.fromkeys(SPOOL, 0)
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+        state = F.regexp_extract("path", r"/(" + "|".join(SPOOL) + r")/[^/]*$", 1)
+        counts |= {r["state"]: r["n"] for r in found.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n")).collect() if r["state"]}  # a row each
+    except AnalysisException:  # no such folder
+        pass
+    return counts
+
+
+def spool_write(rows: DataFrame, folder: str, key: str, order: str, most: int = 50) -> bool:
+    """Adds rows to a spool's pending folder with the next numbers of their key as `seq`, unless more than `most` files wait there.
+
+    Spark moves whole files into place, so a reader sees none half written.
+    """
+    spark, counts = rows.sparkSession, spool_counts(rows.sparkSession, folder)
+    if counts["pending"] > most:
+        return False
+    there = [f"{folder}/{state}" for state, n in counts.items() if n]
+    old = spark.read.schema(StructType([rows.schema[key], StructField("seq", LongType())])).json(there) if there else rows.select(key, F.lit(0).alias("seq")).limit(0)
+    last = old.groupBy(key).agg(F.max("seq").alias("_last"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    numbered = rows.join(last, key, "left").withColumn("seq", (F.coalesce("_last", F.lit(0)) + place).cast("long")).drop("_last")
+    numbered.write.mode("append").json(f"{folder}/{SPOOL[0]}")
+    return True

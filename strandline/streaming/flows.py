@@ -18,13 +18,17 @@ def event_stream(spark: SparkSession, path: str, files_at_once: int = 16) -> Dat
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Counts by hour and type; an hour is final once events are later than `late` after it."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
+def hourly(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
+    """Counts by hour and type.
+
+    In append or update mode an hour is final, and leaves the state, once events are later than `late` after it. In
+    complete mode, and where late is None, all hours stay: a row for each hour and type.
+    """
+    return (events if late is None else events.withWatermark("ts", late)).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
 
 
 def online_spans(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Spans in which a user's heartbeats are never further apart than `idle`."""
+    """Spans in which a user's heartbeats are never further apart than `idle`; in append mode those that are over."""
     return events.withWatermark("ts", idle).groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("beats"))
 
 
@@ -48,33 +52,58 @@ def numbered(events: DataFrame, key: str = "user_id") -> DataFrame:
     return grouped.applyInPandasWithState(run, f"{key} long, event_id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def every_n(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
-    """A row for a key each time that it has had n more events."""
+def every_n(events: DataFrame, n: int, key: str = "user_id", idle: int | None = None) -> DataFrame:
+    """A row for a key each time that it has had n more events, and with `idle` also when it had some and then none for so many seconds.
+
+    count: events until then. Idle is told by events' times when the key's next event comes.
+    """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        total = before + sum(len(b) for b in batches)
-        state.update((total,))
-        due = [m * n for m in range(before // n + 1, total // n + 1)]
+        total, waiting, last = state.get if state.exists else (0, 0, None)
+        due = []
+        if idle is None:
+            more = sum(len(b) for b in batches)
+            due = [total + m for m in range(n - waiting, more + 1, n)]
+            total, waiting = total + more, (waiting + more) % n
+        else:
+            times = sorted(t.timestamp() for b in batches for t in b["ts"])
+            for at in times:
+                if waiting and last is not None and at - last > idle:
+                    due.append(total)
+                    waiting = 0
+                total, waiting, last = total + 1, waiting + 1, at
+                if waiting == n:
+                    due.append(total)
+                    waiting = 0
+        state.update((total, waiting, last))
         yield pd.DataFrame({key: [k[0]] * len(due), "count": due})
 
-    return events.select(key, "event_id").groupBy(key).applyInPandasWithState(run, f"{key} long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(run, f"{key} long, count long", "n long, waiting long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def recent(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
+def recent(events: DataFrame, n: int, key: str = "user_id", ttl: int | None = None) -> DataFrame:
     """A key's n greatest event ids, greatest first, whenever it has new events; its state is those ids.
 
-    Ids are given in order, so the greatest are the newest, in whichever order events arrive.
+    Ids are given in order, so the greatest are the newest, in whichever order events arrive. With `ttl` a list is
+    gone once no event has come for so many seconds, by events' times, which the key's next event tells.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = list(state.get[0]) if state.exists else []
-        now = sorted([*old, *(i for b in batches for i in b["event_id"].tolist())], reverse=True)[:n]
-        state.update((now,))
+        old, last = state.get if state.exists else ([], None)
+        now = list(old)
+        for b in batches:
+            if ttl is None:
+                now += b["event_id"].tolist()
+                continue
+            for at, i in sorted(zip(b["ts"].map(pd.Timestamp.timestamp), b["event_id"].tolist(), strict=True)):
+                now = [i] if last is not None and at - last > ttl else [*now, i]
+                last = at if last is None else max(at, last)
+        now = sorted(now, reverse=True)[:n]
+        state.update((now, last))
         yield pd.DataFrame({key: [k[0]], "event_ids": [now]})
 
-    grouped = events.select(key, "event_id").groupBy(key)
-    return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>", "append", GroupStateTimeout.NoTimeout)
+    grouped = events.select(key, "event_id", "ts").groupBy(key)
+    return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def closings(relations: DataFrame, buckets: int = 64) -> DataFrame:
@@ -131,8 +160,15 @@ def work(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
     events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def caught_up(result: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming result over what has arrived, into a table in memory: for small results, as in tests."""
-    query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def caught_up(result: DataFrame, spark: SparkSession, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a streaming result over what has arrived and reads it as a table, which executors write to `path`.
+
+    In append mode batches add rows. In complete mode each batch's whole result replaces the last one's.
+    """
+    writer = result.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.outputMode(mode).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(path)

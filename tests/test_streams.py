@@ -1,7 +1,6 @@
 """State goes on from batch to batch."""
 
 import datetime as dt
-import uuid
 
 import duckdb
 import pytest
@@ -77,12 +76,35 @@ def test_worker_handles_each_row_once(spark, folder, tmp_path):
 
 
 def test_hourly_and_spans(spark, folder):
-    hours = flows.caught_up(flows.hourly(read(spark, folder)), spark, f"h{uuid.uuid4().hex}", "complete", f"{folder[:-3]}check").collect()
+    hours = _run(spark, flows.hourly(read(spark, folder)), "complete").collect()
     assert sum(r.events for r in hours) == 20
-    spans = flows.caught_up(flows.online_spans(read(spark, folder)), spark, f"s{uuid.uuid4().hex}", "complete", f"{folder[:-3]}check2").collect()
+    spans = _run(spark, flows.online_spans(read(spark, folder)), "complete").collect()
     assert sorted((r.user_id, r.beats) for r in spans) == [(0, 10), (1, 10)]
 
 
+def test_idle_and_expiry(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    minutes = (0, 1, 2, 30, 31, 90)
+    for n, lot in enumerate((minutes[:2], minutes[2:4], minutes[4:])):
+        rows = [(m, at + dt.timedelta(minutes=m), 7, "view", 1.0, "{}") for m in lot]
+        spark.createDataFrame(rows, flows.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    due = _run(spark, flows.every_n(read(spark, str(tmp_path / "in*")), 2, idle=600), "append").collect()
+    assert sorted(r["count"] for r in due) == [2, 3, 5]
+    lists = [r.event_ids for r in _run(spark, flows.recent(read(spark, str(tmp_path / "in*")), 2, ttl=600), "append").collect()]
+    assert sorted(lists) == [[1, 0], [30], [90]]
+
+
+def test_spool(spark, tmp_path):
+    folder = str(tmp_path / "spool")
+    rows = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 12, "c")], "session_id long, at long, body string").coalesce(1)
+    assert files.spool_counts(spark, folder) == {"pending": 0, "retry": 0, "acked": 0, "deadletter": 0}
+    assert files.spool_write(rows, folder, "session_id", "at") and files.spool_write(rows, folder, "session_id", "at", most=50)
+    assert files.spool_counts(spark, folder)["pending"] == 2
+    assert not files.spool_write(rows, folder, "session_id", "at", most=1) and files.spool_counts(spark, folder)["pending"] == 2
+    got = sorted((r.session_id, r.seq) for r in spark.read.schema("session_id long, seq long").json(f"{folder}/pending").collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2)]
+
+
 def test_markdown(spark, tmp_path):
     rows = spark.createDataFrame([("u", "t", "b", dt.datetime(2024, 1, 2))], "user string, title string, body string, at timestamp_ntz")
     files.write_markdown(rows, str(tmp_path / "md"), "title", "body", "at", "user")
