@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,7 +134,20 @@ def test_merging_redirects_relations(spark):
 def test_near_duplicates_of_any_earlier_draft(spark):
     rows = [("s", 1, [1.0, 0.0]), ("s", 2, [0.95, 0.3122]), ("s", 3, [0.8, 0.6]), ("s", 4, None), ("t", 5, [1.0, 0.0])]
     v = spark.createDataFrame(rows, "session string, id long, embedding array<double>")
-    assert {r.id: r.earlier for r in memory.vector_near_duplicates(v, "session", 0.92).collect()} == {2: 1, 3: 2}
+    facts = v.filter("id = 1").withColumn("id", F.lit(90).cast("long"))
+    assert {r.id: (r.earlier, r.fact) for r in memory.vector_near_duplicates(v, facts, "session", 0.92).collect()} == {1: (None, 90), 2: (1, 90), 3: (2, None)}
+
+
+def test_bands_lose_no_near_vector(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 32))
+    rows = [(1, i, (base[i % 40] + rng.standard_normal(32) * 0.38).tolist()) for i in range(400)]
+    v = spark.createDataFrame(rows, "session long, id long, embedding array<double>")
+    m = np.array([r[2] for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T
+    want = {i: int(np.flatnonzero(near[i, :i].round(6) > 0.92)[0]) for i in range(400) if (near[i, :i].round(6) > 0.92).any()}
+    assert want and {r.id: r.earlier for r in memory.vector_near_duplicates(v, v.limit(0), "session").collect()} == want
 
 
 @pytest.mark.parametrize(("messages", "atoms", "want"), [(9, 0, (2, False, 0)), (10, 0, (2, True, 5)), (19, 1, (4, False, 0)), (20, 1, (4, True, 7)), (40, 2, (8, True, 9)), (79, 3, (16, False, 0)), (80, 10, (16, True, 25)), (80, 16, (16, False, 0))])
