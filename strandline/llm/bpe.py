@@ -39,6 +39,14 @@ BEYOND = r"[\u0130\u0180-\U0010ffff]"
 LONG_WORD = 60
 
 
+def _is_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Merger:
     """The vocabulary of a tokenizer file whose tokens end words with a mark, and the exact way of merging."""
 
@@ -68,6 +76,9 @@ class Merger:
             if part in self.special:
                 found.append(part)
                 continue
+            if _is_latin_1(part):  # so are most, and that is quickly told
+                found += self.latin_words(part.lower())
+                continue
             at = 0
             while odd := self.beyond(part, at):
                 first = max(part.rfind(" ", at, odd.start()), part.rfind("\n", at, odd.start()), at - 1) + 1
