@@ -44,6 +44,11 @@ def search_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def word_count(text: Column) -> Column:
+    """Runs of other characters than blanks."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
 def redact(text: Column) -> Column:
     for pattern, mark in W.SECRETS:
         text = F.regexp_replace(text, pattern, mark)

@@ -217,3 +217,39 @@ def grounded(rows: DataFrame, source: str, *names: str) -> DataFrame:
     for n in names:
         test = test & F.contains(F.lower(source), F.lower(n))
     return rows.filter(test)
+
+
+def memory_export(facts: DataFrame, scenarios: DataFrame, profiles: DataFrame, most_facts: int = 500, most_scenarios: int = 100) -> DataFrame:
+    """What is kept about each user, a row an item, for files by user: user_id, part, place and item, a JSON text.
+
+    A user's newest facts (id, user_id, kind, content, created_at, superseded), scenarios (id, user_id, title, created_at)
+    and profile (user_id, profile). Rows and not one bundle a user, whose size would have no bound but the texts'.
+    """
+
+    def newest(rows: DataFrame, part: str, most: int, *columns: str) -> DataFrame:
+        order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("id"))
+        kept = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+        return kept.select("user_id", F.lit(part).alias("part"), "place", F.to_json(F.struct(*columns)).alias("item"))
+
+    live = newest(facts.filter(~F.coalesce("superseded", F.lit(False))), "fact", most_facts, "id", "kind", "content")
+    told = newest(scenarios, "scenario", most_scenarios, "id", "title")
+    return live.unionByName(told).unionByName(profiles.select("user_id", F.lit("profile").alias("part"), F.lit(1).alias("place"), F.to_json(F.struct("profile")).alias("item")))
+
+
+def session_bundle(messages: DataFrame, entities: DataFrame, relations: DataFrame, most_messages: int = 1000, most_graph: int = 50) -> DataFrame:
+    """session_id and a JSON bundle of a session's newest messages, oldest first, its entities and its relations.
+
+    messages: session_id, turn, role, tokens. entities and relations: session_id, id, name or relation_type. The window
+    cuts a group before it is gathered, so a bundle has at most so many parts.
+    """
+
+    def gathered(rows: DataFrame, newest: list[Column], most: int, name: str, *columns: str) -> DataFrame:
+        kept = rows.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest))).filter(F.col("_n") <= most)
+        return kept.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+    out = gathered(messages, [F.desc("turn")], most_messages, "messages", "turn", "role", "tokens")
+    for rows, name, label in ((entities, "entities", "name"), (relations, "relations", "relation_type")):
+        out = out.join(gathered(rows, [F.asc("id"), F.asc(label)], most_graph, name, "id", label), "session_id", "full")
+    none = {"messages": "array<struct<turn:long,role:string,tokens:long>>", "entities": "array<struct<id:long,name:string>>", "relations": "array<struct<id:long,relation_type:string>>"}
+    filled = [F.coalesce(n, F.array().cast(t)).alias(n) for n, t in none.items()]
+    return out.select("session_id", F.to_json(F.struct("session_id", *filled)).alias("bundle"))

@@ -110,6 +110,48 @@ def entity_expansion(docs: DataFrame, names: list[str], each: int, total: int) -
     return top(once.select("id", "x.*"), total, F.asc("name_index"), F.asc("place"), F.asc("id"))
 
 
+def seed_expansion(docs: DataFrame, names: DataFrame, known: DataFrame, each: int, total: int, most_names: int = 5) -> DataFrame:
+    """Newest texts that hold the names of seed entities, the texts of `known` (id) left out; the best scores first.
+
+    names: entity_id, name; the first `most_names` of them count, in order. A text goes to the first name that takes it,
+    and the next names take others for it: `each` a name, `total` in all. docs: id, content, created_at.
+    """
+    few = top(names.select("entity_id", "name"), most_names, F.asc("entity_id"))
+    listed = few.agg(F.sort_array(F.collect_list(F.struct("entity_id", "name"))).alias("_names"))
+    every = F.transform("_names", lambda x, i: F.struct(i.alias("name_index"), x["name"].alias("name")))
+    held = F.filter(every, lambda x: F.contains(F.lower("content"), F.lower(x["name"])))
+    others = docs.join(known.select("id"), "id", "left_anti")
+    hits = others.crossJoin(F.broadcast(listed)).select("id", "content", "created_at", F.inline(held))  # listed: one row
+    # Earlier names take at most `each` texts apiece, so a name needs no more than this many to choose from.
+    order = Window.partitionBy("name_index").orderBy(F.desc("created_at"), F.asc("id"))
+    newest = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each * most_names)
+    scored = newest.select("name_index", "place", "id", "name", entity_score(F.col("content"), F.col("name")).alias("score"))
+    rows = scored.agg(F.sort_array(F.collect_list(F.struct("name_index", "place", "id", "name", "score"))).alias("rows"))  # each * most_names**2 at most
+
+    def taken(so_far: Column, x: Column) -> Column:
+        mine = F.size(F.filter(so_far, lambda y: y["name_index"] == x["name_index"]))
+        free = ~F.exists(so_far, lambda y: y["id"] == x["id"])
+        return F.when(free & (mine < each) & (F.size(so_far) < total), F.concat(so_far, F.array(x))).otherwise(so_far)
+
+    chosen = rows.select(F.inline(F.aggregate("rows", F.slice("rows", 1, 0), taken)))
+    return top(chosen.select("id", "name", "score"), total, F.desc("score"), F.asc("id"))
+
+
+def nearest_or_fallback(vectors: DataFrame, first: list[float], second: list[float], n: int, key: str = "id") -> DataFrame:
+    """The n nearest by `embedding`; where no row has one of the query's length, by `embedding_fallback`: key, score, fallback.
+
+    One scan scores both; rows of the first kind sort before those of the second and push them out.
+    """
+    other = F.size("embedding_fallback") == len(second)
+    by = lambda c, q: F.round(cosine(F.col(c), F.array(*[F.lit(float(x)) for x in q])), 4)
+    score = F.when(F.size("embedding") == len(first), by("embedding", first))
+    both = vectors.select(F.col(key), score.alias("_one"), F.when(other, by("embedding_fallback", second)).alias("_two"))
+    one = both.select(key, F.coalesce("_one", "_two").alias("score"), F.col("_one").isNull().alias("fallback")).filter(F.col("score").isNotNull())
+    best = top(one, n, F.asc("fallback"), F.desc("score"), F.asc(key))
+    kind = Window.partitionBy(F.lit(1))  # n rows
+    return best.withColumn("_kind", F.min("fallback").over(kind)).filter(F.col("fallback") == F.col("_kind")).drop("_kind")
+
+
 def entity_boost(entities: DataFrame, mentions: DataFrame, docs: DataFrame, words: list[str], n: int, most_entities: int = 20) -> DataFrame:
     """Newest texts that mention entities named like a query's words; the score counts the entities. mentions: entity_id, id."""
     like = T.any_of([F.contains(F.lower("name"), F.lit(w.lower())) for w in words])

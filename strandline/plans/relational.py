@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audits as U
+from ..operators import graph as G
+from ..operators import memory as M
 from ..sources import adapters as A
 from ..sources import files
-from .registry import ATOMS, MESSAGES, SESSIONS, query
+from .registry import ATOMS, ENDS, ENTITIES, MESSAGES, SESSIONS, query
 
 
 @query("SELECT o_orderkey % 8 AS shard, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders GROUP BY 1")
@@ -28,6 +30,37 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("session_id", F.to_json(F.struct("session_id", "messages")).alias("bundle"))
 
 
+@query("WITH " + MESSAGES + ", " + ENTITIES + ", " + ENDS + """, m AS (SELECT session_id, string_agg('{"turn":' || turn || ',"role":"' || role || '","tokens":' || tokens || '}', ',' ORDER BY turn) AS j FROM messages GROUP BY 1),
+    e AS (SELECT DISTINCT message_id // 10 AS session_id, entity_id AS id FROM ends), en AS (SELECT session_id, id, name, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM e JOIN entities USING (id)),
+    ej AS (SELECT session_id, string_agg('{"id":' || id || ',"name":"' || name || '"}', ',' ORDER BY id) AS j FROM en WHERE n <= 50 GROUP BY 1),
+    rn AS (SELECT message_id // 10 AS session_id, id, relation_type, row_number() OVER (PARTITION BY message_id // 10 ORDER BY id, relation_type) AS n FROM relations),
+    rj AS (SELECT session_id, string_agg('{"id":' || id || ',"relation_type":"' || relation_type || '"}', ',' ORDER BY id, relation_type) AS j FROM rn WHERE n <= 50 GROUP BY 1)
+    SELECT session_id, '{"session_id":' || session_id || ',"messages":[' || coalesce(m.j, '') || '],"entities":[' || coalesce(ej.j, '') || '],"relations":[' || coalesce(rj.j, '') || ']}' AS bundle
+    FROM m FULL JOIN ej USING (session_id) FULL JOIN rj USING (session_id)""")
+def session_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Ten orders' lines are a session's relations.
+    r = A.relations(spark, sf_dir).withColumn("session_id", F.floor(F.col("message_id") / 10))
+    e = G.endpoints(r).select("session_id", F.col("entity_id").alias("id")).distinct().join(A.entities(spark, sf_dir).select("id", "name"), "id")
+    return M.session_bundle(A.messages(spark, sf_dir), e, r.select("session_id", "id", "relation_type"))
+
+
+@query("WITH " + ATOMS + """, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS n FROM atoms WHERE id % 10 <> 9),
+    s AS (SELECT user_id, min(id) AS id, user_id || ' ' || strftime(created_at, '%Y-%m-%d') AS title, created_at FROM atoms GROUP BY user_id, created_at HAVING count(*) >= 3),
+    sn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS n FROM s)
+    SELECT user_id, 'fact' AS part, n::INTEGER AS place, id::VARCHAR AS id, md5(content) AS said_md5 FROM f WHERE n <= 500
+    UNION ALL SELECT user_id, 'scenario', n::INTEGER, id::VARCHAR, md5(title) FROM sn WHERE n <= 100
+    UNION ALL SELECT user_id, 'profile', 1, NULL, md5(max(kind)) FROM atoms GROUP BY user_id""")
+def memory_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One fact in ten is superseded. The items are read back from their JSON.
+    a = A.atoms(spark, sf_dir)
+    facts = a.withColumn("superseded", F.col("id") % 10 == 9)
+    told = a.groupBy("user_id", "created_at").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    scenarios = told.withColumn("title", F.concat_ws(" ", "user_id", F.date_format("created_at", "yyyy-MM-dd")))
+    out = M.memory_export(facts, scenarios, a.groupBy("user_id").agg(F.max("kind").alias("profile")))
+    said = F.coalesce(*[F.get_json_object("item", f"$.{k}") for k in ("content", "title", "profile")])
+    return out.select("user_id", "part", "place", F.get_json_object("item", "$.id").alias("id"), F.md5(said).alias("said_md5"))
+
+
 @query("WITH " + ATOMS + " SELECT user_id, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS atoms, md5(string_agg(id::VARCHAR, ',' ORDER BY created_at, id)) AS ids_md5 FROM atoms GROUP BY 1, 2")
 def daily_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = A.atoms(spark, sf_dir).groupBy("user_id", F.date_format("created_at", "yyyy-MM-dd").alias("day"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import cosine
+from ..operators import graph as G
 from ..operators import retrieval as R
 from ..sources import adapters as A
-from .registry import ATOMS, ENTITIES, MESSAGES, RELATIONS, SESSIONS, listed, query
+from .registry import ATOMS, ENDS, ENTITIES, MESSAGES, RELATIONS, SESSIONS, listed, query
 
 TERMS = ["the", "ereation", "de"]
 NAMES = ["ing", "tion", "eau"]
@@ -103,6 +104,53 @@ def entity_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "name_index", "place", "name", R.entity_score(F.col("content"), F.col("name")).alias("score"))
 
 
+def _expanded(names: int, each: int, total: int) -> str:
+    """Each name's newest texts that no earlier name took, as one common table expression a name, and all of them."""
+    score = """round(least(((length(content) - length(replace(lower(content), lower(name), ''))) // length(name)) * 0.1::DOUBLE, 0.5) + 0.3::DOUBLE
+      + CASE WHEN length(content) BETWEEN 50 AND 1000 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 3)"""
+    ctes = []
+    for i in range(names):
+        before = "".join(f" AND id NOT IN (SELECT id FROM x{j})" for j in range(i))
+        ctes.append(f"x{i} AS (SELECT id, name, {score} AS score, {i} AS i, created_at FROM texts, names WHERE k = {i + 1} AND contains(lower(content), lower(name)){before} ORDER BY created_at DESC, id LIMIT {each})")
+    every = " UNION ALL ".join(f"SELECT * FROM x{i}" for i in range(names))
+    return ", ".join(ctes) + f", every AS (SELECT * FROM ({every}) ORDER BY i, created_at DESC, id LIMIT {total})"
+
+
+ORDER_TEXTS = """texts AS (SELECT o_orderkey AS id, o_orderdate AS created_at, string_agg(p_name, ', ' ORDER BY l_linenumber, p_name) AS content
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 3 < 2 AND o_orderkey > 3 GROUP BY 1, 2)"""
+
+
+@query("WITH " + ENTITIES + ", " + ENDS + ", " + ORDER_TEXTS + """, seeds AS (SELECT DISTINCT entity_id FROM ends WHERE message_id <= 3 ORDER BY entity_id LIMIT 20),
+    names AS (SELECT name, row_number() OVER (ORDER BY id) AS k FROM entities WHERE id IN (SELECT entity_id FROM seeds)), """ + _expanded(5, 5, 10) + """
+    SELECT id, name, score FROM every ORDER BY score DESC, id LIMIT 10""")
+def seed_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # An order is a message that names its parts; two in three are of a user or an assistant.
+    orders, part = A.table(spark, sf_dir, "orders"), A.table(spark, sf_dir, "part")
+    lines = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    said = orders.filter("o_orderkey % 3 < 2").select("o_orderkey", "o_orderdate").join(lines, "o_orderkey").join(part.select("p_partkey", "p_name"), "p_partkey")
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: x["p_name"])
+    texts = said.groupBy(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")).agg(F.array_join(parts, ", ").alias("content"))
+    known = orders.filter("o_orderkey <= 3").select(F.col("o_orderkey").alias("id"))
+    seeds = G.seeds_of(A.relations(spark, sf_dir), known.select(F.col("id").alias("message_id")))
+    names = A.entities(spark, sf_dir).select(F.col("id").alias("entity_id"), "name").join(F.broadcast(seeds), "entity_id")  # 20 rows
+    return R.seed_expansion(texts, names, known, 5, 10)
+
+
+def _fallback(where: str) -> str:
+    return f"""SELECT '{where}' AS scope, vec_id, score, false AS fallback FROM (SELECT vec_id, round(list_cosine_similarity(e, q), 4) AS score FROM v, qv WHERE {where} AND big ORDER BY score DESC, vec_id LIMIT 10)
+    UNION ALL SELECT '{where}', vec_id, score, true FROM (SELECT vec_id, round(list_cosine_similarity(e[1:16], q[1:16]), 4) AS score FROM v, qv WHERE {where} ORDER BY score DESC, vec_id LIMIT 10)
+    WHERE NOT EXISTS (SELECT 1 FROM v WHERE {where} AND big)"""
+
+
+@query("WITH qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, label % 2 = 0 AS big FROM embeddings) " + _fallback("label >= 0") + " UNION ALL " + _fallback("label % 2 = 1"))
+def knn_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Vectors of odd labels have their short form only: a search among them falls back to it.
+    q = _query_vector(spark, sf_dir)
+    v = A.embeddings(spark, sf_dir).select("vec_id", "label", F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("embedding"), F.slice("embedding", 1, 16).alias("embedding_fallback"))
+    every, odd = (R.nearest_or_fallback(v.filter(w), q, q[:16], 10, "vec_id").withColumn("scope", F.lit(w)) for w in ("label >= 0", "label % 2 = 1"))
+    return every.unionByName(odd)
+
+
 @query("""SELECT doc_id, round(least(((length(text) - length(replace(lower(text), 'tion', ''))) // 4) * 0.1::DOUBLE, 0.5) + CASE WHEN contains(lower(text), 'tion') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
       + CASE WHEN length(text) BETWEEN 50 AND 1000 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 3) AS score FROM documents""")
 def entity_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +205,19 @@ def proactive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.unionByName(e.select(F.lit("entity").alias("found"), F.col("name").alias("key"), F.col("n").cast("double").alias("score")))
 
 
+@query("""WITH qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+    a AS (SELECT doc_id AS id, lang AS kind, left(text, 200) AS content, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 4) AS distance
+      FROM documents JOIN embeddings ON vec_id = doc_id, qv WHERE doc_id % 10 <> 9 ORDER BY distance, id LIMIT 10)
+    SELECT id, kind, content, distance, floor(1.3::DOUBLE * sum(len(regexp_extract_all(content, '[^ \\x09-\\x0D]+'))) OVER ())::INTEGER AS list_tokens FROM a""")
+def proactive_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One fact in ten is superseded. Each row says how many tokens the list takes.
+    v = A.table(spark, sf_dir, "documents").filter("doc_id % 10 <> 9").join(A.embeddings(spark, sf_dir).withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    q = F.array(*[F.lit(float(x)) for x in _query_vector(spark, sf_dir)])
+    near = v.select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.left("text", F.lit(200)).alias("content"), F.round(1 - cosine(F.col("embedding"), q), 4).alias("distance"))
+    best = R.top(near, 10, F.asc("distance"), F.asc("id"))
+    return best.withColumn("list_tokens", F.floor(1.3 * F.sum(T.word_count(F.col("content"))).over(Window.partitionBy(F.lit(1)))).cast("int"))  # 10 rows
+
+
 @query("WITH " + ENTITIES + ", " + RELATIONS + """, e AS (SELECT id FROM entities WHERE contains(lower(name), 'blue') ORDER BY id DESC LIMIT 20),
     s AS (SELECT DISTINCT message_id FROM relations WHERE source IN (SELECT id FROM e))
     SELECT o_orderkey AS id, o_orderpriority AS content FROM orders WHERE o_orderkey IN (SELECT message_id FROM s) AND o_orderstatus IN ('O', 'F') ORDER BY o_orderdate DESC, o_orderkey LIMIT 5""")

@@ -237,3 +237,38 @@ def test_files(spark, tmp_path):
         (tmp_path / "md").mkdir(exist_ok=True)
         (tmp_path / "md" / f"{n}.md").write_text("x")
     assert [r.id for r in files.orphan_files(spark, str(tmp_path / "md"), rows).collect()] == ["7"]
+
+
+def test_seed_expansion_takes_names_in_turn(spark):
+    texts = [(1, "Alpha beta", 9), (2, "alpha only", 8), (3, "ALPHA", 7), (4, "beta", 6), (5, "none", 5), (6, None, 4)]
+    docs = spark.createDataFrame(texts, "id long, content string, created_at int")
+    names = spark.createDataFrame([(7, "alpha"), (8, "beta")], "entity_id long, name string")
+    known = spark.createDataFrame([(2,)], "id long")
+    # 1 goes to alpha, so beta takes 4 for it; 2 is known.
+    got = retrieval.seed_expansion(docs, names, known, 2, 9).collect()
+    assert sorted((r.id, r.name) for r in got) == [(1, "alpha"), (3, "alpha"), (4, "beta")]
+    assert [r.id for r in retrieval.seed_expansion(docs, names, known, 1, 1).collect()] == [1]
+    assert retrieval.seed_expansion(docs, names.limit(0), known, 2, 9).count() == 0
+    assert retrieval.seed_expansion(docs.limit(0), names, known, 2, 9).count() == 0
+
+
+def test_fallback_only_where_nothing_is_found(spark):
+    rows = [(1, [1.0, 0.0], [1.0]), (2, None, [1.0]), (3, [1.0], [1.0]), (4, None, None)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>, embedding_fallback array<float>")
+    near = lambda df: [(r.id, r.fallback) for r in retrieval.nearest_or_fallback(df, [1.0, 0.0], [1.0], 9).collect()]
+    assert near(v) == [(1, False)] and near(v.filter("id > 1")) == [(2, True), (3, True)] and near(v.filter("id > 3")) == []
+
+
+def test_bundles_and_exports_are_cut(spark):
+    m = spark.createDataFrame([(1, n, "user", 2) for n in range(5)], "session_id long, turn long, role string, tokens long")
+    e = spark.createDataFrame([(1, n, "e") for n in range(4)] + [(2, 9, "f")], "session_id long, id long, name string")
+    r = spark.createDataFrame([], "session_id long, id long, relation_type string")
+    got = {x.session_id: x.bundle for x in memory.session_bundle(m, e, r, 2, 3).collect()}
+    assert got[1].count('"turn"') == 2 and '"turn":4' in got[1] and got[1].count('"id"') == 3 and got[1].endswith('"relations":[]}')
+    assert got[2] == '{"session_id":2,"messages":[],"entities":[{"id":9,"name":"f"}],"relations":[]}'
+    facts = spark.createDataFrame([(n, "u", "k", "c", n, n == 3) for n in range(4)], "id long, user_id string, kind string, content string, created_at int, superseded boolean")
+    told = spark.createDataFrame([(7, "u", "t", 1)], "id long, user_id string, title string, created_at int")
+    out = memory.memory_export(facts, told, spark.createDataFrame([("u", "p")], "user_id string, profile string"), 2).collect()
+    assert sorted((x.part, x.place, x.item) for x in out) == [
+        ("fact", 1, '{"id":2,"kind":"k","content":"c"}'), ("fact", 2, '{"id":1,"kind":"k","content":"c"}'), ("profile", 1, '{"profile":"p"}'), ("scenario", 1, '{"id":7,"title":"t"}'),
+    ]
