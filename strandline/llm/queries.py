@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from . import licenses, pairwise_quality
 from .bpe import encoded
 from .common import documents
+from .filter_audit import filter_audit
 from .fingerprints import edit_fingerprints
 from .near_dedup import near_duplicates
 from .packing import harmonic_pack
 from .pii import pseudonymise
 from .quality_rules import AROUND_WORDS, RULES, STOP_WORDS, quality_rules
 from .sharding import even_tree, tree_shards
+from .source_divergence import source_divergence
 from .suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +81,14 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 def _rule_sql() -> str:
     tests = [f"{r.metric} < {r.least}" for r in RULES if r.least is not None] + [f"{r.metric} > {r.most}" for r in RULES if r.most is not None]
     return " OR ".join(tests)
@@ -106,10 +116,58 @@ r AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_rule_sql()}) AS kept FROM r
 """
 
+#: The filters one after the other, for every order, over the documents' own flags.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+m AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN m ON w.doc_id = m.doc_id),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, k AS step, filter_order[k] AS own, filter_order[:k - 1] AS earlier FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS failed,
+         len(list_filter(string_split(earlier, ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS gone
+  FROM s, c),
+q AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failed THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND failed THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND failed THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failed THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM q
+"""
+
+#: Every pair of sources over every kept term.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v))::BIGINT AS p FROM every JOIN v USING (lang)),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)))::BIGINT AS q FROM every JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200
+"""
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op6_bradley_terry_quality, op7_transducer_bpe, op8_license_scan, op9_dart_minhash, op10_merkle_fingerprints)}
+    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op6_bradley_terry_quality, op7_transducer_bpe, op8_license_scan, op9_dart_minhash, op10_merkle_fingerprints, op11_filter_audit, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_source_divergence": OP12_SQL}
