@@ -14,6 +14,7 @@ from .common import documents
 from .filter_audit import filter_audit
 from .fingerprints import edit_fingerprints
 from .near_dedup import near_duplicates
+from .ngram_join import ngram_join
 from .packing import harmonic_pack
 from .pii import pseudonymise
 from .quality_rules import AROUND_WORDS, RULES, STOP_WORDS, quality_rules
@@ -89,6 +90,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir))
+
+
 def _rule_sql() -> str:
     tests = [f"{r.metric} < {r.least}" for r in RULES if r.least is not None] + [f"{r.metric} > {r.most}" for r in RULES if r.most is not None]
     return " OR ".join(tests)
@@ -164,10 +169,23 @@ r AS (
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200
 """
 
+#: Every two documents that share a run, and all that links lead to.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT i, unnest(CASE WHEN len(w) < 5 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS run FROM d),
+n AS (SELECT i, count(*) AS n FROM s GROUP BY i),
+p AS (SELECT a.i AS x, b.i AS y, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.i < b.i GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n u ON u.i = x JOIN n v ON v.i = y WHERE 100 * c >= 80 * (u.n + v.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(i, j) AS (SELECT i, i FROM d UNION SELECT r.i, e.y FROM r JOIN e ON e.x = r.j)
+SELECT a.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b.doc_id) AS component_id FROM r JOIN d a ON a.i = r.i JOIN d b ON b.i = r.j LEFT JOIN n ON n.i = a.i GROUP BY a.i, a.doc_id
+"""
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op6_bradley_terry_quality, op7_transducer_bpe, op8_license_scan, op9_dart_minhash, op10_merkle_fingerprints, op11_filter_audit, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_hash_tree_sharding, op4_quality_rules, op5_suffix_dedup, op6_bradley_terry_quality, op7_transducer_bpe, op8_license_scan, op9_dart_minhash, op10_merkle_fingerprints, op11_filter_audit, op12_source_divergence, op13_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_ngram_join": OP13_SQL}

@@ -115,7 +115,7 @@ SCORED = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("source", pa.
 
 SETUP = [
     "CREATE TABLE got AS SELECT * FROM arriving",
-    "CREATE MACRO share(k, n, v) AS (1 + (1000000000::HUGEINT * (k + 1)) // (n::HUGEINT + v))::BIGINT",
+    "CREATE MACRO share(k, n, v) AS (1 + (1000000000::HUGEINT * (k + 1)) // nullif(n::HUGEINT + v, 0))::BIGINT",
     "CREATE MACRO gap(p, q) AS ((p - q) * (p - q)) // q",
     # A share of a term that a group does not have; null where the lang keeps no term.
     "CREATE TABLE groups AS SELECT shard, lang, source, n, v, n_lang, share(0, n, v) AS none FROM got WHERE term IS NULL",
