@@ -31,7 +31,7 @@ PERCENT = 80
 #: The share of hashes, from the lowest, by which kinds without partners are told.
 LOW = 2**64 // 3
 #: Runs whose holders a task sorts at once, on either side of the shuffle, and bytes of text taken at once.
-FLUSH, PART, STEP = 1_000_000, 4_000_000, 8 << 20
+FLUSH, PART, STEP = 1_000_000, 1_000_000, 8 << 20
 #: Lowest runs by which kinds are compared with central ones.
 BOTTOM = 6
 #: So many kinds, of about 100 bytes, are sent to all executors at most; more are joined by a shuffle.
@@ -93,10 +93,11 @@ MANY = 0
 
 def shared(runs: np.ndarray, holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The holders who share a run, one entry for each run; then every run once, with its only holder or MANY."""
-    order = np.lexsort((holders, runs))
-    runs, holders = runs[order], holders[order]
     if not len(runs):
         return holders, runs, holders
+    order = np.lexsort((holders, runs))
+    runs, holders = runs[order], holders[order]
+    del order
     other = np.concatenate(([True], (runs[1:] != runs[:-1]) | (holders[1:] != holders[:-1])))
     runs, holders = runs[other], holders[other]
     starts = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
@@ -165,7 +166,9 @@ def _teller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif c is not None:
                 known.append(np.frombuffer(h, "int64"))
                 counts.append(np.frombuffer(c, "int64"))
-    told, _, _ = shared(np.concatenate(runs), np.concatenate(holders))
+    r, h = np.concatenate(runs), np.concatenate(holders)
+    del runs, holders  # a part is held once
+    told = shared(r, h)[0]
     who, to = np.unique(np.concatenate([told, *known]), return_inverse=True)
     n = np.bincount(to, np.concatenate([np.ones(len(told), "int64"), *counts]), len(who)).astype("int64")
     for at in range(0, len(who), 50_000):
