@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import Scratch, written
-from .near_dedup import PAYS, _merged, _mixed, _samples, _split
+from .near_dedup import _merged, _mixed, _split
 
 WORDS = 5
 PERCENT = 80
@@ -34,6 +34,10 @@ LOW = 2**64 // 3
 FLUSH, PART, STEP = 1_000_000, 1_000_000, 8 << 20
 #: Lowest runs by which kinds are compared with central ones.
 BOTTOM = 6
+#: Rarest runs by which kinds outside are compared with some inside.
+RAREST = 16
+#: With so many of a class a kind outside is compared in each round for each run, as long as a round leaves at most this share of the pairs.
+PICKS, PAYS = 3, 0.9
 #: So many kinds, of about 100 bytes, are sent to all executors at most; more are joined by a shuffle.
 BROADCAST = 500_000
 #: The least width of a band of sizes is the largest ratio of two sizes that can be alike; a little more makes up for rounding.
@@ -245,11 +249,11 @@ def _ceil(x: Column, over: int) -> Column:
     return F.floor((x + F.lit(over - 1)) / F.lit(over)).cast("long")
 
 
-def heads(sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
-    """kind, size, run, at and near of every run that can be the first in common with a kind that is alike.
+def heads(sets: DataFrame, percent: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """kind, size, run, place, at and near of every run that can be the first in common with a kind that is alike.
 
     Runs are in order of the number of kinds that have them, then of their hash; at is the place, from 0, with those that no
-    other kind has before all. near: whether the kind can be the smaller of the two, whose first runs are fewer.
+    other kind has before all. near: whether the kind can be the smaller of the two, whose first runs are fewer. Then (kind, central): by how many kinds its runs are held on average.
     """
     runs = sets.select("kind", "set").mapInArrow(_runs_of(None), "kind long, run long")
     held = runs.groupBy("run").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
@@ -257,9 +261,12 @@ def heads(sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
     lone = F.col("size") - F.size("listed")
     reach = F.col("size") - _ceil(F.col("size") * percent, 100) + 1
     near = F.col("size") - _ceil(F.col("size") * 2 * percent, 100 + percent) + 1
+    listed = work.written(listed, "listed")
+    middle = F.aggregate("listed", F.lit(0).cast("long"), lambda n, x: n + x["held"]) / F.col("size")
+    central = sets.select("kind", "size").join(listed, "kind").select("kind", middle.alias("central"))
     first = sets.select("kind", "size").join(listed, "kind").withColumns({"lone": lone, "near": near, "head": F.slice("listed", 1, F.greatest(reach - lone, F.lit(0)).cast("int"))})
     out = first.select("kind", "size", "near", "lone", F.posexplode("head.run").alias("place", "run")).withColumn("at", F.col("place") + F.col("lone"))
-    return work.written(out.select("kind", "size", "run", "at", (F.col("at") < F.col("near")).alias("near")), "heads")
+    return work.written(out.select("kind", "size", "run", "place", "at", (F.col("at") < F.col("near")).alias("near")), "heads"), work.written(central, "central")
 
 
 def tile_pairs(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -285,26 +292,39 @@ def tile_pairs(heads: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return x.join(y, tile).filter(test).select(F.col("kind_x").alias("a"), F.col("kind_y").alias("b")).distinct()
 
 
+def _crowded(keyed: DataFrame, central: DataFrame, work: Scratch) -> DataFrame:
+    """key, kind and central of the keys (key, kind) that several kinds have."""
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return work.written(keyed.join(crowded, "key").join(central, "kind").select("key", "kind", "central"), "members")
+
+
+def _picked(split: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each kind outside its key's largest class with some of that class, each the most central of a random share of it, and with the most central one outside."""
+    out, lot = F.col("class") != F.col("main"), F.pmod(F.xxhash64("kind", F.lit(turn)), F.lit(PICKS))
+    at = F.struct("central", "kind", "class")
+    chosen = split.groupBy("key").agg(*[F.max(F.when(~out & (lot == i), at)).alias(f"x{i}") for i in range(PICKS)], F.max(F.when(out, at)).alias("y"))
+    each = chosen.select("key", F.explode(F.array_compact(F.array(*[f"x{i}" for i in range(PICKS)], "y"))).alias("one"))
+    return split.filter(out).join(each, "key").filter("class <> one.class").select(F.col("one.kind").alias("a"), F.col("kind").alias("b")).distinct()
+
+
 def _classes(sets: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """(kind, class): kinds that links connect have the same class."""
+    first, central = heads(sets, percent, work)
     classes = work.written(sets.select("kind", F.col("kind").alias("class")), "classes")
     lowest = sets.select("kind", F.substring("set", 1, 8 * BOTTOM).alias("set")).mapInArrow(_runs_of(None), "kind long, run long").withColumnRenamed("run", "key")
-    crowded = lowest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowd = work.written(lowest.join(crowded, "key"), "crowd")
-    central = crowd.groupBy("kind").agg(F.sum("n").alias("shared"))
-    members = work.written(crowd.join(central, "kind").select("key", "kind", "shared"), "members")
-    leaders = members.groupBy("key").agg(F.max_by("kind", F.struct("shared", "kind")).alias("leader"))
-    pairs = members.join(leaders, "key").filter("kind <> leader").select(F.col("leader").alias("a"), F.col("kind").alias("b")).distinct()
-    turn, left = 0, float("inf")
-    while True:
-        classes = _merged(classes, work.written(linked(pairs, sets, percent), "links"), work)
-        split = _split(members, classes, work)
-        before, left = left, split.filter("class <> main").select("kind").distinct().count()
-        if left > PAYS * before or not left:
-            break
-        turn += 1
-        pairs = _samples(split, turn)
-    pairs = work.written(tile_pairs(heads(sets, percent, work), classes, percent), "pairs")
+    rarest = first.filter(F.col("place") < RAREST).select(F.col("run").alias("key"), "kind")
+    for keyed in (lowest, rarest):
+        members, held, turn = _crowded(keyed, central, work), float("inf"), 0
+        while True:
+            split = _split(members, classes, work)
+            outside = F.count_if(F.col("class") != F.col("main"))
+            sums = split.groupBy("key").agg(outside.alias("out"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("out") * F.col("n")).alias("pairs"), F.sum("n").alias("rows")).first()
+            # Rounds go on while what keys hold of pairs falls, and is more than a comparison of each row.
+            if not sums["rows"] or sums["pairs"] <= sums["rows"] or sums["pairs"] > PAYS * held:
+                break
+            held, turn = sums["pairs"], turn + 1
+            classes = _merged(classes, work.written(linked(_picked(split, turn), sets, percent), "links"), work)
+    pairs = work.written(tile_pairs(first, classes, percent), "pairs")
     return _merged(classes, work.written(linked(pairs, sets, percent), "links"), work)
 
 

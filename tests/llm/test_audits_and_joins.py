@@ -201,7 +201,7 @@ def test_tiles_hold_every_pair_that_is_alike(spark, percent):
     frame = spark.createDataFrame([(i, len(x), x.tobytes(), ngram_join.bitmap(x)) for i, x in enumerate(sets)], "kind long, size long, set binary, bitmap binary")
     classes = spark.createDataFrame([(i, i // 4) for i in range(len(sets))], "kind long, class long")
     with Scratch(spark, "test") as work:
-        pairs = ngram_join.tile_pairs(ngram_join.heads(frame, percent, work), classes, percent)
+        pairs = ngram_join.tile_pairs(ngram_join.heads(frame, percent, work)[0], classes, percent)
         got = {tuple(sorted((r.a, r.b))) for r in ngram_join.linked(pairs, frame, percent).collect()}
     want = {(j, i) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if i // 4 != j // 4 and 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))}
     assert want and got == want
