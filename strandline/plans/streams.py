@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..streaming import flows
+from ..streaming import flows, timers
 from .registry import RELATIONS, query
 
 
 def _shared(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams").rstrip("/")
 
 
@@ -25,6 +27,20 @@ def _run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
     return flows.caught_up(result, spark, f"{name}-out", mode, name)
 
 
+#: How much later than newer ones events may come, whichever files bring them, and a time that is later than all of them.
+LATE, AFTER_ALL = "31 days", "9000-01-01 00:00:00"
+
+
+def _ordered(spark: SparkSession, events: DataFrame, processor: timers.InOrder, key: str = "user_id") -> DataFrame:
+    """What a processor gives for all events: those that have come, and, once a mark ends the stream, those that still waited."""
+    name = f"{_shared(spark)}/stream_{uuid.uuid4().hex}"
+    events = timers.without_end(events.withColumn("id", F.col("event_id")), f"{name}-marks")
+    result = timers.in_order(events, key, "ts", LATE, processor)
+    flows.caught_up(result, spark, f"{name}-out", "append", name)
+    timers.end(events, f"{name}-marks", "ts", AFTER_ALL)
+    return flows.caught_up(result, spark, f"{name}-out", "append", name)
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _run(spark, flows.hourly(_events(spark, sf_dir), late=None), "complete")
@@ -47,9 +63,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Numbered when all has arrived: a number given on arrival would depend on the batches.
-    arrived = _run(spark, _events(spark, sf_dir).select("user_id", "event_id", "ts"), "append")
-    return arrived.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"))
+    return _ordered(spark, _events(spark, sf_dir), timers.Numbered()).select("user_id", F.col("id").alias("event_id"), "seq")
 
 
 @query("SELECT user_id, unnest(range(20, count(*) + 1, 20)) AS count FROM events GROUP BY user_id")
@@ -63,7 +77,8 @@ def stream_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
     SELECT passed, count(*) AS n FROM s WHERE n > 0 GROUP BY passed""")
 def stream_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, flows.circuit(_events(spark, sf_dir)), "append").groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
+    events = _events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    return _ordered(spark, events, timers.Circuit(3, 300)).groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH " + RELATIONS + """, n AS (SELECT *, lead(relation_type) OVER w AS nt, lead(valid_at) OVER w AS nv FROM relations WINDOW w AS (PARTITION BY source, target ORDER BY valid_at, id)), m AS (SELECT *, CASE WHEN nt <> relation_type THEN nv END AS ends FROM n),
@@ -88,17 +103,31 @@ def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.array_join("event_ids", ",").alias("newest"))
 
 
-SPELLS = """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 28800 THEN 1 ELSE 0 END AS new, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY n) AS spell FROM g)"""
+#: A spell ends where no event follows for eight hours.
+SPELLS = """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 28800000000 THEN 1 ELSE 0 END AS new, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY n) AS spell FROM g),
+    k AS (SELECT *, row_number() OVER (PARTITION BY user_id, spell ORDER BY n) AS k, count(*) OVER (PARTITION BY user_id, spell) AS size FROM s)"""
 
 
-@query(SPELLS + ", l AS (SELECT user_id, event_id, spell, max(spell) OVER (PARTITION BY user_id) AS last FROM s) SELECT user_id, array_to_string(list_reverse(list_sort(list(event_id)))[1:5], ',') AS newest FROM l WHERE spell = last GROUP BY user_id")
+@query(SPELLS + """ SELECT user_id, strftime(max(ts) + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S') AS gone_at, array_to_string(list(event_id ORDER BY n DESC)[1:5], ',') AS newest FROM k GROUP BY user_id, spell""")
 def stream_recent_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Numbers of batches don't matter to a list's last state, but the order of times does: events come in one batch.
-    out = _run(spark, flows.recent(flows.event_stream(spark, f"{sf_dir}/events*.parquet", 1_000_000), 5, ttl=28_800), "append")
-    return out.select("user_id", F.array_join("event_ids", ",").alias("newest"))
+    gone = _ordered(spark, _events(spark, sf_dir), timers.Recent(5, 28_800)).filter("gone")
+    return gone.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("gone_at"), F.array_join("ids", ",").alias("newest"))
 
 
-@query(SPELLS + " SELECT user_id, n - 1 AS count FROM s WHERE new = 1")
+@query(SPELLS + " SELECT user_id, n AS count, 'every' AS why FROM k WHERE k % 20 = 0 UNION ALL SELECT user_id, n, 'idle' FROM k WHERE k = size AND k % 20 <> 0")
 def stream_idle_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, flows.every_n(flows.event_stream(spark, f"{sf_dir}/events*.parquet", 1_000_000), 1_000_000, idle=28_800), "append")
+    return _ordered(spark, _events(spark, sf_dir), timers.Triggers(20, 28_800, 40 * 86_400)).select("user_id", "count", "why")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type = 'signup' AS leaves FROM events WHERE event_type IN ('signup', 'purchase')),
+    g AS (SELECT *, sum(leaves::INTEGER) OVER w AS part, lag(ts) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT *, sum((NOT leaves AND epoch_us(ts) - epoch_us(before) > 43200000000)::INTEGER) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS broken FROM g WHERE part > 0),
+    c AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS id, lead(ts) OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS next_taken FROM b WHERE broken = 0),
+    n AS (SELECT user_id, part, ts AS next_left FROM g WHERE leaves)
+    SELECT user_id, id, CASE WHEN NOT leaves THEN event_id END AS taker, CASE WHEN leaves THEN 'left' ELSE 'consumed' END AS what FROM c
+    UNION ALL SELECT c.user_id, id, CASE WHEN NOT leaves THEN event_id END, 'expired' FROM c LEFT JOIN n ON n.user_id = c.user_id AND n.part = c.part + 1
+    WHERE next_taken IS NULL AND (next_left IS NULL OR epoch_us(next_left) - epoch_us(ts) > 43200000000)""")
+def stream_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase")).withColumn("taker", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    return _ordered(spark, events, timers.Continuation(43_200)).select("user_id", "id", "taker", "what")

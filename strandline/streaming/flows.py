@@ -1,4 +1,4 @@
-"""Structured Streaming: counters, sessions, idempotent ingest, sequences, heartbeats and workers."""
+"""Structured Streaming: counters, sessions, idempotent ingest, close-outs and workers."""
 
 from __future__ import annotations
 
@@ -39,71 +39,34 @@ def once(events: DataFrame, *key: str, late: str | None = "2 hours") -> DataFram
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))
 
 
-def numbered(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Gives every event of a key the next number as it arrives, by time within a batch; the count is the only state."""
+def every_n(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
+    """A row for a key each time that it has had n more events. count: events until then. For silences see `timers.Triggers`."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        state.update((n + len(rows),))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "seq": range(n + 1, n + len(rows) + 1)})
-
-    grouped = events.select(key, "event_id", "ts").groupBy(key)
-    return grouped.applyInPandasWithState(run, f"{key} long, event_id long, seq long", "n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def every_n(events: DataFrame, n: int, key: str = "user_id", idle: int | None = None) -> DataFrame:
-    """A row for a key each time that it has had n more events, and with `idle` also when it had some and then none for so many seconds.
-
-    count: events until then. Idle is told by events' times when the key's next event comes.
-    """
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, waiting, last = state.get if state.exists else (0, 0, None)
-        due = []
-        if idle is None:
-            more = sum(len(b) for b in batches)
-            due = [total + m for m in range(n - waiting, more + 1, n)]
-            total, waiting = total + more, (waiting + more) % n
-        else:
-            times = sorted(t.timestamp() for b in batches for t in b["ts"])
-            for at in times:
-                if waiting and last is not None and at - last > idle:
-                    due.append(total)
-                    waiting = 0
-                total, waiting, last = total + 1, waiting + 1, at
-                if waiting == n:
-                    due.append(total)
-                    waiting = 0
-        state.update((total, waiting, last))
+        total = state.get[0] if state.exists else 0
+        more = sum(len(b) for b in batches)
+        state.update((total + more,))
+        due = [*range(total - total % n + n, total + more + 1, n)]
         yield pd.DataFrame({key: [k[0]] * len(due), "count": due})
 
-    return events.select(key, "event_id", "ts").groupBy(key).applyInPandasWithState(run, f"{key} long, count long", "n long, waiting long, last double", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, "event_id").groupBy(key).applyInPandasWithState(run, f"{key} long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def recent(events: DataFrame, n: int, key: str = "user_id", ttl: int | None = None) -> DataFrame:
-    """A key's n greatest event ids, greatest first, whenever it has new events; its state is those ids.
+def recent(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
+    """A key's n greatest event ids, greatest first, whenever it has new events; its state is those ids, and a batch is read with no more at hand.
 
-    Ids are given in order, so the greatest are the newest, in whichever order events arrive. With `ttl` a list is
-    gone once no event has come for so many seconds, by events' times, which the key's next event tells.
+    Ids are given in order, so the greatest are the newest, in whichever order events arrive. For lists that expire see `timers.Recent`.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old, last = state.get if state.exists else ([], None)
-        now = list(old)
+        now = list(state.get[0]) if state.exists else []
         for b in batches:
-            if ttl is None:
-                now += b["event_id"].tolist()
-                continue
-            for at, i in sorted(zip(b["ts"].map(pd.Timestamp.timestamp), b["event_id"].tolist(), strict=True)):
-                now = [i] if last is not None and at - last > ttl else [*now, i]
-                last = at if last is None else max(at, last)
-        now = sorted(now, reverse=True)[:n]
-        state.update((now, last))
+            now = sorted([*now, *b["event_id"].nlargest(n).tolist()], reverse=True)[:n]
+        state.update((now,))
         yield pd.DataFrame({key: [k[0]], "event_ids": [now]})
 
-    grouped = events.select(key, "event_id", "ts").groupBy(key)
-    return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>, last double", "append", GroupStateTimeout.NoTimeout)
+    grouped = events.select(key, "event_id").groupBy(key)
+    return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def closings(relations: DataFrame, buckets: int = 64) -> DataFrame:
@@ -134,27 +97,6 @@ def closings(relations: DataFrame, buckets: int = 64) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandasWithState(run, "id long, invalid_at timestamp", kinds, "append", GroupStateTimeout.NoTimeout)
 
 
-def circuit(events: DataFrame, failures: int = 3, pause_seconds: int = 300) -> DataFrame:
-    """Opens a route's circuit after so many failures in a row: event_id, user_id and whether it was let through."""
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row, until = state.get if state.exists else (0, 0.0)
-        passed = []
-        events_ = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for at, failed in zip(events_["ts"].map(lambda t: t.timestamp()), events_["event_type"] == "error", strict=True):
-            open_ = at < until
-            passed.append(not open_)
-            if not open_:
-                row = row + 1 if failed else 0
-                if row >= failures:
-                    row, until = 0, at + pause_seconds
-        state.update((row, until))
-        yield pd.DataFrame({"user_id": k[0], "event_id": events_["event_id"], "passed": passed})
-
-    grouped = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
-    return grouped.applyInPandasWithState(run, "user_id long, event_id long, passed boolean", "row int, until double", "append", GroupStateTimeout.NoTimeout)
-
-
 def work(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """A worker: handles what has arrived, batch by batch, and stops. The checkpoint is its place in the queue."""
     events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

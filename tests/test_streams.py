@@ -4,11 +4,12 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.plans import catalogue
 from strandline.plans.streams import _run
 from strandline.sources import files
-from strandline.streaming import flows
+from strandline.streaming import flows, timers
 
 
 @pytest.fixture
@@ -25,36 +26,30 @@ def read(spark, folder):
     return flows.event_stream(spark, folder, files_at_once=1)
 
 
-def test_sequences_and_triggers(spark, folder):
-    rows = _run(spark, flows.numbered(read(spark, folder)), "append").collect()
-    assert sorted((r.user_id, r.seq) for r in rows) == [(u, n) for u in (0, 1) for n in range(1, 11)]
+def test_triggers_and_recent_ids(spark, folder):
     due = _run(spark, flows.every_n(read(spark, folder), 3), "append").collect()
     assert sorted((r.user_id, r["count"]) for r in due) == [(u, n) for u in (0, 1) for n in (3, 6, 9)]
-
-
-def test_recent_ids_and_circuit(spark, folder):
     rows = _run(spark, flows.recent(read(spark, folder), 3), "append").collect()
     assert [18, 16, 14] in [r.event_ids for r in rows if r.user_id == 0]
-    passed = {r.event_id: r.passed for r in _run(spark, flows.circuit(read(spark, folder), 3, 300), "append").collect()}
-    assert passed[6] and not passed[8] and not passed[10] and passed[12]
 
 
 @pytest.fixture
 def mixed(spark, tmp_path):
     """Fifty files, which four batches read, with times mixed across files."""
     at = dt.datetime(2024, 1, 1)
-    rows = [(i, at + dt.timedelta(minutes=37 * i), i % 3, "view", 1.0, "{}") for i in range(200)]
+    kinds = ("signup", "error", "purchase", "error", "error", "view", "signup")
+    rows = [(i, at + dt.timedelta(minutes=37 * i + 600 * (i // 40)), i * i % 5, kinds[i % 7], 1.0, "{}") for i in range(200)]
     spark.createDataFrame(rows, flows.EVENTS).repartition(50).write.parquet(str(tmp_path / "events.parquet"))
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["stream_dedup", "stream_recent", "stream_sequence"])
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_recent", "stream_sequence", "stream_circuit", "stream_recent_ttl", "stream_idle_triggers", "stream_continuation"])
 def test_rows_equal_sql_over_several_batches(spark, mixed, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{mixed}/events*.parquet/*.parquet'")
     df = catalogue.queries()[name](spark, mixed)
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
-    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_closings(spark, tmp_path):
@@ -82,16 +77,52 @@ def test_hourly_and_spans(spark, folder):
     assert sorted((r.user_id, r.beats) for r in spans) == [(0, 10), (1, 10)]
 
 
-def test_idle_and_expiry(spark, tmp_path):
+def timed(spark, tmp_path, lots, processor, late="1 minute", columns="id"):
+    """Rows by batch, from files of (minute, user, ...) that are read one at a time, and what state is left."""
     at = dt.datetime(2024, 1, 1)
-    minutes = (0, 1, 2, 30, 31, 90)
-    for n, lot in enumerate((minutes[:2], minutes[2:4], minutes[4:])):
-        rows = [(m, at + dt.timedelta(minutes=m), 7, "view", 1.0, "{}") for m in lot]
+    for n, lot in enumerate(lots):
+        rows = [(m, at + dt.timedelta(minutes=m), u, kind, 1.0, "{}") for m, u, kind in lot]
         spark.createDataFrame(rows, flows.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
-    due = _run(spark, flows.every_n(read(spark, str(tmp_path / "in*")), 2, idle=600), "append").collect()
-    assert sorted(r["count"] for r in due) == [2, 3, 5]
-    lists = [r.event_ids for r in _run(spark, flows.recent(read(spark, str(tmp_path / "in*")), 2, ttl=600), "append").collect()]
-    assert sorted(lists) == [[1, 0], [30], [90]]
+    events = read(spark, str(tmp_path / "in*")).withColumns({"id": F.col("event_id"), "taker": F.when(F.col("event_type") == "purchase", F.col("event_id")), "failed": F.col("event_type") == "error"})
+    batches = []
+    result = timers.in_order(events, "user_id", "ts", late, processor)
+    writer = result.writeStream.foreachBatch(lambda df, n: batches.append([tuple(r) for r in df.collect()])).option("checkpointLocation", str(tmp_path / "place")).trigger(availableNow=True)
+    writer.start().awaitTermination()
+    left = spark.read.format("statestore").option("path", str(tmp_path / "place")).option("stateVarName", "state").load()
+    return batches, {r.key.user_id: tuple(r.value) for r in left.collect()}
+
+
+def test_lists_expire_and_state_goes_without_a_next_event(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    # User 7 falls silent after minute 2; user 8 moves the watermark on, in files that bring minutes out of order.
+    lots = [[(1, 7, "view"), (0, 7, "view")], [(2, 7, "view"), (3, 8, "view")], [(30, 8, "view")], [(31, 8, "view")]]
+    batches, left = timed(spark, tmp_path, lots, timers.Recent(2, 600))
+    rows = [r for b in batches for r in b]
+    assert (7, at + dt.timedelta(minutes=12), [2, 1], True) in rows and [r for r in rows if r[0] == 7 and not r[3]] == [(7, at, [0], False), (7, at + dt.timedelta(minutes=1), [1, 0], False), (7, at + dt.timedelta(minutes=2), [2, 1], False)]
+    assert 7 not in left
+
+
+def test_idle_keys_fire_without_a_next_event(spark, tmp_path):
+    lots = [[(0, 7, "view"), (1, 7, "view"), (2, 7, "view")], [(3, 8, "view")], [(30, 8, "view")], [(90, 8, "view")]]
+    batches, left = timed(spark, tmp_path, lots, timers.Triggers(2, 600, 3000))
+    rows = [(r[0], r[2], r[3]) for b in batches for r in b]
+    assert sorted(r for r in rows if r[0] == 7) == [(7, 2, "every"), (7, 3, "idle")]
+    assert 7 not in left  # forgotten 50 minutes after its last event
+
+
+def test_order_of_times_wins_over_order_of_arrival(spark, tmp_path):
+    lots = [[(5, 7, "error"), (2, 7, "error")], [(1, 7, "view"), (3, 7, "error")], [(6, 7, "view"), (20, 7, "view")], [(40, 8, "view")]]
+    batches, _ = timed(spark, tmp_path, lots, timers.Circuit(3, 300), late="10 minutes")
+    assert sorted(r for b in batches for r in b if r[0] == 7) == [(7, 1, True), (7, 2, True), (7, 3, True), (7, 5, True), (7, 6, False), (7, 20, True)]
+
+
+def test_continuations_are_consumed_or_expire(spark, tmp_path):
+    lots = [[(0, 7, "signup"), (4, 7, "purchase")], [(5, 8, "signup")], [(9, 7, "purchase")], [(40, 9, "view")], [(41, 8, "purchase")], [(80, 9, "view")]]
+    batches, left = timed(spark, tmp_path, lots, timers.Continuation(600))
+    rows = [(r[0], *r[2:]) for b in batches for r in b]
+    assert [r for r in rows if r[0] == 7] == [(7, 0, None, "left"), (7, 0, 4, "consumed"), (7, 0, 9, "consumed"), (7, 0, 9, "expired")]
+    assert [r for r in rows if r[0] == 8] == [(8, 5, None, "left"), (8, 5, None, "expired")]
+    assert not {7, 8} & set(left)
 
 
 def test_spool(spark, tmp_path):
