@@ -1,99 +1,145 @@
-"""What column expressions can't do: lenient parsing of model replies, and compression of blocks. Arrow batches."""
+"""What column expressions can't do: saving what broken replies of models hold, and compression of blocks."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
+
 _OPEN = {"{": "}", "[": "]"}
 
 
-def json_objects(text: str) -> list[str]:
-    """The outermost braces of a text, each as it stands; one that never closes runs to the end."""
-    found, depth, start, quoted, escaped = [], 0, 0, False, False
+def json_values(text: str, opens: str = "{") -> list[str]:
+    """The outermost objects, or lists, of a text, each as it stands; one that never closes runs to the end."""
+    closes, found, depth, start, quoted, escaped = _OPEN[opens], [], 0, 0, False, False
     for i, c in enumerate(text):
         if quoted:
-            escaped = not escaped and c == "\\"
-            quoted = c != '"' or (i > 0 and text[i - 1] == "\\" and not (i > 1 and text[i - 2] == "\\"))
+            quoted = c != '"' or escaped
+            escaped = c == "\\" and not escaped
         elif c == '"' and depth:
             quoted = True
-        elif c == "{":
+        elif c == opens:
             start = i if not depth else start
             depth += 1
-        elif c == "}" and depth:
+        elif c == closes and depth:
             depth -= 1
             if not depth:
                 found.append(text[start : i + 1])
     return found + ([text[start:]] if depth else [])
 
 
+def requoted(text: str) -> str:
+    """Quotes within strings escaped: a quote ends a string only if what follows, blanks aside, can follow a string."""
+    out, quoted, escaped = [], False, False
+    for i, c in enumerate(text):
+        if c != '"' or escaped:
+            out.append(c)
+        elif not quoted:
+            quoted = True
+            out.append(c)
+        else:
+            ends = text[i + 1 : i + 200].lstrip()[:1] in ("", ",", ":", "}", "]")
+            out.append(c if ends else '\\"')
+            quoted = not ends
+        escaped = quoted and c == "\\" and not escaped
+    return "".join(out)
+
+
+def _closed(text: str) -> Iterator[str]:
+    """The text with what is open closed, whole, then without what comes after its last comma or bracket, and so on."""
+    ends, stack, quoted, escaped = [], [], False, False
+    for i, c in enumerate(text):
+        if quoted:
+            quoted = c != '"' or escaped
+            escaped = c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in _OPEN:
+            stack.append(_OPEN[c])
+            ends.append((i + 1, "".join(reversed(stack))))
+        elif c in "}]" and stack:
+            stack.pop()
+        elif c == ",":
+            ends.append((i, "".join(reversed(stack))))
+    yield re.sub(r",\s*$", "", text) + '"' * quoted + "".join(reversed(stack))
+    for i, rest in reversed(ends[-CUTS:]):
+        yield text[:i] + rest
+
+
+#: Commas and brackets back from the end at which a truncated text is cut: what was left unfinished is within the last few fields.
+CUTS = 40
+
+
 def repaired(text: str) -> object:
-    """The value of a JSON text that may have commas before closing brackets or lack its end; None where nothing helps."""
-    plain = re.sub(r",\s*([}\]])", r"\1", text)
-    for _ in range(40):
+    """The value of a JSON text that may have commas before closing brackets, quotes within strings, or lack its end; None where nothing helps."""
+    plain = re.sub(r",(\s*[}\]])", r"\1", text)
+    whole = (plain, requoted(plain))
+    for candidate in (*whole, *(c for t in reversed(whole) for c in _closed(t))):
         try:
-            return json.loads(plain)
+            return json.loads(re.sub(r",(\s*[}\]])", r"\1", candidate), strict=False)
         except ValueError:
             pass
-        stack, quoted, last = [], False, 0
-        for i, c in enumerate(plain):
-            if c == '"' and (i == 0 or plain[i - 1] != "\\"):
-                quoted = not quoted
-            elif not quoted and c in _OPEN:
-                stack.append(_OPEN[c])
-            elif not quoted and c in "}]" and stack:
-                stack.pop()
-            elif not quoted and c == ",":
-                last = i
-        try:
-            return json.loads(re.sub(r",\s*$", "", plain) + '"' * quoted + "".join(reversed(stack)))
-        except ValueError:
-            if not last:
-                return None
-            plain = plain[:last]
     return None
 
 
-def _first(row: dict, *names: str) -> str:
-    return next((str(row[n]) for n in names if row.get(n)), "")
+def _from_text(reply: str) -> tuple[list[dict], list[dict]]:
+    """Entities and relations of a reply that reasons in lines: each named with its type, or two with what is between them."""
+    entities, relations = [], []
+    words = "|".join([*W.CORE_RELATIONS, *sorted(W.RELATION_WORDS, key=len, reverse=True)])
+    bare = lambda x: x.strip().strip("`'\"")[: W.NAME_LENGTH]
+    for line in reply.splitlines():
+        if one := re.search(W.ENTITY_LINE, line.strip(), re.I):
+            entities.append({"name": bare(one[1]), "type": one[2].lower()})
+        if two := re.search(f"{W.RELATION_LINE}({words})", line.strip(), re.I):
+            relations.append({"source": bare(two[1]), "target": bare(two[2]), "type": W.RELATION_WORDS.get(two[3].lower(), two[3].lower())})
+    return entities[: W.TEXT_ENTITIES], relations[: W.TEXT_RELATIONS]
 
 
-def extraction(reply: str | None) -> tuple[str, list[dict], list[dict]]:
-    """(outcome, entities, relations) of a model's reply, whatever it calls them."""
-    text = re.sub(r"(?s)<think>.*?</think>|```(?:json)?", "", reply or "")
-    for candidate in json_objects(text):
+def broken_graph(payload: str | None, reply: str | None) -> tuple[str, str]:
+    """(outcome, JSON object of entities and relations in any of their shapes) of a reply that is no sound JSON."""
+    for candidate in json_values(payload or ""):
         value = repaired(candidate)
-        if isinstance(value, dict):
-            nodes = value.get("entities") or value.get("nodes") or []
-            edges = value.get("relations") or value.get("edges") or value.get("triples") or []
-            entities = [{"name": _first(n, "name", "label", "id"), "type": _first(n, "type", "kind") or "concept"} if isinstance(n, dict) else {"name": str(n), "type": "concept"} for n in nodes]
-            relations = [
-                {"source": _first(e, "source", "from", "subject"), "target": _first(e, "target", "to", "object"), "type": _first(e, "type", "label", "relation", "predicate")}
-                for e in edges
-                if isinstance(e, dict)
-            ]
-            return "json", [e for e in entities if e["name"]], [r for r in relations if r["source"] and r["target"]]
-    lines = re.findall(r"^\s*(\w[\w .-]*?)\s+(\w+_\w+|uses|fixes|calls)\s+(\w[\w .-]*)\s*$", text, re.M)
-    named = re.search(r"(?im)^\s*entities\s*:\s*(.+)$", text)
-    names = [re.sub(r"\s*\(.*?\)", "", n).strip() for n in named[1].split(",")] if named else []
-    if names or lines:
-        return "text", [{"name": n, "type": "concept"} for n in names if n][:20], [{"source": a, "target": b, "type": t} for a, t, b in lines][:30]
-    return "failed", [], []
-
-
-def extractions(rows: DataFrame, reply: str) -> DataFrame:
-    """Adds outcome, entities and relations."""
-    kind = "outcome string, entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,type:string>>"
-
-    @F.pandas_udf(f"struct<{kind.replace('outcome string', 'outcome:string').replace('entities array', 'entities:array').replace('relations array', 'relations:array')}>")
-    def parsed(replies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extraction(r) for r in replies], columns=["outcome", "entities", "relations"])
-
-    return rows.withColumn("_parsed", parsed(F.col(reply))).select("*", "_parsed.*").drop("_parsed")
+        if isinstance(value, dict) and any(isinstance(value.get(k), list) for k in GRAPH_KEYS):
+            return "repaired", json.dumps(value)
+    entities, relations = _from_text(reply or "")
+    if entities or relations:
+        return "text", json.dumps({"entities": entities, "relations": relations})
+    return "failed", "{}"
+
+
+#: Names under which a reply gives entities and relations.
+GRAPH_KEYS = ("entities", "relations", "nodes", "edges", "triples")
+
+
+def broken_atoms(reply: str | None) -> list[str]:
+    """The objects, as JSON, of a reply that should be a list of them and is no sound JSON."""
+    for candidate in json_values(reply or "", "["):
+        value = repaired(candidate)
+        if isinstance(value, list) and any(isinstance(x, dict) for x in value):
+            return [json.dumps(x) for x in value]
+    return []
+
+
+@F.udtf(returnType="outcome string, graph string")
+class BrokenGraph:
+    """A row for a broken reply: the JSON object that is saved from it."""
+
+    def eval(self, payload: str, reply: str) -> Iterator[tuple[str, str]]:
+        yield broken_graph(payload, reply)
+
+
+@F.udtf(returnType="place int, atom string")
+class BrokenAtoms:
+    """A row for each object that is saved from a broken list."""
+
+    def eval(self, reply: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate(broken_atoms(reply))
 
 
 def compress(text: str, longest: int = 10_240) -> tuple[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with `value` computed once, however often `then` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def estimated_tokens(text: Column) -> Column:
     """A quarter of the characters, rounded up: the default where no tokenizer is given."""
     return F.ceil(F.length(text) / 4).cast("long")
@@ -140,11 +146,9 @@ def hidden_message(role: Column, event: Column, text: Column) -> Column:
 
 
 def relation_of_verb(verb: Column) -> Column:
-    v = F.lower(F.trim(verb))
-    out = F.when(v.isin(*W.CORE_RELATIONS), v)
-    for verb_, relation in W.VERBS.items():
-        out = out.when(v == verb_, relation)
-    return out.otherwise("depends_on")
+    known = W.VERBS | {r: r for r in W.CORE_RELATIONS}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(verb))), F.lit("depends_on"))
 
 
 def status(value: Column) -> Column:
@@ -203,6 +207,11 @@ def sub_queries(query: str) -> list[str]:
     topics = [w for w in re.findall(r"\b[a-z]{4,}\b", query.lower()) if w not in W.QUERY_STOPWORDS][:5]
     if not names:
         return topics[:3] or [query]
-    broad = {"career", "job", "work", "writing"} & set(topics)
-    found = [q for n in names[:2] for q in [n, *[f"{n} {t}" for t in topics[:3]], *([f"{n} interests goals plans"] if broad else [])]]
+    broad = set(W.BROAD_TOPICS) & set(topics)
+    found = [q for n in names[:2] for q in [n, *[f"{n} {t}" for t in topics[:3]], *([f"{n} {W.BROAD_QUERY}"] if broad else [])]]
     return list({q.lower(): q for q in reversed(found)}.values())[::-1][:10]
+
+
+def sub_queries_of(query: Column) -> Column:
+    """`sub_queries` of each row's question, by Arrow batches."""
+    return F.udf(lambda q: sub_queries(q or ""), "array<string>", useArrow=True)(query)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
@@ -47,15 +47,16 @@ def batch_size(pending: Column) -> Column:
     return F.when(pending > 500, 50).when(pending > 200, 25).when(pending > 50, 10).otherwise(5)
 
 
-def quotas(models: DataFrame, jobs: int) -> DataFrame:
-    """Jobs shared out over models (model, qpm) in proportion to their rate, leftovers to the largest remainders.
+def allocated(claimed: DataFrame, models: DataFrame) -> DataFrame:
+    """Claimed jobs (id, available_at), a limit's worth, with the model that takes each: one after the other, the model that is then least busy for its rate.
 
-    The models are few; their totals are one row.
+    models: model, qpm and place, which tells among equals. Over as many jobs as all rates together each model gets its rate, and
+    the same order begins anew, so there is a turn for each call a minute and no more.
     """
-    total = models.agg(F.sum("qpm").alias("total"))
-    exact = models.crossJoin(F.broadcast(total)).withColumn("exact", F.col("qpm") * jobs / F.col("total"))
-    shared = exact.withColumn("base", F.floor("exact").cast("long"))
-    left = shared.agg((F.lit(jobs) - F.sum("base")).alias("left"))
-    listed = shared.agg(F.array_sort(F.collect_list(F.struct((F.col("base") - F.col("exact")).alias("gap"), "model"))).alias("order"))
-    place = F.array_position(F.transform("order", lambda x: x["model"]), F.col("model"))
-    return shared.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(listed)).select("model", (F.col("base") + F.when(place <= F.col("left"), 1).otherwise(0)).alias("jobs"))
+    turns = models.select("model", "place", F.explode(F.sequence(F.lit(1), F.col("qpm"))).alias("k"), "qpm")
+    turn = (F.row_number().over(Window.orderBy(F.col("k") / F.col("qpm"), "place")) - 1).alias("turn")
+    turns = turns.select("model", turn)
+    number = F.row_number().over(Window.orderBy("available_at", "id")) - 1
+    total = models.agg(F.sum("qpm").alias("total"))  # one row
+    numbered = claimed.withColumn("number", number).crossJoin(F.broadcast(total)).withColumn("turn", (F.col("number") % F.col("total")).cast("int"))
+    return numbered.join(turns, "turn").select("id", "model")

@@ -73,10 +73,15 @@ def backlog_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(waiting, "id").filter("waiting > 5")
 
 
-@query("""WITH m(model, qpm) AS (VALUES ('a', 40), ('b', 25), ('c', 10)), e AS (SELECT *, qpm * 1000.0::DOUBLE / sum(qpm) OVER () AS x FROM m), r AS (SELECT *, floor(x)::BIGINT AS base, row_number() OVER (ORDER BY floor(x) - x, model) AS place FROM e)
-    SELECT model, base + CASE WHEN place <= 1000 - (SELECT sum(base) FROM r) THEN 1 ELSE 0 END AS jobs FROM r""")
+MODELS = [("a", 16, 0), ("b", 100, 1), ("c", 60, 2), ("d", 18, 3)]
+
+
+@query("WITH " + JOBS + f""", due AS (SELECT id, row_number() OVER (ORDER BY available_at, id) AS n FROM jobs WHERE status = 'pending' AND available_at <= TIMESTAMP '1998-01-01' QUALIFY n <= 1000),
+    m(model, qpm, place) AS (VALUES {", ".join(map(str, MODELS))}), s AS (SELECT model, row_number() OVER (ORDER BY k / qpm::DOUBLE, place) AS n FROM m, (SELECT unnest(range(1, 1001)) AS k))
+    SELECT id, model FROM due JOIN s USING (n)""")
 def qpm_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.quotas(spark.createDataFrame([("a", 40), ("b", 25), ("c", 10)], "model string, qpm int"), 1000)
+    claimed = J.claim(A.jobs(spark, sf_dir), F.lit("1998-01-01").cast("timestamp_ntz"), 1000)
+    return J.allocated(claimed, spark.createDataFrame(MODELS, "model string, qpm int, place int"))
 
 
 @query("WITH " + JOBS + ", p AS (SELECT reason, count(*) FILTER (WHERE status = 'pending') AS pending FROM jobs GROUP BY 1) SELECT reason, pending, CASE WHEN pending > 500 THEN 50 WHEN pending > 200 THEN 25 WHEN pending > 50 THEN 10 ELSE 5 END AS batch FROM p")

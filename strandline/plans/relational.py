@@ -24,12 +24,6 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.page_after(A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 5000, 100)
 
 
-@query("WITH " + SESSIONS + """ SELECT session_id, '{"session_id":' || session_id || ',"messages":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '","tokens":' || tokens || '}', ',' ORDER BY turn) || ']}' AS bundle FROM messages GROUP BY session_id""")
-def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = A.messages(spark, sf_dir).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "tokens"))).alias("messages"))
-    return m.select("session_id", F.to_json(F.struct("session_id", "messages")).alias("bundle"))
-
-
 @query("WITH " + MESSAGES + ", " + ENTITIES + ", " + ENDS + """, m AS (SELECT session_id, string_agg('{"turn":' || turn || ',"role":"' || role || '","tokens":' || tokens || '}', ',' ORDER BY turn) AS j FROM messages GROUP BY 1),
     e AS (SELECT DISTINCT message_id // 10 AS session_id, entity_id AS id FROM ends), en AS (SELECT session_id, id, name, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM e JOIN entities USING (id)),
     ej AS (SELECT session_id, string_agg('{"id":' || id || ',"name":"' || name || '"}', ',' ORDER BY id) AS j FROM en WHERE n <= 50 GROUP BY 1),

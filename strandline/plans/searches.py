@@ -238,9 +238,13 @@ def query_vector_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"), F.round(dot(F.col("embedding"), F.col("q")), 4).alias("dot"))
 
 
-@query("""SELECT * FROM (VALUES ('Would Caroline pursue writing as a career?', 0, 'Caroline'), ('Would Caroline pursue writing as a career?', 1, 'Caroline caroline'), ('Would Caroline pursue writing as a career?', 2, 'Caroline pursue'),
-      ('Would Caroline pursue writing as a career?', 3, 'Caroline writing'), ('Would Caroline pursue writing as a career?', 4, 'Caroline interests goals plans'), ('what is new', 0, 'what is new'), ('How does Melanie repair the old engine block', 0, 'Melanie'),
-      ('How does Melanie repair the old engine block', 1, 'Melanie melanie'), ('How does Melanie repair the old engine block', 2, 'Melanie repair'), ('How does Melanie repair the old engine block', 3, 'Melanie engine'), ('ok', 0, 'ok')) AS t(query, place, sub_query)""")
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS shape, upper(n_name[1]) || lower(split_part(n_name, ' ', 1)[2:]) AS n, lower(c_mktsegment) AS t FROM customer JOIN nation ON n_nationkey = c_nationkey),
+    s AS (SELECT id, CASE shape WHEN 0 THEN [n, n || ' find', n || ' ' || t, n || ' work', n || ' interests goals plans'] WHEN 1 THEN ['what is new'] WHEN 2 THEN [n, n || ' repair', n || ' ' || t, n || ' block'] ELSE ['ok'] END AS q FROM c)
+    SELECT id, unnest(range(len(q)))::INTEGER AS place, unnest(q) AS sub_query FROM s""")
 def decompose_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = ["Would Caroline pursue writing as a career?", "what is new", "How does Melanie repair the old engine block", "ok"]
-    return spark.createDataFrame([(q, i, s) for q in asked for i, s in enumerate(T.sub_queries(q))], "query string, place int, sub_query string")
+    nations = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.initcap(F.element_at(F.split("n_name", " "), 1)).alias("n"))
+    c = A.table(spark, sf_dir, "customer").join(nations, "c_nationkey").withColumn("t", F.lower("c_mktsegment"))
+    shape = F.col("c_custkey") % 4
+    asked = F.when(shape == 0, F.concat(F.lit("Could "), "n", F.lit(" find "), "t", F.lit(" work soon?"))).when(shape == 1, "what is new").when(shape == 2, F.concat(F.lit("How does "), "n", F.lit(" repair the old "), "t", F.lit(" block"))).otherwise("ok")
+    split = T.sub_queries_of(asked)
+    return c.select(F.col("c_custkey").alias("id"), F.posexplode(split).alias("place", "sub_query"))

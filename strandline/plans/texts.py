@@ -46,10 +46,7 @@ def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.snippet(F.col("text"))).alias("text_md5"))
 
 
-SIMPLE_IMAGES = r"data:image/[^\s\"'<>]{0,200}|!\[[^\]]*\]\([^)]{0,500}\)|<image[^>]{0,200}>|(?:[A-Za-z0-9+/]{4}){80,}={0,2}"
-
-
-@query(f"SELECT page_id, md5(substr(regexp_replace(html, {quoted(SIMPLE_IMAGES)}, ' [image] ', 'g'), 1, 4000)) AS text_md5 FROM pages")
+@query(f"SELECT page_id, md5(substr(regexp_replace(html, {quoted(W.IMAGES)}, ' [image] ', 'g'), 1, 4000)) AS text_md5 FROM pages")
 def sanitize_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", F.md5(T.without_images(F.col("html"))).alias("text_md5"))
 
@@ -120,23 +117,22 @@ def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(T.http_status(F.col("error")).alias("code"), T.failure_class(F.col("error")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-REPLIES = [
-    (1, '<think>hm</think>```json\n{"entities": [{"name": "A"}], "relations": []}\n```'),
-    (2, 'text {"entities": [{"name": "B"},], "relations": [{"source": "B", "target": "C", "type": "uses",}]} more'),
-    (3, '{"entities": [{"name": "C"}], "relations": [{"source": "C", "target": "D"'),
-    (4, "nothing here"),
-    (5, '{"nodes": [{"label": "E"}], "edges": [{"from": "E", "to": "F", "label": "fixes"}]}'),
-    (6, "Entities: Alpha (file), Beta\nAlpha depends_on Beta"),
-]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'json', 'A', 0), (2, 'json', 'B', 1), (3, 'json', 'C', 1), (4, 'failed', '', 0), (5, 'json', 'E', 1), (6, 'text', 'Alpha,Beta', 1)) AS t(id, outcome, names, n_relations)")
-def llm_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replies = spark.createDataFrame(REPLIES, "id long, reply string")
-    return parse.extractions(replies, "reply").select("id", "outcome", F.array_join("entities.name", ",").alias("names"), F.size("relations").alias("n_relations"))
+@query("""WITH t AS (SELECT doc_id, doc_id % 3 AS shape, repeat(text, 4) AS t FROM documents),
+    c AS (SELECT *, CASE shape WHEN 0 THEN t WHEN 1 THEN 'a <function_results>' || t || '</function_results> b' ELSE '```py' || chr(10) || replace(t, ' ', chr(10)) || chr(10) || '```' END AS content FROM t),
+    l AS (SELECT *, string_split(replace(t, ' ', chr(10)), chr(10)) AS lines, chr(10) || chr(10) AS gap FROM c),
+    s AS (SELECT *, CASE shape
+        WHEN 1 THEN 'a <function_results>' || CASE WHEN length(t) <= 3072 THEN t ELSE left(t, 2048) || gap || '... [compressed: ' || (length(t) - 3072) || ' bytes omitted] ...' || gap || right(t, 1024) END || '</function_results> b'
+        WHEN 2 THEN '```py' || chr(10) || CASE WHEN len(lines) <= 15 THEN array_to_string(lines, chr(10)) ELSE array_to_string(lines[1:10], chr(10)) || gap || '... [compressed: ' || (len(lines) - 15) || ' lines omitted] ...' || gap || array_to_string(lines[-5:], chr(10)) END || chr(10) || '```' END AS shorter FROM l)
+    SELECT doc_id, CASE WHEN length(content) <= 10240 THEN 'none' WHEN shape = 1 THEN 'tool_output' WHEN shape = 2 THEN 'code_block' ELSE 'truncation' END AS strategy,
+      md5(CASE WHEN length(content) <= 10240 THEN content WHEN shape = 0 THEN left(t, 8112) || gap || '... [truncated: ' || (length(t) - 10140) || ' bytes omitted] ...' || gap || right(t, 2028) ELSE shorter END) AS content_md5 FROM s""")
+def compress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, shape = F.repeat("text", 4), F.col("doc_id") % 3
+    content = F.when(shape == 0, t).when(shape == 1, F.concat(F.lit("a <function_results>"), t, F.lit("</function_results> b"))).otherwise(F.concat(F.lit("```py\n"), F.replace(t, F.lit(" "), F.lit("\n")), F.lit("\n```")))
+    return parse.compressed(_docs(spark, sf_dir).select("doc_id", content.alias("content")), "content").select("doc_id", "strategy", F.md5("content").alias("content_md5"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'none', 5), (2, 'tool_output', 2 + 18 + 2048 + length(E'\n\n... [compressed: 11928 bytes omitted] ...\n\n') + 1024 + 19 + 2), (3, 'code_block', 6 + 10 * 47 + 39 + 5 * 49 + 17 + 4), (4, 'truncation', 10140 + length(E'\n\n... [truncated: 9860 bytes omitted] ...\n\n'))) AS t(id, strategy, length)")
-def compress_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "short"), (2, "a <function_results>" + "x" * 15_000 + "</function_results> b"), (3, "```py\n" + "\n".join(f"line {i} " + "y" * 40 for i in range(300)) + "\n```"), (4, "z" * 20_000)]
-    return parse.compressed(spark.createDataFrame(rows, "id long, content string"), "content").select("id", "strategy", F.length("content").alias("length"))
+@query(r"""WITH c AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' ```code' || chr(10) || 'x``` <|end|>' WHEN 1 THEN ' <|im_start|>' ELSE '' END AS t FROM documents)
+    SELECT doc_id, md5(trim(regexp_replace(regexp_replace(t, '(?s)```.*?```', '', 'g'), '<\|[^|>]*\|>', '', 'g'), ' ')) AS text_md5 FROM c""")
+def clean_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " ```code\nx``` <|end|>").when(F.col("doc_id") % 3 == 1, " <|im_start|>").otherwise(""))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.without_artifacts(dirty)).alias("text_md5"))

@@ -34,9 +34,8 @@ def test_rows_equal_sql(spark, duck, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
-def test_runs(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
 def test_entry(spark):

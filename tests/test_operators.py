@@ -71,29 +71,11 @@ def test_noise_rules(spark):
 
 def test_query_helpers():
     assert T.split_query("PVE虚拟机 foo-bar/x") == ["PVE", "虚拟机", "foo", "bar"]
-    assert T.sub_queries("Would Caroline pursue writing?")[:3] == ["Caroline", "Caroline caroline", "Caroline pursue"]
+    assert T.sub_queries("Could Oslo host work fairs?")[:3] == ["Oslo", "Oslo oslo", "Oslo host"] and T.sub_queries("Could Oslo host work fairs?")[-1] == "Oslo interests goals plans"
     assert T.sub_queries("") == [] and T.sub_queries("what is new") == ["what is new"]
     assert T.query_words("find the kg_worker.py error") == ["kg_worker.py", "error", "find"]
 
 
-@pytest.mark.parametrize(
-    ("reply", "outcome", "names", "relations"),
-    [
-        ('```json\n{"entities": [{"name": "A"}]}\n```', "json", ["A"], 0),
-        ("<think>{no}</think>" + '{"entities": [{"name": "B"},], "relations": [{"source": "B", "target": "C", "type": "x"},]}', "json", ["B"], 1),
-        ('{"entities": [{"name": "C"}], "relations": [{"source": "C", "tar', "json", ["C"], 0),
-        ('{"entities": [{"name": "say \\"hi\\" {"}]} {"entities": []}', "json", ['say "hi" {'], 0),
-        ('{"nodes": ["D"], "edges": [{"from": "D", "to": "E", "label": "fixes"}]}', "json", ["D"], 1),
-        ("Entities: F (file), G\nF depends_on G", "text", ["F", "G"], 1),
-        ("nothing", "failed", [], 0),
-        (None, "failed", [], 0),
-    ],
-)
-def test_replies(reply, outcome, names, relations):
-    got = parse.extraction(reply)
-    assert (got[0], [e["name"] for e in got[1]], len(got[2])) == (outcome, names, relations)
-
-
 def test_compression_of_blocks():
     tool = "<function_results>" + "x" * 15_000 + "</function_results>"
     text, strategy = parse.compress("a" + tool)
