@@ -47,11 +47,28 @@ def last_of_each(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= n)
 
 
-def lasting(buckets: DataFrame, condition: Column, length: int, *group: str) -> DataFrame:
-    """Buckets at which a condition has held over the last `length` buckets of the group, in the order of `bucket`."""
-    trailing = Window.partitionBy(*group).orderBy("bucket").rowsBetween(1 - length, 0)
-    held = buckets.withColumn("_held", F.min(condition.cast("int")).over(trailing)).withColumn("_n", F.count(F.lit(1)).over(trailing))
-    return held.filter((F.col("_held") == 1) & (F.col("_n") == length)).drop("_held", "_n")
+def filled(buckets: DataFrame, at: str, seconds: int, count: str, *group: str) -> DataFrame:
+    """Buckets of counts with those that no row fell into, as 0: every `seconds` from the first to the last of all, for each group."""
+    span = buckets.agg(F.min(at).alias("_first"), F.max(at).alias("_last"))  # one row
+    step = F.expr(f"INTERVAL {seconds} SECONDS")
+    every = buckets.select(*group).distinct().crossJoin(F.broadcast(span)).select(*group, F.explode(F.sequence("_first", "_last", step)).alias(at))
+    return every.join(buckets, [*group, at], "left").withColumn(count, F.coalesce(count, F.lit(0)))
+
+
+def alert_states(buckets: DataFrame, at: str, condition: Column, seconds: int, *group: str) -> DataFrame:
+    """Adds state: firing where a condition has held for `seconds` at least, pending where it holds, resolved in the bucket after it fired, else ok.
+
+    The frame is one of time, and buckets without a row are told apart from none: give what `filled` gives.
+    """
+    now = F.unix_seconds(F.col(at).cast("timestamp"))
+    own = buckets.withColumns({"_at": now, "_held": F.coalesce(condition, F.lit(False))})
+    order = Window.partitionBy(*group).orderBy("_at")
+    whole = F.min(F.col("_held").cast("int")).over(order.rangeBetween(-seconds, 0)) == 1
+    known = F.col("_at") - seconds >= F.min("_at").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("_fires", whole & known)
+    before = F.coalesce(F.lag("_fires").over(order), F.lit(False))
+    state = F.when(F.col("_fires"), "firing").when(F.col("_held"), "pending").when(before, "resolved").otherwise("ok")
+    return own.withColumn("state", state).drop("_at", "_held", "_fires")
 
 
 def histogram(rows: DataFrame, value: str, edges: list[int], *group: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,20 +74,24 @@ def new_by_signature(drafts: DataFrame, existing: DataFrame) -> DataFrame:
 BITS, BANDS = 12, 80
 
 
+@lru_cache(maxsize=8)
+def _planes(dim: int) -> np.ndarray:
+    """The same random hyperplanes for all vectors of a length."""
+    return np.random.default_rng(dim).standard_normal((dim, BANDS * BITS))
+
+
 def hyperplane_bands(vector: Column) -> Column:
     """A vector's side of BITS random hyperplanes, in each band, as a number that has the band in it; none for null."""
 
     @F.pandas_udf("array<long>")
     def banded(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            if v is None or not len(v):
-                out.append([])
-                continue
-            planes = np.random.default_rng(len(v)).standard_normal((BANDS * BITS, len(v)))
-            sides = (planes @ np.asarray(v, dtype="float64") > 0).reshape(BANDS, BITS)
-            out.append(((np.arange(BANDS) << BITS) + sides @ (1 << np.arange(BITS))).tolist())
-        return pd.Series(out)
+        out = pd.Series([[] for _ in range(len(vectors))], index=vectors.index)
+        lengths = vectors.map(lambda v: 0 if v is None else len(v))
+        for dim, of in lengths.groupby(lengths).groups.items():
+            if dim:
+                sides = (np.array(vectors.loc[of].tolist(), dtype="float64") @ _planes(dim) > 0).reshape(len(of), BANDS, BITS)
+                out.loc[of] = pd.Series(((np.arange(BANDS) << BITS) + sides @ (1 << np.arange(BITS))).tolist(), index=of)
+        return out
 
     return banded(vector)
 
@@ -94,16 +99,27 @@ def hyperplane_bands(vector: Column) -> Column:
 def vector_near_duplicates(drafts: DataFrame, existing: DataFrame, group: str, above: float = 0.92) -> DataFrame:
     """Drafts nearer than `above` to an earlier draft of their group, kept or not, or to an existing fact of it.
 
-    id, earlier and fact: the least such draft and fact. Both tables: group, id, embedding. Only vectors of one band
-    are compared, so a group may be large.
+    id, earlier and fact: the least such draft and fact. Both tables: group, id, embedding. Equal vectors of a group are one,
+    with its least ids, so that a vector that very many have is compared once; bands go without their vectors, and
+    a pair that several bands bring together is compared once.
     """
-    new = drafts.select(group, "id", "embedding", F.lit(False).alias("known"))
-    both = new.unionByName(existing.select(group, "id", "embedding", F.lit(True).alias("known"))).withColumn("_band", F.explode(hyperplane_bands(F.col("embedding"))))
-    a = both.filter("NOT known").select(group, "_band", F.col("id"), F.col("embedding").alias("_v"))
-    b = both.select(group, "_band", F.col("id").alias("other"), "known", F.col("embedding").alias("_w"))
-    pairs = a.join(b, [group, "_band"]).filter(F.col("known") | (F.col("other") < F.col("id"))).filter(F.round(cosine(F.col("_v"), F.col("_w")), 6) > above)
-    least = lambda known: F.min(F.when(F.col("known") == known, F.col("other")))
-    return pairs.groupBy("id").agg(least(False).alias("earlier"), least(True).alias("fact"))
+    both = drafts.select(group, "id", "embedding", F.lit(False).alias("known")).unionByName(existing.select(group, "id", "embedding", F.lit(True).alias("known"))).filter("embedding IS NOT NULL")
+    both = both.withColumn("_v", F.xxhash64(F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)), F.size("embedding")))
+    ids = lambda of: F.when(of, F.col("id"))
+    kinds = both.groupBy(group, "_v").agg(F.min(ids(~F.col("known"))).alias("draft"), F.min(ids(F.col("known"))).alias("fact"), F.any_value("embedding").alias("embedding"))
+    banded = kinds.select(group, "_v", "draft", "fact", F.explode(hyperplane_bands(F.col("embedding"))).alias("_band"))
+    # Of a pair one side at least has a draft; the other one's ids are what it is near to.
+    a = banded.filter("draft IS NOT NULL").select(group, "_band", "_v")
+    b = banded.select(group, "_band", F.col("_v").alias("_w"))
+    pairs = a.join(b, [group, "_band"]).filter("_v <> _w").select(group, "_v", "_w").distinct()
+    one = pairs.join(kinds.select(group, "_v", F.col("embedding").alias("_x")), [group, "_v"])
+    two = one.join(kinds.select(group, F.col("_v").alias("_w"), F.col("embedding").alias("_y"), F.col("draft").alias("_draft"), F.col("fact").alias("_fact")), [group, "_w"])
+    near = two.filter(F.round(cosine(F.col("_x"), F.col("_y")), 6) > above).groupBy(group, "_v").agg(F.min("_draft").alias("_draft"), F.min("_fact").alias("_fact"))
+    # Equal vectors are near each other too, unless they have no direction.
+    alike = kinds.filter(cosine(F.col("embedding"), F.col("embedding")).isNotNull()).select(group, "_v", "draft", "fact").join(near, [group, "_v"], "left")
+    least = alike.select(group, "_v", F.least("draft", "_draft").alias("earlier"), F.least("fact", "_fact").alias("fact"))
+    told = both.filter("NOT known").select(group, "id", "_v").join(least, [group, "_v"])
+    return told.select("id", F.when(F.col("earlier") < F.col("id"), F.col("earlier")).alias("earlier"), "fact").filter("earlier IS NOT NULL OR fact IS NOT NULL")
 
 
 def scenario_buckets(atoms: DataFrame, least: int = 3) -> DataFrame:

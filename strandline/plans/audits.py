@@ -147,7 +147,23 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH b AS (SELECT event_type, date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2), w AS (SELECT *, min((n > 60)::INTEGER) OVER f AS held, count(*) OVER f AS c FROM b WINDOW f AS (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT event_type, strftime(bucket, '%Y-%m-%d') AS bucket, n FROM w WHERE held = 1 AND c = 3")
 def alert_for_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.events(spark, sf_dir).groupBy("event_type", F.date_trunc("day", "ts").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return U.lasting(b, F.col("n") > 60, 3, "event_type").select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "n")
+    states = U.alert_states(U.filled(b, "bucket", 86_400, "n", "event_type"), "bucket", F.col("n") > 60, 2 * 86_400, "event_type")
+    return states.filter("state = 'firing'").select("event_type", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "n")
+
+
+@query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
+    c AS (SELECT u.user_id, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS hour FROM (SELECT DISTINCT user_id FROM h) u, (SELECT min(hour) AS a, max(hour) AS z FROM h)),
+    f AS (SELECT c.user_id, c.hour, coalesce(n, 0) AS n FROM c LEFT JOIN h ON h.user_id = c.user_id AND h.hour = c.hour),
+    r AS (SELECT 'silent' AS rule, 6 AS hours, *, n = 0 AS held FROM f UNION ALL SELECT 'busy', 1, *, n > 1 FROM f),
+    g AS (SELECT *, sum((held IS DISTINCT FROM before)::INTEGER) OVER (PARTITION BY rule, user_id ORDER BY hour) AS run FROM (SELECT *, lag(held) OVER (PARTITION BY rule, user_id ORDER BY hour) AS before FROM r)),
+    s AS (SELECT *, held AND epoch(hour) - epoch(min(hour) OVER (PARTITION BY rule, user_id, run)) >= hours * 3600 AS fires FROM g),
+    t AS (SELECT rule, user_id, hour, CASE WHEN fires THEN 'firing' WHEN held THEN 'pending' WHEN lag(fires) OVER (PARTITION BY rule, user_id ORDER BY hour) THEN 'resolved' ELSE 'ok' END AS state FROM s)
+    SELECT rule, user_id, strftime(hour, '%Y-%m-%d %H') AS hour, state FROM t WHERE state IN ('firing', 'resolved')""")
+def alert_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = U.filled(A.events(spark, sf_dir).groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")), "hour", 3600, "n", "user_id")
+    rules = (("silent", F.col("n") == 0, 6 * 3600), ("busy", F.col("n") > 1, 3600))
+    one, two = (U.alert_states(h, "hour", held, seconds, "user_id").select(F.lit(name).alias("rule"), "user_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "state") for name, held, seconds in rules)
+    return one.unionByName(two).filter(F.col("state").isin("firing", "resolved"))
 
 
 @query("WITH b AS (SELECT event_type, date_trunc('day', ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, strftime(bucket, '%Y-%m-%d') AS bucket, n - lag(n) OVER w AS increase, round(avg(n) OVER (PARTITION BY event_type ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS rate FROM b WINDOW w AS (PARTITION BY event_type ORDER BY bucket)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, extractions, graphs, memories, queues, relational, searches, streams, texts  # noqa: F401
+from . import audits, contexts, extractions, graphs, memories, queues, relational, searches, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

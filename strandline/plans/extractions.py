@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +10,8 @@ from ..functions import words as W
 from ..operators import extraction as X
 from ..operators import replies as R
 from ..sources import adapters as A
+from .folders import shared_folder
 from .registry import listed, query
-from .streams import _shared
 
 
 def _put(form: str, **values: Column) -> Column:
@@ -99,7 +97,7 @@ KEPT = SAID + f""", ke AS (SELECT e.* FROM e JOIN m USING (message_id) WHERE ski
 
 def _graph(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the graph that a stream of the messages fills."""
-    folder = f"{_shared(spark)}/graph_{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "graph")
     tables = X.GraphTables(folder, "made")
     tables.follow(_messages(spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events*.parquet")), f"{folder}/place")
     return tables.read(spark, table)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import graph as G
+from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources import adapters as A
+from .folders import shared_folder
 from .registry import ATOMS, ENDS, ENTITIES, MESSAGES, RELATIONS, SESSIONS, listed, query
 
 TERMS = ["the", "ereation", "de"]
@@ -57,6 +59,24 @@ def keyword_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_search(docs, ["the", "of", "with"], 20, "and")
 
 
+@query("WITH src AS (SELECT doc_id AS id, text AS content FROM documents), " + _bm25("src", ["license", "der", "tion"], 20) + " SELECT id, score FROM bm25")
+def index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return I.KeywordIndex(spark, shared_folder(spark, "keywords")).build(docs).search(["license", "der", "tion"], 20)
+
+
+@query("WITH src AS (SELECT doc_id AS id, text AS content FROM documents), " + _bm25("src", ["the", "of", "with"], 20, "and") + " SELECT id, score FROM bm25")
+def index_bm25_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return I.KeywordIndex(spark, shared_folder(spark, "keywords")).build(docs).search(["the", "of", "with"], 20, "and")
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 20")
+def index_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = I.VectorIndex(spark, shared_folder(spark, "vectors"), "vec_id").build(A.embeddings(spark, sf_dir))
+    return index.search(_query_vector(spark, sf_dir), 20, exact=True)
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 20")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest(A.embeddings(spark, sf_dir), _query_vector(spark, sf_dir), 20, "vec_id")

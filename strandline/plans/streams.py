@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..streaming import flows, timers
+from .folders import shared_folder
 from .registry import RELATIONS, query
 
 
-def _shared(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams").rstrip("/")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.event_stream(spark, f"{sf_dir}/events*.parquet")
 
 
 def _run(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    name = f"{_shared(spark)}/stream_{uuid.uuid4().hex}"
+    name = shared_folder(spark, "stream")
     return flows.caught_up(result, spark, f"{name}-out", mode, name)
 
 
@@ -33,7 +25,7 @@ LATE, AFTER_ALL = "31 days", "9000-01-01 00:00:00"
 
 def _ordered(spark: SparkSession, events: DataFrame, processor: timers.InOrder, key: str = "user_id") -> DataFrame:
     """What a processor gives for all events: those that have come, and, once a mark ends the stream, those that still waited."""
-    name = f"{_shared(spark)}/stream_{uuid.uuid4().hex}"
+    name = shared_folder(spark, "stream")
     events = timers.without_end(events.withColumn("id", F.col("event_id")), f"{name}-marks")
     result = timers.in_order(events, key, "ts", LATE, processor)
     flows.caught_up(result, spark, f"{name}-out", "append", name)

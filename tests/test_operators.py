@@ -196,8 +196,6 @@ def test_audit_rules(spark):
     assert audits.severity(checks, ["b"]).first().severity == "warning" and audits.severity(checks, ["a", "b"]).first().severity == "ok" and audits.severity(checks.limit(0), []).first().severity == "ok"
     s = spark.createDataFrame([("s", n) for n in (1, 2, 5, 6, 9)], "g string, n int")
     assert [(r.after, r.n, r.missing) for r in audits.gaps(s, "g", "n").orderBy("n").collect()] == [(2, 5, 2), (6, 9, 2)]
-    b = spark.createDataFrame([("x", i, v) for i, v in enumerate([9, 9, 1, 9, 9, 9])], "g string, bucket int, v int")
-    assert [r.bucket for r in audits.lasting(b, F.col("v") > 5, 3, "g").collect()] == [5]
 
 
 def test_files(spark, tmp_path):
