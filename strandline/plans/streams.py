@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import resumable
 from ..streaming import flows, timers
 from .folders import shared_folder
 from .registry import RELATIONS, query
@@ -123,3 +124,10 @@ def stream_idle_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase")).withColumn("taker", F.when(F.col("event_type") == "purchase", F.col("event_id")))
     return _ordered(spark, events, timers.Continuation(43_200)).select("user_id", "id", "taker", "what")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS orders, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders GROUP BY 1")
+def stream_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = resumable.keyset(spark, f"{sf_dir}/orders.parquet", "o_orderkey", "o_orderkey long, o_orderstatus string")
+    read = _run(spark, orders, "append")
+    return read.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("orders"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
