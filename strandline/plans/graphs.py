@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as W
 from ..operators import graph as G
+from ..operators import graph_log as L
 from ..operators import memory as M
 from ..sources import adapters as A
+from .folders import shared_folder
 from .registry import ENDS, ENTITIES, RELATIONS, listed, query
 
 #: The messages from which bridges start.
@@ -174,3 +176,53 @@ def op_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hallucination_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
     return A.relations(spark, sf_dir).agg(F.round(1 - F.count_if(F.col("relation_type") != "mentions") / F.greatest(n, F.lit(1)), 4).alias("rate"), n.alias("relations"))
+
+
+#: A log of writes for each order: deletions, merges, upserts, relations and their new types.
+LOG = """o AS (SELECT o_orderkey AS n, CASE WHEN k = 0 THEN 'delete' WHEN k < 3 THEN 'merge' WHEN k < 9 THEN 'upsert' WHEN k < 14 THEN 'relate' ELSE 'retype' END AS op, id, (id * 7 + 3) % 997 + 1 AS dest, 'name ' || o_orderkey AS name,
+      o_orderpriority AS kind, CASE WHEN k < 14 THEN o_orderkey ELSE o_orderkey - k + 9 END AS rel, id AS source, (id * 3 + o_orderkey) % 1200 + 1 AS target FROM (SELECT *, o_orderkey % 16 AS k, o_custkey AS id FROM orders)),
+    edges AS (SELECT id AS e, arg_min(dest, n) AS goes, min(n) AS t FROM o WHERE op = 'merge' AND id <> dest GROUP BY id),
+    w(e, cur, t) AS (SELECT e, goes, t FROM edges UNION SELECT w.e, g.goes, w.t FROM w JOIN edges g ON g.e = w.cur AND g.t < w.t),
+    good AS (SELECT * FROM edges WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.e = edges.e AND w.cur = edges.e)),
+    ids AS (SELECT id FROM o UNION SELECT target FROM o),
+    anc(id, cur, maxt) AS (SELECT id, id, -1::BIGINT FROM ids UNION ALL SELECT a.id, g.goes, greatest(a.maxt, g.t) FROM anc a JOIN good g ON g.e = a.cur),
+    stop AS (SELECT a.*, CASE WHEN g.e IS NULL THEN 9000000000000000000 ELSE greatest(a.maxt, g.t) END AS upto FROM anc a LEFT JOIN good g ON g.e = a.cur),
+    ev AS (SELECT n, op, cur AS x, name, kind FROM o JOIN stop s ON s.id = o.id AND maxt < n AND upto >= n WHERE op IN ('upsert', 'delete')),
+    added AS (SELECT * FROM o WHERE op = 'relate'),
+    ends AS (SELECT rel, n, source AS x FROM added UNION SELECT rel, n, target FROM added),
+    deaths AS (SELECT rel, min(d.n) AS death FROM ends JOIN anc a ON a.id = ends.x JOIN ev d ON d.op = 'delete' AND d.x = a.cur AND d.n > ends.n AND d.n > a.maxt GROUP BY rel),
+    left_ AS (SELECT a.* FROM added a LEFT JOIN deaths d USING (rel) WHERE death IS NULL),
+    new AS (SELECT c.rel, arg_max(c.kind, c.n) AS kind, count(*) AS changes FROM o c JOIN left_ l ON l.rel = c.rel AND c.n > l.n WHERE c.op = 'retype' GROUP BY c.rel)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, id_ = F.col("o_orderkey"), F.col("o_custkey")
+    k = n % 16
+    op = F.when(k == 0, "delete").when(k < 3, "merge").when(k < 9, "upsert").when(k < 14, "relate").otherwise("retype")
+    return A.table(spark, sf_dir, "orders").select(
+        n.alias("n"), op.alias("op"), id_.alias("id"), ((id_ * 7 + 3) % 997 + 1).alias("into"), F.concat(F.lit("name "), n.cast("string")).alias("name"), F.col("o_orderpriority").alias("kind"),
+        F.when(k < 14, n).otherwise(n - k + 9).alias("rel"), id_.alias("source"), ((id_ * 3 + n) % 1200 + 1).alias("target"),
+    )
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    folder = shared_folder(spark, "log")
+    steps = iter(range(1_000_000))
+
+    def written(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(steps)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return L.replayed(_log(spark, sf_dir), written)
+
+
+@query("WITH RECURSIVE " + LOG + ", l AS (SELECT x, arg_max(op, n) AS op, arg_max(name, n) AS name, arg_max(kind, n) AS kind FROM ev GROUP BY x) SELECT x AS id, name, kind FROM l WHERE op = 'upsert' AND x NOT IN (SELECT e FROM good)")
+def graph_log_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir)[0]
+
+
+@query("WITH RECURSIVE " + LOG + """ SELECT l.rel, s.cur AS source, t.cur AS target, coalesce(new.kind, l.kind) AS kind, 1 + coalesce(changes, 0) AS version FROM left_ l LEFT JOIN new ON new.rel = l.rel
+    JOIN stop s ON s.id = l.source AND s.upto = 9000000000000000000 JOIN stop t ON t.id = l.target AND t.upto = 9000000000000000000""")
+def graph_log_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir)[1]
