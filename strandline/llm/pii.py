@@ -24,17 +24,26 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: kind -> pattern of the whole value. Earlier kinds win where two begin at one place.
 DETECTORS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}0-9-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
-    "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|secret|api[_-]?key|password|passwd)[ ]?[=:][ ]?\"?(?=[0-9a-f]{16})[0-9a-f]{16,64}(?![0-9a-z]))",
+    # What follows a word for a secret: hexadecimal digits, or anything with a digit in it up to a blank, quote, comma or bracket.
+    "secret": r"(?i:(?<![\p{L}\p{N}])(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)[ ]?[=:][ ]?[\"']?)"
+    r"(?:(?i:[0-9a-f]{16,})(?![0-9A-Za-z])|(?=[^\x00-\x20\"',;<>]*[0-9])[^\x00-\x20\"',;<>]{6,})",
+    # Forms that name themselves.
+    "token": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|sk-(?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{20,}"
+    r"|xox[baprs]-(?=[A-Za-z0-9-]*[0-9])[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
-    "date": r"(?<![\p{L}\p{N}.-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|[0-3][0-9]/[01][0-9]/[12][0-9]{3}|[0-3][0-9]\.[01][0-9]\.[12][0-9]{3})(?![\p{L}\p{N}-])",
+    "date": r"(?<![\p{L}\p{N}.-])(?:[12][0-9]{3}-[01][0-9]-[0-3][0-9]|(?:[0-3][0-9]/[01][0-9]|[01][0-9]/[0-3][0-9])/[12][0-9]{3}|[0-3][0-9]\.[01][0-9]\.[12][0-9]{3})(?![\p{L}\p{N}-])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    # Three groups as in America; with a country's number groups of two to five, 8 to 15 digits in all; pairs after 0 and a digit; an area with 0 and one long number.
+    # Three groups as in America; with a country's number after + or 00 groups of two to five, 8 to 15 digits in all; pairs after 0 and a digit; an area with 0 and one long number.
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
     r"|\+(?=(?:[ .()/-]{0,2}[0-9]){8,15}(?![ .-]?[0-9]))[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,5})(?:[ ./-]?[0-9]{2,5}){1,6}"
+    r"|00(?=(?:[ ./-]?[0-9]){7,13}(?![ ./-]?[0-9]))[1-9][0-9]{0,2}[ ./-][0-9]{1,5}(?:[ ./-][0-9]{2,8}){1,6}"
     r"|0[0-9](?:[ .-][0-9]{2}){4}"
     r"|\(?0[0-9]{2,4}\)?[ /-][0-9]{5,8})(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}])(?!\.[0-9])",
-    "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3})(?![\p{L}\p{N}])",
+    # Eight groups, or fewer around ::, three digits of one group at least.
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?=[0-9a-fA-F:]*[0-9])(?=[0-9a-fA-F:]*[0-9a-fA-F]{3})(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+    r"|(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6})?)(?![\p{L}\p{N}:])",
+    "card": r"(?<![\p{L}\p{N}])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:\.[0-9]{4}){3})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(DETECTORS.values())
 
@@ -175,17 +184,42 @@ def _iban(s: Column, key: str) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
-    country = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    country = F.regexp_extract(s, r"^(?:\+[0-9]{1,3}(?=[ .(-])|00[1-9][0-9]{0,2}(?=[ ./-]))", 0)
     return F.concat(country, _alnum(F.substr(s, F.char_length(country) + 1), key, "phone"))
 
 
 def _email(s: Column, key: str) -> Column:
-    return F.concat(_alnum(F.substring_index(s, "@", 1), key, "email"), F.lit("@"), F.substring_index(s, "@", -1))
+    """A new name, and a new domain below the same top level: domains name people too."""
+    domain = F.substring_index(s, "@", -1)
+    top = F.substring_index(domain, ".", -1)
+    own = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top) - 1)
+    return F.concat(_alnum(F.substring_index(s, "@", 1), key, "email"), F.lit("@"), _alnum(own, key, "domain"), F.lit("."), top)
+
+
+#: A long secret is permuted in parts of so many characters.
+SECRET_PART = 128
+
+
+def _opaque(value: Column, key: str) -> Column:
+    """Hexadecimal digits as such, anything else by its letters and digits, part by part."""
+    parts = lambda hexadecimal: F.array_join(F.transform(F.regexp_extract_all(value, F.lit(f"(?s).{{1,{SECRET_PART}}}"), F.lit(0)), lambda p: _alnum(p, key, "secret", hexadecimal)), "")
+    return F.when(value.rlike("^[0-9a-fA-F]{16,}$"), parts(True)).otherwise(parts(False))
+
+
+def _after(s: Column, before: str, key: str) -> Column:
+    return let(F.regexp_extract(s, before, 0), lambda kept: F.concat(kept, let(F.substr(s, F.char_length(kept) + 1), lambda value: _opaque(value, key))))
 
 
 def _secret(s: Column, key: str) -> Column:
-    value = F.regexp_extract(s, "[0-9a-fA-F]{16,64}$", 0)
-    return F.concat(F.substr(s, F.lit(1), F.char_length(s) - F.char_length(value)), _alnum(value, key, "secret", hexadecimal=True))
+    return _after(s, "^[^=:]*[=:][ ]?[\"']?", key)
+
+
+def _token(s: Column, key: str) -> Column:
+    return _after(s, "^(?:AKIA|ASIA|sk-|gh[pousr]_|xox[baprs]-|eyJ)", key)
+
+
+def _ipv6(s: Column, key: str) -> Column:
+    return _alnum(s, key, "ipv6", hexadecimal=True)
 
 
 def _ip(s: Column, key: str) -> Column:
@@ -209,27 +243,30 @@ def _ssn(s: Column, key: str) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    """Days of 1800 to 2199, shown as they were: year first, or day first with dots or slashes."""
-    iso = F.when(s.rlike("^[0-9]{4}-"), s).otherwise(F.concat_ws("-", F.substr(s, F.lit(7), F.lit(4)), F.substr(s, F.lit(4), F.lit(2)), F.substr(s, F.lit(1), F.lit(2))))
+    """Days of 1800 to 2199, shown as they were: year first, or day first with dots or slashes, or month first where only that is a day."""
+    part = lambda at, n: F.substr(s, F.lit(at), F.lit(n))
     start = F.make_date(F.lit(1800), F.lit(1), F.lit(1))
+    first = F.when(s.rlike("^[0-9]{4}-"), s).otherwise(F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2)))
+    month_first = F.when(s.contains("/"), F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
 
-    def new(day: Column) -> Column:
-        v = F.array(F.floor(day / 773).cast("long"), day % 773)
+    def of_days(days: Column) -> Column:
+        day = F.coalesce(days["day"], days["american"])
+        pattern = F.when(s.rlike("^[0-9]{4}-"), F.lit("yyyy-MM-dd")).when(s.contains("."), F.lit("dd.MM.yyyy")).when(days["day"].isNull(), F.lit("MM/dd/yyyy")).otherwise(F.lit("dd/MM/yyyy"))
 
         def shown(n: Column) -> Column:
-            moved = F.date_add(start, (n[0] * 773 + n[1]).cast("int"))
-            pattern = F.when(s.rlike("^[0-9]{4}-"), F.lit("yyyy-MM-dd")).when(s.contains("/"), F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))
-            return F.date_format(moved, pattern) if isinstance(pattern, str) else F.call_function("date_format", moved, pattern)
+            return F.call_function("date_format", F.date_add(start, (n[0] * 773 + n[1]).cast("int")), pattern)
 
         inside = day.isNotNull() & (day >= 0) & (day < 146_097)
+        v = F.array(F.floor(day / 773).cast("long"), day % 773)
         return F.when(inside, let(feistel(v, F.array(_long(189), _long(773)), key, "date"), shown))
 
-    return let(F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), start).cast("long"), new)
+    since = lambda iso: F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), start).cast("long")
+    return let(F.struct(since(first).alias("day"), since(month_first).alias("american")), of_days)
 
 
 #: Each kind's pseudonym; null for what its check refuses.
 _NEW: dict[str, Callable[[Column, str], Column]] = {
-    "email": _email, "secret": _secret, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card,
+    "email": _email, "secret": _secret, "token": _token, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "ipv6": _ipv6, "card": _card,
 }
 
 
@@ -255,7 +292,7 @@ def pseudonyms(text: Column, key: str) -> Column:
         return F.struct(F.array_join(whole, "").alias("text"), F.filter(found, lambda f: f["kind"].isNotNull()).alias("found"))
 
     nothing = F.struct(text.alias("text"), F.array().cast("array<struct<kind:string,pseudonym:string>>").alias("found"))
-    return F.when(text.rlike("[0-9@]"), let(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), each), woven)).otherwise(nothing)
+    return F.when(text.rlike("[0-9@=:]"), let(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), each), woven)).otherwise(nothing)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:

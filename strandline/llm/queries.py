@@ -26,8 +26,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret key of the pseudonyms, from the configuration; without one, as in tests, a key that everyone knows."""
-    return spark.conf.get("spark.strandline.pii.key", "no secret")
+    """The secret key of the pseudonyms, from the configuration; without one a key that everyone knows, on a local master only, as in tests."""
+    key = spark.conf.get("spark.strandline.pii.key", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.strandline.pii.key must hold the secret key of the pseudonyms")
+    return key or "no secret"
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
