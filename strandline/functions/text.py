@@ -184,6 +184,22 @@ def query_words(text: str, least: int = 3, most: int = 3) -> list[str]:
     return sorted(found, key=len, reverse=True)[:most]
 
 
+def asks_for_recent(query: Column) -> Column:
+    """Whether a query has a word, or part of one, that asks for what is newest; null queries don't."""
+    return F.coalesce(F.lower(query).rlike("|".join(W.RECENCY_WORDS)), F.lit(False))
+
+
+def json_set(document: Column, key: str, value: Column) -> Column:
+    """A JSON object with `key` set to a JSON value, after the keys that stay as they are; null becomes an object of that key alone.
+
+    What is no JSON object is left as it is.
+    """
+    fields = F.from_json(F.coalesce(document, F.lit("{}")), "map<string,variant>")
+    kept = F.map_filter(fields, lambda k, _: k != key)
+    patched = F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(value))))
+    return F.when(F.coalesce(F.trim(document), F.lit("{")).startswith("{") & fields.isNotNull(), patched).otherwise(document)
+
+
 def split_query(text: str) -> list[str]:
     """Terms of a query: parted at blanks, dashes, slashes and between scripts; CJK runs stay whole."""
     import re

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words as W
 from ..functions.vectors import cosine
 
 
@@ -144,6 +145,56 @@ def next_version(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Da
     return both.select("user_id", F.coalesce("_profile", "profile").alias("profile"), newer.alias("version")), history
 
 
+def persona_material(atoms: DataFrame, scenarios: DataFrame, least: int = 50, most_atoms: int = 200, most_scenarios: int = 50) -> DataFrame:
+    """What a user's persona is written from: user_id, atoms, scenarios, scenario_ids, material.
+
+    The newest `most_atoms` facts that nothing supersedes and the newest `most_scenarios` scenarios; users with fewer than
+    `least` of both have no row. The material shows the first 100 facts to 300 characters and the first 20 scenarios to 200.
+    atoms: id, user_id, kind, content, superseded_by, created_at; scenarios: id, user_id, title, narrative, created_at. Ties
+    by id; a null text or title is empty. Rows are cut to a user's newest before any is gathered, on either side of the shuffle.
+    """
+
+    def newest(rows: DataFrame, most: int) -> DataFrame:
+        order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.asc("id"))
+        return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+    text = lambda c, n: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(n))
+    facts = newest(atoms.filter("superseded_by IS NULL"), most_atoms)
+    a = facts.select("user_id", "place", F.lit(0).alias("kind"), F.lit(None).cast(scenarios.schema["id"].dataType).alias("id"), F.when(F.col("place") <= 100, F.concat(F.lit("- ["), F.coalesce("kind", F.lit("")), F.lit("] "), text("content", 300))).alias("line"))
+    told = newest(scenarios, most_scenarios)
+    s = told.select("user_id", "place", F.lit(1).alias("kind"), "id", F.when(F.col("place") <= 20, F.concat(F.lit("- "), F.coalesce("title", F.lit("")), F.lit(": "), text("narrative", 200))).alias("line"))
+    items = F.sort_array(F.collect_list(F.struct("kind", "place", "id", "line")))  # most_atoms + most_scenarios at most
+    g = a.unionByName(s).groupBy("user_id").agg(F.count_if(F.col("kind") == 0).alias("atoms"), F.count_if(F.col("kind") == 1).alias("scenarios"), items.alias("items"))
+    lines = lambda kind: F.filter("items", lambda x: (x["kind"] == kind) & x["line"].isNotNull())["line"]
+    head = lambda i, n: F.format_string(W.MATERIAL_HEADS[i], F.col(n))
+    first = F.concat(F.array(head(0, "atoms")), lines(0))
+    both = F.when(F.col("scenarios") > 0, F.concat(first, F.array(F.concat(F.lit("\n"), head(1, "scenarios"))), lines(1))).otherwise(first)
+    ids = F.filter("items", lambda x: x["kind"] == 1)["id"]
+    return g.filter(F.col("atoms") + F.col("scenarios") >= least).select("user_id", "atoms", "scenarios", ids.alias("scenario_ids"), F.array_join(both, "\n").alias("material"))
+
+
+def flag_busiest(messages: DataFrame, sessions: DataFrame, n: int, key: str = "kg_extract_pending", least: int = 50) -> DataFrame:
+    """messages with `key` set in metadata, and flagged true, where they may be extracted from in one of the n sessions with most messages.
+
+    Those are messages of users and assistants with at least `least` characters. messages: id, session_id, role, content,
+    metadata (a JSON object or null); sessions: id, message_count, those of one user, say. Ties by id. All rows are returned.
+    """
+    busiest = sessions.orderBy(F.desc("message_count"), F.asc("id")).limit(n).select(F.col("id").alias("session_id"), F.lit(True).alias("_busy"))
+    marked = messages.join(F.broadcast(busiest), "session_id", "left")  # n rows
+    due = F.coalesce(F.col("_busy") & F.col("role").isin("user", "assistant") & (F.length("content") >= least), F.lit(False))
+    return marked.withColumn("flagged", due).withColumn("metadata", F.when(F.col("flagged"), T.json_set(F.col("metadata"), key, F.lit("true"))).otherwise(F.col("metadata"))).drop("_busy")
+
+
+def fill_where_null(rows: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
+    """rows with nulls of `column` filled from values (key, column), and filled true there; what has a value keeps it.
+
+    Of several values for a key the least counts; null values and null keys fill nothing. Only rows that lack a value are joined.
+    """
+    given = values.filter(F.col(column).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(column).alias("_given"))
+    lacking = rows.filter(F.col(column).isNull()).join(given, key, "left").withColumn(column, F.col("_given")).withColumn("filled", F.col("_given").isNotNull()).drop("_given")
+    return rows.filter(F.col(column).isNotNull()).withColumn("filled", F.lit(False)).unionByName(lacking)
+
+
 def canvas(atoms: DataFrame, most: int = 15) -> DataFrame:
     """session_id and a Mermaid graph of its first facts in order of time, one arrow to each next one."""
     order = Window.partitionBy("session_id").orderBy("created_at", "id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import words as W
 from ..functions.vectors import cosine
 
 
@@ -166,3 +170,72 @@ def graph_search(entities: DataFrame, relations: DataFrame, terms: list[str], n:
     e = top(entities.filter(like("name")), n, F.asc("id")).select(F.lit("entity").alias("found"), "id", F.col("name").alias("label"))
     r = top(relations.filter(like("relation_type")), n, F.asc("id")).select(F.lit("relation").alias("found"), "id", F.col("relation_type").alias("label"))
     return e.unionByName(r)
+
+
+MODES = ("vector", "graph", "hybrid")
+
+
+def unified(
+    query: str, vector: list[float], n: int, texts: dict[str, DataFrame], vectors: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, mode: str = "hybrid", recency: str = "auto", weight: float = 0.15
+) -> DataFrame:
+    """One query over texts and graph: found, id, label, score, recency_active.
+
+    texts (id, content, created_at) and vectors (id, embedding) are tables by name, all ranked together: the n best of
+    them by reciprocal rank in modes `vector` and `hybrid`; at most n entities and n relations, without a score, in modes
+    `graph` and `hybrid`. recency is `on`, `off` or, as the query's words ask for it, `auto`; it lifts the newest among the
+    hits of each table by `weight`. label: a text's first 60 characters, an entity's name or a relation's type.
+    """
+    if mode not in MODES or recency not in ("on", "off", "auto"):
+        raise ValueError(f"mode must be one of {MODES}, recency on, off or auto: {mode}, {recency}")
+    active = recency == "on" or (recency == "auto" and any(w in query.lower() for w in W.RECENCY_WORDS))
+    parts = []
+    if mode != "graph":
+        terms = re.findall(r"\w+", query.lower())
+        of = lambda found, hits: hits.select(F.struct(F.lit(found).alias("found"), F.col("id").cast("long").alias("id")).alias("id"), "score")
+        words = [(found, keyword_search(t, terms, n)) for found, t in texts.items()] if terms else []
+        near = [(found, nearest(v, vector, n)) for found, v in vectors.items()]
+        lists = [ranked(of(found, hits), found, i) for i, (found, hits) in enumerate([*words, *near])]
+        best = reciprocal_rank_fusion(lists, n).select("id.found", "id.id", "score")
+        for found, t in texts.items():
+            hits = t.join(F.broadcast(best.filter(F.col("found") == found)), "id")  # n rows
+            hits = recency_bias(hits, "created_at", weight) if active else hits
+            parts.append(hits.select("found", F.col("id").cast("long").alias("id"), F.substring("content", 1, 60).alias("label"), "score"))
+    if mode != "vector":
+        terms = T.split_query(query)
+        if terms:
+            parts.append(graph_search(entities, relations, terms, n).select("found", F.col("id").cast("long").alias("id"), "label", F.lit(None).cast("double").alias("score")))
+    if not parts:
+        return entities.sparkSession.createDataFrame([], "found string, id long, label string, score double, recency_active boolean")
+    return reduce(DataFrame.unionByName, parts).withColumn("recency_active", F.lit(active))
+
+
+def prefetch(task: str, context: str, entities: DataFrame, messages: DataFrame, sessions: DataFrame, n: int = 5, most_words: int = 5) -> DataFrame:
+    """What a task is likely to need, before it asks: part (entity, message, session), place from 1, id, label.
+
+    The newest entities named like one of the context's first words of two characters or more; only where it has none, the
+    newest of the kinds that the task needs, those of `general` for a task that is not known. Messages are the newest of users
+    and assistants in the sessions of the first 4n of these entities, sessions the five last updated of those given.
+    entities: id, name, entity_type, session_id, created_at; messages: id, session_id, role, content, created_at;
+    sessions: id, title, updated_at. Ties by id.
+    """
+    words = [w.lower() for w in context.split() if len(w) >= 2][:most_words]
+    kinds = W.TASK_KINDS.get(task, W.TASK_KINDS["general"])
+    wanted = T.any_of([F.contains(F.lower("name"), F.lit(w)) for w in words]) if words else F.col("entity_type").isin(*kinds)
+    found = top(entities.filter(wanted), 4 * n, F.desc("created_at"), F.asc("id"))
+    talked = messages.filter(F.col("role").isin("user", "assistant")).join(F.broadcast(found.select("session_id")), "session_id", "left_semi")  # 4n rows
+    said = top(talked, n, F.desc("created_at"), F.asc("id"))
+    last = top(sessions, 5, F.desc("updated_at"), F.asc("id"))
+
+    def listed(part: str, rows: DataFrame, label: Column, at: str, most: int) -> DataFrame:
+        placed = rows.select(F.lit(part).alias("part"), F.row_number().over(Window.partitionBy(F.lit(part)).orderBy(F.desc(at), F.asc("id"))).alias("place"), F.col("id").cast("long").alias("id"), label.alias("label"))  # 4n rows
+        return placed.filter(F.col("place") <= most)
+
+    parts = [listed("entity", found, F.col("name"), "created_at", n), listed("message", said, F.left("content", F.lit(300)), "created_at", n), listed("session", last, F.col("title"), "updated_at", 5)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def advice(tasks: DataFrame, skills: dict[str, list[str]], most: int = 5) -> DataFrame:
+    """tasks (id, task) with the skills that are known to help, at most `most`, and the tokens of each part of what is fetched ahead."""
+    known = F.create_map(*[x for task, names in skills.items() for x in (F.lit(task), F.array(*[F.lit(s) for s in names[:most]]).cast("array<string>"))]) if skills else F.create_map().cast("map<string,array<string>>")
+    budget = F.create_map(*[x for part, tokens in W.TASK_BUDGET.items() for x in (F.lit(part), F.lit(tokens))])
+    return tasks.select("id", "task", F.coalesce(F.try_element_at(known, F.col("task")), F.array().cast("array<string>")).alias("skills"), budget.alias("budget"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from ..functions.vectors import dot
 from ..operators import memory as M
 from ..sources import adapters as A
 from .registry import ATOMS, MESSAGES, SESSIONS, listed, query
@@ -78,6 +79,47 @@ def persona_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now
 
 
+@query("WITH " + ATOMS + """, mine AS (SELECT * REPLACE (kind AS user_id, user_id AS kind) FROM atoms),
+    a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place FROM mine WHERE id % 10 <> 9 QUALIFY place <= 200),
+    b AS (SELECT user_id, coalesce(project::VARCHAR, '_default') AS project, strftime(created_at, '%Y-%m-%d') AS day, min(id) AS id, max(created_at) AS created_at, count(*) AS n FROM mine GROUP BY 1, 2, 3),
+    s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS place FROM b QUALIFY place <= 50),
+    al AS (SELECT user_id, count(*) AS atoms, string_agg('- [' || kind || '] ' || left(coalesce(content, ''), 300), chr(10) ORDER BY place) FILTER (WHERE place <= 100) AS lines FROM a GROUP BY 1),
+    sl AS (SELECT user_id, count(*) AS scenarios, string_agg(id::VARCHAR, ',' ORDER BY place) AS ids, string_agg('- ' || project || ' on ' || day || ': ' || n || ' facts', chr(10) ORDER BY place) FILTER (WHERE place <= 20) AS lines FROM s GROUP BY 1)
+    SELECT user_id, atoms, coalesce(scenarios, 0) AS scenarios, coalesce(ids, '') AS scenario_ids,
+      '""" + W.MATERIAL_HEADS[0].replace("%d", "' || atoms || '") + """' || chr(10) || al.lines || CASE WHEN scenarios > 0 THEN chr(10) || chr(10) || '""" + W.MATERIAL_HEADS[1].replace("%d", "' || scenarios || '") + """' || chr(10) || sl.lines ELSE '' END AS material
+    FROM al LEFT JOIN sl USING (user_id) WHERE atoms + coalesce(scenarios, 0) >= 50""")
+def persona_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A language's texts are one user's facts here, so that there are users with more than any limit.
+    a = A.atoms(spark, sf_dir).select("id", F.col("kind").alias("user_id"), "project", F.col("user_id").alias("kind"), "content", "created_at")
+    told = M.scenario_buckets(a, 1).select(
+        F.element_at("atom_ids", 1).alias("id"), "user_id", F.concat("project", F.lit(" on "), F.date_format("day", "yyyy-MM-dd")).alias("title"),
+        F.concat(F.col("atoms").cast("string"), F.lit(" facts")).alias("narrative"), F.col("period_end").alias("created_at"),
+    )
+    out = M.persona_material(a.withColumn("superseded_by", F.when(F.col("id") % 10 == 9, F.col("id") + 1)), told)
+    return out.withColumn("scenario_ids", F.array_join("scenario_ids", ","))
+
+
+@query("WITH " + SESSIONS + """, b AS (SELECT id FROM sessions WHERE project IN (1, 2, 3) ORDER BY message_count DESC, id LIMIT 5),
+    m AS (SELECT *, CASE id % 4 WHEN 1 THEN '{"turn":' || turn || ',"at":{"x":1.5}}' WHEN 2 THEN '{"kg_extract_pending":false,"tags":["a",null]}' WHEN 3 THEN 'none' END AS metadata FROM messages),
+    f AS (SELECT *, session_id IN (SELECT id FROM b) AND role IN ('user', 'assistant') AND length(content) >= 50 AS flagged FROM m)
+    SELECT id, coalesce(flagged, false) AS flagged, CASE WHEN NOT coalesce(flagged, false) THEN metadata WHEN id % 4 = 1 THEN '{"turn":' || turn || ',"at":{"x":1.5},"kg_extract_pending":true}'
+      WHEN id % 4 = 2 THEN '{"tags":["a",null],"kg_extract_pending":true}' WHEN id % 4 = 3 THEN 'none' ELSE '{"kg_extract_pending":true}' END AS metadata FROM f""")
+def flag_busiest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("id") % 4
+    told = F.when(kind == 1, F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"at":{"x":1.5}}'))).when(kind == 2, F.lit('{"kg_extract_pending":false,"tags":["a",null]}')).when(kind == 3, F.lit("none"))
+    m = A.messages(spark, sf_dir).withColumn("metadata", told)
+    return M.flag_busiest(m, A.sessions(spark, sf_dir).filter("project IN (1, 2, 3)"), 5).select("id", "flagged", "metadata")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN embedding::DOUBLE[] END AS v, CASE WHEN doc_id % 2 = 0 THEN embedding::DOUBLE[] END AS given FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
+    SELECT doc_id, v IS NULL AND given IS NOT NULL AS filled, round(sqrt(list_sum(list_transform(coalesce(v, given), lambda x: x * x))), 4) AS norm FROM d""")
+def vector_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = A.embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
+    lacking = A.table(spark, sf_dir, "documents").select("doc_id").join(v, "doc_id", "left").withColumn("embedding", F.when(F.col("doc_id") % 3 != 0, F.col("embedding")))
+    filled = M.fill_where_null(lacking, v.filter("doc_id % 2 = 0"), "doc_id", "embedding")
+    return filled.select("doc_id", "filled", F.round(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+
+
 @query("WITH " + MESSAGES + """, f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) - 1 AS n, count(*) OVER (PARTITION BY session_id) AS c FROM messages)
     SELECT session_id, md5('graph LR' || chr(10) || string_agg('    N' || n || '["' || replace(substr(content, 1, 30), '"', '''') || '"]' || CASE WHEN n > 0 THEN chr(10) || '    N' || (n - 1) || CASE WHEN role = 'system' THEN ' -.-> N' ELSE ' --> N' END || n ELSE '' END, chr(10) ORDER BY n)) AS canvas_md5
     FROM f WHERE n < 15 AND c > 1 GROUP BY session_id""")

@@ -249,6 +249,76 @@ def prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("content"))
 
 
+UNIFIED = "the latest ereation part widget"
+UNIFIED_TERMS = UNIFIED.split()
+
+
+@query("WITH " + MESSAGES + ", " + VECTORS + ", " + ATOMS + ", " + ENTITIES + ", " + RELATIONS + f""",
+    mb AS (WITH {_bm25("messages", UNIFIED_TERMS, 10)} SELECT * FROM bm25), ab AS (WITH {_bm25("atoms", UNIFIED_TERMS, 10)} SELECT * FROM bm25),
+    av AS (SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], q), 4) AS score FROM atoms JOIN embeddings ON vec_id = id, qv ORDER BY score DESC, id LIMIT 10),
+    every AS (SELECT 'message' AS found, 0 AS l, * FROM mb UNION ALL SELECT 'atom', 1, * FROM ab UNION ALL SELECT 'message', 2, * FROM knn UNION ALL SELECT 'atom', 3, * FROM av),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, id) AS r FROM every),
+    fused AS (SELECT found, id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM ranked GROUP BY found, id ORDER BY round(sum(1.0::DOUBLE / (60 + r)), 6) DESC, min(l), arg_min(r, l), found, id LIMIT 10),
+    hits AS (SELECT found, f.id, content, score, epoch_us(created_at) AS us FROM fused f JOIN messages m ON m.id = f.id AND found = 'message' UNION ALL SELECT found, f.id, content, score, epoch_us(created_at) FROM fused f JOIN atoms a ON a.id = f.id AND found = 'atom'),
+    lifted AS (SELECT *, min(us) OVER (PARTITION BY found) AS low, max(us) OVER (PARTITION BY found) AS high FROM hits),
+    graph AS ((SELECT 'entity' AS found, id, name AS label FROM entities WHERE {" OR ".join(f"contains(lower(name), '{t}')" for t in UNIFIED_TERMS)} ORDER BY id LIMIT 10)
+      UNION ALL (SELECT 'relation', id, relation_type FROM relations WHERE {" OR ".join(f"contains(lower(relation_type), '{t}')" for t in UNIFIED_TERMS)} ORDER BY id LIMIT 10))
+    SELECT 'hybrid' AS mode, found, id, substr(content, 1, 60) AS label, round(score + CASE WHEN high > low THEN 0.15::DOUBLE * ((us - low)::DOUBLE / (high - low)::DOUBLE) ELSE 0.0::DOUBLE END, 6) AS score, true AS recency_active FROM lifted
+    UNION ALL SELECT 'hybrid', found, id, label, NULL, true FROM graph UNION ALL SELECT 'graph', found, id, label, NULL, true FROM graph UNION ALL SELECT 'vector', found, id, substr(content, 1, 60), score, false FROM hits""")
+def unified_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, atoms, vectors = A.messages(spark, sf_dir), A.atoms(spark, sf_dir), A.embeddings(spark, sf_dir)
+    texts = {"message": messages.select("id", "content", "created_at"), "atom": atoms.select("id", "content", "created_at")}
+    # A document's vector is the one of its number.
+    near = {"message": A.message_vectors(spark, sf_dir).select("id", "embedding"), "atom": atoms.select("id").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")}
+    q, e, r = _query_vector(spark, sf_dir), A.entities(spark, sf_dir), A.relations(spark, sf_dir)
+    hybrid, graph, vector = (R.unified(UNIFIED, q, 10, texts, near, e, r, mode, recency).withColumn("mode", F.lit(mode)) for mode, recency in (("hybrid", "auto"), ("graph", "auto"), ("vector", "off")))
+    return hybrid.unionByName(graph).unionByName(vector)
+
+
+@query("""WITH q AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Newest orders of ' || n_name WHEN 1 THEN 'RECENTLY seen in ' || c_mktsegment WHEN 2 THEN 'orders of ' || n_name END AS query FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT id, coalesce(regexp_matches(lower(query), 'latest|current|recent|newest'), false) AS recent FROM q""")
+def recency_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.table(spark, sf_dir, "customer").join(A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
+    shape = F.col("c_custkey") % 4
+    asked = F.when(shape == 0, F.concat(F.lit("Newest orders of "), "n_name")).when(shape == 1, F.concat(F.lit("RECENTLY seen in "), "c_mktsegment")).when(shape == 2, F.concat(F.lit("orders of "), "n_name"))
+    return c.select(F.col("c_custkey").alias("id"), T.asks_for_recent(asked).alias("recent"))
+
+
+KINDS = ["concept", "function", "file", "error", "command", "tool"]
+
+
+def _prefetched(asked: str, where: str) -> str:
+    return f"""SELECT * FROM (WITH f AS (SELECT * FROM known WHERE {where} ORDER BY created_at DESC, id LIMIT 20),
+      m AS (SELECT * FROM messages WHERE role IN ('user', 'assistant') AND session_id IN (SELECT session_id FROM f) ORDER BY created_at DESC, id LIMIT 5),
+      s AS (SELECT * FROM sessions WHERE user_id = 3 ORDER BY updated_at DESC, id LIMIT 5)
+      SELECT '{asked}' AS asked, 'entity' AS part, row_number() OVER (ORDER BY created_at DESC, id)::INTEGER AS place, id, name AS label FROM f QUALIFY place <= 5
+      UNION ALL SELECT '{asked}', 'message', row_number() OVER (ORDER BY created_at DESC, id)::INTEGER, id, left(content, 300) FROM m
+      UNION ALL SELECT '{asked}', 'session', row_number() OVER (ORDER BY updated_at DESC, id)::INTEGER, id, 'session ' || id || ' of project ' || project FROM s)"""
+
+
+@query("WITH " + SESSIONS + f""", known AS (SELECT p_partkey AS id, p_name AS name, [{listed(KINDS)}][(p_partkey % 6 + 1)::INTEGER] AS entity_type, p_partkey % 20 AS session_id, TIMESTAMP '2024-01-01' + to_days((p_partkey % 60)::INTEGER) AS created_at FROM part)
+    """ + _prefetched("words", "contains(lower(name), 'blue') OR contains(lower(name), 'bolt')") + " UNION ALL " + _prefetched("hints", "entity_type IN ('concept', 'command', 'error')"))
+def prefetch_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.expr(f"timestamp_ntz'{A.START}' + make_dt_interval(cast(p_partkey % 60 as int), 0, 0, 0)")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    known = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), kind.alias("entity_type"), (F.col("p_partkey") % 20).alias("session_id"), at.alias("created_at"))
+    title = F.concat(F.lit("session "), F.col("id").cast("string"), F.lit(" of project "), F.col("project").cast("string"))
+    mine = A.sessions(spark, sf_dir).filter("user_id = 3").select("id", title.alias("title"), "updated_at")
+    words, hints = (R.prefetch(task, context, known, A.messages(spark, sf_dir), mine).withColumn("asked", F.lit(asked)) for asked, task, context in (("words", "code", "a Blue bolt"), ("hints", "ops", "a")))
+    return words.unionByName(hints)
+
+
+SKILLS = {"code": ["read-the-trace", "write-a-test"], "ops": ["check-health"], "network": ["trace-a-route"]}
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, ['code', 'ops', 'network', 'unknown'][(o_orderkey % 4 + 1)::INTEGER] AS task FROM orders)
+    SELECT id, task, CASE task WHEN 'code' THEN 'read-the-trace,write-a-test' WHEN 'ops' THEN 'check-health' WHEN 'network' THEN 'trace-a-route' ELSE '' END AS skills, 400 AS entity_tokens, 600 AS excerpt_tokens FROM t""")
+def prefetch_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    task = F.element_at(F.array(F.lit("code"), F.lit("ops"), F.lit("network"), F.lit("unknown")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    tasks = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), task.alias("task"))
+    return R.advice(tasks, SKILLS).select("id", "task", F.array_join("skills", ",").alias("skills"), F.col("budget")["kg_entities"].alias("entity_tokens"), F.col("budget")["history_excerpts"].alias("excerpt_tokens"))
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 4) AS norm, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
 def query_vector_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.vectors import dot

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import resumable
@@ -34,16 +36,32 @@ def _ordered(spark: SparkSession, events: DataFrame, processor: timers.InOrder,
     return flows.caught_up(result, spark, f"{name}-out", "append", name)
 
 
+def _final(spark: SparkSession, events: DataFrame, result: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups that are over: those that the watermark has passed, and, once a mark ends the stream, the others too, but for the mark's own."""
+    name = shared_folder(spark, "stream")
+    events = timers.without_end(events, f"{name}-marks")
+    flows.caught_up(result(events), spark, f"{name}-out", "append", name)
+    timers.end(events, f"{name}-marks", "ts", AFTER_ALL)
+    return flows.caught_up(result(events), spark, f"{name}-out", "append", name)
+
+
+@query("SELECT user_id, count(*) AS events, round(sum(value), 4) AS value, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY user_id")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = _events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    name = shared_folder(spark, "stream")
+    return flows.Refreshed(spark, f"{name}-out", totals.schema, ["user_id"]).start(totals, name, every=None).read()
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, flows.hourly(_events(spark, sf_dir), late=None), "complete")
+    out = _final(spark, _events(spark, sf_dir), lambda e: flows.hourly(e, LATE))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
 @query("""WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 10 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM l)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS beats FROM s GROUP BY user_id, n""")
 def stream_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, flows.online_spans(_events(spark, sf_dir)), "complete")
+    out = _final(spark, _events(spark, sf_dir), lambda e: flows.online_spans(e, late=LATE))
     return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "beats")
 
 

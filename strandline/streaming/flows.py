@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -27,9 +28,12 @@ def hourly(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
     return (events if late is None else events.withWatermark("ts", late)).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
 
 
-def online_spans(events: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """Spans in which a user's heartbeats are never further apart than `idle`; in append mode those that are over."""
-    return events.withWatermark("ts", idle).groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("beats"))
+def online_spans(events: DataFrame, idle: str = "10 minutes", late: str | None = None) -> DataFrame:
+    """Spans in which a user's heartbeats are never further apart than `idle`; in append mode those that are over.
+
+    Heartbeats count if they are at most `late`, or else `idle`, behind the newest.
+    """
+    return events.withWatermark("ts", late or idle).groupBy(F.session_window("ts", idle), "user_id").agg(F.count(F.lit(1)).alias("beats"))
 
 
 def once(events: DataFrame, *key: str, late: str | None = "2 hours") -> DataFrame:
@@ -105,12 +109,73 @@ def work(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
 def caught_up(result: DataFrame, spark: SparkSession, path: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a streaming result over what has arrived and reads it as a table, which executors write to `path`.
 
-    In append mode batches add rows. In complete mode each batch's whole result replaces the last one's.
+    In append mode batches add rows. In complete mode the table is the last batch's whole result.
     """
-    writer = result.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", path)
-    else:
-        writer = writer.outputMode(mode).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
-    writer.start().awaitTermination()
+    if mode != "append":
+        return Refreshed(spark, path, result.schema).start(result, checkpoint, every=None).read()
+    result.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
     return spark.read.schema(result.schema).parquet(path)
+
+
+class Refreshed:
+    """A streaming aggregate kept as a table that is renewed at intervals, for readers at any time.
+
+    With `key`, a batch writes the rows of those groups alone that it changed, in a folder under its number, and a reader
+    takes each key's row of the greatest number; `fold` puts the folders so far into one. Without, a batch writes the whole
+    result, and readers take the last one. A batch that is run again after a crash writes the same folder again, and one that
+    was not finished has no rows for readers, so they see the result of whole batches only. Keys may be null.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: list[str] | None = None):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+
+    def start(self, result: DataFrame, checkpoint: str, every: str | None = "60 seconds") -> Refreshed:
+        """Renews the table `every` so often, in the background, until `query` is stopped; where every is None, once, and waits."""
+
+        def write(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+        writer = result.writeStream.option("checkpointLocation", checkpoint).outputMode("update" if self.key else "complete").foreachBatch(write)
+        self.query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        if not every:
+            self.query.awaitTermination()
+        return self
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _whole(self, kind: str) -> dict[int, str]:
+        """Folders of batches or folds that were written to their end, by number."""
+        marks, fs = self._fs(f"{self.path}/{kind}=*/_SUCCESS")
+        folders = [f.getPath().getParent() for f in fs.globStatus(marks) or []]
+        return {int(p.getName().split("=")[1]): p.toString() for p in folders}
+
+    def read(self) -> DataFrame:
+        """The table as it is."""
+        batches, folds = self._whole("batch"), self._whole("fold")
+        base = max(folds, default=-1)
+        newer = [p for n, p in batches.items() if n > base]
+        if not self.key:
+            return self.spark.read.schema(self.schema).parquet(batches[max(batches)]) if batches else self.spark.createDataFrame([], self.schema)
+        rows = self.spark.createDataFrame([], self.schema) if base < 0 else self.spark.read.schema(self.schema).parquet(folds[base])
+        rows = rows.withColumn("batch", F.lit(base).cast("long"))
+        if newer:
+            numbered = StructType([*self.schema.fields, StructField("batch", LongType())])
+            rows = rows.unionByName(self.spark.read.schema(numbered).option("basePath", self.path).parquet(*newer))
+        last = rows.groupBy(*self.key).agg(F.max_by(F.struct(*self.schema.names), "batch").alias("_row"))
+        return last.select("_row.*")
+
+    def fold(self) -> None:
+        """Puts what the batches so far say into one folder, and deletes them once it is whole.
+
+        A crash at any point leaves readers the same rows. Readers that have begun must be through before it is called.
+        """
+        batches, folds = self._whole("batch"), self._whole("fold")
+        if not self.key or len(batches) < 2:
+            return
+        last = max(batches)
+        self.read().write.mode("overwrite").parquet(f"{self.path}/fold={last}")
+        for p in [*batches.values(), *(p for n, p in folds.items() if n < last)]:
+            gone, fs = self._fs(p)
+            fs.delete(gone, True)

@@ -252,3 +252,77 @@ def test_bundles_and_exports_are_cut(spark):
     assert sorted((x.part, x.place, x.item) for x in out) == [
         ("fact", 1, '{"id":2,"kind":"k","content":"c"}'), ("fact", 2, '{"id":1,"kind":"k","content":"c"}'), ("profile", 1, '{"profile":"p"}'), ("scenario", 1, '{"id":7,"title":"t"}'),
     ]
+
+
+def test_recency_words(spark):
+    ask = lambda q: T.asks_for_recent(F.lit(q).cast("string"))
+    assert tuple(one(spark, ask("The LATEST news"), ask("recently seen"), ask("latte stories"), ask(""), ask(None))) == (True, True, False, False, False)
+
+
+def test_json_set_keeps_other_keys(spark):
+    put = lambda d: T.json_set(F.lit(d).cast("string"), "k", F.lit("true"))
+    got = tuple(one(spark, put(None), put("{}"), put('{"a":[1,null,{"b":"x"}],"k":false}'), put('{"n":1.50,"s":"1"}'), put("[1]"), put("null"), put("no"), put("")))
+    assert got == ('{"k":true}', '{"k":true}', '{"a":[1,null,{"b":"x"}],"k":true}', '{"n":1.5,"s":"1","k":true}', "[1]", "null", "no", "")
+
+
+def test_unified_modes(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    texts = {"message": spark.createDataFrame([(1, "red fox", at(1)), (2, "red hen", at(5)), (3, None, at(6))], "id long, content string, created_at timestamp"), "atom": spark.createDataFrame([(1, "a red fox", at(2))], "id long, content string, created_at timestamp")}
+    vectors = {"message": spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, embedding array<double>")}
+    e = spark.createDataFrame([(7, "Fox den")], "id long, name string")
+    r = spark.createDataFrame([(8, "fox_of")], "id long, relation_type string")
+
+    def ask(query, mode, recency="auto"):
+        return [tuple(x) for x in retrieval.unified(query, [1.0, 0.0], 5, texts, vectors, e, r, mode, recency).select("found", "id", "score", "recency_active").collect()]
+
+    assert sorted(ask("fox", "graph")) == [("entity", 7, None, False), ("relation", 8, None, False)]
+    # Lists: messages by words (1), atoms by words (1), messages by vector (1, 2).
+    assert sorted(ask("fox", "vector")) == [("atom", 1, round(1 / 61, 6), False), ("message", 1, round(2 / 61, 6), False), ("message", 2, round(1 / 62, 6), False)]
+    newest = {(f, i): s for f, i, s, on in ask("fox", "hybrid", "on") if on}
+    assert newest[("message", 2)] == round(1 / 62 + 0.15, 6) and newest[("message", 1)] == round(2 / 61, 6) and newest[("atom", 1)] == round(1 / 61, 6) and newest[("entity", 7)] is None
+    assert all(on for *_, on in ask("latest fox", "vector")) and not any(on for *_, on in ask("latest fox", "vector", "off"))
+    assert ask("", "graph") == []
+    with pytest.raises(ValueError):
+        ask("fox", "neither")
+
+
+def test_prefetch_takes_kinds_only_without_words(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    e = spark.createDataFrame([(1, "Disk", "error", 10, at(1)), (2, "disk array", "tool", 11, at(2)), (3, "Net", "concept", 12, at(3)), (4, None, None, 12, at(4))], "id long, name string, entity_type string, session_id long, created_at timestamp")
+    m = spark.createDataFrame([(1, 10, "user", "x" * 400, at(1)), (2, 11, "system", "hid", at(2)), (3, 11, "assistant", "b", at(3)), (4, 12, "user", None, at(4))], "id long, session_id long, role string, content string, created_at timestamp")
+    s = spark.createDataFrame([(i, f"t{i}", at(i)) for i in range(1, 8)], "id long, title string, updated_at timestamp")
+    got = lambda *ask: [(r.part, r.place, r.id) for r in retrieval.prefetch(*ask, e, m, s, 2).orderBy("part", "place").collect()]
+    last = [("session", n, 8 - n) for n in range(1, 6)]
+    assert got("code", "a DISK b") == [("entity", 1, 2), ("entity", 2, 1), ("message", 1, 3), ("message", 2, 1), *last]
+    assert got("research", "a b") == [("entity", 1, 3), ("message", 1, 4), *last]
+    assert got("unheard of", "") == [("entity", 1, 3), ("message", 1, 4), *last]
+    assert got("code", "none such") == last
+    assert max(len(r.label) for r in retrieval.prefetch("code", "disk", e, m, s, 2).collect()) == 300
+
+
+def test_advice_of_unknown_tasks_is_empty(spark):
+    tasks = spark.createDataFrame([(1, "code"), (2, "x"), (3, None)], "id long, task string")
+    got = {r.id: (r.skills, r.budget["persona"]) for r in retrieval.advice(tasks, {"code": list("abcdefg"), "y": []}).collect()}
+    assert got == {1: (list("abcde"), 800), 2: ([], 800), 3: ([], 800)}
+    assert [r.skills for r in retrieval.advice(tasks, {}).collect()] == [[], [], []]
+
+
+def test_persona_material_is_cut(spark):
+    at = dt.datetime(2024, 1, 1)
+    facts = [(i, "u", "fact", f"{i:03} " + "x" * 400, None if i else 1, at + dt.timedelta(days=i)) for i in range(251)] + [(900, "few", None, None, None, at)]
+    a = spark.createDataFrame(facts, "id long, user_id string, kind string, content string, superseded_by long, created_at timestamp")
+    s = spark.createDataFrame([(i, "u", None if i == 59 else f"t{i}", "n" * 300, at + dt.timedelta(days=i)) for i in range(60)], "id long, user_id string, title string, narrative string, created_at timestamp")
+    (u,) = memory.persona_material(a, s).collect()
+    lines = u.material.split("\n")
+    assert (u.atoms, u.scenarios, len(u.scenario_ids), u.scenario_ids[0]) == (200, 50, 50, 59)
+    assert len(lines) == 1 + 100 + 2 + 20 and lines[1].startswith("- [fact] 250 ") and len(lines[1]) == len("- [fact] ") + 300
+    assert lines[101] == "" and lines[103] == "- : " + "n" * 200 and lines[104].startswith("- t58: ")
+    alone = {r.user_id: r.material for r in memory.persona_material(a, s.limit(0), least=1).collect()}
+    assert alone["few"].split("\n")[1:] == ["- [] "]
+
+
+def test_fill_where_null(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5.0), (3, None), (None, None), (1, None)], "k long, v double")
+    values = spark.createDataFrame([(1, 9.0), (1, 7.0), (2, 1.0), (3, None), (None, 4.0)], "k long, v double")
+    got = sorted((tuple(r) for r in memory.fill_where_null(rows, values, "k", "v").collect()), key=repr)
+    assert got == sorted([(1, 7.0, True), (1, 7.0, True), (2, 5.0, False), (3, None, False), (None, None, False)], key=repr)

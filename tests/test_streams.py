@@ -43,7 +43,7 @@ def mixed(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["stream_dedup", "stream_recent", "stream_sequence", "stream_circuit", "stream_recent_ttl", "stream_idle_triggers", "stream_continuation"])
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_recent", "stream_sequence", "stream_circuit", "stream_recent_ttl", "stream_idle_triggers", "stream_continuation", "stream_hourly", "stream_sessionize", "stream_totals"])
 def test_rows_equal_sql_over_several_batches(spark, mixed, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{mixed}/events*.parquet/*.parquet'")
@@ -77,6 +77,45 @@ def test_hourly_and_spans(spark, folder):
     assert sorted((r.user_id, r.beats) for r in spans) == [(0, 10), (1, 10)]
 
 
+def totals(spark, folder):
+    return read(spark, folder).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+
+
+def test_a_refreshed_table_goes_on_after_folds_and_unfinished_batches(spark, folder, tmp_path):
+    path, place = str(tmp_path / "out"), str(tmp_path / "place")
+    table = flows.Refreshed(spark, path, totals(spark, folder).schema, ["user_id"])
+    assert table.read().count() == 0
+    table.start(totals(spark, folder), place, every=None)
+    assert sorted(map(tuple, table.read().collect())) == [(0, 10), (1, 10)]
+    assert len(table._whole("batch")) >= 2
+    table.fold()
+    assert not table._whole("batch") and sorted(map(tuple, table.read().collect())) == [(0, 10), (1, 10)]
+    # A batch that was not finished has no mark; readers don't see it.
+    spark.createDataFrame([(0, 99)], table.schema).write.parquet(f"{path}/batch=50")
+    (tmp_path / "out" / "batch=50" / "_SUCCESS").unlink()
+    assert sorted(map(tuple, table.read().collect())) == [(0, 10), (1, 10)]
+    more = [(100, dt.datetime(2024, 1, 2), 1, "view", 1.0, "{}"), (101, dt.datetime(2024, 1, 2), None, "view", 1.0, "{}")]
+    spark.createDataFrame(more, flows.EVENTS).coalesce(1).write.parquet(folder.replace("*", "2"))
+    table.start(totals(spark, folder), place, every=None)
+    assert sorted(map(tuple, table.read().collect()), key=repr) == [(0, 10), (1, 11), (None, 1)]
+
+
+def test_a_refreshed_table_in_the_background(spark, folder, tmp_path):
+    table = flows.Refreshed(spark, str(tmp_path / "out"), totals(spark, folder).schema).start(totals(spark, folder), str(tmp_path / "place"), every="1 second")
+    table.query.processAllAvailable()
+    table.query.stop()
+    assert sorted(map(tuple, table.read().collect())) == [(0, 10), (1, 10)]
+
+
+def test_hours_leave_the_state_when_they_are_final(spark, folder, tmp_path):
+    late = [(200, dt.datetime(2024, 1, 3), 0, "view", 1.0, "{}")]
+    spark.createDataFrame(late, flows.EVENTS).coalesce(1).write.parquet(folder.replace("*", "3"))
+    hours = flows.caught_up(flows.hourly(read(spark, folder)), spark, str(tmp_path / "out"), "append", str(tmp_path / "place"))
+    assert hours.agg(F.sum("events")).first()[0] == 20
+    left = spark.read.format("statestore").load(str(tmp_path / "place"))
+    assert left.count() == 1
+
+
 def timed(spark, tmp_path, lots, processor, late="1 minute", columns="id"):
     """Rows by batch, from files of (minute, user, ...) that are read one at a time, and what state is left."""
     at = dt.datetime(2024, 1, 1)
