@@ -7,6 +7,7 @@ sentences that only sound like notices, and on the corpus's own windows that no
 rows is kept out of the fit and calibrates it: their likelihood sets the temperature of the probabilities,
 and their unknown rows the threshold. A family counts where its probability reaches that threshold and its own
 templates confirm it: the window has one of its names, or shares enough runs of three words with one of its notices.
+A window that states other versions of the licence only, or says that something is not under it, confirms nothing.
 """
 
 from __future__ import annotations
@@ -49,6 +50,13 @@ NOTICES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "bsd-2-clause": (),  # its sentences are those of bsd-3-clause too
     "all-rights-reserved": (
         "Copyright. All rights reserved. No part of this work may be reproduced without permission.",
         "Unauthorized copying of this file is prohibited under copyright law.",
@@ -67,8 +75,29 @@ NAMES = {
     "cc0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "CC0-1.0", "CC0"),
     "bsd-3-clause": ("BSD 3-Clause License", "3-Clause BSD License", "BSD 3-Clause", "BSD-3-Clause", "New BSD License", "BSD License"),
     "mpl-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0", "MPLv2"),
+    "agpl-3.0": ("GNU Affero General Public License version 3", "Affero General Public License", "GNU AGPL version 3", "GNU AGPL", "AGPL version 3", "AGPL v3", "AGPLv3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "isc": ("ISC License", "ISC Licence", "ISC licensed", "ISC"),
+    "bsd-2-clause": ("BSD 2-Clause License", "2-Clause BSD License", "BSD 2-Clause", "BSD-2-Clause", "Simplified BSD License"),
     "all-rights-reserved": ("All rights reserved",),
 }
+_NUMBER = r"(\d+(?:\.\d+)*)"
+_AS_OF = r"(?: as published by the free software foundation)?(?: either)?(?: version| v)? v?"
+_GPL = rf"(?:(?<!lesser )(?<!affero )(?<!library )general public licen[cs]e{_AS_OF}|(?<![al])gpl(?: version| v)?[ -]?v?){_NUMBER}"
+#: Where a window's words state a version of a family's licence, and the versions that are the family's.
+VERSIONS = {
+    "apache-2.0": (rf"(?:apache(?: software)? licen[cs]e(?: version| v)? v?|apache-|under (?:the )?apache v?){_NUMBER}", ("2", "2.0")),
+    "gpl-2.0": (_GPL, ("2", "2.0")),
+    "gpl-3.0": (_GPL, ("3", "3.0")),
+    "lgpl-3.0": (rf"(?:(?:lesser|library) general public licen[cs]e{_AS_OF}|lgpl(?: version| v)?[ -]?v?){_NUMBER}", ("3", "3.0")),
+    "agpl-3.0": (rf"(?:affero general public licen[cs]e{_AS_OF}|agpl(?: version| v)?[ -]?v?){_NUMBER}", ("3", "3.0")),
+    "cc-by-nc-4.0": (rf"(?:attribution-noncommercial|by-nc)[ -]{_NUMBER}", ("4", "4.0")),
+    "cc-by-4.0": (rf"(?:creative commons attribution|cc[ -]by)[ -]{_NUMBER}", ("4", "4.0")),
+    "cc-by-sa-4.0": (rf"(?:attribution-sharealike|by-sa)[ -]{_NUMBER}", ("4", "4.0")),
+    "cc0-1.0": (rf"cc0[ -]{_NUMBER}", ("1", "1.0")),
+    "mpl-2.0": (rf"(?:mozilla public licen[cs]e(?: version| v)? v?|mpl(?: version| v)?[ -]?v?){_NUMBER}", ("2", "2.0")),
+    "bsd-3-clause": (r"(\d)-clause", ("3",)),
+    "bsd-2-clause": (r"(\d)-clause", ("2",)),
+}
 #: Sentences around a name. {} is the name; of the family all-rights-reserved the name stands alone.
 FRAMES = (
     "SPDX-License-Identifier: {}", "License: {}", "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.",
@@ -78,7 +107,7 @@ FRAMES = (
 #: Around the name of a family that notices claim without a licence.
 CLAIMS = ("{}.", "Copyright 2019 Example Corp. {}.", "Copyright (c) the authors. {}.", "(c) 2021 Some Publisher, {}")
 #: Other licences, which are unknown here.
-OTHERS = ("Eclipse Public License", "EPL-2.0", "European Union Public Licence", "Artistic License", "Zlib", "Unlicense", "Boost Software License", "ISC", "GFDL", "Open Font License", "commercial", "Example Corp end user agreement", "proprietary", "site", "trial", "master services agreement")
+OTHERS = ("Eclipse Public License", "EPL-2.0", "European Union Public Licence", "Artistic License", "Zlib", "Unlicense", "Boost Software License", "GFDL", "Open Font License", "commercial", "Example Corp end user agreement", "proprietary", "site", "trial", "master services agreement")
 #: Sentences that only sound like notices; {} is a word.
 PROSE = (
     "You need a driving licence to rent a {}.", "She asked for permission to leave the {}.", "The fishing license costs ten {}.", "Copyright law is a branch of {} law.", "He is a licensed {}.",
@@ -86,7 +115,7 @@ PROSE = (
     "Students at MIT asked for permission to use the {}.", "The apache helicopter needs a licensed {}.", "They redistributed the {} among the poor.", "The {} reserved all rights to the field.", "Copyright infringement suits about the {} continued.",
 )
 #: Stems that words of notices have.
-CUES = ("licen", "copyright", "permission", "permitted", "redistribut", "reserved", "warrant", "spdx", "gpl", "cc0", "cc-by", "mozilla", "apache", "released", "commons")
+CUES = ("licen", "lizen", "copyright", "permission", "permitted", "redistribut", "reserved", "warrant", "spdx", "gpl", "cc0", "cc-by", "mozilla", "apache", "released", "commons")
 
 SLOTS = 1 << 13
 CONFIRMED = 0.5
@@ -94,6 +123,10 @@ CONFIRMED = 0.5
 MOST_WINDOWS = 4_000
 #: Words of a window: the block that has a cue, and its surroundings on either side.
 BLOCK, AROUND = 8, 8
+#: Words behind a window in which the version of a name at its end may stand.
+BEHIND = 12
+#: How often the unknown class weighs as much as a family in the fit; what passes is up to the threshold.
+UNKNOWN = 4
 #: Share of unknown rows that calibration lets pass as a family.
 WRONG = 0.005
 
@@ -127,9 +160,9 @@ def has_cue(lowered: Column) -> Column:
 
 
 def windows(text: Column) -> Column:
-    """(paragraph, block, words) of each block of a paragraph's words that has a cue; blank lines part paragraphs.
+    """(paragraph, block, words, behind) of each block of a paragraph's words that has a cue; blank lines part paragraphs.
 
-    The words are the block's and AROUND more on either side, so every cue stands among as many at least.
+    The words are the block's and AROUND more on either side, so every cue stands among as many at least; behind are the next ones.
     """
 
     def of_words(at: Column, found: Column) -> Column:
@@ -137,7 +170,8 @@ def windows(text: Column) -> Column:
 
         def cut(b: Column) -> Column:
             first = F.greatest(b * BLOCK + 1 - AROUND, F.lit(1))
-            return F.struct(at.alias("paragraph"), b.alias("block"), F.slice(found, first, b * BLOCK + BLOCK + AROUND + 1 - first).alias("words"))
+            after = b * BLOCK + BLOCK + AROUND + 1
+            return F.struct(at.alias("paragraph"), b.alias("block"), F.slice(found, first, after - first).alias("words"), F.slice(found, after, F.lit(BEHIND)).alias("behind"))
 
         return F.transform(blocks, cut)
 
@@ -158,16 +192,39 @@ def likeness(found: Column, family: str) -> Column:
         named = named | joined.contains(_padded(name))
 
     def shared(threes: Column) -> Column:
-        shares = [F.lit(0.0)]
+        shares = [F.lit(0.0)]  # and of a family without notices
         for notice in NOTICES[family]:
             theirs = F.array_distinct(runs(words(F.lit(notice)), 3))
             common = F.size(F.array_intersect(threes, theirs)).cast("double")
             shares.append(F.greatest(common / F.greatest(F.size(threes), F.lit(1)), common / F.greatest(F.size(theirs), F.lit(1))))
-        return F.greatest(*shares)
+        return F.greatest(*shares, F.lit(0.0))
 
     return F.when(named, F.lit(1.0)).otherwise(let(F.array_distinct(runs(found, 3)), shared))
 
 
+def stated(found: Column, behind: Column, family: str) -> Column:
+    """The versions of a family's licence that a window states, as an array; a name at its end may have its version behind it."""
+    if family not in VERSIONS:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(F.array_join(F.concat(found, behind), " "), F.lit(VERSIONS[family][0]), F.lit(1))
+
+
+def denial(family: str) -> str:
+    """A pattern of words that say that something is not under a licence, in English, German, French and Spanish."""
+    names = "|".join(_padded(n).strip().replace(".", r"\.") for n in NAMES[family])
+    return rf" (?:not|never|no longer|nicht|pas|plus|no)(?: \S+){{0,2}} (?:under|unter|sous|bajo)(?: \S+){{0,3}}? (?:{names}) "
+
+
+def contradicted(found: Column, behind: Column, family: str) -> Column:
+    """Whether a window states versions of the licence, none of them the family's, or denies the licence."""
+    joined = F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+    denied = joined.rlike(denial(family)) if family != "all-rights-reserved" else F.lit(False)
+    if family not in VERSIONS:
+        return denied
+    own = F.array(*[F.lit(v) for v in VERSIONS[family][1]])
+    return let(stated(found, behind, family), lambda x: (F.size(x) > 0) & ~F.arrays_overlap(x, own)) | denied
+
+
 def _around(rng: random.Random, text: str) -> str:
     """The text among other words, as a window may hold it: invented ones and common ones; and without a word in fourteen."""
 
@@ -187,7 +244,7 @@ def examples(seed: int = 1) -> list[tuple[int, str]]:
     for i, (family, names) in enumerate(NAMES.items()):
         for turn in range(240):
             frames = CLAIMS if family == "all-rights-reserved" else FRAMES
-            text = rng.choice(NOTICES[family]) if turn % 4 == 0 else rng.choice(frames).format(names[turn % len(names)])
+            text = rng.choice(NOTICES[family]) if turn % 4 == 0 and NOTICES[family] else rng.choice(frames).format(names[turn % len(names)])
             rows.append((i + 1, text if turn % 5 == 0 else text.upper() if turn % 15 == 1 else _around(rng, text)))
     pool = [w for ts in NOTICES.values() for t in ts for w in t.split()]
     things = ("car", "boat", "lake", "tree", "market", "garden", "plumber", "house", "years", "days", "weekends", "dollars", "family", "film", "song", "port")
@@ -241,7 +298,7 @@ def _fitted(table: list, k: int) -> tuple[np.ndarray, np.ndarray]:
     scale = 1 / np.sqrt(size)
     truth = np.eye(k)[y]
     balance = (1 / np.maximum(np.bincount(y, minlength=k), 1))[y]
-    balance[y == 0] *= k  # unknown is what most windows are
+    balance[y == 0] *= UNKNOWN
     balance /= balance.mean()
     w, b = np.zeros((SLOTS, k)), np.zeros(k)
     speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
@@ -261,8 +318,11 @@ def _literal(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values.tolist())), ",").cast("array<double>")
 
 
-def judged(found: Column, scanner: Scanner) -> Column:
-    """A struct of family, probability and likeness for a window's words; unknown where nothing is sure."""
+def judged(found: Column, behind: Column, scanner: Scanner) -> Column:
+    """A struct of family, probability and likeness for a window's words; unknown where nothing is sure.
+
+    The likeness of a family that the window contradicts is 0.
+    """
     names = ("unknown", *scanner.families)
 
     def with_slots(own: Column) -> Column:
@@ -282,7 +342,8 @@ def judged(found: Column, scanner: Scanner) -> Column:
     def confirmed(best: Column) -> Column:
         like = None
         for i, f in enumerate(scanner.families):
-            like = F.when(best["at"] == i + 2, likeness(found, f)) if like is None else like.when(best["at"] == i + 2, likeness(found, f))
+            agrees = F.when(contradicted(found, behind, f), 0.0).otherwise(likeness(found, f))
+            like = F.when(best["at"] == i + 2, agrees) if like is None else like.when(best["at"] == i + 2, agrees)
 
         def verdict(x: Column) -> Column:
             sure = (best["at"] > 1) & (best["p"] >= F.lit(scanner.threshold)) & (x >= F.lit(CONFIRMED))
@@ -297,13 +358,14 @@ def judged(found: Column, scanner: Scanner) -> Column:
 def license_scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """`docs` and the column licenses: for each window its paragraph and block from 0, family, probability and likeness.
 
-    A notice of many words can fill more than one window. Null and empty texts, and texts without a cue, have none;
+    A notice that states no version counts for the family of its name; one that states another is unknown. A notice of
+    many words can fill more than one window. Null and empty texts, and texts without a cue, have none;
     a text of any length is read whole. All other columns stay, but one already named licenses is replaced. Repeated
     rows are judged alike; an empty table stays empty.
     """
     kind = "array<struct<paragraph:int,block:int,family:string,probability:double,likeness:double>>"
     body = F.col("text")
     fields = lambda x, j: F.struct(x["paragraph"].alias("paragraph"), x["block"].alias("block"), *[j[f].alias(f) for f in ("family", "probability", "likeness")])
-    found = F.transform(windows(body), lambda x: let(judged(x["words"], scanner), lambda j: fields(x, j)))
+    found = F.transform(windows(body), lambda x: let(judged(x["words"], x["behind"], scanner), lambda j: fields(x, j)))
     value = F.when(has_cue(F.lower(body)), found).otherwise(F.array().cast(kind))
     return docs.withColumn("licenses", F.coalesce(value, F.array().cast(kind)))

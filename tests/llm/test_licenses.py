@@ -17,14 +17,20 @@ UNSEEN = {
     "lgpl-3.0": ("distributed under the GNU Lesser General Public License", "Licensed under LGPLv3, like the rest", "made available with the LGPL-3.0 license"),
     "cc-by-nc-4.0": ("Images are licensed CC-BY-NC-4.0", "text available under a Creative Commons Attribution-NonCommercial 4.0 license", "all photos licensed under CC BY-NC 4.0 here"),
     "cc-by-4.0": ("code is CC-BY-4.0 licensed", "Content is available under CC BY 4.0 license", "Text under Creative Commons Attribution 4.0 license"),
-    "cc-by-sa-4.0": ("Text is licensed under CC BY-SA 4.0", "shared under a Creative Commons Attribution-ShareAlike 4.0 license", "our license: CC-BY-SA-4.0"),
+    "cc-by-sa-4.0": ("Text is licensed under CC BY-SA 4.0", "Dieses Werk steht unter der Lizenz CC BY-SA 4.0", "shared under a Creative Commons Attribution-ShareAlike 4.0 license", "our license: CC-BY-SA-4.0"),
     "cc0-1.0": ("Dedicated under CC0 1.0 Universal", "data are released under CC0", "license of all data: CC0-1.0"),
     "bsd-3-clause": ("Distributed under the BSD license", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met", "see the terms of the BSD-3-Clause license"),
     "mpl-2.0": ("subject to the Mozilla Public License 2.0", "under license MPL 2.0", "This file is subject to the terms of the\nMozilla Public License, v. 2.0"),
+    "agpl-3.0": ("This server is licensed under the GNU Affero General Public License version 3.", "AGPL-3.0-or-later license", "you can redistribute it under the terms of the GNU AGPL v3"),
+    "isc": ("Our small tool is ISC licensed.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "bsd-2-clause": ("Distributed under the BSD-2-Clause license", "license: 2-Clause BSD License"),
     "all-rights-reserved": ("All rights reserved.", "Copyright 2022 by the publisher. All rights reserved.", "(c) A. Body -- all rights reserved"),
     "unknown": (
         "The licensed driver had a permission slip.", "License\nlicence and copyright", "SPDX-License-Identifier: EPL-2.0", "Distributed under the Artistic License 2.0",
         "Licensed under the terms of the customer agreement", "MIT granted permission to the students", "the museum reserved a room without permission", "warranty of two years", "The driver license was renewed in May",
+        "under the GNU Lesser General Public License version 2.1", "Licensed under the Apache License, Version 1.1", "subject to the Mozilla Public License 1.1", "Images are licensed CC BY-NC 2.5", "license: LGPL-2.1-or-later",
+        "Not licensed under the MIT License.", "It is not released under Apache 2.0 any more.", "Diese Bibliothek steht nicht unter der MIT License.",
+        "one two three four five licensed eleven twelve a b c d e the Mozilla Public License version 1.1",
         "He holds a pilot licence and a copyright on his song.", "The room was reserved; no permission needed.", "Apache helicopters are not permitted here", "x" * 20_000 + " license", "Licensed under the " * 3000,
     ),
 }
@@ -61,13 +67,21 @@ def brute_windows(text):
         for b in range(-(-len(found) // licenses.BLOCK)):
             own = found[b * licenses.BLOCK : (b + 1) * licenses.BLOCK]
             if any(c in w for w in own for c in licenses.CUES):
-                yield at, b, found[max(b * licenses.BLOCK - licenses.AROUND, 0) : (b + 1) * licenses.BLOCK + licenses.AROUND]
+                after = (b + 1) * licenses.BLOCK + licenses.AROUND
+                yield at, b, found[after : after + licenses.BEHIND], found[max(b * licenses.BLOCK - licenses.AROUND, 0) : after]
 
 
 def grams(found, n):
     return [" ".join(found[i : i + n]) for i in range(len(found) - n + 1)]
 
 
+def brute_contradicted(found, behind, family):
+    pattern, own = licenses.VERSIONS.get(family, (None, ()))
+    numbers = re.findall(pattern, " ".join([*found, *behind])) if pattern else []
+    denied = family != "all-rights-reserved" and re.search(licenses.denial(family), f" {' '.join(found)} ")
+    return bool((numbers and not set(numbers) & set(own)) or denied)
+
+
 def brute_likeness(found, family):
     if any(" " + " ".join(n.lower().replace(",", "").split()) + " " in " " + " ".join(found) + " " for n in licenses.NAMES[family]):
         return 1.0
@@ -90,12 +104,12 @@ def test_scan_equals_brute_force(spark, scanner):
     assert every
     for text, found in rows:
         want = []
-        for at, b, w in brute_windows(text or ""):
+        for at, b, behind, w in brute_windows(text or ""):
             own = sorted({slot[g] for n in (1, 2, 3) for g in grams(w, n)})
             z = scanner.weights[own].sum(axis=0) / np.sqrt(max(len(own), 1)) + scanner.bias
             p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
             best = ("unknown", *scanner.families)[int(p.argmax())]
-            like = 0.0 if best == "unknown" else brute_likeness(w, best)
+            like = 0.0 if best == "unknown" or brute_contradicted(w, behind, best) else brute_likeness(w, best)
             sure = p.max() >= scanner.threshold and like >= licenses.CONFIRMED
             want.append((at, b, best if sure else "unknown", float(p.max()), like))
         assert [(x.paragraph, x.block, x.family) for x in found] == [x[:3] for x in want]
@@ -117,3 +131,31 @@ def test_training_sample_is_distinct_and_bounded(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     one, two = licenses.train(spark, docs, most_windows=20), licenses.train(spark, docs, most_windows=20)
     assert zlib.crc32(one.weights.tobytes()) == zlib.crc32(two.weights.tobytes()) and 0.5 <= one.threshold < 1
+
+
+def test_versions_and_denials(spark):
+    cases = {
+        ("lgpl-3.0", "the gnu lesser general public license version 2.1"): True,
+        ("lgpl-3.0", "the gnu lesser general public license"): False,
+        ("lgpl-3.0", "gpl-2.0 and lgpl-3.0-only"): False,
+        ("apache-2.0", "apache license version 1.1"): True,
+        ("apache-2.0", "apache license version 1.1 or apache license version 2.0"): False,
+        ("apache-2.0", "a module of apache 2.4 under the apache license"): False,
+        ("gpl-3.0", "general public license as published by the free software foundation either version 2 of the license"): True,
+        ("gpl-2.0", "general public license as published by the free software foundation either version 2 of the license"): False,
+        ("gpl-3.0", "lgpl-2.1 and gplv3"): False,
+        ("mpl-2.0", "mozilla public license v 2.0"): False,
+        ("cc-by-4.0", "cc by 3.0"): True,
+        ("cc-by-4.0", "cc by-sa 3.0 and cc-by"): False,
+        ("bsd-3-clause", "bsd-2-clause"): True,
+        ("mit", "not licensed under the mit license"): True,
+        ("mit", "not under apache 2.0 at all the rest is mit licensed"): False,
+        ("mit", "ne sont pas sous licence mit"): True,
+    }
+    rows = [(f, t.split()) for f, t in cases]
+    df = spark.createDataFrame(rows, "family string, words array<string>")
+    for family in {f for f, _ in cases}:
+        got = df.filter(F.col("family") == family).select("words", licenses.contradicted(F.col("words"), F.array().cast("array<string>"), family).alias("x")).collect()
+        for r in got:
+            assert r.x is cases[family, " ".join(r.words)], (family, r.words)
+            assert brute_contradicted(r.words, [], family) is r.x
