@@ -303,15 +303,15 @@ def memory_export(facts: DataFrame, scenarios: DataFrame, profiles: DataFrame, m
     return live.unionByName(told).unionByName(profiles.select("user_id", F.lit("profile").alias("part"), F.lit(1).alias("place"), F.to_json(F.struct("profile")).alias("item")))
 
 
-def session_bundle(messages: DataFrame, entities: DataFrame, relations: DataFrame, most_messages: int = 1000, most_graph: int = 50) -> DataFrame:
+def session_bundle(messages: DataFrame, entities: DataFrame, relations: DataFrame, most_messages: int | None = 1000, most_graph: int = 50) -> DataFrame:
     """session_id and a JSON bundle of a session's newest messages, oldest first, its entities and its relations.
 
     messages: session_id, turn, role, tokens. entities and relations: session_id, id, name or relation_type. The window
-    cuts a group before it is gathered, so a bundle has at most so many parts.
+    cuts a group before it is gathered, so a bundle has at most so many parts; with None it has all of a session's messages.
     """
 
-    def gathered(rows: DataFrame, newest: list[Column], most: int, name: str, *columns: str) -> DataFrame:
-        kept = rows.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest))).filter(F.col("_n") <= most)
+    def gathered(rows: DataFrame, newest: list[Column], most: int | None, name: str, *columns: str) -> DataFrame:
+        kept = rows if most is None else rows.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest))).filter(F.col("_n") <= most)
         return kept.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
     out = gathered(messages, [F.desc("turn")], most_messages, "messages", "turn", "role", "tokens")

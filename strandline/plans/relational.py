@@ -35,7 +35,7 @@ def session_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ten orders' lines are a session's relations.
     r = A.relations(spark, sf_dir).withColumn("session_id", F.floor(F.col("message_id") / 10))
     e = G.endpoints(r).select("session_id", F.col("entity_id").alias("id")).distinct().join(A.entities(spark, sf_dir).select("id", "name"), "id")
-    return M.session_bundle(A.messages(spark, sf_dir), e, r.select("session_id", "id", "relation_type"))
+    return M.session_bundle(A.messages(spark, sf_dir), e, r.select("session_id", "id", "relation_type"), most_messages=None)
 
 
 @query("WITH " + ATOMS + """, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS n FROM atoms WHERE id % 10 <> 9),

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import duckdb
-import pytest
+from pyspark.sql import functions as F
 
 from strandline.plans import catalogue
 from strandline.streaming import flows
@@ -25,3 +25,12 @@ def test_ages_are_of_the_nearest_second_and_cut_towards_zero(spark, tmp_path):
     spark.createDataFrame(rows, flows.EVENTS).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     got, want = against_sql(spark, tmp_path, "continuation_state", "events")
     assert got == want
+
+
+def test_bundles_hold_all_messages_of_a_long_session(spark, tmp_path):
+    turns = spark.range(1200).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("some text").alias("text"))
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    for t in ("part", "supplier", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got, want = against_sql(spark, tmp_path, "session_bundle", "conversations", "part", "supplier", "lineitem")
+    assert got == want and any('"turn":0,' in bundle for _, bundle in got)
