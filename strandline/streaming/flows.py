@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+#: The state store for states that the heap should not hold.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -73,17 +77,25 @@ def recent(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
     return grouped.applyInPandasWithState(run, f"{key} long, event_ids array<long>", "ids array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def closings(relations: DataFrame, buckets: int = 64) -> DataFrame:
+def closings(relations: DataFrame, buckets: int = 1024) -> DataFrame:
     """Closes open relations between two entities when one of another type begins: id and invalid_at of those that close.
 
     relations: id, source, target, relation_type, valid_at (timestamp). Pairs are dealt into buckets, whose state is
-    their open relations, so a batch is sorted once a bucket and not once a pair.
+    their open relations as one packed table, so a batch is sorted once a bucket and not once a pair, and no open relation is a Python object.
     """
+    relations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     names = ["source", "target", "relation_type", "id"]
 
+    def packed(rows: pd.DataFrame) -> bytes:
+        out = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(rows, preserve_index=False)
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        return out.getvalue().to_pybytes()
+
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(batches)).sort_values(["valid_at", "id"])
-        old = pd.DataFrame(dict(zip(names, map(list, state.get), strict=True))) if state.exists else new[names].iloc[:0]
+        old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new[names].iloc[:0]
         rows = pd.concat([old.assign(valid_at=pd.NaT), new], ignore_index=True).sort_values(["source", "target"], kind="stable", ignore_index=True)
         pair = (rows[["source", "target"]] != rows[["source", "target"]].shift()).any(axis=1)
         begins = pair | (rows["relation_type"] != rows["relation_type"].shift())
@@ -92,13 +104,11 @@ def closings(relations: DataFrame, buckets: int = 64) -> DataFrame:
         # A spell of one type ends where the pair's next one begins.
         ends = rows["valid_at"].iloc[first].shift(-1).where(~pair.iloc[first].shift(-1, fill_value=True)).reset_index(drop=True)
         at = ends.reindex(spell).reset_index(drop=True)
-        left = rows[at.isna()]
-        state.update(tuple(left[n].tolist() for n in names))
+        state.update((packed(rows.loc[at.isna(), names]),))
         yield pd.DataFrame({"id": rows["id"][at.notna()].astype("int64"), "invalid_at": at[at.notna()]})
 
     dealt = relations.select(F.pmod(F.xxhash64("source", "target"), F.lit(buckets)).alias("bucket"), "id", "source", "target", "relation_type", "valid_at")
-    kinds = "sources array<long>, targets array<long>, kinds array<string>, ids array<long>"
-    return dealt.groupBy("bucket").applyInPandasWithState(run, "id long, invalid_at timestamp", kinds, "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy("bucket").applyInPandasWithState(run, "id long, invalid_at timestamp", "open binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def work(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:

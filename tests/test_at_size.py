@@ -34,3 +34,15 @@ def test_bundles_hold_all_messages_of_a_long_session(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
     got, want = against_sql(spark, tmp_path, "session_bundle", "conversations", "part", "supplier", "lineitem")
     assert got == want and any('"turn":0,' in bundle for _, bundle in got)
+
+
+def test_open_relations_wait_as_packed_tables(spark, tmp_path):
+    kinds = "id long, source long, target long, relation_type string, valid_at timestamp"
+    rows = [(i, i % 3, 2, t, dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i, t in enumerate("AABABBAAA")]
+    for n, lot in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(lot, kinds).coalesce(1).write.parquet(str(tmp_path / f"r{n}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r*"))
+    out = flows.caught_up(flows.closings(stream), spark, str(tmp_path / "out"), "append", str(tmp_path / "place"))
+    assert {r.id: r.invalid_at.day for r in out.collect()} == {1: 5, 2: 9, 4: 8, 5: 9}
+    value = spark.read.format("statestore").load(str(tmp_path / "place")).schema["value"].dataType
+    assert "binary" in value.simpleString() and "array" not in value.simpleString()
