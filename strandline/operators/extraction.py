@@ -27,17 +27,16 @@ def extracted(messages: DataFrame, least: float = W.SURE) -> DataFrame:
     """
     skipped = T.let(F.coalesce("content", F.lit("")), lambda c: F.when(F.length(c) < W.EXTRACT_LENGTH, "content_too_short").when(T.let(F.trim(c), T.plan_message), "non_kg_analysis_message"))
     told = messages.withColumn("skipped", skipped)
-    read = replies.graphs(told.filter("skipped IS NULL"), "reply")
+    own = F.col("skipped").isNull()
+    read = replies.graphs(told.withColumn("reply", F.when(own, F.col("reply"))), "reply")
     named = F.filter(replies.confident(F.col("entities"), least), lambda e: ~T.noise_name(e["name"]) & ~T.bad_name(e["name"]) & F.contains(F.lower("content"), F.lower(e["name"])))
-    kept = read.withColumns({"found": F.size("entities") + F.size("relations"), "entities": named})
+    # As a generator's row, so that the lists are made once for all that is read of them.
+    kept = read.withColumn("found", F.size("entities") + F.size("relations")).withColumn("entities", F.explode(F.array(F.when(own, named))))
     names = F.transform("entities", lambda e: e["name"])
     sure = F.filter(replies.confident(F.col("relations"), least), lambda r: r["type"].isin(*W.RELATIONS) & F.array_contains(names, r["source"]) & F.array_contains(names, r["target"]))
-    kept = kept.withColumn("relations", F.array_distinct(sure))
+    kept = kept.withColumn("relations", F.when(own, F.array_distinct(sure)))
     reason = F.when(F.col("outcome") == "failed", "json_extract_failed").when(F.col("found") == 0, "empty_graph").when(F.size("entities") == 0, "all_filtered_noise").otherwise("extracted")
-    own = ["message_id", "session_id", "content", "reason", "entities", "relations"]
-    out = kept.withColumn("reason", reason).select(*own)
-    none = told.filter("skipped IS NOT NULL").select("message_id", "session_id", "content", F.col("skipped").alias("reason"))
-    return out.unionByName(none, allowMissingColumns=True)
+    return kept.select("message_id", "session_id", "content", F.coalesce("skipped", reason).alias("reason"), "entities", "relations")
 
 
 def entities_of(found: DataFrame) -> DataFrame:

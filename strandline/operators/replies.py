@@ -21,20 +21,22 @@ def payload(reply: Column, opens: str = r"\{", closes: str = r"\}") -> Column:
 
     def said(text: Column) -> Column:
         after = F.when(F.contains(text, F.lit("</think>")), F.substring_index(text, "</think>", -1)).otherwise(text)
-        return T.let(F.regexp_replace(after, r"(?s)^.*?<think>[^\{\[]*", ""), unfenced)
+        return T.let(F.when(F.contains(text, F.lit("<think>")), F.regexp_replace(after, r"(?s)^.*?<think>[^\{\[]*", "")).otherwise(after), unfenced)
 
-    return T.let(F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?s)<think>.*?</think>", ""), said)
+    whole = F.coalesce(reply, F.lit(""))
+    return T.let(F.when(F.contains(whole, F.lit("<think>")), F.regexp_replace(whole, r"(?s)<think>.*?</think>", "")).otherwise(whole), said)
 
 
 def _read(rows: DataFrame, reply: str, opens: str, closes: str, kind: str) -> DataFrame:
-    """Adds _payload, _value, its JSON value where nothing follows it, and _sound, whether that is an OBJECT or an ARRAY.
+    """Adds _payload, _value, its JSON value where nothing follows it, and _sound, whether that is what begins with `kind`.
 
     As a generator's row, so that what filters and reads the value later doesn't parse again.
     """
 
     def parsed(text: Column) -> Column:
         value = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[0]", "variant")
-        return T.let(value, lambda v: F.struct(text.alias("payload"), v.alias("value"), F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False)).alias("sound")))
+        # What starts with the bracket and parses is an object, or a list; its schema need not be made to tell.
+        return T.let(value, lambda v: F.struct(text.alias("payload"), v.alias("value"), (v.isNotNull() & F.startswith(text, F.lit(kind))).alias("sound")))
 
     read = rows.withColumn("_read", F.explode(F.array(T.let(payload(F.col(reply), opens, closes), parsed))))
     return read.select(*rows.columns, *[F.col(f"_read.{c}").alias(f"_{c}") for c in ("payload", "value", "sound")])
@@ -113,14 +115,14 @@ def _graph(value: Column) -> Column:
 def graphs(rows: DataFrame, reply: str) -> DataFrame:
     """Adds outcome (json, repaired, text or failed), entities and relations of the reply in each row; see `_graph`.
 
-    Only replies that are no sound JSON reach Python. Null and empty replies are failed ones.
+    Only replies that are no sound JSON reach Python, in batches and in the same pass. Null and empty replies are failed ones.
     """
-    read = _read(rows, reply, r"\{", r"\}", "OBJECT")
-    good = read.filter("_sound").select(*rows.columns, "_value", F.lit("json").alias("outcome"))
-    saved = read.filter("NOT _sound").drop("_value").alias("r").lateralJoin(parse.BrokenGraph(F.col("r._payload").outer(), F.col(f"r.{reply}").outer()))
-    both = good.unionByName(saved.withColumn("_value", F.parse_json("graph")).select(*good.columns))
-    read = both.withColumn("_graph", F.explode(F.array(_graph(F.col("_value")))))
-    return read.select(*rows.columns, "outcome", "_graph.entities", "_graph.relations")
+    read, broken = _read(rows, reply, r"\{", r"\}", "{"), ~F.col("_sound")
+    saved = read.withColumn("_saved", parse.saved_graph(F.when(broken, F.col("_payload")), F.when(broken, F.col(reply))))
+    outcome = F.when(F.col("_sound"), "json").otherwise(F.coalesce("_saved.outcome", F.lit("failed")))
+    value = F.when(F.col("_sound"), F.col("_value")).otherwise(F.parse_json(F.coalesce("_saved.graph", F.lit("{}"))))
+    out = saved.select(*rows.columns, outcome.alias("outcome"), F.explode(F.array(T.let(value, _graph))).alias("_graph"))
+    return out.select(*rows.columns, "outcome", "_graph.entities", "_graph.relations")
 
 
 def atoms(rows: DataFrame, reply: str, messages: str) -> DataFrame:
@@ -131,7 +133,7 @@ def atoms(rows: DataFrame, reply: str, messages: str) -> DataFrame:
     replies from which nothing can be saved, give no row. Sound JSON is read by expressions, what is broken by a table function.
     """
     kept = [c for c in rows.columns if c != reply]
-    read = _read(rows, reply, r"\[", r"\]", "ARRAY")
+    read = _read(rows, reply, r"\[", r"\]", "[")
     good = read.filter("_sound").select(*kept, F.posexplode(F.try_variant_get("_value", "$", "array<variant>")).alias("place", "atom"))
     saved = read.filter("NOT _sound").drop("_value").alias("r").lateralJoin(parse.BrokenAtoms(F.col("r._payload").outer()))
     both = good.unionByName(saved.select(*kept, "place", F.parse_json("atom").alias("atom")))

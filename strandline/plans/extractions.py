@@ -14,7 +14,7 @@ from .folders import shared_folder
 from .registry import listed, query
 
 
-def _put(form: str, **values: Column) -> Column:
+def _put(form: str | Column, **values: Column) -> Column:
     """A text with values at the places of their names between angle brackets."""
     out = F.lit(form)
     for name, value in values.items():
@@ -39,11 +39,12 @@ REPLIES = (
 
 
 def _messages(events: DataFrame) -> DataFrame:
-    """message_id, session_id, content and reply of a message for each event."""
+    """message_id, session_id, content and reply of a message for each event; spread, as events are small and replies long to read."""
+    events = events.select("event_id", "user_id", "event_type", "props").repartition(4 * events.sparkSession.sparkContext.defaultParallelism)
     page = F.get_json_object("props", "$.k")
     values = {"p": F.concat(F.lit("Customer number "), F.col("user_id").cast("string")), "t": F.col("event_type"), "g": F.concat(F.lit("Page group "), page)}
     kind = F.col("event_id") % len(REPLIES)
-    reply = F.element_at(F.array(*[_put(r, **values) for r in REPLIES]), (kind + 1).cast("int"))
+    reply = _put(F.element_at(F.array(*[F.lit(r) for r in REPLIES]), (kind + 1).cast("int")), **values)  # the form first, so one reply is made and not all
     told = _put("<p> sent a <t> to <g> while this log of events was being kept.", **values)
     content = F.when(F.col("event_id") % 13 == 0, "too short").when(F.col("event_id") % 17 == 0, F.concat(F.lit("[analyze-mode] "), told)).otherwise(told)
     return events.select(F.col("event_id").alias("message_id"), F.col("user_id").alias("session_id"), content.alias("content"), reply.alias("reply"))
@@ -148,7 +149,7 @@ def atom_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in (*W.ATOM_KINDS, "rumour", "")])
     content = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" is in "), "lang")
     values = {"c": content, "k": F.element_at(kinds, (F.col("doc_id") % 10 + 1).cast("int")), "s": F.col("source"), "i": (F.col("doc_id") % 4).cast("string")}
-    reply = F.element_at(F.array(*[_put(x, **values) for x in LISTS]), (F.col("doc_id") % len(LISTS) + 1).cast("int"))
+    reply = _put(F.element_at(F.array(*[F.lit(x) for x in LISTS]), (F.col("doc_id") % len(LISTS) + 1).cast("int")), **values)
     shown = F.array(*[F.col("doc_id") * 10 + i for i in range(3)])
     found = R.atoms(d.select("doc_id", shown.alias("shown"), reply.alias("reply")), "reply", "shown")
     return found.select("doc_id", "place", "kind", "title", "content", F.array_join("tags", ",").alias("tags"), "source_message_id")

@@ -5,6 +5,9 @@ import datetime as dt
 import duckdb
 from pyspark.sql import functions as F
 
+from strandline.operators import extraction as X
+from strandline.operators import index as I
+from strandline.operators import replies as R
 from strandline.plans import catalogue
 from strandline.streaming import flows
 
@@ -46,3 +49,11 @@ def test_open_relations_wait_as_packed_tables(spark, tmp_path):
     assert {r.id: r.invalid_at.day for r in out.collect()} == {1: 5, 2: 9, 4: 8, 5: 9}
     value = spark.read.format("statestore").load(str(tmp_path / "place")).schema["value"].dataType
     assert "binary" in value.simpleString() and "array" not in value.simpleString()
+
+
+def test_replies_are_read_in_one_pass(spark):
+    rows = spark.range(40).selectExpr("id AS message_id", "id % 3 AS session_id", "'a text of some length that names Alpha' AS content", "if(id % 2 = 0, '{\"entities\": [{\"name\": \"Alpha\"}]}', '{\"entities\": [{\"name\": \"Alpha\",}]') AS reply")
+    for read in (R.graphs(rows, "reply"), X.extracted(rows)):
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Range (") == 1 and "Union" not in plan
+        assert {r.entities[0].name for r in read.select("entities").collect()} == {"Alpha"}
