@@ -50,6 +50,16 @@ def search_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def counts(words: Column) -> Column:
+    """Each word of an array with how often it is there (term, tf): runs of the sorted array, so that no row leaves its place."""
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(s)) - i).cast("int").alias("tf"))))
+
+    return let(F.sort_array(words), of_sorted)
+
+
 def word_count(text: Column) -> Column:
     """Runs of other characters than blanks."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))

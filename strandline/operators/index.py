@@ -14,7 +14,7 @@ from ..functions.vectors import cosine
 from .retrieval import top
 
 #: Documents of a block of postings, about, and postings of a bucket of terms, about.
-BLOCK, BUCKET = 4096, 20_000_000
+BLOCK, BUCKET = 4096, 2_000_000
 #: Blocks that a filter on the scan names; more are chosen by a join.
 NAMED = 5_000
 
@@ -46,12 +46,13 @@ class KeywordIndex:
         n, words = one["docs"], one["words"] or 0
         stats = Stats(n, one["avg_len"] or 0.0, max(1, -(-n // BLOCK)), max(16, -(-words // BUCKET)), docs.schema["id"].dataType.simpleString())
         self.spark.createDataFrame([stats], "docs long, avg_len double, chunks int, buckets int, id_type string").write.mode("overwrite").parquet(f"{self.folder}/stats")
-        chunk = F.pmod(F.xxhash64("id"), F.lit(stats.chunks)).cast("int").alias("chunk")
-        postings = terms.select("id", "len", chunk, F.explode("terms").alias("term")).groupBy("term", "chunk", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        chunk = F.pmod(F.xxhash64("id"), F.lit(stats.chunks)).cast("int")
+        each = terms.select("id", "len", F.explode(T.counts(F.col("terms"))).alias("t")).select("id", "len", "t.term", "t.tf")
+        # The only shuffle: a bucket's postings are gathered, sorted and written where they arrive.
+        postings = each.withColumn("bucket", self._bucket(F.col("term"), stats.buckets)).repartition("bucket").withColumn("chunk", chunk)
         weight = self._weight(F.col("tf"), F.col("len"), stats.avg_len)
-        blocks = postings.groupBy("term", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"), F.collect_list(F.struct("id", "tf", "len")).alias("postings"))
-        placed = blocks.withColumn("bucket", self._bucket(F.col("term"), stats.buckets))
-        placed.repartition("bucket").sortWithinPartitions("bucket", "term", "chunk").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/blocks")
+        blocks = postings.groupBy("bucket", "term", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"), F.collect_list(F.struct("id", "tf", "len")).alias("postings"))
+        blocks.sortWithinPartitions("bucket", "term", "chunk").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/blocks")
         return self
 
     def _bucket(self, term: Column, buckets: int) -> Column:

@@ -1,12 +1,13 @@
 """What copies of the tables at sixty times sf0.1 showed, on small rows."""
 
 import datetime as dt
+from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
+from strandline.functions import text as T
 from strandline.operators import extraction as X
-from strandline.operators import index as I
 from strandline.operators import replies as R
 from strandline.plans import catalogue
 from strandline.streaming import flows
@@ -52,8 +53,15 @@ def test_open_relations_wait_as_packed_tables(spark, tmp_path):
 
 
 def test_replies_are_read_in_one_pass(spark):
-    rows = spark.range(40).selectExpr("id AS message_id", "id % 3 AS session_id", "'a text of some length that names Alpha' AS content", "if(id % 2 = 0, '{\"entities\": [{\"name\": \"Alpha\"}]}', '{\"entities\": [{\"name\": \"Alpha\",}]') AS reply")
+    rows = spark.range(40).selectExpr("id AS message_id", "id % 3 AS session_id", "'a text that is long enough to be read for what it holds, and names Alpha with some more words' AS content", "if(id % 2 = 0, '{\"entities\": [{\"name\": \"Alpha\"}]}', '{\"entities\": [{\"name\": \"Alpha\",}]') AS reply")
     for read in (R.graphs(rows, "reply"), X.extracted(rows)):
         plan = read._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Range (") == 1 and "Union" not in plan
         assert {r.entities[0].name for r in read.select("entities").collect()} == {"Alpha"}
+
+
+def test_words_are_counted_within_their_row(spark):
+    lists = ["b a b c a b".split(), ["x"], [], None, ["é", "e", "é", "Z"]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, words array<string>").select("id", T.counts(F.col("words")).alias("n"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.n and {x.term: x.tf for x in r.n} for r in got.collect()} == {i: dict(Counter(x)) if x else None for i, x in enumerate(lists)}
