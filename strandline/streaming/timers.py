@@ -9,6 +9,7 @@ A key's waiting events are those of the watermark's delay; a key's release sorts
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -52,7 +53,8 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.row = Row(*self.names)
-        self.waiting = handle.getListState("waiting", self.waits)
+        # A key's events of a batch wait as one packed lot, not as a row each.
+        self.waiting = handle.getListState("waiting", "lot binary")
         self.state = handle.getValueState("state", self.kept)
 
     def _wake(self, at: int) -> None:
@@ -61,15 +63,14 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         new = [tuple(r[c] for c in self.columns) for r in rows if r["at"] is not None]
         if new and key[0] is not None:
-            self.waiting.appendList(new)
-            for at in {min(e[0] for e in new), max(e[0] for e in new)}:
-                self._wake(at)
+            self.waiting.appendValue((pickle.dumps(new),))
+            self._wake(min(e[0] for e in new))  # what is later is woken for when this is handed on
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         state = tuple(self.state.get()) if self.state.exists() else None
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: e[:2]) if self.waiting.exists() else []
+        events = sorted((e for lot in self.waiting.get() for e in pickle.loads(lot[0])), key=lambda e: e[:2]) if self.waiting.exists() else []
         due, later = [e for e in events if e[0] < now], [e for e in events if e[0] >= now]
         before = None if state is None else self.deadline(state)
         out: list[tuple] = []
@@ -84,7 +85,7 @@ class InOrder(StatefulProcessor):
         if due:
             self.waiting.clear()
             if later:
-                self.waiting.put(later)
+                self.waiting.put([(pickle.dumps(later),)])
                 self._wake(later[0][0])
         if state is None:
             self.state.clear()

@@ -10,7 +10,7 @@ from strandline.functions import text as T
 from strandline.operators import extraction as X
 from strandline.operators import replies as R
 from strandline.plans import catalogue
-from strandline.streaming import flows
+from strandline.streaming import flows, timers
 
 
 def against_sql(spark, folder, name, *tables):
@@ -65,3 +65,24 @@ def test_words_are_counted_within_their_row(spark):
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, words array<string>").select("id", T.counts(F.col("words")).alias("n"))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.n and {x.term: x.tf for x in r.n} for r in got.collect()} == {i: dict(Counter(x)) if x else None for i, x in enumerate(lists)}
+
+
+def test_a_key_with_many_events_waits_as_one_lot_with_one_timer():
+    class Held:
+        def __init__(self, *of):
+            self.rows = []
+            self.appendValue = self.rows.append
+            self.appendList = self.rows.extend
+
+        def getListState(self, *of):
+            return self
+
+        getValueState = getListState
+
+    handle, timers_set = Held(), []
+    handle.registerTimer = timers_set.append
+    processor = timers.Numbered()
+    processor.names = ["user_id", "id", "seq"]
+    processor.init(handle)
+    list(processor.handleInputRows((7,), iter([{"at": 5_000 * i, "id": i} for i in range(100)]), None))
+    assert len(handle.rows) == 1 and timers_set == [1]
