@@ -19,18 +19,19 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def _times(word: str) -> Column:
-    return F.size(F.filter("terms", lambda t: t == word))
+    return F.size("terms") - F.size(F.array_remove("terms", word))
 
 
 def keyword_search(docs: DataFrame, query: list[str], n: int, mode: str = "or", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """id and BM25 score of the n best texts for a list of lower-case terms; mode `and` asks for all of them.
 
-    Only rows that hold a term leave the first projection. Lengths and document counts come from one
-    aggregate of a row, which every task gets.
+    Each text is read once: ids, lengths and counts of terms are shuffled, and both the totals (one row, which every
+    task gets) and the scores come from that shuffle. A text without the terms has no score; what has none goes after
+    the cut, as a filter before it would be moved to the scan and extract the terms there again for each word.
     """
     terms = list(dict.fromkeys(query))
     found = docs.select("id", T.search_terms(F.col("content")).alias("terms"))
-    counted = found.select("id", F.size("terms").alias("len"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    counted = found.select("id", F.size("terms").alias("len"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)]).repartition("id")
     tf = [F.col(f"tf{i}") for i in range(len(terms))]
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
     wanted = T.any_of([x > 0 for x in tf]) if mode == "or" else ~T.any_of([x == 0 for x in tf])
@@ -38,15 +39,15 @@ def keyword_search(docs: DataFrame, query: list[str], n: int, mode: str = "or",
     for i, x in enumerate(tf):
         idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         score = score + idf * x * (k1 + 1) / (x + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = counted.filter(wanted).crossJoin(F.broadcast(stats)).select("id", F.round(score, 4).alias("score"))  # stats: one row
-    return top(scored, n, F.desc("score"), F.asc("id"))
+    scored = counted.crossJoin(F.broadcast(stats)).select("id", F.when(wanted, F.round(score, 4)).alias("score"))  # stats: one row
+    return top(scored, n, F.desc("score"), F.asc("id")).filter(F.col("score").isNotNull())
 
 
 def nearest(vectors: DataFrame, query: list[float], n: int, key: str = "id") -> DataFrame:
     """id and cosine similarity of the n nearest vectors of the query's length; others and null ones are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.filter(F.size("embedding") == len(query)).select(F.col(key), F.round(cosine(F.col("embedding"), q), 4).alias("score"))
-    return top(scored.filter(F.col("score").isNotNull()), n, F.desc("score"), F.asc(key))
+    return top(scored, n, F.desc("score"), F.asc(key)).filter(F.col("score").isNotNull())  # nulls are last
 
 
 def ranked(hits: DataFrame, ranker: str, list_index: int) -> DataFrame:
@@ -185,28 +186,47 @@ def unified(
     `graph` and `hybrid`. recency is `on`, `off` or, as the query's words ask for it, `auto`; it lifts the newest among the
     hits of each table by `weight`. label: a text's first 60 characters, an entity's name or a relation's type.
     """
-    if mode not in MODES or recency not in ("on", "off", "auto"):
-        raise ValueError(f"mode must be one of {MODES}, recency on, off or auto: {mode}, {recency}")
-    active = recency == "on" or (recency == "auto" and any(w in query.lower() for w in W.RECENCY_WORDS))
+    return unified_in_modes(query, vector, n, texts, vectors, entities, relations, [(mode, recency)], weight).drop("mode")
+
+
+def unified_in_modes(
+    query: str, vector: list[float], n: int, texts: dict[str, DataFrame], vectors: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, asks: list[tuple[str, str]], weight: float = 0.15
+) -> DataFrame:
+    """`unified` for several pairs of mode and recency, with the mode of each row.
+
+    The hits are the same in every mode that has them, so they are sought once and then dealt to the modes.
+    """
+    for mode, recency in asks:
+        if mode not in MODES or recency not in ("on", "off", "auto"):
+            raise ValueError(f"mode must be one of {MODES}, recency on, off or auto: {mode}, {recency}")
+    recent = any(w in query.lower() for w in W.RECENCY_WORDS)
+    active = [(mode, recency == "on" or (recency == "auto" and recent)) for mode, recency in asks]
+    dealt = lambda but: F.inline(F.array(*[F.struct(F.lit(mode).alias("mode"), F.lit(on).alias("recency_active")) for mode, on in active if mode != but]))
+    columns = ["found", "id", "label", "score", "recency_active", "mode"]
     parts = []
-    if mode != "graph":
+    if texts and any(mode != "graph" for mode, _ in asks):
         terms = re.findall(r"\w+", query.lower())
         of = lambda found, hits: hits.select(F.struct(F.lit(found).alias("found"), F.col("id").cast("long").alias("id")).alias("id"), "score")
         words = [(found, keyword_search(t, terms, n)) for found, t in texts.items()] if terms else []
         near = [(found, nearest(v, vector, n)) for found, v in vectors.items()]
         lists = [ranked(of(found, hits), found, i) for i, (found, hits) in enumerate([*words, *near])]
         best = reciprocal_rank_fusion(lists, n).select("id.found", "id.id", "score")
-        for found, t in texts.items():
-            hits = t.join(F.broadcast(best.filter(F.col("found") == found)), "id")  # n rows
-            hits = recency_bias(hits, "created_at", weight) if active else hits
-            parts.append(hits.select("found", F.col("id").cast("long").alias("id"), F.substring("content", 1, 60).alias("label"), "score"))
-    if mode != "vector":
+        at = F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")
+        every = reduce(DataFrame.unionByName, [t.select(F.lit(found).alias("found"), F.col("id").cast("long").alias("id"), "content", at) for found, t in texts.items()])
+        hits = every.join(F.broadcast(best), ["found", "id"])  # n rows
+        of_table = Window.partitionBy("found")  # n rows
+        low, high = F.min("at").over(of_table), F.max("at").over(of_table)
+        bonus = F.when((high > low) & F.col("at").isNotNull(), F.lit(weight) * ((F.col("at") - low) / (high - low))).otherwise(F.lit(0.0))
+        lifted = hits.select("found", "id", F.substring("content", 1, 60).alias("label"), "score", F.round(F.col("score") + bonus, 6).alias("lifted"))
+        parts.append(lifted.select("*", dealt("graph")).withColumn("score", F.when(F.col("recency_active"), F.col("lifted")).otherwise(F.col("score"))).select(*columns))
+    if any(mode != "vector" for mode, _ in asks):
         terms = T.split_query(query)
         if terms:
-            parts.append(graph_search(entities, relations, terms, n).select("found", F.col("id").cast("long").alias("id"), "label", F.lit(None).cast("double").alias("score")))
+            found = graph_search(entities, relations, terms, n).select("found", F.col("id").cast("long").alias("id"), "label", F.lit(None).cast("double").alias("score"))
+            parts.append(found.select("*", dealt("vector")).select(*columns))
     if not parts:
-        return entities.sparkSession.createDataFrame([], "found string, id long, label string, score double, recency_active boolean")
-    return reduce(DataFrame.unionByName, parts).withColumn("recency_active", F.lit(active))
+        return entities.sparkSession.createDataFrame([], "found string, id long, label string, score double, recency_active boolean, mode string")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def prefetch(task: str, context: str, entities: DataFrame, messages: DataFrame, sessions: DataFrame, n: int = 5, most_words: int = 5) -> DataFrame:

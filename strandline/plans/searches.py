@@ -271,8 +271,7 @@ def unified_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A document's vector is the one of its number.
     near = {"message": A.message_vectors(spark, sf_dir).select("id", "embedding"), "atom": atoms.select("id").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")}
     q, e, r = _query_vector(spark, sf_dir), A.entities(spark, sf_dir), A.relations(spark, sf_dir)
-    hybrid, graph, vector = (R.unified(UNIFIED, q, 10, texts, near, e, r, mode, recency).withColumn("mode", F.lit(mode)) for mode, recency in (("hybrid", "auto"), ("graph", "auto"), ("vector", "off")))
-    return hybrid.unionByName(graph).unionByName(vector)
+    return R.unified_in_modes(UNIFIED, q, 10, texts, near, e, r, [("hybrid", "auto"), ("graph", "auto"), ("vector", "off")])
 
 
 @query("""WITH q AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Newest orders of ' || n_name WHEN 1 THEN 'RECENTLY seen in ' || c_mktsegment WHEN 2 THEN 'orders of ' || n_name END AS query FROM customer JOIN nation ON n_nationkey = c_nationkey)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as T
 from strandline.operators import extraction as X
 from strandline.operators import replies as R
+from strandline.operators import retrieval
 from strandline.plans import catalogue
 from strandline.streaming import flows, timers
 
@@ -86,3 +87,41 @@ def test_a_key_with_many_events_waits_as_one_lot_with_one_timer():
     processor.init(handle)
     list(processor.handleInputRows((7,), iter([{"at": 5_000 * i, "id": i} for i in range(100)]), None))
     assert len(handle.rows) == 1 and timers_set == [1]
+
+
+def watched(spark, rows, schema="id long, content string, created_at timestamp"):
+    """Texts, and a counter of how many of them were read, over all passes."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    return spark.createDataFrame(rows, schema).withColumn("content", F.udf(seen, "string")("content")), read
+
+
+def test_keyword_search_reads_each_text_once(spark):
+    at = dt.datetime(2024, 1, 1)
+    texts = [(0, "Red fox, red hen", at), (1, "a red fox", at), (2, "redder foxes", at), (3, None, at), (4, "", at), (5, "the fox", at)]
+    docs, read = watched(spark, texts)
+    assert [r.id for r in retrieval.keyword_search(docs, ["red", "fox"], 10).collect()] == [0, 1, 5]
+    assert read.value == len(texts)
+    assert {r.id for r in retrieval.keyword_search(docs, ["red", "fox"], 10, "and").collect()} == {0, 1}
+    assert retrieval.keyword_search(docs, ["hens"], 10).collect() == []
+
+
+def test_modes_of_a_unified_query_share_their_hits(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    messages, read_m = watched(spark, [(i, f"red fox {i}", at(i)) for i in range(1, 21)])
+    atoms, read_a = watched(spark, [(i, "a red hen", at(i)) for i in range(1, 6)] + [(6, None, None)])
+    vectors = {"message": spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, embedding array<double>")}
+    e = spark.createDataFrame([(7, "Fox den")], "id long, name string")
+    r = spark.createDataFrame([(8, "fox_of")], "id long, relation_type string")
+    ask = ("latest red fox", [1.0, 0.0], 5, {"message": messages, "atom": atoms}, vectors, e, r)
+    asks = [("hybrid", "auto"), ("graph", "auto"), ("vector", "off")]
+    rows = retrieval.unified_in_modes(*ask, asks).collect()
+    # Once for the words and once for the texts of the hits, whatever the number of modes.
+    assert (read_m.value, read_a.value) == (2 * 20, 2 * 6)
+    for mode, recency in asks:
+        alone = retrieval.unified(*ask, mode, recency)
+        assert sorted(map(tuple, alone.collect()), key=repr) == sorted((tuple(x[c] for c in alone.columns) for x in rows if x.mode == mode), key=repr)
