@@ -22,9 +22,11 @@ def _times(word: str) -> Column:
     return F.size("terms") - F.size(F.array_remove("terms", word))
 
 
-def keyword_search(docs: DataFrame, query: list[str], n: int, mode: str = "or", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def keyword_search(docs: DataFrame, query: list[str], n: int, mode: str = "or", k1: float = 1.2, b: float = 0.75, copies: DataFrame | None = None) -> DataFrame:
     """id and BM25 score of the n best texts for a list of lower-case terms; mode `and` asks for all of them.
 
+    A text counts as often as its id is in `copies`, and once if it isn't there: a left join, but of counts, not of texts.
+
     Each text is read once: ids, lengths and counts of terms are shuffled, and both the totals (one row, which every
     task gets) and the scores come from that shuffle. A text without the terms has no score; what has none goes after
     the cut, as a filter before it would be moved to the scan and extract the terms there again for each word.
@@ -32,6 +34,8 @@ def keyword_search(docs: DataFrame, query: list[str], n: int, mode: str = "or",
     terms = list(dict.fromkeys(query))
     found = docs.select("id", T.search_terms(F.col("content")).alias("terms"))
     counted = found.select("id", F.size("terms").alias("len"), *[_times(w).alias(f"tf{i}") for i, w in enumerate(terms)]).repartition("id")
+    if copies is not None:
+        counted = counted.join(copies.select("id"), "id", "left")
     tf = [F.col(f"tf{i}") for i in range(len(terms))]
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)])
     wanted = T.any_of([x > 0 for x in tf]) if mode == "or" else ~T.any_of([x == 0 for x in tf])
@@ -190,12 +194,14 @@ def unified(
 
 
 def unified_in_modes(
-    query: str, vector: list[float], n: int, texts: dict[str, DataFrame], vectors: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, asks: list[tuple[str, str]], weight: float = 0.15
+    query: str, vector: list[float], n: int, texts: dict[str, DataFrame], vectors: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, asks: list[tuple[str, str]], weight: float = 0.15, copies: dict[str, DataFrame] | None = None
 ) -> DataFrame:
     """`unified` for several pairs of mode and recency, with the mode of each row.
 
-    The hits are the same in every mode that has them, so they are sought once and then dealt to the modes.
+    The hits are the same in every mode that has them, so they are sought once and then dealt to the modes. copies (id):
+    a table's texts count, and are returned, as often as their ids are there, and once if they aren't.
     """
+    copies = copies or {}
     for mode, recency in asks:
         if mode not in MODES or recency not in ("on", "off", "auto"):
             raise ValueError(f"mode must be one of {MODES}, recency on, off or auto: {mode}, {recency}")
@@ -207,13 +213,16 @@ def unified_in_modes(
     if texts and any(mode != "graph" for mode, _ in asks):
         terms = re.findall(r"\w+", query.lower())
         of = lambda found, hits: hits.select(F.struct(F.lit(found).alias("found"), F.col("id").cast("long").alias("id")).alias("id"), "score")
-        words = [(found, keyword_search(t, terms, n)) for found, t in texts.items()] if terms else []
+        words = [(found, keyword_search(t, terms, n, copies=copies.get(found))) for found, t in texts.items()] if terms else []
         near = [(found, nearest(v, vector, n)) for found, v in vectors.items()]
         lists = [ranked(of(found, hits), found, i) for i, (found, hits) in enumerate([*words, *near])]
         best = reciprocal_rank_fusion(lists, n).select("id.found", "id.id", "score")
         at = F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")
         every = reduce(DataFrame.unionByName, [t.select(F.lit(found).alias("found"), F.col("id").cast("long").alias("id"), "content", at) for found, t in texts.items()])
         hits = every.join(F.broadcast(best), ["found", "id"])  # n rows
+        if copies:
+            again = reduce(DataFrame.unionByName, [c.select(F.lit(found).alias("found"), F.col("id").cast("long").alias("id")) for found, c in copies.items()])
+            hits = hits.join(again, ["found", "id"], "left")
         of_table = Window.partitionBy("found")  # n rows
         low, high = F.min("at").over(of_table), F.max("at").over(of_table)
         bonus = F.when((high > low) & F.col("at").isNotNull(), F.lit(weight) * ((F.col("at") - low) / (high - low))).otherwise(F.lit(0.0))

@@ -267,11 +267,13 @@ UNIFIED_TERMS = UNIFIED.split()
     UNION ALL SELECT 'hybrid', found, id, label, NULL, true FROM graph UNION ALL SELECT 'graph', found, id, label, NULL, true FROM graph UNION ALL SELECT 'vector', found, id, substr(content, 1, 60), score, false FROM hits""")
 def unified_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages, atoms, vectors = A.messages(spark, sf_dir), A.atoms(spark, sf_dir), A.embeddings(spark, sf_dir)
-    texts = {"message": messages.select("id", "content", "created_at"), "atom": atoms.select("id", "content", "created_at")}
+    # A document is an atom for each of its labels; these are joined to what was found in the texts, not to the texts.
+    texts = {"message": messages.select("id", "content", "created_at"), "atom": A.atom_texts(spark, sf_dir)}
+    labels = {"atom": A.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))}
     # A document's vector is the one of its number.
     near = {"message": A.message_vectors(spark, sf_dir).select("id", "embedding"), "atom": atoms.select("id").join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id")}
     q, e, r = _query_vector(spark, sf_dir), A.entities(spark, sf_dir), A.relations(spark, sf_dir)
-    return R.unified_in_modes(UNIFIED, q, 10, texts, near, e, r, [("hybrid", "auto"), ("graph", "auto"), ("vector", "off")])
+    return R.unified_in_modes(UNIFIED, q, 10, texts, near, e, r, [("hybrid", "auto"), ("graph", "auto"), ("vector", "off")], copies=labels)
 
 
 @query("""WITH q AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Newest orders of ' || n_name WHEN 1 THEN 'RECENTLY seen in ' || c_mktsegment WHEN 2 THEN 'orders of ' || n_name END AS query FROM customer JOIN nation ON n_nationkey = c_nationkey)

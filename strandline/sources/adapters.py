@@ -46,10 +46,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
 
+ATOM_TIME = f"timestamp_ntz'{START}' + make_dt_interval(cast(doc_id % 60 as int), 0, 0, 0)"
+
+
+def atom_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, content, created_at of atoms, once for each document, however many labels it has."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.expr(ATOM_TIME).alias("created_at"))
+
+
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, user_id, project, kind, content, confidence, created_at; confidence .8 where no label has one."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    at = F.expr(f"timestamp_ntz'{START}' + make_dt_interval(cast(doc_id % 60 as int), 0, 0, 0)")
+    at = F.expr(ATOM_TIME)
     return d.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("source").alias("user_id"), F.col("lang").alias("kind"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 4).alias("project"),
         F.col("text").alias("content"), F.coalesce(F.col("quality").cast("double"), F.lit(0.8)).alias("confidence"), at.alias("created_at"),

@@ -125,3 +125,22 @@ def test_modes_of_a_unified_query_share_their_hits(spark):
     for mode, recency in asks:
         alone = retrieval.unified(*ask, mode, recency)
         assert sorted(map(tuple, alone.collect()), key=repr) == sorted((tuple(x[c] for c in alone.columns) for x in rows if x.mode == mode), key=repr)
+
+
+def test_labels_are_joined_to_counts_and_not_to_texts(spark, tmp_path):
+    for t in ("documents", "labels", "embeddings", "conversations", "part", "supplier", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        df = df.unionByName(df.filter("doc_id % 3 = 0")) if t == "labels" else df
+        df.coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, want = against_sql(spark, tmp_path, "unified_modes", "documents", "labels", "embeddings", "conversations", "part", "supplier", "lineitem")
+        df = catalogue.queries()["unified_modes"](spark, str(tmp_path))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [tuple(x) for x in got] == [tuple(x) for x in want] and len(got) > 20
+    # Messages and documents: each text's words are extracted in one place of the plan, and no longer once a mode and use.
+    assert plan.count("regexp_extract_all") == 2
