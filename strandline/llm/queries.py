@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import secrets
+import warnings
 from collections.abc import Callable
+from functools import cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -25,12 +28,25 @@ from .suffix_dedup import suffix_dedup
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+@cache
+def drawn_key(application: str) -> str:
+    """A key that nobody knows, the same for all jobs of an application."""
+    return secrets.token_hex(32)
+
+
 def pii_key(spark: SparkSession) -> str:
-    """The secret key of the pseudonyms, from the configuration; without one a key that everyone knows, on a local master only, as in tests."""
+    """The secret key of the pseudonyms, from the configuration.
+
+    Without one a local master takes a key that everyone knows, as in tests, and a cluster one that is drawn for the
+    application: equal values get equal pseudonyms within it, and others in the next.
+    """
     key = spark.conf.get("spark.strandline.pii.key", None)
-    if key is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.strandline.pii.key must hold the secret key of the pseudonyms")
-    return key or "no secret"
+    if key:
+        return key
+    if spark.sparkContext.master.startswith("local"):
+        return "no secret"
+    warnings.warn("spark.strandline.pii.key is not set: pseudonyms hold within this application only", stacklevel=2)
+    return drawn_key(spark.sparkContext.applicationId)
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from datetime import date, timedelta
 from hashlib import sha256
+from types import SimpleNamespace
 
 import pytest
 import regex
 
-from strandline.llm import pii
+import corpus_pipeline
+from strandline.llm import pii, queries
 from strandline.llm.common import documents
 
 
@@ -195,3 +197,19 @@ def test_what_the_patterns_must_not_leave(spark):
     assert [p.kind for p in numbers.pii] == ["phone", "phone", "date", "date", "card"] and "31/31/1970" in numbers.text and numbers.text.startswith("0041 ")
     assert [p.kind for p in prose.pii] == ["email", "email"] and prose.text.startswith("the secret: never tell; password = please; token: 12; write to ")
     assert "mueller" not in prose.text and "mail.example" not in prose.text and prose.text.endswith(".uk")
+
+
+@pytest.mark.filterwarnings("ignore:spark.strandline.pii.key")
+def test_a_cluster_without_a_key_runs_with_one_drawn_for_the_application(spark, tmp_path):
+    def cluster(application, key=None):
+        context = SimpleNamespace(master="spark://host:7077", applicationId=application)
+        return SimpleNamespace(read=spark.read, conf=SimpleNamespace(get=lambda name, default=None: default if key is None else key), sparkContext=context)
+
+    keys = [queries.pii_key(cluster(*x)) for x in (("a",), ("a",), ("b",), ("a", ""), ("a", "mine"))]
+    assert keys[0] == keys[1] == keys[3] != keys[2] and len(keys[0]) == 64 and keys[4] == "mine" and queries.pii_key(spark) == "no secret"
+    docs = spark.createDataFrame([(1, "write to ann.lee@example.org", "en", "a", 28)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (row,) = queries.op1_feistel_pii(cluster("a"), str(tmp_path)).collect()
+    (staged,) = corpus_pipeline.feistel_pii(cluster("a"), docs, "").collect()
+    (public,) = corpus_pipeline.feistel_pii(spark, docs, "").collect()
+    assert row.kinds == "email" and row.text == staged.text != public.text and "ann.lee" not in row.text
