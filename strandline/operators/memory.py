@@ -303,11 +303,12 @@ def memory_export(facts: DataFrame, scenarios: DataFrame, profiles: DataFrame, m
     return live.unionByName(told).unionByName(profiles.select("user_id", F.lit("profile").alias("part"), F.lit(1).alias("place"), F.to_json(F.struct("profile")).alias("item")))
 
 
-def session_bundle(messages: DataFrame, entities: DataFrame, relations: DataFrame, most_messages: int | None = 1000, most_graph: int = 50) -> DataFrame:
-    """session_id and a JSON bundle of a session's newest messages, oldest first, its entities and its relations.
+def session_bundle(messages: DataFrame, entities: DataFrame, relations: DataFrame, most_messages: int | None = None, most_graph: int | None = None) -> DataFrame:
+    """session_id and a JSON bundle of a session's messages, oldest first, its entities and its relations.
 
-    messages: session_id, turn, role, tokens. entities and relations: session_id, id, name or relation_type. The window
-    cuts a group before it is gathered, so a bundle has at most so many parts; with None it has all of a session's messages.
+    messages: session_id, turn, role, tokens. entities and relations: session_id, id, name or relation_type. A bundle has
+    all of them; a caller who gives a number gets the newest messages, or the first of the others, and the window cuts a
+    group before it is gathered.
     """
 
     def gathered(rows: DataFrame, newest: list[Column], most: int | None, name: str, *columns: str) -> DataFrame:

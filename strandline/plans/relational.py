@@ -25,17 +25,16 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + MESSAGES + ", " + ENTITIES + ", " + ENDS + """, m AS (SELECT session_id, string_agg('{"turn":' || turn || ',"role":"' || role || '","tokens":' || tokens || '}', ',' ORDER BY turn) AS j FROM messages GROUP BY 1),
-    e AS (SELECT DISTINCT message_id // 10 AS session_id, entity_id AS id FROM ends), en AS (SELECT session_id, id, name, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM e JOIN entities USING (id)),
-    ej AS (SELECT session_id, string_agg('{"id":' || id || ',"name":"' || name || '"}', ',' ORDER BY id) AS j FROM en WHERE n <= 50 GROUP BY 1),
-    rn AS (SELECT message_id // 10 AS session_id, id, relation_type, row_number() OVER (PARTITION BY message_id // 10 ORDER BY id, relation_type) AS n FROM relations),
-    rj AS (SELECT session_id, string_agg('{"id":' || id || ',"relation_type":"' || relation_type || '"}', ',' ORDER BY id, relation_type) AS j FROM rn WHERE n <= 50 GROUP BY 1)
+    e AS (SELECT DISTINCT message_id // 10 AS session_id, entity_id AS id FROM ends),
+    ej AS (SELECT session_id, string_agg('{"id":' || id || ',"name":"' || name || '"}', ',' ORDER BY id) AS j FROM e JOIN entities USING (id) GROUP BY 1),
+    rj AS (SELECT message_id // 10 AS session_id, string_agg('{"id":' || id || ',"relation_type":"' || relation_type || '"}', ',' ORDER BY id, relation_type) AS j FROM relations GROUP BY 1)
     SELECT session_id, '{"session_id":' || session_id || ',"messages":[' || coalesce(m.j, '') || '],"entities":[' || coalesce(ej.j, '') || '],"relations":[' || coalesce(rj.j, '') || ']}' AS bundle
     FROM m FULL JOIN ej USING (session_id) FULL JOIN rj USING (session_id)""")
 def session_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ten orders' lines are a session's relations.
-    r = A.relations(spark, sf_dir).withColumn("session_id", F.floor(F.col("message_id") / 10))
+    r = A.relations(spark, sf_dir).withColumn("session_id", F.expr("message_id div 10"))
     e = G.endpoints(r).select("session_id", F.col("entity_id").alias("id")).distinct().join(A.entities(spark, sf_dir).select("id", "name"), "id")
-    return M.session_bundle(A.messages(spark, sf_dir), e, r.select("session_id", "id", "relation_type"), most_messages=None)
+    return M.session_bundle(A.messages(spark, sf_dir), e, r.select("session_id", "id", "relation_type"), None, None)
 
 
 @query("WITH " + ATOMS + """, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS n FROM atoms WHERE id % 10 <> 9),

@@ -1,6 +1,7 @@
 """What copies of the tables at sixty times sf0.1 showed, on small rows."""
 
 import datetime as dt
+import json
 from collections import Counter
 
 import duckdb
@@ -41,6 +42,24 @@ def test_bundles_hold_all_messages_of_a_long_session(spark, tmp_path):
     assert got == want and any('"turn":0,' in bundle for _, bundle in got)
 
 
+def test_bundles_hold_all_entities_and_relations_of_a_session(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    far = 9_007_199_254_740_999  # its tenth part is no double
+    lines = [(70 + i % 10, i // 10, i, i % 70, "ANR"[i % 3], at) for i in range(120)] + [(far, 1, 5, 3, "A", at)]
+    tables = {
+        "conversations": spark.createDataFrame([(7, 0, "user", "some text")], "conv_id long, turn long, role string, text string"),
+        "part": spark.range(120).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'kind' AS p_type"),
+        "supplier": spark.range(70).selectExpr("id AS s_suppkey", "concat('supplier ', id) AS s_name"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_shipdate timestamp"),
+    }
+    for name, table in tables.items():
+        table.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got, want = against_sql(spark, tmp_path, "session_bundle", *tables)
+    bundles = {s: json.loads(bundle) for s, bundle in got}
+    assert got == want and len(bundles[7]["relations"]) == 120 and len(bundles[7]["entities"]) == 190
+    assert [x["id"] for x in bundles[far // 10]["entities"]] == [5, 1_000_003]
+
+
 def test_open_relations_wait_as_packed_tables(spark, tmp_path):
     kinds = "id long, source long, target long, relation_type string, valid_at timestamp"
     rows = [(i, i % 3, 2, t, dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i, t in enumerate("AABABBAAA")]
